@@ -54,7 +54,7 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str
         start = 0
         while start < batch.num_rows:
             end = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
-            end = min(max(end, start + 1), batch.num_rows)
+            end = min(max(end, start + 1), batch.num_rows, start + 8192)
             yield batch.slice(start, end - start)
             start = end
 

@@ -5,13 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard_join, packing, quality_rules, token_counts, url_filters
+from gleaner.llm import (
+    decontaminate, jaccard_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filters,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.sums(token_counts.histogram(table(spark, sf_dir, "documents")))
 
@@ -29,6 +43,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", *digest, base.alias("base_failed"), kept.alias("kept"), F.col("failed").alias("failed_rules"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = url_filters.judged(table(spark, sf_dir, "pages"), url_filters.rules_frame(spark))
     return found.select("page_id", "host", "path", "rule", "verdict")
@@ -40,7 +62,51 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op4_token_counts, op5_ngram_jaccard_join, op6_quality_rules, op9_url_filters, op10_packing)
-}
-
-ORACLE_SQL: dict[str, str] = {}
+    for f in (
+        op1_secret_scans, op2_benchmark_decontamination, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join,
+        op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_url_filters, op10_packing,
+    )
+}
+
+#: Words, lines and shingles as the contracts have them; DuckDB's regular expressions are RE2.
+_OP9 = r"""
+WITH rules(verdict, host, path) AS (VALUES ('allow','org','/'), ('block','example.org','/es/'), ('block','example.org','/en/1'),
+    ('allow','com','/fr/'), ('block','com','/de/')),
+cut AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path, row_number() OVER () AS n FROM pages),
+best AS (SELECT n, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(r.verdict, length(r.host || r.path)) AS verdict
+    FROM cut c JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path) GROUP BY n)
+SELECT c.page_id, c.host, c.path, b.rule, coalesce(b.verdict, 'allow') AS verdict FROM cut c LEFT JOIN best b USING (n)
+"""
+
+_OP6 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d),
+win AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+twice AS (SELECT r, i FROM win QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
+rep AS (SELECT r, count(DISTINCT i + j) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS j) GROUP BY r),
+ln AS (SELECT r, count(*) AS n, count(*) - count(DISTINCT l) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS l FROM d)
+    WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r),
+m AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(ln.dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+    coalesce(ln.n, 0) AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '[^!]', '', 'g')) AS n_marks
+    FROM w LEFT JOIN rep USING (r) LEFT JOIN ln USING (r)),
+f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN n_words > 1000000 THEN 4 ELSE 0 END + CASE WHEN word_chars < 2 * n_words THEN 8 ELSE 0 END + CASE WHEN word_chars > 25 * n_words THEN 16 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > 3 * n_words THEN 32 ELSE 0 END + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 64 ELSE 0 END
+    + CASE WHEN 100 * n_upper > 60 * word_chars AND n_words > 0 THEN 128 ELSE 0 END + CASE WHEN 2 * n_marks > n_words AND n_words > 0 THEN 256 ELSE 0 END)::BIGINT AS failed_rules FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_rules % 4 <> 0 AS base_failed, failed_rules = 0 AS kept, failed_rules FROM f
+"""
+
+_OP5 = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents WHERE text IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+c AS (SELECT doc_id AS a, doc_id AS r FROM n UNION SELECT e.a, c.r FROM e JOIN c ON c.a = e.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.r, d.doc_id) AS component_id FROM documents d
+LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(r) AS r FROM c GROUP BY a) m USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": _OP5, "op6_quality_rules": _OP6, "op9_url_filters": _OP9}
