@@ -1,4 +1,586 @@
-"""The registered queries."""
+"""The registered queries and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.functions import text as X
+from gleaner.operators import extract as E
+from gleaner.operators import history as W
+from gleaner.operators import pages as P
+from gleaner.operators import quality as Q
+from gleaner.operators import selectors as S
+from gleaner.operators import steps as G
+from gleaner.sources import store
+from gleaner.streaming import feeds
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NAV = E.Records("nav li", {"label": "a", "href": ("a", "href")})
+#: The same white space class for DuckDB's regular expressions.
+SPACE = r"[\t\n\x{000B}\f\r\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+
+
+def sql_trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+
+
+def sql_text(x: str) -> str:
+    """Text of a piece of HTML: tags off, the entities of the pages read."""
+    out = f"regexp_replace({x}, '<[^>]*>', '', 'g')"
+    for entity, char in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+        out = f"replace({out}, '{entity}', '{char}')"
+    return sql_trim(out)
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- extraction ----------------------------------------------------------------------
+
+_LINKS = f"""SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1)) AS href,
+    unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a>', 1)) AS raw, unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1)))) AS ordinal FROM pages"""
+
+
+@query(f"SELECT page_id, ordinal::INT AS ordinal, {sql_text('raw')} AS label, href, count(*) OVER (PARTITION BY page_id) AS n_links FROM ({_LINKS})")
+def nav_links(spark, d):
+    """Container x fields to aligned records, with the number of links of each page."""
+    found = E.extracted(E.Job({"nav": NAV}))
+    rows = t(spark, d, "pages").select("page_id", found.alias("x")).select("page_id", F.col("x.nav").alias("nav"))
+    return rows.select("page_id", F.size("nav").cast("long").alias("n_links"), F.inline("nav"))
+
+
+@query(f"SELECT page_id, string_agg(href, ' ' ORDER BY ordinal) AS hrefs, count(*) AS n FROM ({_LINKS}) GROUP BY page_id")
+def nav_links_multi(spark, d):
+    """All matches of a field in one container, as an array."""
+    job = E.Job({"nav": E.Records("nav", {"href": ("li a", "href")}, multi=True)})
+    rows = E.records(t(spark, d, "pages"), job, "nav", ["page_id"])
+    return rows.select("page_id", F.array_join("href", " ").alias("hrefs"), F.size("href").cast("long").alias("n"))
+
+
+@query(f"""WITH a AS (SELECT page_id, string_split(regexp_extract(html, '(?s)<article>(.*)</article>', 1), '<p>')[2:] AS ps FROM pages)
+SELECT page_id, (i - 1)::INT AS ordinal, {sql_text('ps[i]')} AS text FROM (SELECT page_id, ps, unnest(range(1, len(ps) + 1)) AS i FROM a)""")
+def article_paragraphs(spark, d):
+    job = E.Job({"p": E.Records("article p", {"text": ""})})
+    return E.records(t(spark, d, "pages"), job, "p", ["page_id"])
+
+
+@query(f"""SELECT page_id, {sql_text("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
+    {sql_text("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS h1, len(string_split(html, '<p>')) - 1 AS n_paragraphs,
+    contains(html, '<nav>') AS has_nav, contains(html, '<table') AS has_table FROM pages""")
+def page_values(spark, d):
+    """Scalar reads of a page: first text, count, existence."""
+    job = E.Job({"title": E.Read("title"), "h1": E.Read("h1"), "n_paragraphs": E.Read("p", "count"), "has_nav": E.Read("nav", "exists"), "has_table": E.Read("table", "exists")})
+    return E.values(t(spark, d, "pages"), job, ["page_id"])
+
+
+@query(f"""SELECT page_id, ordinal::INT AS ordinal, NULL::VARCHAR AS target, 1::INT AS n_target, NULL::VARCHAR AS span, 0::INT AS n_span FROM ({_LINKS})""")
+def missing_vs_null(spark, d):
+    """A match without the attribute against no match: both null, told apart by the count."""
+    job = E.Job({"nav": E.Records("nav li", {"target": ("a", "target"), "span": "span"}, counts=True)})
+    return E.records(t(spark, d, "pages"), job, "nav", ["page_id"])
+
+
+@query(f"""SELECT page_id, n AS containers, f.field, CASE WHEN f.field = 'span' THEN 0 ELSE n END AS matches,
+    CASE WHEN f.field = 'label' THEN n_text WHEN f.field = 'span' THEN 0 ELSE n END AS texts,
+    CASE WHEN f.field = 'span' THEN 'OVER-CONSTRAINED' WHEN f.field = 'label' AND n_text = 0 THEN 'EMPTY-EXTRACTIONS' ELSE 'OK' END AS flag
+    FROM (SELECT page_id, count(*) AS n, count(*) FILTER (WHERE {sql_text('raw')} <> '') AS n_text FROM ({_LINKS}) GROUP BY page_id),
+    (SELECT unnest(['label', 'href', 'span']) AS field) f""")
+def selector_diagnostics(spark, d):
+    job = E.Job({"nav": E.Records("nav li", {"label": "a", "href": ("a", "href"), "span": "span"}, counts=True)})
+    rows = E.records(t(spark, d, "pages"), job, "nav", ["page_id"])
+    return E.diagnostics(rows, ["page_id"], ["label", "href", "span"])
+
+
+@query(f"""SELECT label, n, place FROM (SELECT label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, label) AS place
+    FROM (SELECT {sql_text('raw')} AS label FROM ({_LINKS})) GROUP BY label) WHERE place <= 20""")
+def nav_top_labels(spark, d):
+    """A top-k report."""
+    rows = E.records(t(spark, d, "pages"), E.Job({"nav": NAV}), "nav", ["page_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    top = rows.orderBy(F.desc("n"), "label").limit(20)
+    from pyspark.sql import Window
+
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")).cast("long"))
+
+
+# --- page store ----------------------------------------------------------------------
+
+_SQUEEZED = sql_trim(f"regexp_replace(html, '{SPACE}+', ' ', 'g')")
+
+
+@query(f"""SELECT page_id, CASE WHEN s = '' THEN 'empty' ELSE lpad(lower(hex(list_reduce(list_prepend(5381::BIGINT, list_transform(string_split(s, ''), lambda c: unicode(c)::BIGINT)),
+    lambda a, x: (a * 33 + x) % 4294967296))), 8, '0') END AS fingerprint FROM (SELECT page_id, {_SQUEEZED} AS s FROM pages)""")
+def page_fingerprint(spark, d):
+    return t(spark, d, "pages").select("page_id", X.fingerprint("html").alias("fingerprint"))
+
+
+def captures(spark, d) -> DataFrame:
+    """Pages captured twice by jobs of 40 pages each; the second time with other blanks."""
+    p = t(spark, d, "pages").select("url", "html", "page_id", F.floor(F.col("page_id") / 40).alias("job"))
+    again = p.select("url", F.replace("html", F.lit("</p>"), F.lit("</p> ")).alias("html"), (F.col("page_id") + 1_000_000).alias("seq"), "job", "page_id")
+    return p.select("url", "html", F.col("page_id").alias("seq"), "job", "page_id").unionByName(again.withColumn("html", F.regexp_replace("html", "</p> ", "</p>")))
+
+
+@query("""SELECT floor(page_id / 40)::BIGINT AS job, page_id, row_number() OVER (PARTITION BY floor(page_id / 40) ORDER BY page_id) AS page_number FROM pages""")
+def page_dedup_ids(spark, d):
+    """The first capture of each page and its number; ids by SHA-256 of url and page."""
+    return P.deduplicated(captures(spark, d), "job", "seq").select("job", "page_id", F.col("page_number").cast("long").alias("page_number"))
+
+
+@query("""WITH r AS (SELECT floor(page_id / 40)::BIGINT AS job, page_id, row_number() OVER (PARTITION BY floor(page_id / 40) ORDER BY page_id) AS n, count(*) OVER (PARTITION BY floor(page_id / 40)) AS c FROM pages)
+SELECT job, page_id, greatest(c - 15, 0) AS dropped FROM r WHERE n <= 2 OR n > c - 13""")
+def page_caps(spark, d):
+    rows = t(spark, d, "pages").select(F.floor(F.col("page_id") / 40).alias("job"), "page_id")
+    return P.capped(rows, "job", "page_id", 15)
+
+
+@query()
+def page_byte_budget(spark, d):
+    """Middle-out dropping; held against a loop in the tests."""
+    rows = t(spark, d, "pages").select(F.floor(F.col("page_id") / 40).alias("job"), "page_id", F.length("html").alias("size"))
+    return P.within_budget(rows, "job", "page_id", "size", 60_000)
+
+
+@query(f"SELECT l.page_id AS source_page_id, l.href, p.url FROM ({_LINKS}) l JOIN pages p ON p.page_id = l.page_id WHERE l.ordinal = 0")
+def provenance_join(spark, d):
+    rows = P.stamped(E.records(t(spark, d, "pages"), E.Job({"nav": NAV}), "nav", ["page_id"]), "page_id")
+    pages = t(spark, d, "pages").select(F.col("page_id").alias("source_page_id"), "url")
+    return rows.where("ordinal = 0").join(pages, "source_page_id").select("source_page_id", "href", "url")
+
+
+@query("""SELECT page_id, CASE WHEN length(html) > 2000 THEN '[TRUNCATED ' || length(html) || ' chars] ' || left(html, 1970) ELSE html END AS html, length(html) > 2000 AS truncated FROM pages""")
+def page_html_cap(spark, d):
+    return t(spark, d, "pages").select("page_id", X.capped_html("html", 2000).alias("html"), (F.length("html") > 2000).alias("truncated"))
+
+
+# --- joins ---------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, c_name, c_mktsegment FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
+def detail_lookup(spark, d):
+    """Each row's detail page, a left join: a row without one stays."""
+    details = t(spark, d, "customer")
+    return store.resolved(t(spark, d, "orders"), "o_custkey", details, "c_custkey", {"c_name": "c_name", "c_mktsegment": "c_mktsegment"}).select("o_orderkey", "c_name", "c_mktsegment")
+
+
+@query("SELECT s_suppkey, replace(s_name, 'Supplier', 'Customer') AS name FROM supplier WHERE replace(s_name, 'Supplier', 'Customer') NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)")
+def import_new_only(spark, d):
+    rows = t(spark, d, "supplier").select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
+    return store.new_only(rows, t(spark, d, "customer").where("c_custkey % 3 = 0"), "name", "c_name")
+
+
+@query("""WITH e AS (SELECT page_id, ordinal, html FROM (SELECT page_id, unnest(range(3)) AS ordinal, unnest([html, regexp_extract(html, '(?s)<nav>.*</nav>'), regexp_extract(html, '(?s)<ul>.*</ul>')]) AS html FROM pages))
+SELECT a.page_id, a.ordinal::INT AS inner, min(b.ordinal)::INT AS holder FROM e a JOIN e b ON a.page_id = b.page_id AND a.ordinal <> b.ordinal AND contains(b.html, a.html)
+AND ((length(a.html) < length(b.html) AND length(a.html) >= 24) OR (a.html = b.html AND a.ordinal > b.ordinal)) GROUP BY 1, 2""")
+def contained_elements(spark, d):
+    parts = F.array("html", F.regexp_extract("html", "(?s)<nav>.*</nav>", 0), F.regexp_extract("html", "(?s)<ul>.*</ul>", 0))
+    rows = t(spark, d, "pages").select("page_id", F.posexplode(parts).alias("ordinal", "part"))
+    return S.contained(rows, ["page_id"], "ordinal", "part")
+
+
+# --- quality -------------------------------------------------------------------------
+
+
+def labelled(spark, d) -> DataFrame:
+    docs, labels = t(spark, d, "documents"), t(spark, d, "labels")
+    rows = docs.join(labels, "doc_id", "left")
+    return rows.select("doc_id", "source", "lang", F.col("quality").cast("string").alias("quality"), F.when(F.col("toxic") == 1, "yes").otherwise("").alias("toxic"), F.when(F.col("n_chars") > 1000, F.lit("long")).alias("size"))
+
+
+_LABELLED = """(SELECT d.doc_id, source, lang, quality::VARCHAR AS quality, CASE WHEN toxic = 1 THEN 'yes' ELSE '' END AS toxic, CASE WHEN n_chars > 1000 THEN 'long' END AS size
+    FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+FIELDS = ["lang", "quality", "toxic", "size"]
+
+
+@query(f"""SELECT doc_id, array_to_string(list_filter([CASE WHEN coalesce(lang, '') = '' THEN 'lang' END, CASE WHEN coalesce(quality, '') = '' THEN 'quality' END,
+    CASE WHEN toxic = '' THEN 'toxic' END, CASE WHEN coalesce(size, '') = '' THEN 'size' END], lambda x: x IS NOT NULL), ',') AS missing FROM {_LABELLED}""")
+def required_missing(spark, d):
+    return labelled(spark, d).select("doc_id", F.array_join(Q.missing(FIELDS), ",").alias("missing"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) + length(lang) > 8000 THEN 'INPUT_TOO_LARGE' WHEN length(text) > 5000 THEN 'FIELD_TOO_LARGE:text' WHEN length(lang) > 5000 THEN 'FIELD_TOO_LARGE:lang'
+    WHEN coalesce(text, '') = '' THEN 'MISSING:text' WHEN coalesce(lang, '') = '' THEN 'MISSING:lang' END AS reason FROM documents""")
+def input_check(spark, d):
+    return t(spark, d, "documents").select("doc_id", Q.input_error({"text": "string", "lang": "string"}, 8000, 5000).alias("reason"))
+
+
+@query(f"SELECT source, lang, count(*) AS n_records FROM {_LABELLED} GROUP BY 1, 2 HAVING count(*) FILTER (WHERE toxic <> '') = 0")
+def empty_extraction(spark, d):
+    return Q.all_empty(labelled(spark, d), ["source", "lang"], ["toxic"])
+
+
+@query(f"""WITH a AS (SELECT source, count(*) AS n_records, count(*) FILTER (WHERE trim(coalesce(quality, '')) = '') AS quality, count(*) FILTER (WHERE toxic = '') AS toxic,
+    count(*) FILTER (WHERE trim(coalesce(size, '')) = '') AS size FROM {_LABELLED} GROUP BY source),
+u AS (UNPIVOT a ON quality, toxic, size INTO NAME field VALUE n_empty)
+SELECT source, n_records, field, n_empty, n_empty / n_records AS ratio FROM u WHERE n_records >= 2 AND n_empty / n_records >= 0.5""")
+def empty_ratio(spark, d):
+    return Q.empty_ratio(labelled(spark, d), ["source"], ["quality", "toxic", "size"])
+
+
+@query(f"""SELECT source, string_agg(quality, ',' ORDER BY n) AS samples FROM (SELECT source, quality, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM {_LABELLED} WHERE quality IS NOT NULL) WHERE n <= 3 GROUP BY source""")
+def field_samples(spark, d):
+    return Q.first_samples(labelled(spark, d), ["source"], "quality", "doc_id").select("source", F.array_join("samples", ",").alias("samples"))
+
+
+@query(f"""WITH s AS (SELECT source, 'lang:' || coalesce(lang, '') || '||quality:' || coalesce(quality, '') || '||toxic:' || toxic AS signature, count(*) AS c, min(doc_id) AS o FROM {_LABELLED} GROUP BY 1, 2)
+SELECT source, sum(c)::BIGINT AS n_records, count(*) AS n_unique, max(c) AS largest, arg_max(signature, (c, -o)) AS signature, max(c) / sum(c) AS ratio FROM s GROUP BY source HAVING sum(c) >= 3 AND max(c) / sum(c) >= 0.3""")
+def duplicate_records(spark, d):
+    return Q.duplicates(labelled(spark, d), ["source"], ["lang", "quality", "toxic"], "doc_id", threshold=0.3)
+
+
+_SHAPES = f"""(SELECT source, signature, n, first, chr((64 + row_number() OVER (PARTITION BY source ORDER BY n DESC, first))::INT) AS shape FROM (
+    SELECT source, array_to_string(list_sort(list_filter([CASE WHEN coalesce(lang, '') <> '' THEN 'lang' END, CASE WHEN coalesce(quality, '') <> '' THEN 'quality' END, CASE WHEN toxic <> '' THEN 'toxic' END,
+    CASE WHEN size <> '' THEN 'size' END], lambda x: x IS NOT NULL)), ',') AS signature, count(*) AS n, min(doc_id) AS first FROM {_LABELLED} GROUP BY 1, 2))"""
+
+
+@query(f"SELECT source, shape, signature, n, first FROM {_SHAPES}")
+def shape_clusters(spark, d):
+    return Q.shapes(labelled(spark, d), ["source"], FIELDS, "doc_id")
+
+
+@query(f"""WITH s AS {_SHAPES}, f AS (SELECT source, unnest(string_split(signature, ',')) AS field FROM s WHERE signature <> ''), n AS (SELECT source, count(*) AS n_shapes FROM s GROUP BY source)
+SELECT source, field, count(*) AS in_shapes, n_shapes, count(*) = n_shapes AS universal FROM f JOIN n USING (source) WHERE n_shapes >= 2 GROUP BY source, field, n_shapes""")
+def shape_fields(spark, d):
+    return Q.shape_fields(Q.shapes(labelled(spark, d), ["source"], FIELDS, "doc_id"), ["source"])
+
+
+def scored(spark, d) -> DataFrame:
+    """Orders as a customer's attempts, line items as their records."""
+    items = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.count(F.lit(1)).alias("items"), F.sum((F.col("l_discount") > 0).cast("int") + (F.col("l_tax") > 0).cast("int") + 1).alias("filled")
+    )
+    rows = t(spark, d, "orders").join(items, "o_orderkey", "left").na.fill(0, ["items", "filled"])
+    return rows.select("o_custkey", "o_orderkey", F.round(Q.attempt_score((F.col("items") > 0).cast("double"), F.col("items"), F.col("filled")), 6).alias("score"))
+
+
+_SCORED = """(SELECT o_custkey, o_orderkey, round(CASE WHEN coalesce(items, 0) > 0 THEN 100.0 + 10.0 * items + filled::DOUBLE / items * 5.0 ELSE 0.0 END::DOUBLE, 6) AS score FROM orders LEFT JOIN
+    (SELECT l_orderkey, count(*) AS items, sum((l_discount > 0)::INT + (l_tax > 0)::INT + 1) AS filled FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"""
+
+
+@query(f"SELECT * FROM {_SCORED}")
+def attempt_scores(spark, d):
+    return scored(spark, d)
+
+
+@query(f"SELECT o_custkey, arg_max(o_orderkey, (score, -o_orderkey)) AS o_orderkey, max(score) AS score FROM {_SCORED} GROUP BY o_custkey")
+def best_attempt(spark, d):
+    return Q.best_attempt(scored(spark, d), ["o_custkey"], "score", "o_orderkey")
+
+
+@query("""WITH f AS (SELECT n_regionkey, 'f' || (n_nationkey % 2) || '_' || n_nationkey AS field, n_nationkey % 2 AS v FROM nation)
+SELECT a.n_regionkey, a.field AS field_a, b.field AS field_b FROM f a JOIN f b ON a.n_regionkey = b.n_regionkey AND a.v = b.v AND a.field < b.field""")
+def field_collision(spark, d):
+    n = t(spark, d, "nation")
+    value = F.concat(F.lit(" s"), (F.col("n_nationkey") % 2).cast("string"))
+    rows = n.select("n_regionkey", F.concat(F.lit("f"), (F.col("n_nationkey") % 2).cast("string"), F.lit("_"), F.col("n_nationkey").cast("string")).alias("field"), F.array(value, F.lit(""), value).alias("samples"))
+    return Q.collisions(rows, ["n_regionkey"], "field", "samples")
+
+
+@query("""WITH n AS (SELECT count(DISTINCT user_id) AS total FROM events),
+f AS (SELECT event_type, count(DISTINCT user_id) AS n_samples, count(DISTINCT CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 7 END) AS n_selectors FROM events GROUP BY event_type)
+SELECT event_type, n_samples, n_selectors, CASE WHEN n_samples = total AND n_selectors = 1 THEN 'UNIVERSAL' WHEN n_samples = total THEN 'SHAPE-DEPENDENT' ELSE 'OPTIONAL' END AS role FROM f, n""")
+def field_roles(spark, d):
+    rows = t(spark, d, "events").select("user_id", "event_type", F.when(F.col("event_type") == "view", 0).otherwise(F.col("event_id") % 7).alias("selector"))
+    return Q.field_roles(rows, "user_id", "event_type", "selector")
+
+
+@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'page_state_stale' WHEN 'signup' THEN 'needs_annotation_relax' WHEN 'purchase' THEN 'needs_annotation' WHEN 'click' THEN 'rate_limited' ELSE 'needs_login' END AS kind FROM events WHERE value > 20)
+SELECT user_id, arg_max(kind, CASE kind WHEN 'needs_login' THEN 1000 WHEN 'rate_limited' THEN 900 WHEN 'page_state_stale' THEN 50 WHEN 'needs_annotation_relax' THEN 30 ELSE 20 END) AS kind FROM s GROUP BY user_id""")
+def intervention_pick(spark, d):
+    kinds = {"error": "page_state_stale", "signup": "needs_annotation_relax", "purchase": "needs_annotation", "click": "rate_limited"}
+    kind = reduce(lambda c, p: c.when(F.col("event_type") == p[0], p[1]), kinds.items(), F.when(F.lit(False), "")).otherwise("needs_login")
+    return Q.intervention(t(spark, d, "events").where("value > 20").select("user_id", kind.alias("kind")), ["user_id"])
+
+
+# --- order ---------------------------------------------------------------------------
+
+
+@query("SELECT user_id, event_type, min(event_id) AS first_seen, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
+def dedupe_iterations(spark, d):
+    return W.last_per_step(t(spark, d, "events").select("user_id", "event_type", "event_id", "value"), ["user_id"], "event_type", "event_id")
+
+
+_RUNS = """(SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))"""
+
+
+@query(f"SELECT user_id, run::BIGINT AS run, event_type, count(*) AS n, min(event_id) AS first, max(event_id) AS last FROM {_RUNS} GROUP BY 1, 2, 3")
+def collapse_runs(spark, d):
+    return W.runs(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+
+
+def _settled_sql(equal: int) -> str:
+    return f"""WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, row_number() OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM {_RUNS})
+SELECT user_id, min(n) FILTER (WHERE k >= {equal})::BIGINT AS settled_at, min(n) FILTER (WHERE k >= {equal}) IS NOT NULL AS settled FROM r GROUP BY user_id"""
+
+
+@query(_settled_sql(3))
+def stable_after_n(spark, d):
+    """Three equal samples in a row."""
+    return W.stable_at(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 3)
+
+
+@query(_settled_sql(2))
+def page_settle(spark, d):
+    """Two equal samples in a row."""
+    return W.stable_at(t(spark, d, "events"), ["user_id"], ["ts", "event_id"], "event_type", 2)
+
+
+@query("""WITH m AS (SELECT *, sum(CASE WHEN epoch_us(ts) - epoch_us(p) > 28800000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM
+    (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events))
+SELECT user_id, session::BIGINT AS session, count(*) AS n, min(ts) AS first, max(ts) AS last FROM m GROUP BY 1, 2""")
+def stall_windows(spark, d):
+    """Sessions parted by eight hours of silence."""
+    return W.gaps(t(spark, d, "events"), ["user_id"], "ts", 8 * 3600)
+
+
+@query("""SELECT conv_id, turn, role FROM (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS total, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE total <= 1500 OR n <= 2""")
+def history_trim(spark, d):
+    return W.recent_turns(t(spark, d, "conversations"), ["conv_id"], "turn", F.length("text"), 1500).select("conv_id", "turn", "role")
+
+
+@query(f"SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS streak FROM {_RUNS.replace('ts, event_id', 'event_id')}")
+def noop_streak(spark, d):
+    rows = t(spark, d, "events").select("user_id", "event_id", "event_type")
+    return W.repeated_feedback(rows, ["user_id"], "event_id", "event_type")
+
+
+@query("""SELECT conv_id, count(*) FILTER (WHERE role = 'assistant' AND starts_with(text, '// NACK:') AND p = 'user' AND contains(q, left(h, 40))) AS n_refusals FROM (
+    SELECT conv_id, role, '// NACK: ' || text AS text, lag(role) OVER w AS p, lag('// NACK: ' || text) OVER w AS q, first_value('// NACK: ' || text) OVER w AS h FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) GROUP BY conv_id""")
+def nack_count(spark, d):
+    from pyspark.sql import Window
+
+    rows = t(spark, d, "conversations").withColumn("text", F.concat(F.lit("// NACK: "), "text"))
+    hint = F.first_value("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    return W.refusals(rows.withColumn("hint", hint), ["conv_id"], "turn", F.col("hint"))
+
+
+@query("""WITH c AS (SELECT user_id, event_type || '()' AS call, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS total, min(event_id) AS o FROM events GROUP BY 1, 2),
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY o, call) AS place, greatest(count(*) OVER (PARTITION BY user_id) - 3, 0) AS more FROM c)
+SELECT user_id, place, call, n, total, more FROM p WHERE place <= 3""")
+def activity_summary(spark, d):
+    cents = F.round(F.col("value") * 100).cast("long")
+    return W.activity(t(spark, d, "events"), ["user_id"], F.concat("event_type", F.lit("()")), cents, "event_id")
+
+
+@query("SELECT o_custkey, o_orderkey, ordinal FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS ordinal FROM orders) WHERE ordinal <= 3")
+def sample_records(spark, d):
+    return W.sampled(t(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).drop("o_orderdate")
+
+
+@query("""WITH s AS (SELECT source, doc_id, n_chars, least(n_chars, 3000)::BIGINT AS used FROM documents), c AS (SELECT *, sum(used) OVER (PARTITION BY source ORDER BY doc_id) AS total FROM s)
+SELECT source, doc_id, used, CASE WHEN max((total >= 20000)::INT) OVER (PARTITION BY source ORDER BY doc_id) = 1 THEN 'SKIPPED' WHEN n_chars > 3000 THEN 'TRUNCATED' ELSE 'FULL' END AS state FROM c""")
+def prompt_budget(spark, d):
+    rows = t(spark, d, "documents").select("source", "doc_id", "n_chars")
+    return W.prompt_budget(rows, ["source"], "doc_id", F.col("n_chars"), 3000, 20_000).drop("n_chars")
+
+
+# --- scalar functions ----------------------------------------------------------------
+
+
+@query("""SELECT c_custkey, 'https://x.example/' || replace(replace(replace(replace(replace(url_encode(c_name || ' (' || c_mktsegment || ')!'), '%21', '!'), '%27', ''''), '%28', '('), '%29', ')'), '%2A', '*')
+    || '?n=' || c_nationkey AS url FROM customer""")
+def url_template(spark, d):
+    name = F.concat("c_name", F.lit(" ("), "c_mktsegment", F.lit(")!"))
+    url = X.resolve_template(F.lit("https://x.example/{{name}}?n={{ nation }}"), {"name": name, "nation": F.col("c_nationkey")})
+    return t(spark, d, "customer").select("c_custkey", url.alias("url"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'brand,size' ELSE 'size' END AS params FROM part")
+def template_params(spark, d):
+    template = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("/{{ brand }}/{{size}}/{{brand}}/{{a-b}}/"), "p_name")).otherwise(F.lit("/{{size}}"))
+    return t(spark, d, "part").select("p_partkey", F.array_join(X.template_params(template), ",").alias("params"))
+
+
+NAMES = ("postTime", "publishDate", "createdAt", "updatedAt", "likeCount", "comments", "likes", "shares", "profileUrl", "groupUrl", "postLink", "authorProfile", "groupId", "postId", "username", "content", "description", "account.profileUrl", "")
+
+
+@query(f"""SELECT name, CASE WHEN regexp_matches(l, '(?i)time$|date$|created|published|updated') THEN 'time-like' WHEN regexp_matches(l, '(?i)count$|likes$|shares$|comments$|reactions$|views$|downloads$') THEN 'count-like'
+    WHEN regexp_matches(l, '(?i)url$|link$|href$|profile$') THEN 'url-like' WHEN regexp_matches(l, '(?i)id$') THEN 'id-like' ELSE 'text-like' END AS kind FROM (SELECT name, string_split(name, '.')[-1] AS l FROM (SELECT unnest({list(NAMES)}) AS name))""")
+def field_type_inference(spark, d):
+    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", X.field_type("name").alias("kind"))
+
+
+def selector_strings(spark, d) -> DataFrame:
+    tail = F.when(F.col("p_size") % 5 == 0, "div > span > a").when(F.col("p_size") % 5 == 1, "a.x1f6kntn").when(F.col("p_size") % 5 == 2, "[role='link'] > a").when(F.col("p_size") % 5 == 3, "b > i > u > s > p > q > ul > li > a > span").otherwise("span")
+    head = F.concat(F.when(F.col("p_size") % 3 == 0, "li:nth-of-type(").otherwise("ul > li:nth-of-type("), F.col("p_size").cast("string"), F.lit(") > "))
+    return t(spark, d, "part").select("p_partkey", F.when(F.col("p_size") % 7 == 0, tail).otherwise(F.concat(head, tail)).alias("selector"))
+
+
+_SELECTORS = """(SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN '' ELSE CASE WHEN p_size % 3 = 0 THEN 'li:nth-of-type(' ELSE 'ul > li:nth-of-type(' END || p_size || ') > ' END
+    || CASE p_size % 5 WHEN 0 THEN 'div > span > a' WHEN 1 THEN 'a.x1f6kntn' WHEN 2 THEN '[role=''link''] > a' WHEN 3 THEN 'b > i > u > s > p > q > ul > li > a > span' ELSE 'span' END AS selector FROM part)"""
+
+
+@query(f"""SELECT p_partkey, selector, (35 * nth + CASE WHEN seg > 12 THEN 25 WHEN seg > 8 THEN 15 ELSE 0 END + CASE WHEN regexp_matches(selector, '(?i)\\.x[0-9a-f]+\\b|\\._[a-z0-9]+\\b') THEN 20 ELSE 0 END
+    + CASE WHEN NOT regexp_matches(selector, '\\[role=|\\[aria-|\\[data-|#\\w') AND seg > 1 AND nth = 0 THEN 10 ELSE 0 END + 5 * len(regexp_extract_all(selector, '>\\s*[a-z]+\\s*>')))::BIGINT AS score
+    FROM (SELECT *, len(regexp_extract_all(selector, ':nth-of-type\\(\\d+\\)')) AS nth, len(list_filter(string_split(selector, '>'), lambda x: trim(x) <> '')) AS seg FROM {_SELECTORS})""")
+def brittleness(spark, d):
+    return selector_strings(spark, d).select("p_partkey", "selector", X.brittleness("selector").alias("score"))
+
+
+@query(f"""SELECT p_partkey, regexp_replace(selector, ':nth-(?:of-type|child)\\(\\d+\\)', '', 'g') AS stripped, regexp_replace(regexp_replace(selector, ':nth-(?:of-type|child)\\(\\d+\\)', '', 'g'), '\\.x[0-9a-z]{{4,}}', '', 'g') AS signature,
+    regexp_matches(selector, '\\[role=') OR regexp_matches(selector, '^(li|tr|option)\\b') AS item_like FROM {_SELECTORS}""")
+def selector_forms(spark, d):
+    return selector_strings(spark, d).select("p_partkey", X.strip_positional("selector").alias("stripped"), X.stable_signature("selector").alias("signature"), X.item_like("selector").alias("item_like"))
+
+
+@query("""SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS name,
+    CASE WHEN s = '' THEN 'service' ELSE s END AS slug FROM (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '[^a-z0-9_ \\t\\n-]', '', 'g'), '[ \\t\\n_]+', '-', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS s FROM pages)""")
+def slug_host(spark, d):
+    return t(spark, d, "pages").select("page_id", X.service_name("url").alias("name"), X.slug("url").alias("slug"))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE left(text, 176) || '[CUT]' || right(text, 264) END AS text FROM documents""")
+def head_tail_cap(spark, d):
+    return t(spark, d, "documents").select("doc_id", X.head_tail("text", 500).alias("text"))
+
+
+@query(f"""SELECT page_id, CASE WHEN length(x) <= 60 OR regexp_matches(x, '^[A-Z]{{2,}}[-_]?\\w*$') OR regexp_matches(x, '^\\w[\\w-]*\\d[-\\w]*$') THEN x ELSE left(x, 60) || '...' END AS short
+    FROM (SELECT page_id, {sql_text("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS x FROM pages)""")
+def short_titles(spark, d):
+    rows = E.values(t(spark, d, "pages"), E.Job({"title": E.Read("title")}), ["page_id"])
+    return rows.select("page_id", X.truncate_text("title").alias("short"))
+
+
+@query("SELECT c_custkey, trim(CASE WHEN c_custkey % 2 = 0 THEN '{\"n\": \"' || c_name || '\"}' ELSE 'plain ' || c_name END) AS code, ((c_custkey % 50) * 100 + 500)::BIGINT AS budget FROM customer")
+def answer_code(spark, d):
+    """The code of an answer, and the time its waits take."""
+    even = F.concat(F.lit('// ACK: yes\ntext\n```js\n \n```\n```json\n{"n": "'), "c_name", F.lit('"}\n```\nend'))
+    answer = F.when(F.col("c_custkey") % 2 == 0, even).otherwise(F.concat(F.lit("// NACK: no\nplain "), "c_name"))
+    script = F.concat(F.lit("await $wait("), ((F.col("c_custkey") % 50) * 100).cast("string"), F.lit("); await $exists('a', 500)"))
+    return t(spark, d, "customer").select("c_custkey", X.fenced(answer).alias("code"), X.time_budget(script).alias("budget"))
+
+
+@query("SELECT c_custkey, 'btn-primary c' AS classes FROM customer")
+def class_filter(spark, d):
+    c = F.concat(F.lit("btn-primary  css-1x _ngcontent-abc sc-"), F.col("c_custkey").cast("string"), F.lit(" a1b2c3d4 c"))
+    return t(spark, d, "customer").select("c_custkey", X.filter_classes(c).alias("classes"))
+
+
+# --- step graphs ---------------------------------------------------------------------
+
+
+def step_table(spark, d) -> DataFrame:
+    """A graph for each region, a step for each nation; every fourth points nowhere near."""
+    from pyspark.sql import Window
+
+    n = t(spark, d, "nation").withColumn("ordinal", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")) - 1)
+    nxt = F.lead("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    first = F.first_value("n_name").over(Window.partitionBy("n_regionkey").orderBy("n_nationkey"))
+    success = F.when((F.col("ordinal") == 2) & (F.col("n_regionkey") % 2 == 0), F.lit("TERMINATE")).when((F.col("ordinal") == 3) & (F.col("n_regionkey") % 2 == 1), first).otherwise(F.coalesce(nxt, F.lit("TERMINATE")))
+    return n.select(
+        F.col("n_regionkey").alias("graph"), F.col("n_name").alias("id"), "ordinal", F.lit("run()").alias("script"), success.alias("on_success"),
+        F.when(F.col("n_nationkey") == 6, F.lit("NOWHERE")).otherwise(F.lit("TERMINATE")).alias("on_failure"), F.when(F.col("ordinal") == 1, F.lit(5)).alias("max_iterations"),
+    )
+
+
+_STEPS = """(SELECT n_regionkey AS graph, n_name AS id, ordinal, CASE WHEN ordinal = 2 AND n_regionkey % 2 = 0 THEN 'TERMINATE' WHEN ordinal = 3 AND n_regionkey % 2 = 1 THEN first ELSE coalesce(nxt, 'TERMINATE') END AS on_success,
+    CASE WHEN n_nationkey = 6 THEN 'NOWHERE' ELSE 'TERMINATE' END AS on_failure, CASE WHEN ordinal = 1 THEN 5 END AS max_iterations FROM (
+    SELECT *, (row_number() OVER w - 1)::INT AS ordinal, lead(n_name) OVER w AS nxt, first_value(n_name) OVER w AS first FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)))"""
+_REACHED = f"""r AS (SELECT graph, id FROM {_STEPS} WHERE ordinal = 0 UNION SELECT s.graph, e.dst FROM r JOIN {_STEPS} s ON s.graph = r.graph AND s.id = r.id,
+    LATERAL (SELECT unnest([s.on_success, s.on_failure]) AS dst) e WHERE e.dst <> 'TERMINATE')"""
+
+
+@query(f"WITH RECURSIVE {_REACHED} SELECT graph, id FROM r")
+def chain_reachable(spark, d):
+    return G.reachable(step_table(spark, d))
+
+
+@query(f"""WITH RECURSIVE {_REACHED} SELECT graph, id, 'UNREACHABLE' AS problem FROM {_STEPS} ANTI JOIN r USING (graph, id)
+UNION ALL SELECT graph, id, 'DANGLING_POINTER' FROM {_STEPS} WHERE on_failure = 'NOWHERE'""")
+def chain_problems(spark, d):
+    return G.problems(step_table(spark, d))
+
+
+@query(f"""WITH s AS {_STEPS}, b AS (SELECT x.graph, y.ordinal AS lo, x.ordinal AS hi FROM s x JOIN s y ON x.graph = y.graph AND x.on_success = y.id AND y.ordinal < x.ordinal)
+SELECT graph, id, CASE WHEN EXISTS (SELECT 1 FROM b WHERE b.graph = s.graph AND s.ordinal BETWEEN lo AND hi) AND coalesce(max_iterations, 1) = 1 THEN 30 ELSE coalesce(max_iterations, 1) END AS max_iterations FROM s""")
+def backedge_boost(spark, d):
+    return G.boosted(step_table(spark, d)).select("graph", "id", "max_iterations")
+
+
+@query("SELECT user_id, count(*) AS n FROM events WHERE coalesce(value > 10 AND event_type = 'view', false) GROUP BY user_id")
+def step_run(spark, d):
+    """Two steps run by the driver: a filter, and a count of what it left."""
+    first = G.Step("rows", lambda s, c: t(s, d, "events").where(G.condition("value > 10 AND event_type = 'view'")), "count")
+    second = G.Step("count", lambda s, c: c.last.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), condition=lambda s, c: c.last is not None)
+    return G.execute(spark, [first, second], {}).last
+
+
+# --- jobs ----------------------------------------------------------------------------
+
+
+def jobs(spark, d) -> DataFrame:
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    return t(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at"), status.alias("status"))
+
+
+_JOBS = "(SELECT event_id AS job_id, ts AS created_at, CASE event_type WHEN 'signup' THEN 'queued' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status FROM events)"
+
+
+@query(f"SELECT job_id, status, CASE WHEN status = 'queued' THEN row_number() OVER (PARTITION BY status ORDER BY created_at, job_id) ELSE 0 END AS position FROM {_JOBS}")
+def job_queue_position(spark, d):
+    return W.queue_positions(jobs(spark, d), "created_at", "status").select("job_id", "status", "position")
+
+
+@query(f"SELECT job_id, status FROM {_JOBS} WHERE created_at > (SELECT max(ts) FROM events) - INTERVAL 24 HOURS ORDER BY created_at DESC, job_id DESC LIMIT 100")
+def job_retention(spark, d):
+    rows = jobs(spark, d)
+    now = rows.select(F.max("created_at")).scalar()
+    return W.retained(rows, "created_at", now).select("job_id", "status")
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS status, min(event_id) AS created, max(event_id) AS changed FROM events GROUP BY user_id")
+def job_states(spark, d):
+    return store.job_state(t(spark, d, "events"), "user_id", "event_id", F.col("event_type"))
+
+
+@query("SELECT event_id, event_type, ts FROM events ORDER BY ts DESC LIMIT 20")
+def execution_log(spark, d):
+    return store.recent_log(t(spark, d, "events").select("event_id", "event_type", "ts"), "ts")
+
+
+# --- selectors and streams -----------------------------------------------------------
+
+
+@query("""SELECT n_regionkey, 'div#r' || n_regionkey || ' > ul li' AS container, 3 AS depth FROM (SELECT DISTINCT n_regionkey FROM nation)""")
+def selector_prefix(spark, d):
+    selector = F.concat(F.lit("div#r"), F.col("n_regionkey").cast("string"), F.lit(" > ul li:nth-of-type("), F.col("n_nationkey").cast("string"), F.lit(") > a.x"), F.col("n_nationkey").cast("string"))
+    return S.common_prefix(t(spark, d, "nation").select("n_regionkey", selector.alias("selector")), ["n_regionkey"], "selector")
+
+
+@query("""SELECT 'r' || n_regionkey AS array, 'div li' AS container, 'name' AS field, 'a' AS sub_selector FROM (SELECT DISTINCT n_regionkey FROM nation)""")
+def list_patterns(spark, d):
+    name = F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit(".name"))
+    selector = F.concat(F.lit("div li:nth-child("), F.col("n_nationkey").cast("string"), F.lit(") a"))
+    return S.list_patterns(t(spark, d, "nation").select(name.alias("output_field"), selector.alias("selector")))
+
+
+@query("""SELECT 1 AS depth, 'HIGH' AS confidence, 'li.item-' || n_nationkey AS segment, 1::BIGINT AS n FROM nation""")
+def annotation_clusters(spark, d):
+    path = F.concat(F.lit("ul > li.item-"), F.col("n_nationkey").cast("string"), F.lit(" > a"))
+    return S.clusters(t(spark, d, "nation").select(path.alias("dom_path")))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def streaming_seen_signatures(spark, d):
+    """A stream of files run to its end; each signature once."""
+    schema = t(spark, d, "events").schema
+    # the folder has one file of each table
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    once = stream.select("user_id", "event_type").dropDuplicates()
+    return feeds.drained(once, store.scratch(spark, "seen"), store.scratch(spark, "seen-state"))

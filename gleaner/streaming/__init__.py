@@ -1 +1 @@
-"""Records from captured web pages, and how good they are, on Spark."""
+"""Structured Streaming forms of the polled operators."""
