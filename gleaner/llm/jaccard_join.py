@@ -12,7 +12,8 @@ one corpus of n coincide with probability 2**-64 a pair). Two documents link whe
   n - ceil(percent * n / 100) + 1, so only these are listed. Light sets near enough
   to the boundary to link with a heavy one are listed too.
 * The boundary is the largest size for which listing subsets costs no more than
-  scanning lists of the corpus' mean length.
+  scanning lists, whose expected length is a parameter: one measured on the corpus would
+  grow with its copies, and with it the subsets of every small set.
 * A list isn't expanded into its pairs. Each of its sets is compared with the list's
   leader (the set that comes to the shared member first); then components are formed,
   and only sets of different components within one list are compared, those outside of
@@ -42,6 +43,8 @@ from gleaner.llm.graph import components
 SUBSET = U64(0xD6E8FEB86659FD93)
 #: No set above this size is light, whatever the costs.
 LARGEST_LIGHT = 24
+#: Other sets expected in the list of one of a set's rarest members.
+SCAN = 4.0
 
 
 def least_shared(n: int, percent: int) -> int:
@@ -55,12 +58,13 @@ def subset_sizes(n: int, percent: int) -> list[int]:
     return sorted({c for t in range(n, largest + 1) if (c := least_shared(t, percent)) <= n})
 
 
-def boundary(mean_list: float, percent: int) -> int:
-    """The largest size whose subsets are no more than what its lists are expected to hold."""
+def boundary(scan: float, percent: int) -> int:
+    """The largest size whose subsets cost no more than its lists: a row for each subset,
+    against a row and `scan` sets met for each listed member."""
     best = 0
     for n in range(1, LARGEST_LIGHT + 1):
         light = sum(comb(n, c) for c in subset_sizes(n, percent))
-        heavy = (n - least_shared(n, percent) + 1) * (1 + mean_list)
+        heavy = (n - least_shared(n, percent) + 1) * (1 + scan)
         if light > heavy:
             break
         best = n
@@ -100,16 +104,6 @@ def bucket_counts(docs: DataFrame, k: int, buckets: int) -> np.ndarray:
     return out.reshape(-1)
 
 
-def mean_list_length(counts: np.ndarray) -> float:
-    """Length of the list in which a random shingle stands, with what chance collisions
-    of buckets add taken off."""
-    total = float(counts.sum())
-    if not total:
-        return 1.0
-    c = counts.astype(np.float64)
-    return 1 + max(0.0, float((c * (c - 1)).sum()) / total - total / len(c))
-
-
 def shingle_sets(chunk: pa.RecordBatch, k: int) -> list[np.ndarray]:
     got, bounds = shingles(*words(*text_bytes(chunk.column("text")))[:2], k)
     return [np.unique(got[bounds[i] : bounds[i + 1]]) for i in range(len(bounds) - 1)]
@@ -120,12 +114,12 @@ def set_id(members: np.ndarray) -> int:
         return int(mix(np.array([mix(members).sum(dtype=U64) ^ U64(len(members))], U64)).view(np.int64)[0])
 
 
-def classes(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[DataFrame, int]:
+def classes(docs: DataFrame, k: int, percent: int, buckets: int, scan: float = SCAN) -> DataFrame:
     """(doc_id, set_id, n, heavy, light) a row: the listed members in order and the
     subset keys, given for the first copy of a set in each task only."""
     spark = docs.sparkSession
     counts = bucket_counts(docs, k, buckets)
-    light_to = boundary(mean_list_length(counts), percent)
+    light_to = boundary(scan, percent)
     shared = spark.sparkContext.broadcast(np.minimum(counts, 2**32 - 1).astype(np.uint32))
     heavy_from = least_shared(light_to + 1, percent)
 
@@ -160,7 +154,7 @@ def classes(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[DataFr
             yield pa.record_batch(columns, ["doc_id", "set_id", "n", "heavy", "light"])
 
     schema = "doc_id long, set_id long, n long, heavy array<long>, light array<long>"
-    return cut(docs.mapInArrow(run, schema), "sets"), light_to
+    return cut(docs.mapInArrow(run, schema), "sets")
 
 
 def entries(sets: DataFrame) -> DataFrame:
@@ -202,7 +196,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) a row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets, _ = classes(docs, k, percent, buckets)
+    sets = classes(docs, k, percent, buckets)
     every = entries(sets)
     first = every.groupBy("key").agg(
         F.min(F.struct("at", "set_id", "n")).alias("lead"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")
