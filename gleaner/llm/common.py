@@ -205,3 +205,26 @@ def count_within(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """How many flags stand in each range of bounds."""
     total = np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
     return total[bounds[1:]] - total[bounds[:-1]]
+
+
+SLOTS = 1 << 24
+
+
+def slot(column: str) -> Column:
+    """The place of a value in a bitmap of SLOTS bits."""
+    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+
+
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """The slots of a column's values as bits: SLOTS / 8 bytes whatever the rows. It lets
+    a map pass over most rows that a join would drop; the join still decides."""
+    word = df.select(F.floor(slot(column) / 64).alias("w"), (slot(column) % 64).cast("int").alias("b"))
+    word = word.select("w", F.expr("shiftleft(1L, b)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+    rows = word.toArrow()  # SLOTS / 64 rows at most
+    out = np.zeros(SLOTS // 64, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
+    return out
+
+
+def in_bitmap(bits: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (bits[slots >> 6] >> (slots & 63)) & 1 == 1

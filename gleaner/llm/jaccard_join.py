@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, chunks, cut, list_array, mix, shingles, signed, text_bytes, words
+from gleaner.llm.common import U64, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, slot, text_bytes, words
 from gleaner.llm.graph import components
 
 SUBSET = U64(0xD6E8FEB86659FD93)
@@ -177,14 +177,17 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     chosen = cut(sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("want")), "wanted")
-    whole = docs.join(chosen.select("want").distinct(), docs.doc_id.eqNullSafe(F.col("want")), "left_semi")
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "want"))
 
-    def members(chunk):
-        found = shingle_sets(chunk, k)
-        ids = [set_id(x) if len(x) else None for x in found]
-        return pa.record_batch([pa.array(ids, pa.int64()), list_array(signed(np.concatenate(found)), np.cumsum([0, *map(len, found)]))], ["set_id", "members"])
-
-    made = arrow_map(whole, members, "set_id long, members array<long>").join(chosen.select("set_id"), "set_id", "left_semi")
+    def run(batches):
+        some = (x.filter(pa.array(in_bitmap(bits.value, x.column("slot").to_numpy()))) for x in batches)
+        for chunk in chunks(some):
+            found = shingle_sets(chunk, k)
+            ids = [set_id(x) if len(x) else None for x in found]
+            yield pa.record_batch([pa.array(ids, pa.int64()), list_array(signed(np.concatenate(found)), np.cumsum([0, *map(len, found)]))], ["set_id", "members"])
+
+    made = docs.select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(run, "set_id long, members array<long>")
+    made = made.join(chosen.select("set_id"), "set_id", "left_semi")
     made = cut(made.groupBy("set_id").agg(F.first("members").alias("members")), "members")
     one = made.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     two = made.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
