@@ -158,11 +158,21 @@ def classes(docs: DataFrame, k: int, percent: int, buckets: int, scan: float = S
 
 
 def entries(sets: DataFrame) -> DataFrame:
-    """A row for each listed member or subset: (key, set_id, n, at)."""
+    """A row for each listed member or subset: (key, set_id, p), where p holds the place
+    in its upper and the set's size in its lower half, so that rows stay narrow."""
     some = sets.where("set_id is not null")
     heavy = some.select("set_id", "n", F.posexplode("heavy").alias("at", "key"))
     light = some.select("set_id", "n", F.lit(0).alias("at"), F.explode("light").alias("key"))
-    return heavy.select("key", "set_id", "n", "at").union(light.select("key", "set_id", "n", "at"))
+    p = F.shiftleft(F.col("at").cast("long"), 32) + F.col("n")
+    return heavy.select("key", "set_id", p.alias("p")).union(light.select("key", "set_id", p.alias("p")))
+
+
+def place(p: str):
+    return F.shiftright(p, 32).cast("int")
+
+
+def size(p: str):
+    return F.col(p).bitwiseAND(F.lit((1 << 32) - 1))
 
 
 def may_link(percent: int):
@@ -201,11 +211,10 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = classes(docs, k, percent, buckets)
     every = entries(sets)
-    first = every.groupBy("key").agg(
-        F.min(F.struct("at", "set_id", "n")).alias("lead"), F.min("set_id").alias("lo"), F.max("set_id").alias("hi")
-    )
-    first = first.where("lo <> hi").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.n").alias("n2"), F.col("lead.at").alias("at2"))
-    shared = cut(every.join(first, "key"), "lists")
+    first = every.groupBy("key").agg(F.min(F.struct("p", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c"))
+    first = first.where("c > 1").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.p").alias("p2"))
+    shared = every.join(first, "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
+    shared = cut(shared, "lists")
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
     near = verified(shared.where((F.col("set_id") != F.col("set2")) & may_link(percent)).select(*pair).distinct(), docs, sets, k, percent)
