@@ -8,11 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import answers as A
 from gleaner.functions import text as X
+from gleaner.operators import candidates as C
 from gleaner.operators import extract as E
 from gleaner.operators import history as W
 from gleaner.operators import pages as P
 from gleaner.operators import quality as Q
+from gleaner.operators import reduce as R
 from gleaner.operators import selectors as S
 from gleaner.operators import steps as G
 from gleaner.sources import store
@@ -584,3 +587,104 @@ def streaming_seen_signatures(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     once = stream.select("user_id", "event_type").dropDuplicates()
     return feeds.drained(once, store.scratch(spark, "seen"), store.scratch(spark, "seen-state"))
+
+
+# --- shortened pages, candidates, answers --------------------------------------------
+
+
+@query(f"""SELECT page_id, {sql_text("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title, false AS has_nav, false AS has_script, false AS has_comment,
+    length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) > 0 AS has_article, len(string_split(html, '<p>')) - 1 AS n_p FROM pages""")
+def page_clean(spark, d):
+    """Cleaned pages: noise gone, the article's paragraphs still there."""
+    page = t(spark, d, "pages").select("page_id", R.snapshot("html").alias("s"))
+    html = F.col("s.html")
+    return page.select(
+        "page_id", F.col("s.title").alias("title"), html.contains("<nav").alias("has_nav"), html.contains("<script").alias("has_script"), html.contains("<!--").alias("has_comment"),
+        html.contains("<article>").alias("has_article"), (F.size(F.split(html, "<p>")) - 1).cast("long").alias("n_p"),
+    )
+
+
+@query()
+def page_tiers(spark, d):
+    """Which form of a page fits a budget; held against its definition in the tests."""
+    tier = R.tiered(["article h1"], 3000)
+    return t(spark, d, "pages").select("page_id", tier.alias("x")).select("page_id", F.col("x.mode").alias("mode"), F.length("x.html").alias("size"))
+
+
+@query(f"""SELECT page_id, 'link' AS field, 'url-like' AS kind, (ordinal + 1)::INT AS place, 3 AS strength, left({sql_text('raw')}, 40) AS text FROM ({_LINKS}) WHERE ordinal < 5""")
+def leaf_candidates(spark, d):
+    found = C.field_candidates(t(spark, d, "pages"), ["page_id"], ["link"], most=100_000)
+    return found.drop("ordinal", "selector")
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, ((l_returnflag = 'A')::INT, (l_linestatus = 'O')::INT, (l_quantity::INT), -l_partkey, l_suppkey * 1000, -l_linenumber)) AS popover_id FROM lineitem
+    WHERE l_tax > 0.01 AND l_suppkey >= 5 AND l_suppkey * 2000 <= 180000 AND l_partkey <= 600 AND (l_discount < 0.09 OR l_returnflag = 'A') GROUP BY l_orderkey""")
+def popover_pick(spark, d):
+    """Line items stand for the popovers of an order's hover."""
+    rows = t(spark, d, "lineitem").select(
+        "l_orderkey", F.col("l_linenumber").alias("popover_id"), (F.col("l_tax") > 0.01).alias("visible"), F.lit(100).alias("height"), (F.col("l_suppkey") * 10).alias("width"),
+        F.col("l_partkey").alias("distance"), (F.col("l_discount") >= 0.09).alias("baseline"), F.when(F.col("l_returnflag") == "A", "added").otherwise("scan").alias("source"),
+        (F.col("l_linestatus") == "O").alias("absolute"), F.col("l_quantity").cast("int").alias("z_index"), F.lit(180_000).alias("viewport_area"),
+    )
+    return C.popovers(rows, ["l_orderkey"])
+
+
+@query("""SELECT o_orderkey, count(l_orderkey) AS anchors, count(*) FILTER (WHERE l_returnflag = 'A') AS captured, count(l_orderkey) - count(*) FILTER (WHERE l_returnflag = 'A') AS failed,
+    coalesce(string_agg(l_linenumber::VARCHAR, ',' ORDER BY l_linenumber, l_returnflag = 'A', l_shipdate), '') AS indexes FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey""")
+def hover_nested(spark, d):
+    cards = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_linenumber").alias("anchor_index"), (F.col("l_returnflag") == "A").alias("hovered"), F.col("l_shipdate").cast("string").alias("html"))
+    found = C.hovered(t(spark, d, "orders").select("o_orderkey"), cards, ["o_orderkey"])
+    return found.select("o_orderkey", "anchors", "captured", "failed", F.coalesce(F.array_join(F.transform("hovercards", lambda c: c["anchor_index"].cast("string")), ","), F.lit("")).alias("indexes"))
+
+
+@query("""SELECT c_custkey, c_name AS name, c_nationkey::BIGINT AS n, 'a // b' AS note, c_mktsegment AS segment FROM customer""")
+def json_repair(spark, d):
+    """Comments, bare keys, single quotes and stray commas of nearly valid JSON."""
+    even = F.concat(F.lit("{name: '"), "c_name", F.lit("', // who\n \"n\": "), "c_nationkey", F.lit(",, \"note\": \"a // b\"\n \"segment\": \""), "c_mktsegment", F.lit("\",}"))
+    odd = F.concat(F.lit('/* ok */ {"name": "'), "c_name", F.lit('", "n": '), "c_nationkey", F.lit(', "note": "a // b", "segment": "'), "c_mktsegment", F.lit('"}'))
+    text = t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, even).otherwise(odd).alias("t"))
+    value = F.from_json(A.lenient_json("t"), "name string, n bigint, note string, segment string")
+    return text.select("c_custkey", value.alias("v")).select("c_custkey", "v.*")
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'stage' WHEN 2 THEN 'other' ELSE 'stage' END AS kind, CASE WHEN c_custkey % 4 = 2 THEN NULL ELSE 'http://x/' || c_custkey END AS link FROM customer""")
+def result_stages(spark, d):
+    """Step results against the final one, and the first link in them."""
+    k = F.col("c_custkey").cast("string")
+    final = F.concat(F.lit('{"a": [{"href": "http://x/'), k, F.lit('", "n": 1}], "b": 2}'))
+    step = F.when(F.col("c_custkey") % 4 == 0, final).when(F.col("c_custkey") % 4 == 1, F.concat(F.lit('{"a": [{"href": "http://x/'), k, F.lit('"}]}'))).when(F.col("c_custkey") % 4 == 2, F.lit('{"a": []}')).otherwise(F.concat(F.lit('{"a": [{"n": 1, "href": "http://x/'), k, F.lit('"}], "b": 2}')))
+    rows = t(spark, d, "customer").select("c_custkey", final.alias("final"), step.alias("step"))
+    out = A.elided("step", "final")
+    kind = F.when(out.contains("the final result]") & ~out.contains("stage"), "same").when(out.contains("earlier stage"), "stage").otherwise("other")
+    return rows.select("c_custkey", kind.alias("kind"), A.first_link("step").alias("link"))
+
+
+@query("""SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'window.location.href =' WHEN 1 THEN 'location.replace(' WHEN 2 THEN 'window.location =x' END AS found FROM part""")
+def forbidden_navigation(spark, d):
+    script = F.when(F.col("p_size") % 4 == 0, "a; window.location.href = x").when(F.col("p_size") % 4 == 1, "location.replace(y)").when(F.col("p_size") % 4 == 2, "window.location =x").otherwise("const location = 1")
+    return t(spark, d, "part").select("p_partkey", script.alias("s")).select("p_partkey", A.navigation("s").alias("found"))
+
+
+@query("""WITH p AS (SELECT n_regionkey, n_nationkey AS ordinal, CASE n_nationkey % 3 WHEN 0 THEN 'NATION_' || n_nationkey WHEN 1 THEN 'NOWHERE' END AS step_id, 'NATION_' || n_regionkey AS fallback FROM nation),
+r AS (SELECT *, CASE WHEN step_id IS NULL OR step_id = 'NOWHERE' THEN fallback ELSE step_id END AS target FROM p)
+SELECT n_regionkey, ordinal, target, coalesce(step_id, 'NOWHERE') <> 'NOWHERE' AND step_id <> fallback AS redirected,
+    CASE WHEN row_number() OVER (PARTITION BY n_regionkey, target ORDER BY ordinal) > 1 THEN 'DUPLICATE_CLAIM' WHEN step_id = 'NOWHERE' THEN 'UNKNOWN_STEP' END AS problem FROM r""")
+def patch_targets(spark, d):
+    n = t(spark, d, "nation")
+    patches = n.select("n_regionkey", F.col("n_nationkey").alias("ordinal"), F.when(F.col("n_nationkey") % 3 == 0, F.col("n_name")).when(F.col("n_nationkey") % 3 == 1, F.lit("NOWHERE")).alias("step_id"), F.concat(F.lit("NATION_"), F.col("n_regionkey").cast("string")).alias("fallback"))
+    found = A.resolved_patches(patches, n.select("n_regionkey", F.col("n_name").alias("id")), ["n_regionkey"], "fallback")
+    return found.select("n_regionkey", "ordinal", "target", "redirected", "problem")
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN 'best' ELSE 'own' END AS script FROM nation")
+def restored_steps(spark, d):
+    n = t(spark, d, "nation").select("n_nationkey", F.lit("own").alias("script"))
+    best = t(spark, d, "nation").where("n_nationkey % 2 = 0").select("n_nationkey", F.lit("best").alias("script")).union(spark.createDataFrame([(999, "gone")], "n_nationkey int, script string"))
+    return A.restored(n, best, ["n_nationkey"], ["script"])
+
+
+@query("SELECT n_nationkey, 'iframe#f' || n_nationkey || ' iframe[name=\"x\"]' AS frames, 'p.a' AS inner FROM nation")
+def frame_selectors(spark, d):
+    selector = F.concat(F.lit("iframe#f"), F.col("n_nationkey").cast("string"), F.lit('::iframe[name="x"]::p.a'))
+    rows = t(spark, d, "nation").select("n_nationkey", selector.alias("s")).select("n_nationkey", A.frames("s").alias("f"))
+    return rows.select("n_nationkey", F.array_join("f.frames", " ").alias("frames"), F.col("f.inner").alias("inner"))

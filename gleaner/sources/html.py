@@ -44,13 +44,19 @@ class Node:
         return [c for c in self.children if not isinstance(c, str)]
 
     def inner(self) -> str:
-        return "".join(c if isinstance(c, str) else c.outer() for c in self.children)
+        raw = self.tag in ("script", "style")
+        return "".join((c if raw else _escape(c)) if isinstance(c, str) else c.outer() for c in self.children)
 
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{v or ""}"' for k, v in self.attrs.items())
+        attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in self.attrs.items())
         return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
 
 
+def _escape(text: str, attribute: bool = False) -> str:
+    text = text.replace("&", "&amp;").replace("\u00a0", "&nbsp;")
+    return text.replace('"', "&quot;") if attribute else text.replace("<", "&lt;").replace(">", "&gt;")
+
+
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
