@@ -89,11 +89,47 @@ def value(e: H.Node, attr: str | None) -> str | None:
     return e.text().strip("\t\n\x0b\x0c\r \xa0                　﻿")[:ELEMENT_TEXT]
 
 
+@dataclass(frozen=True)
+class Elements:
+    """Every match of a selector as a flat row; an invalid selector matches nothing."""
+
+    selector: str
+
+    def type(self) -> str:
+        texts = ",".join(f"{k}:string" for k in ("tag", "id", "class", "text", "value", "href", "src"))
+        return f"array<struct<ordinal:int,{texts},checked:boolean,disabled:boolean>>"
+
+    def read(self, nodes: list[H.Node]) -> list[dict]:
+        try:
+            found = H.select(nodes, self.selector)
+        except H.Invalid:
+            found = []
+        own = lambda e: {k: e.attrs.get(k) for k in ("id", "class", "value", "href", "src")} | {k: k in e.attrs for k in ("checked", "disabled")}
+        return [{"ordinal": i, "tag": e.tag, "text": value(e, None)} | own(e) for i, e in enumerate(found)]
+
+
+@dataclass(frozen=True)
+class Clicks:
+    """What a click in every container would have done: clicked, or the containers that
+    have no such element."""
+
+    container: str
+    target: str
+
+    def type(self) -> str:
+        return "struct<clicked:int,missing:array<int>>"
+
+    def read(self, nodes: list[H.Node]) -> dict:
+        boxes = H.select(nodes, self.container)
+        missing = [i for i, box in enumerate(boxes) if self.target and not H.select(nodes, self.target, within=box, first=True)]
+        return {"clicked": len(boxes) - len(missing), "missing": missing}
+
+
 @dataclass(frozen=True)
 class Job:
     """What to read from a page, by name."""
 
-    parts: dict[str, Records | Read] = field(default_factory=dict)
+    parts: dict[str, Records | Read | Elements | Clicks] = field(default_factory=dict)
 
     def type(self) -> str:
         return "struct<" + ",".join(f"{k}:{v.type()}" for k, v in self.parts.items()) + ">"
@@ -129,6 +165,16 @@ def records(pages: DataFrame, job: Job, part: str, keep: list[str], partitions:
     return some.select(*keep, extracted(job).alias("_x")).select(*keep, F.inline(F.col(f"_x.{part}")))
 
 
+def ranged(rows: DataFrame, index: int | None = None, span: tuple[int, int] | None = None, most: int | None = None) -> DataFrame:
+    """Records of one container, of containers [start, end), or of the first few; one of
+    the three has to be given."""
+    given = [x is not None for x in (index, span, most)]
+    if sum(given) != 1:
+        raise ValueError("give one of index, span and most")
+    at = F.col("ordinal")
+    return rows.where(at == index if index is not None else (at >= span[0]) & (at < span[1]) if span is not None else at < most)
+
+
 def values(pages: DataFrame, job: Job, keep: list[str]) -> DataFrame:
     """The single values of a job, a row for each page."""
     some = pages.select(*keep, "html").select(*keep, extracted(job).alias("_x"))

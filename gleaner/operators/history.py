@@ -116,3 +116,23 @@ def retained(jobs: DataFrame, created: str, now: Column, hours: int = 24, last:
     """Jobs younger than `hours`, the last `last` of them (a top-k, taken in each task first)."""
     fresh = jobs.where(F.col(created) > now - F.make_interval(hours=F.lit(hours)))
     return fresh.orderBy(F.desc(created), F.desc("job_id")).limit(last)
+
+
+def failing_steps(events: DataFrame, run: list[str], step: str, preview: str, failed: Column) -> DataFrame:
+    """Failed steps of a run: how often each ran, whether it always showed the same, and
+    the likely cause."""
+    out = events.groupBy(*run, step).agg(F.count(F.lit(1)).alias("iterations"), F.count_distinct(F.coalesce(preview, F.lit(""))).alias("previews"), F.bool_or(failed).alias("failed"))
+    cause = F.when(F.col("iterations") == 1, "SCRIPT").when(F.col("previews") == 1, "NEVER_READY").otherwise("TOO_FEW_ITERATIONS")
+    return out.where("failed").select(*run, step, "iterations", (F.col("previews") == 1).alias("all_same"), cause.alias("cause"))
+
+
+def scroll_root(elements: DataFrame, key: list[str]) -> DataFrame:
+    """The element that scrolls a page: overflowing, at least half as high again as its
+    window, the highest; the first of equal ones."""
+    fits = F.col("overflows") & (F.col("scroll_height") > 1.5 * F.col("client_height"))
+    return elements.where(fits).groupBy(*key).agg(F.max_by("ordinal", F.struct("scroll_height", -F.col("ordinal"))).alias("ordinal"))
+
+
+def new_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Responses met for the first time."""
+    return rows.groupBy(key).agg(F.min(order).alias(order))

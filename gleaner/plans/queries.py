@@ -688,3 +688,52 @@ def frame_selectors(spark, d):
     selector = F.concat(F.lit("iframe#f"), F.col("n_nationkey").cast("string"), F.lit('::iframe[name="x"]::p.a'))
     rows = t(spark, d, "nation").select("n_nationkey", selector.alias("s")).select("n_nationkey", A.frames("s").alias("f"))
     return rows.select("n_nationkey", F.array_join("f.frames", " ").alias("frames"), F.col("f.inner").alias("inner"))
+
+
+@query(f"SELECT page_id, ordinal::INT AS ordinal, 'a' AS tag, {sql_text('raw')} AS text, href, false AS checked FROM ({_LINKS})")
+def element_list(spark, d):
+    found = E.records(t(spark, d, "pages"), E.Job({"e": E.Elements("nav li a")}), "e", ["page_id"])
+    return found.select("page_id", "ordinal", "tag", "text", "href", "checked")
+
+
+@query(f"SELECT page_id, ordinal::INT AS ordinal, href FROM ({_LINKS}) WHERE ordinal BETWEEN 1 AND 2")
+def container_range(spark, d):
+    rows = E.records(t(spark, d, "pages"), E.Job({"nav": NAV}), "nav", ["page_id"])
+    return E.ranged(rows, span=(1, 3)).select("page_id", "ordinal", "href")
+
+
+@query(f"SELECT page_id, count(*) FILTER (WHERE false) AS clicked, count(*) AS missing FROM ({_LINKS}) GROUP BY page_id")
+def click_report(spark, d):
+    found = E.values(t(spark, d, "pages"), E.Job({"c": E.Clicks("nav li", "button")}), ["page_id"])
+    return found.select("page_id", F.col("c.clicked").cast("long").alias("clicked"), F.size("c.missing").cast("long").alias("missing"))
+
+
+@query("""SELECT user_id, event_type, count(*) AS iterations, count(DISTINCT event_id % 2) = 1 AS all_same,
+    CASE WHEN count(*) = 1 THEN 'SCRIPT' WHEN count(DISTINCT event_id % 2) = 1 THEN 'NEVER_READY' ELSE 'TOO_FEW_ITERATIONS' END AS cause
+    FROM events WHERE user_id < 40 AND event_id % 9 = 0 GROUP BY 1, 2 HAVING bool_or(value > 10)""")
+def failing_steps(spark, d):
+    rows = t(spark, d, "events").where("user_id < 40 and event_id % 9 = 0").withColumn("preview", (F.col("event_id") % 2).cast("string"))
+    return W.failing_steps(rows, ["user_id"], "event_type", "preview", F.col("value") > 10)
+
+
+@query("""SELECT l_orderkey, arg_max(l_linenumber, (l_quantity, -l_linenumber)) AS ordinal FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 15 GROUP BY l_orderkey""")
+def scroll_root(spark, d):
+    rows = t(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("ordinal"), (F.col("l_returnflag") == "A").alias("overflows"), F.col("l_quantity").alias("scroll_height"), F.lit(10).alias("client_height"))
+    return W.scroll_root(rows, ["l_orderkey"])
+
+
+@query(f"SELECT count(*) FILTER (WHERE status = 'queued') AS length, false AS running FROM {_JOBS}")
+def queue_status(spark, d):
+    return store.queue_status(jobs(spark, d))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'r0-' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 3) WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'r' || n_regionkey ELSE 'r' || n_regionkey || '-' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) END AS unique_slug FROM nation")
+def unique_slugs(spark, d):
+    rows = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("slug"))
+    taken = spark.createDataFrame([("r0",), ("r0-3",), ("other",)], "name string")
+    return store.unique_slugs(rows, "slug", taken, "n_nationkey").select("n_nationkey", "unique_slug")
+
+
+@query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
+def new_ids(spark, d):
+    return W.new_ids(t(spark, d, "events"), "event_type", "event_id")

@@ -60,3 +60,22 @@ def resolved(rows: DataFrame, target: str, details: DataFrame, url: str, values:
 def job_state(events: DataFrame, key: str, order: str, state: Column) -> DataFrame:
     """A job's row from its events: the last state, and when it first and last changed."""
     return events.withColumn("_s", state).groupBy(key).agg(F.max_by("_s", order).alias("status"), F.min(order).alias("created"), F.max(order).alias("changed"))
+
+
+def unique_slugs(rows: DataFrame, slug: str, taken: DataFrame, key: str) -> DataFrame:
+    """Slugs with -1, -2 ... where an older row or a known name has the plain one. The
+    numbers that are free are found by joins, whatever the number of rows of one slug."""
+    from pyspark.sql import Window
+
+    known = taken.select(F.col("name").alias("_name")).distinct()
+    suffix = F.regexp_extract("_name", r"-(\d+)$", 1)
+    base = F.when(suffix != "", F.regexp_replace("_name", r"-\d+$", "")).otherwise(F.col("_name"))
+    used = known.select(base.alias(slug), F.when(suffix != "", suffix.cast("long")).otherwise(0).alias("_u"))
+    top = used.groupBy(slug).agg(F.max("_u").alias("_top"))
+    w = Window.partitionBy(slug).orderBy(key)
+    out = rows.join(top, slug, "left").withColumn("_n", F.row_number().over(w) + F.coalesce("_top", F.lit(-1)))
+    return out.withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string")))).drop("_n", "_top")
+
+
+def queue_status(jobs: DataFrame, status: str = "status") -> DataFrame:
+    return jobs.agg(F.count_if(F.col(status) == "queued").alias("length"), (F.count_if(F.col(status) == "running") > 0).alias("running"))
