@@ -18,6 +18,19 @@ _BASE = 0x5851F42D4C957F2D  # odd, so it has an inverse modulo 2**64
 _INV = pow(_BASE, -1, 1 << 64)
 
 
+#: Bytes of text that a task works on at a time, and of an Arrow batch on its way there.
+CHUNK, BATCH = 1 << 18, 4 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by rows and by 64 MB as Spark comes; texts need less, or
+    buffers on both sides of the pipe take much of an executor. A lower setting stays."""
+    now = spark.sql(f"SET {_BATCH_CONF}").first()["value"].rstrip("b")
+    if not now.isdigit() or int(now) > BATCH:
+        spark.conf.set(_BATCH_CONF, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder shared by driver and executors: spark.checkpoint.dir, or the
     checkpoint directory already set on the context. A local session that has
@@ -44,7 +57,7 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str = "text") -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: str = "text") -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose texts hold about `limit` bytes, one row at least,
     so that a task's memory doesn't depend on the length of an Arrow batch."""
     for batch in batches:
@@ -59,8 +72,9 @@ def chunks(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20, column: str
             start = end
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = 1 << 20) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, limit: int = CHUNK) -> DataFrame:
     """mapInArrow over chunks; fn makes a batch from a batch."""
+    small_batches(df.sparkSession)
 
     def run(batches):
         for chunk in chunks(batches, limit):

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, slot, text_bytes, words
+from gleaner.llm.common import U64, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, slot, small_batches, text_bytes, words
 from gleaner.llm.graph import components
 
 SUBSET = U64(0xD6E8FEB86659FD93)
@@ -208,6 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent
 
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
     """(doc_id, n_shingles, set_id, component_id) a row of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = classes(docs, k, percent, buckets)
     every = entries(sets)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import chunks, count_within, mix, shingles, span_hashes, text_bytes, words
+from gleaner.llm.common import chunks, count_within, mix, shingles, small_batches, span_hashes, text_bytes, words
 from gleaner.llm.common import _SPACE as SPACE
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_marks")
@@ -105,6 +105,7 @@ def failed_bits() -> Column:
 
 def ledger(docs: DataFrame) -> DataFrame:
     """docs' doc_id with the measurements and `failed`, the bits of failed rules."""
+    small_batches(docs.sparkSession)
     made = docs.select("doc_id", measures("text").alias("m"))
     return made.select("doc_id", "m.*", failed_bits().alias("failed"))
 
@@ -131,6 +132,7 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """docs without the rows that the policy rejects, with docs' columns."""
+    small_batches(docs.sparkSession)
     row = F.struct(*[docs[c].alias(c) for c in docs.columns])
     judged = docs.select(row.alias("row"), measures("text").alias("m"))
     return judged.where(verdict(failed_bits(), version)).select("row.*")

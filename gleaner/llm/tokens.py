@@ -17,7 +17,7 @@ from gleaner.llm.common import text_bytes, words
 
 _loaded: dict[str, object] = {}
 #: Runs, and parts between blanks, that a worker remembers; those seen later are encoded again.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def file_of(name: str) -> str:
@@ -98,7 +98,7 @@ class WordTokens:
             sizes = np.array([len(x) // 4 for x in fresh], np.int64)
             begin[lost], length[lost] = len(pool) + np.cumsum(sizes) - sizes, sizes
             pool = np.concatenate([pool, np.frombuffer(b"".join(fresh), "<u4")])
-            if len(self.keys) < 2 * CACHE:
+            if len(self.keys) < 4 * CACHE:
                 where = at[lost]
                 self.pool, self.keys = pool, np.insert(self.keys, where, own[lost])
                 self.begin, self.length = np.insert(self.begin, where, begin[lost]), np.insert(self.length, where, length[lost])
