@@ -182,7 +182,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFr
     """(doc_id, key, item_id, at, edits, end) for each window found: `at` in the item,
     `end` in the normalised text."""
     wins = cut(windows(benchmark), "windows")
-    found = candidates(docs, wins, block).join(wins, "win")
+    # written first: two Python stages in one task would keep twice the workers
+    found = cut(candidates(docs, wins, block), "candidates").join(wins, "win")
     place = F.arrow_udf(aligned, "struct<edits:bigint,end:bigint>")("pattern", "region")
     found = found.withColumn("_a", place)
     k = F.least(F.floor(F.lit(RATE) * F.length("pattern")), F.floor((F.length("pattern") - Q) / Q))
