@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, arrow_map, cut, mix
 
-Q, WINDOW, RATE, LEAST, BLOCK = 8, 96, 0.1, 24, 20_000
+Q, WINDOW, RATE, LEAST, BLOCK = 8, 64, 0.1, 24, 20_000
+#: Characters of a text that are looked at together.
+PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -133,14 +135,17 @@ def candidates(docs: DataFrame, wins: DataFrame, block: int = BLOCK) -> DataFram
         shared = spark.sparkContext.broadcast(Index([r["win"] for r in rows], [r["pattern"] for r in rows]))
 
         def run(chunk: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            texts = [normal(x) for x in chunk.column("text").to_pylist()]
-            got = shared.value.regions(texts)
+            whole = [normal(x) for x in chunk.column("text").to_pylist()]
+            # a very long text goes in pieces that overlap by more than a region
+            cuts = [(d, at) for d, x in enumerate(whole) for at in range(0, max(1, len(x)), PIECE)]
+            found = shared.value.regions([whole[d][at : at + PIECE + 4 * WINDOW] for d, at in cuts])
+            got = [(cuts[i][0], w, cuts[i][1] + s, cuts[i][1] + e) for i, w, s, e in found]
             ids, keys = chunk.column("doc_id").to_pylist(), chunk.column("key").to_pylist()
             return pa.record_batch(
                 [
                     pa.array([ids[d] for d, *_ in got], pa.int64()), pa.array([keys[d] for d, *_ in got], pa.int64()),
                     pa.array([int(shared.value.wins[w]) for _, w, *_ in got], pa.int64()), pa.array([s for _, _, s, _ in got], pa.int64()),
-                    pa.array([texts[d][s:e] for d, _, s, e in got], pa.string()),
+                    pa.array([whole[d][s:e] for d, _, s, e in got], pa.string()),
                 ],
                 ["doc_id", "key", "win", "start", "region"],
             )

@@ -119,11 +119,23 @@ def test_decontamination(spark, make_docs):
     assert decontaminate.contaminated(docs.where("false"), items(spark, bench)).count() == 0
 
 
+def test_decontamination_of_long_texts():
+    """Passages at any place of a text that is looked at in pieces."""
+    bench = prose(700, 30)
+    far = prose(701, 900)
+    for at in (0, 990, 1000, 1500, 2040):
+        text = far[:at] + " " + bench + " " + far[at:]
+        index = decontaminate.Index([1], [decontaminate.normal(bench)[: decontaminate.WINDOW]])
+        pieces = [(0, i) for i in range(0, len(text), 1000)]
+        found = index.regions([text[i : i + 1000 + 4 * decontaminate.WINDOW] for _, i in pieces])
+        assert any(abs(pieces[n][1] + s - at) < 40 for n, _, s, _ in found)
+
+
 def test_qgram_bound_misses_no_window():
     """Every place within the budget is in a region that passes the filter."""
     r = random.Random(3)
     for trial in range(60):
-        pattern = decontaminate.normal(prose(trial, 40))[:96]
+        pattern = decontaminate.normal(prose(trial, 40))[: decontaminate.WINDOW]
         k = decontaminate.budget(len(pattern))
         x = list(pattern)
         for _ in range(r.randint(0, k)):
