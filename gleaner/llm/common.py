@@ -197,6 +197,18 @@ def ranked(df: DataFrame, key: list[str], order: list[str], salts: int = 64, nam
     )
 
 
+def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """About the n rows that are least by a hash of their keys, at most n. Rows are
+    counted and then passed by a threshold, so that no task sees more than a little over
+    n of them; the rest of the order decides what is over."""
+    total = df.count()
+    h = F.xxhash64(*keys)
+    if total > n:
+        share = min(1.0, 1.2 * n / total + 100 / total)
+        df = df.where(F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 40)), *keys).limit(n)
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, cut, held_out, list_array, mix, text_bytes, words
+from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, words
 
 BITS, DIM, SAMPLE, PASSES, RATE = 17, 8, 8_000, 4, 0.5
 FOLDS, FOLD, CUT = 4, 2, 0.7
@@ -93,7 +93,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndar
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     own = own.where("doc_id is not null and quality in (0, 1)").where(~held_out(F.col("doc_id"), FOLDS, FOLD))
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    own = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:

@@ -24,6 +24,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import bounded_sample
+
 KINDS = ("assign", "access", "hex", "markov")
 #: The contract's patterns, letters of the names in either case.
 ASSIGN = (
@@ -43,7 +45,7 @@ MARK = "[SECRET]"
 def labelled_samples(docs: DataFrame) -> DataFrame:
     """(token, label): names put together from words of a bounded sample of documents
     (0), and random strings in common alphabets made from digests of counters (1)."""
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    some = bounded_sample(docs.select("doc_id", "text"), ["doc_id", "text"], SAMPLE_DOCS)
     some = some.select(F.expr(r"filter(split(text, '[^A-Za-z]+'), w -> length(w) > 1)").alias("w"))
     name = """transform(sequence(1, size(w) - 1), i -> case pmod(i, 8)
         when 0 then w[i] when 1 then concat(w[i - 1], '_', w[i]) when 2 then concat(lower(w[i - 1]), initcap(w[i]))

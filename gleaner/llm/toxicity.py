@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, cut, held_out, list_array, mix, text_bytes, words
+from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, words
 
 BITS, SAMPLE, PASSES = 18, 20_000, 3
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
@@ -77,7 +77,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), FOLDS, FOLD))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    own = cut(own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
+    own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:
