@@ -214,7 +214,8 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     every = entries(sets)
     first = every.groupBy("key").agg(F.min(F.struct("p", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     first = first.where("c > 1").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.p").alias("p2"))
-    shared = every.join(first, "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
+    # written first: a join of two plain exchanges is one whose hot keys Spark can split
+    shared = every.join(cut(first, "leads"), "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
     shared = cut(shared, "lists")
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
@@ -226,7 +227,8 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     main = placed.groupBy("key", "root").count().groupBy("key").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     )
-    mixed = cut(placed.join(main.where("roots > 1").select("key", "main"), "key"), "mixed")
+    main = cut(main.where("roots > 1").select("key", "main"), "mains")
+    mixed = cut(placed.join(main, "key"), "mixed")
     other = mixed.where("root <> main").select("key", F.col("set_id").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     rest = mixed.join(other, "key").where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
     late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, sets, k, percent)
@@ -241,7 +243,7 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     by_set = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
     by_set = by_set.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     tops = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_set = by_set.join(tops, "root").select("set_id", "component_id")
+    by_set = cut(by_set.join(tops, "root").select("set_id", "component_id"), "roots")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
     return out.select("doc_id", "n_shingles", "set_id", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
