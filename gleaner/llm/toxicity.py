@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, words
 
-BITS, SAMPLE, PASSES = 18, 20_000, 3
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 6.0, 1.0
+BITS, SAMPLE, PASSES = 18, 20_000, 4
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 FOLDS, FOLD = 5, 0
 
 _BLANK = np.arange(256, dtype=np.uint8)
