@@ -560,7 +560,7 @@ def execution_log(spark, d):
 # --- selectors and streams -----------------------------------------------------------
 
 
-@query("""SELECT n_regionkey, 'div#r' || n_regionkey || ' > ul li' AS container, 3 AS depth FROM (SELECT DISTINCT n_regionkey FROM nation)""")
+@query("""SELECT n_regionkey, 'div#r' || n_regionkey || ' > ul li' AS container, 3::BIGINT AS depth FROM (SELECT DISTINCT n_regionkey FROM nation)""")
 def selector_prefix(spark, d):
     selector = F.concat(F.lit("div#r"), F.col("n_regionkey").cast("string"), F.lit(" > ul li:nth-of-type("), F.col("n_nationkey").cast("string"), F.lit(") > a.x"), F.col("n_nationkey").cast("string"))
     return S.common_prefix(t(spark, d, "nation").select("n_regionkey", selector.alias("selector")), ["n_regionkey"], "selector")
