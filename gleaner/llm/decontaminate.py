@@ -205,4 +205,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> D
 def kept_documents(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
     """docs without those that hold a benchmark passage, with docs' columns."""
     bad = cut(matches(docs, benchmark, block).select(F.col("key").alias("_bad")).distinct(), "bad")
-    return docs.join(bad, F.xxhash64(docs["text"]) == F.col("_bad"), "left_anti")
+    return docs.join(bad, F.xxhash64(docs["text"]) == bad["_bad"], "left_anti")

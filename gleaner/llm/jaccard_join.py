@@ -254,12 +254,13 @@ def keep_one(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 <<
     doc_id is null are kept unless linked with a row that has one."""
     found = link_components(docs, k, percent, buckets)
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs.doc_id.eqNullSafe(F.col("_drop")), "left_anti")
-    again = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    again = cut(again, "again")
+    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_drop"]), "left_anti")
+    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 and doc_id is not null")
+    again = cut(again.select(F.col("doc_id").alias("_again")), "again")
     if not again.take(1):
         return kept
-    single = kept.join(again, kept.doc_id == F.col("_again"), "left_anti")
-    several = kept.join(again.withColumnRenamed("_again", "doc_id"), "doc_id", "left_semi")
-    ranked = several.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return single.unionByName(ranked.where("_n = 1").drop("_n"))
+    single = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
+    several = kept.join(again, kept["doc_id"] == again["_again"], "left_semi")
+    row = F.struct(*[several[c].alias(c) for c in docs.columns])
+    ranked = several.select(row.alias("row"), F.row_number().over(Window.partitionBy(several["doc_id"]).orderBy(several["text"])).alias("n"))
+    return single.unionByName(ranked.where("n = 1").select("row.*"))

@@ -83,6 +83,8 @@ def test_keep_one(make_docs):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 4), (False, 5), (False, 6), (True, 0)]
     assert jaccard_join.keep_one(docs.where("false")).count() == 0
+    clashing = docs.selectExpr("doc_id", "text", "lang", "n as _drop", "n as _again", "n as _c", "n as count", "key as row", "n")
+    assert jaccard_join.keep_one(clashing).count() == 5 and jaccard_join.keep_one(clashing).columns == clashing.columns
 
 
 def test_components(spark):
@@ -115,6 +117,7 @@ def test_decontamination(spark, make_docs):
     assert {(f["doc_id"], f["item_id"]) for f in small} == {(f["doc_id"], f["item_id"]) for f in found}
     kept = decontaminate.kept_documents(docs, items(spark, bench))
     assert kept.columns == docs.columns and sorted(k["key"] for k in kept.collect()) == ["k1", "k4", "k5", "k6", "k7"]
+    assert decontaminate.kept_documents(docs.withColumnRenamed("n", "_bad"), items(spark, bench)).count() == 5
     assert decontaminate.contaminated(docs, items(spark, bench).where("false")).count() == 0
     assert decontaminate.contaminated(docs.where("false"), items(spark, bench)).count() == 0
 
