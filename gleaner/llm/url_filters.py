@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.llm.common import cut
+
 #: (verdict, host, path)
 RULES = (
     ("allow", "org", "/"),
@@ -62,6 +64,8 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     won = met.groupBy("url").agg(best).select(F.col("url").alias("_url"), "best")
 
     own = pages.select("page_id", "url")
+    # written first: an aggregate under the join would keep Spark from splitting a hot url
+    won = cut(won, "verdicts")
     out = own.join(won, own.url == won._url, "left")
     return out.select(
         "page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
