@@ -8,7 +8,7 @@ trained together by stochastic gradient descent in numpy.
 
 Learning takes at most SAMPLE labelled documents, those least by a hash of doc_id, outside
 of the held-out fold; features are counted on all executors and one task, whose input is
-bounded by SAMPLE, makes the passes. For scoring, vectors and output are folded into one
+bounded by SAMPLE (of rows that share a labelled doc_id, the least text), makes the passes. For scoring, vectors and output are folded into one
 number a bucket. Scores use the text alone. Null, empty and blank texts have no features
 and score 0.5. Rows are scored each; a null doc_id is in no fold.
 """
@@ -95,13 +95,15 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndar
     own = own.groupBy("doc_id").agg(F.max("quality").alias("quality"))
     own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
+    # one row an id, so that the sample bounds what the learning task gets
+    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:
         got, counts, bounds = counted(*features(chunk.column("text")), chunk.num_rows)
         lists = [list_array(x.astype(np.int32), bounds, pa.int32()) for x in (got, counts)]
         return pa.record_batch([chunk.column("doc_id"), chunk.column("quality"), *lists], ["doc_id", "quality", "f", "n"])
 
-    rows = arrow_map(texts.select("doc_id", "quality", "text"), made, "doc_id long, quality int, f array<int>, n array<int>")
+    rows = arrow_map(texts, made, "doc_id long, quality int, f array<int>, n array<int>")
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")

@@ -7,7 +7,8 @@ is a short list of (bucket, weight) that can be broadcast whatever the corpus.
 
 Learning takes at most SAMPLE labelled documents, those least by a hash of doc_id, outside
 of the held-out fold; features are made on all executors, and one task makes PASSES over
-them, since the method is sequential; its input is bounded by SAMPLE. Scores use the text
+them, since the method is sequential; its input is bounded by SAMPLE: of
+rows that share a labelled doc_id it learns from the least text. Scores use the text
 alone. Null, empty and unseen texts get the bias alone. Rows are scored each, whatever
 their doc_id; a null doc_id is in no fold. With no labels all weights are 0 and scores 0.5.
 """
@@ -79,12 +80,14 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[n
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
+    # one row an id, so that the sample bounds what the learning task gets
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:
         got, bounds = distinct(*features(chunk.column("text")), chunk.num_rows)
         return pa.record_batch([chunk.column("doc_id"), chunk.column("toxic"), list_array(got.astype(np.int32), bounds, pa.int32())], ["doc_id", "toxic", "f"])
 
-    rows = arrow_map(texts.select("doc_id", "toxic", "text"), made, "doc_id long, toxic int, f array<int>")
+    rows = arrow_map(texts, made, "doc_id long, toxic int, f array<int>")
 
     def learn(table: pa.Table) -> pa.Table:
         table = table.sort_by("doc_id")
