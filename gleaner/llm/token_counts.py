@@ -69,7 +69,11 @@ def truncated(hist: DataFrame, limits: DataFrame) -> DataFrame:
     """(context, total_tokens, kept_tokens) for any limits (context): every limit is put
     at the greatest length below it, a join on ranges of one row each."""
     s = sums(hist)
-    after = s.withColumn("_next", F.min("length").over(Window.orderBy("length").rowsBetween(1, 1)))
+    s = s.withColumn("_b", F.floor(F.col("length") / BLOCK))
+    heads = s.groupBy("_b").agg(F.min("length").alias("_head"))
+    heads = heads.select("_b", F.lead("_head").over(Window.orderBy("_b")).alias("_head"))  # a row for 1024 lengths
+    own = F.lead("length").over(Window.partitionBy("_b").orderBy("length"))
+    after = s.withColumn("_own", own).join(heads, "_b").withColumn("_next", F.coalesce("_own", "_head"))
     total = s.select(F.sum("n_tokens")).scalar()
     docs = s.select(F.sum("n_docs")).scalar()
     met = limits.join(after, (F.col("length") <= F.col("context")) & (F.col("_next").isNull() | (F.col("_next") > F.col("context"))), "left")
