@@ -46,7 +46,7 @@ STAGES = [
     ("packing", sequences),
 ]
 
-#: Markov models, banded alignment and tokenizers aren't SQL: tests/llm/test_pipeline.py
+#: Markov models, banded alignment and tokenizers aren't SQL: tests/llm/test_pairs.py
 #: holds the rows against a brute-force version.
 ORACLE_SQL = None
 
