@@ -182,11 +182,12 @@ def may_link(percent: int):
     return (100 * least >= percent * most) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of set ids that link, by the intersection of their whole sets."""
+def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of set ids that link, by the intersection of their whole sets;
+    owners: (set_id, least), the least doc_id that has a set."""
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    chosen = cut(sets.join(wanted, "set_id", "left_semi").groupBy("set_id").agg(F.min("doc_id").alias("want")), "wanted")
+    chosen = cut(owners.join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("want")), "wanted")
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "want"))
 
     def run(batches):
@@ -211,6 +212,8 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = classes(docs, k, percent, buckets)
+    # copies are counted together before anything is dealt by set_id
+    owners = cut(sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")), "owners")
     every = entries(sets)
     first = every.groupBy("key").agg(F.min(F.struct("p", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     first = first.where("c > 1").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.p").alias("p2"))
@@ -219,7 +222,7 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     shared = cut(shared, "lists")
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
-    near = verified(shared.where((F.col("set_id") != F.col("set2")) & may_link(percent)).select(*pair).distinct(), docs, sets, k, percent)
+    near = verified(shared.where((F.col("set_id") != F.col("set2")) & may_link(percent)).select(*pair).distinct(), docs, owners, k, percent)
     found = components(near)
 
     placed = shared.select("key", "set_id", "n", "at").distinct().join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
@@ -231,7 +234,7 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
     mixed = cut(placed.join(main, "key"), "mixed")
     other = mixed.where("root <> main").select("key", F.col("set_id").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
     rest = mixed.join(other, "key").where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
-    late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, sets, k, percent)
+    late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, owners, k, percent)
     if late.take(1):
         joined = late.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
             found.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
@@ -240,8 +243,7 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
         nodes = found.select("node", "root").union(over.select("node", F.col("node").alias("root")).join(found.select("node"), "node", "left_anti"))
         found = nodes.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
-    by_set = sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"))
-    by_set = by_set.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+    by_set = owners.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
     tops = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = cut(by_set.join(tops, "root").select("set_id", "component_id"), "roots")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
