@@ -6,8 +6,9 @@ seed. A seed's occurrences aren't paired with each other but with its first one
 least text key, then place), so a seed that stands in a third of all documents makes as
 many matches as it has occurrences. Matches of one document with one source are chained:
 ordered in both texts, with a cost for the gaps, by a Fenwick tree of prefix maxima.
-Chains are then aligned word by word in a band around them, lengthened by what is equal
-on either side, and kept if they are long and similar enough.
+Chains are then aligned word by word between their runs of seeds and parted at stretches
+that don't align; each part is lengthened over edits on either side by a banded alignment
+with drop-off, judged by itself, and kept if it is long and similar enough.
 
 Equal texts are one text: its passages are found once, and each further copy gets one
 row that names the first copy. Null or blank texts have no passages. Equal doc_ids with
@@ -26,7 +27,9 @@ from gleaner.llm.common import arrow_map, chunks, cut, list_array, shingles, sig
 
 K, SPAN = 5, 10
 LEAST_WORDS, SIMILAR = 45, 0.8
-LEAST_SEEDS, GAP, MARGIN, BAND, DRIFT = 3, 0.05, 32, 24, 16
+LEAST_SEEDS, GAP, MARGIN, BAND, DRIFT = 3, 0.05, 64, 24, 16
+#: Edits in a row that part a chain, and words without a seed that part it unaligned.
+STRETCH, WIDE = 16, 64
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -69,8 +72,9 @@ def minimizers(values: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> np.n
     return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def chains(at: np.ndarray, source: np.ndarray, k: int = K, gap: float = GAP) -> list[tuple[int, int, int, int, int]]:
-    """Collinear chains of matches: (first, end, source first, source end, seeds).
+def chains(at: np.ndarray, source: np.ndarray, k: int = 5, gap: float = GAP, least: int = 3) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
+    """Collinear chains of `least` matches or more: (first, end, source first, source end,
+    places of the matches in both).
 
     score(i) = k + max(0, max over j before i in both texts of score(j) - gap * distance),
     the distance being the sum of both; the maximum over what is before in the source is
@@ -116,8 +120,8 @@ def chains(at: np.ndarray, source: np.ndarray, k: int = K, gap: float = GAP) ->
             first, last = chain[lo], chain[hi - 1]
             if hi < len(chain) and abs((at[chain[hi]] - source[chain[hi]]) - (at[first] - source[first])) <= DRIFT:
                 continue
-            if hi - lo >= LEAST_SEEDS:
-                out.append((at[first], at[last] + k, source[first], source[last] + k, hi - lo))
+            if hi - lo >= least:
+                out.append((at[first], at[last] + k, source[first], source[last] + k, [(at[c], source[c]) for c in chain[lo:hi]]))
             lo = hi
     return out
 
@@ -156,11 +160,116 @@ def aligned(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _reach(x: np.ndarray, y: np.ndarray) -> int:
-    """How many leading words are equal."""
-    n = min(len(x), len(y))
-    differ = np.flatnonzero(x[:n] != y[:n])
-    return int(differ[0]) if len(differ) else n
+def runs(places: list[tuple[int, int]], k: int) -> list[tuple[int, int, int]]:
+    """Matches of k words as disjoint runs (place, source place, words), in order."""
+    out: list[tuple[int, int, int]] = []
+    for a, b in places:
+        n = k
+        if out:
+            p, q, m = out[-1]
+            if b - a == q - p and a <= p + m:
+                out[-1] = (p, q, max(m, a + k - p))
+                continue
+            over = max(p + m - a, q + m - b, 0)
+            a, b, n = a + over, b + over, k - over
+        if n > 0:
+            out.append((a, b, n))
+    return out
+
+
+def parts(found: list[tuple[int, int, int]], edits: list[int]) -> list[tuple[int, int, int, int, int]]:
+    """A chain of runs, with the edits between each and the next, as parts that are similar
+    enough by themselves: (first, end, source first, source end, edits). It is parted at
+    every stretch of edits, and then at the most edits in a row while a part has too many."""
+    total = np.concatenate([[0], np.cumsum(edits, dtype=np.int64)])
+    out, left = [], [(0, len(found) - 1)]
+    while left:
+        lo, hi = left.pop()
+        (a, b, _), (p, q, n) = found[lo], found[hi]
+        lost = int(total[hi] - total[lo])
+        most = max(edits[lo:hi], default=0)
+        if most < STRETCH and lost <= (1 - SIMILAR) * max(p + n - a, q + n - b) + 1e-9:
+            out.append((a, p + n, b, q + n, lost))
+        else:
+            at = lo + edits[lo:hi].index(most)
+            left += [(at + 1, hi), (lo, at)]
+    return out
+
+
+def reach(x: list[np.ndarray], y: list[np.ndarray], band: int = DRIFT) -> tuple[np.ndarray, np.ndarray]:
+    """How far leading words align, over edits: (words of x, words of y, edits) where the
+    words less twice the edits are most, and where the words less five times the edits are.
+    It ends where the former has fallen by STRETCH. Both end with equal words."""
+    near, far = np.zeros((len(x), 3), np.int64), np.zeros((len(x), 3), np.int64)
+    order = np.argsort([len(a) for a in x], kind="stable")
+    width = 2 * band + 1
+    steps = np.arange(width)
+    for lo in range(0, len(order), 256):
+        rows = order[lo : lo + 256]
+        n, r = max(len(x[i]) for i in rows), np.arange(len(rows))
+        p, t = np.full((len(rows), n), -1, np.int64), np.full((len(rows), n + width), -2, np.int64)
+        for at, i in enumerate(rows):
+            p[at, : len(x[i])] = x[i]
+            some = y[i][: n + band + 1]
+            t[at, band : band + len(some)] = some
+        row = np.where(steps >= band, steps - band, 1 << 20)[None, :].repeat(len(rows), axis=0)
+        before, alive = np.zeros(len(rows), np.int64), np.ones(len(rows), bool)
+        tops = [np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)]
+        for step in range(n):
+            diagonal = row + (t[:, step : step + width] != p[:, step : step + 1])
+            skipped = np.concatenate([row[:, 1:], np.full((len(rows), 1), 1 << 20)], axis=1) + 1
+            best = np.where(step + 1 + steps < band, 1 << 20, np.minimum(diagonal, skipped)) - steps
+            row = np.minimum.accumulate(best, axis=1) + steps
+            column = row.argmin(axis=1)
+            lost = row[r, column]
+            for out, top, cost in ((near, tops[0], 2), (far, tops[1], 5)):
+                score = step + 1 - cost * lost
+                on = alive & (lost == before) & (score >= top)
+                top[on] = score[on]
+                out[rows[on]] = np.stack([np.full(on.sum(), step + 1), step + 1 + column[on] - band, lost[on]], axis=1)
+            before = lost
+            alive &= tops[0] - (step + 1 - 2 * lost) <= STRETCH
+            if not alive.any():
+                break
+    return near, far
+
+
+def judged(x: list[np.ndarray], y: list[np.ndarray], found: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int, int, float]]]:
+    """Passages (first, end, source first, source end, similarity) of chains of runs."""
+    edits: list[list[int]] = []
+    one, two, places = [], [], []
+    for i, chain in enumerate(found):
+        edits.append([])
+        for (a, b, n), (p, q, _) in zip(chain[:-1], chain[1:], strict=True):
+            u, v = x[i][a + n : p], y[i][b + n : q]
+            lost = max(len(u), len(v))
+            if lost <= WIDE and min(len(u), len(v)):
+                same = len(u) == len(v)
+                lost = int(np.count_nonzero(u != v)) if same else lost
+                if lost > 2 or not same:
+                    one.append(u)
+                    two.append(v)
+                    places.append((i, len(edits[-1])))
+            edits[-1].append(lost)
+    for (i, at), lost in zip(places, aligned(one, two) if one else (), strict=True):
+        edits[i][at] = int(lost)
+    every = [(i, part) for i, chain in enumerate(found) for part in parts(chain, edits[i])]
+    if not every:
+        return [[] for _ in found]
+    back = reach([x[i][max(p[0] - MARGIN, 0) : p[0]][::-1] for i, p in every], [y[i][max(p[2] - MARGIN - DRIFT, 0) : p[2]][::-1] for i, p in every])
+    ahead = reach([x[i][p[1] : p[1] + MARGIN] for i, p in every], [y[i][p[3] : p[3] + MARGIN + DRIFT] for i, p in every])
+    back, ahead = np.stack(back).tolist(), np.stack(ahead).tolist()
+    out: list[list[tuple[int, int, int, int, float]]] = [[] for _ in found]
+    for at, (i, (a0, a1, b0, b1, lost)) in enumerate(every):
+        best = None
+        for l, r in ((0, 0), (0, 1), (1, 0), (1, 1)):
+            (la, lb, le), (ra, rb, re) = back[l][at], ahead[r][at]
+            similar = 1 - (lost + le + re) / max(a1 - a0 + la + ra, b1 - b0 + lb + rb)
+            if a1 - a0 + la + ra >= LEAST_WORDS and similar >= SIMILAR - 1e-9 and (best is None or a1 + ra - a0 + la > best[1] - best[0]):
+                best = (a0 - la, a1 + ra, b0 - lb, b1 + rb, similar)
+        if best and not any(c[0] <= best[0] and best[1] <= c[1] and c[2] <= best[2] and best[3] <= c[3] for c in out[i]):
+            out[i] = [c for c in out[i] if not (best[0] <= c[0] and c[1] <= best[1] and best[2] <= c[2] and c[3] <= best[3])] + [best]
+    return out
 
 
 def passages(docs: DataFrame) -> DataFrame:
@@ -179,7 +288,7 @@ def passages(docs: DataFrame) -> DataFrame:
     groups = met.groupBy("key", "source").agg(F.collect_set("m").alias("m")).where(F.size("m") >= LEAST_SEEDS)
 
     def chained(batches):
-        names = ["key", "source", "a0", "a1", "b0", "b1"]
+        names = ["key", "source", "a0", "a1", "b0", "b1", "runs"]
         for batch in batches:
             rows = []
             offsets = batch.column("m").offsets.to_numpy()
@@ -187,11 +296,12 @@ def passages(docs: DataFrame) -> DataFrame:
             at, source = (flat.field(i).to_numpy() for i in (0, 1))
             for i, (key, other) in enumerate(zip(batch.column("key").to_pylist(), batch.column("source").to_pylist(), strict=True)):
                 lo, hi = offsets[i], offsets[i + 1]
-                rows += [(key, other, *c[:4]) for c in chains(at[lo:hi], source[lo:hi])]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names)
+                for *ends, places in chains(at[lo:hi], source[lo:hi], K, least=LEAST_SEEDS):
+                    rows.append((key, other, *ends, [v for run in runs(places, K) for v in run]))
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.list_(pa.int32()))], names)
 
-    found = groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long")
+    found = groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>")
     found = cut(found.where(f"a1 - a0 + {2 * MARGIN} >= {LEAST_WORDS}"), "chains")
 
     wanted = found.select("key").union(found.select("source")).distinct().join(first, "key")
@@ -215,25 +325,17 @@ def passages(docs: DataFrame) -> DataFrame:
     def compared(batches):
         names = ["key", "source", "a0", "a1", "b0", "b1", "similarity"]
         for batch in batches:
-            x, y = ([v.values.to_numpy() for v in batch.column(c)] for c in ("x", "y"))
-            ints = {c: batch.column(c).to_numpy() for c in names[:6]}
-            a, b, moved = [], [], []
-            for i in range(batch.num_rows):
-                p, q = min(MARGIN, ints["a0"][i]), min(MARGIN, ints["b0"][i])
-                p1, q1 = p + ints["a1"][i] - ints["a0"][i], q + ints["b1"][i] - ints["b0"][i]
-                left, right = _reach(x[i][:p][::-1], y[i][:q][::-1]), _reach(x[i][p1:], y[i][q1:])
-                a.append(x[i][p:p1])
-                b.append(y[i][q:q1])
-                moved.append((left, right))
-            more = np.array(moved, np.int64).reshape(-1, 2)
-            lost = aligned(a, b) if a else np.zeros(0)
-            ends = {"a0": ints["a0"] - more[:, 0], "b0": ints["b0"] - more[:, 0], "a1": ints["a1"] + more[:, 1], "b1": ints["b1"] + more[:, 1]}
-            size = np.maximum(np.maximum(ends["a1"] - ends["a0"], ends["b1"] - ends["b0"]), 1)
-            values = ints | ends | {"similarity": 1 - lost / size}
-            yield pa.record_batch([pa.array(values[c]) for c in names], names)
-
-    done = two.select("key", "source", "a0", "a1", "b0", "b1", "x", "y").mapInArrow(compared, "key long, source long, a0 long, a1 long, b0 long, b1 long, similarity double")
-    done = done.where((F.col("similarity") >= SIMILAR) & (F.col("a1") - F.col("a0") >= LEAST_WORDS))
+            x, y, flat = ([v.values.to_numpy() for v in batch.column(c)] for c in ("x", "y", "runs"))
+            p, q = (np.maximum(batch.column(c).to_numpy() - MARGIN, 0).tolist() for c in ("a0", "b0"))
+            chain = [[(a - p[i], b - q[i], n) for a, b, n in f.reshape(-1, 3).tolist()] for i, f in enumerate(flat)]
+            keys, others = batch.column("key").to_pylist(), batch.column("source").to_pylist()
+            rows = []
+            for i, some in enumerate(judged(x, y, chain)):
+                rows += [(keys[i], others[i], a0 + p[i], a1 + p[i], b0 + q[i], b1 + q[i], s) for a0, a1, b0, b1, s in some]
+            columns = list(zip(*rows, strict=True)) or [()] * 7
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names)
+
+    done = two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, "key long, source long, a0 long, a1 long, b0 long, b1 long, similarity double").distinct()
     done = done.join(first.withColumnRenamed("first", "doc_id"), "key").join(first.select(F.col("key").alias("source"), F.col("first").alias("source_doc_id")), "source")
     parts = done.select("doc_id", F.col("a0").alias("start"), F.col("a1").alias("end"), "source_doc_id", F.col("b0").alias("source_start"), F.col("b1").alias("source_end"), "similarity", F.lit(False).alias("copy"))
 

@@ -192,6 +192,14 @@ def test_chains_are_collinear():
     assert sorted(c[:4] for c in substring_dedup.chains(at, source)) == [(0, 29, 100, 129), (300, 314, 7, 21)]
 
 
+def test_passages_around_other_bodies(make_docs):
+    """A header and a footer that are equal, around bodies of like length that aren't."""
+    head, foot = prose(80, 60), prose(81, 60)
+    rows = [(i, f"{head} {prose(820 + i, 100 + i)} {foot}") for i in range(2)]
+    found = substring_dedup.passages(make_docs(rows)).collect()
+    assert sorted((min(f["start"], f["source_start"]), f["end"] - f["start"], f["similarity"]) for f in found) == [(0, 60, 1.0), (160, 60, 1.0)]
+
+
 def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
     bench = [prose(600 + i, 40) for i in range(3)]
     keep = [(i, prose(i, 90)) for i in range(12)]
