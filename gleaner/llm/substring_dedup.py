@@ -4,7 +4,9 @@ Seeds are k-word shingles, kept where they are the least of `span` neighbours
 (minimizers): every run of span + k - 1 equal words in two documents gives both the same
 seed. A seed's occurrences aren't paired with each other but with its first one (the
 least text key, then place), so a seed that stands in a third of all documents makes as
-many matches as it has occurrences. Matches of one document with one source are chained:
+many matches as it has occurrences; those that no passage covers then meet the next one, in
+rounds, until none is left or a round finds no passage. Both may stand in one document.
+Matches of one document with one source are chained:
 ordered in both texts, with a cost for the gaps, by a Fenwick tree of prefix maxima.
 Chains are then aligned word by word between their runs of seeds and parted at stretches
 that don't align; each part is lengthened over edits on either side by a banded alignment
@@ -18,6 +20,8 @@ chains go to the earlier place. Extra columns are ignored; empty tables give no
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,6 +34,7 @@ LEAST_WORDS, SIMILAR = 45, 0.8
 LEAST_SEEDS, GAP, MARGIN, BAND, DRIFT = 3, 0.05, 64, 24, 16
 #: Edits in a row that part a chain, and words without a seed that part it unaligned.
 STRETCH, WIDE = 16, 64
+FOUND = "key long, source long, a0 long, a1 long, b0 long, b1 long, similarity double"
 
 
 def seeds(docs: DataFrame) -> DataFrame:
@@ -280,13 +285,6 @@ def passages(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
     first = cut(keyed.select("doc_id", "key").groupBy("key").agg(F.min("doc_id").alias("first")), "first")
 
-    every = seeds(keyed.select("key", "text"))
-    lead = every.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("lead"), F.max("key").alias("hi"))
-    lead = lead.where("lead.key <> hi").select("seed", F.col("lead.key").alias("source"), F.col("lead.at").alias("source_at"))
-    # written first: a join of two plain exchanges is one whose hot seeds Spark can split
-    met = every.join(cut(lead, "leads"), "seed").where("key <> source").select("key", "source", F.struct("at", "source_at").alias("m"))
-    groups = met.groupBy("key", "source").agg(F.collect_set("m").alias("m")).where(F.size("m") >= LEAST_SEEDS)
-
     def chained(batches):
         names = ["key", "source", "a0", "a1", "b0", "b1", "runs"]
         for batch in batches:
@@ -301,27 +299,14 @@ def passages(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.list_(pa.int32()))], names)
 
-    found = groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>")
-    found = cut(found.where(f"a1 - a0 + {2 * MARGIN} >= {LEAST_WORDS}"), "chains")
-
-    wanted = found.select("key").union(found.select("source")).distinct().join(first, "key")
-    wanted = cut(wanted.select("first").distinct(), "wanted")
-    whole = keyed.join(wanted, keyed.doc_id.eqNullSafe(F.col("first")), "left_semi")
-
     def coded(chunk: pa.RecordBatch) -> pa.RecordBatch:
         hashes, bounds, _, _ = words(*text_bytes(chunk.column("text")))
         return pa.record_batch([chunk.column("key"), list_array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), bounds, pa.int32())], ["key", "words"])
 
-    coded_texts = arrow_map(whole.select("key", "text"), coded, "key long, words array<int>")
-    coded_texts = cut(coded_texts.groupBy("key").agg(F.first("words").alias("words")), "words")
-
     def part(lo: str, hi: str):
         start = F.greatest(F.col(lo) - MARGIN, F.lit(0))
         return F.slice("words", (start + 1).cast("int"), (F.col(hi) + MARGIN - start).cast("int"))
 
-    one = found.join(coded_texts, "key").withColumn("x", part("a0", "a1")).drop("words")
-    two = one.join(coded_texts.withColumnRenamed("key", "source"), "source").withColumn("y", part("b0", "b1")).drop("words")
-
     def compared(batches):
         names = ["key", "source", "a0", "a1", "b0", "b1", "similarity"]
         for batch in batches:
@@ -335,7 +320,39 @@ def passages(docs: DataFrame) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names)
 
-    done = two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, "key long, source long, a0 long, a1 long, b0 long, b1 long, similarity double").distinct()
+    every = seeds(keyed.select("key", "text")).withColumn("open", F.lit(True))
+    rounds: list[DataFrame] = []
+    while True:
+        lead = every.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("lead"), F.max(F.when(F.col("open"), F.struct("key", "at"))).alias("hi"))
+        lead = lead.where("hi is not null and lead <> hi").select("seed", F.col("lead.key").alias("source"), F.col("lead.at").alias("source_at"))
+        # written first: a join of two plain exchanges is one whose hot seeds Spark can split
+        met = cut(every.join(cut(lead, "leads"), "seed").where("key <> source or at <> source_at"), "met")
+        if not met.take(1):
+            break
+        groups = met.where("open").select("key", "source", F.struct("at", "source_at").alias("m")).groupBy("key", "source")
+        groups = groups.agg(F.collect_set("m").alias("m")).where(F.size("m") >= LEAST_SEEDS)
+        found = groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>")
+        found = cut(found.where(f"a1 - a0 + {2 * MARGIN} >= {LEAST_WORDS}"), "chains")
+
+        wanted = found.select("key").union(found.select("source")).distinct().join(first, "key")
+        wanted = cut(wanted.select("first").distinct(), "wanted")
+        whole = keyed.join(wanted, keyed.doc_id.eqNullSafe(F.col("first")), "left_semi")
+
+        coded_texts = arrow_map(whole.select("key", "text"), coded, "key long, words array<int>")
+        coded_texts = cut(coded_texts.groupBy("key").agg(F.first("words").alias("words")), "words")
+
+        one = found.join(coded_texts, "key").withColumn("x", part("a0", "a1")).drop("words")
+        two = one.join(coded_texts.withColumnRenamed("key", "source"), "source").withColumn("y", part("b0", "b1")).drop("words")
+        done = two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, FOUND).distinct()
+        rounds.append(cut(done, "done"))
+        if not rounds[-1].take(1):
+            break
+        covers = rounds[-1].groupBy("key").agg(F.collect_set(F.struct("a0", "a1")).alias("covers"))
+        inside = F.exists("covers", lambda c: (F.col("at") >= c["a0"]) & (F.col("at") + K <= c["a1"]))
+        every = met.join(cut(covers, "covers"), "key", "left").select("seed", "key", "at", (F.col("open") & ~F.coalesce(inside, F.lit(False))).alias("open"))
+        every = cut(every, "rest")
+
+    done = reduce(DataFrame.union, rounds) if rounds else docs.sparkSession.createDataFrame([], FOUND)
     done = done.join(first.withColumnRenamed("first", "doc_id"), "key").join(first.select(F.col("key").alias("source"), F.col("first").alias("source_doc_id")), "source")
     parts = done.select("doc_id", F.col("a0").alias("start"), F.col("a1").alias("end"), "source_doc_id", F.col("b0").alias("source_start"), F.col("b1").alias("source_end"), "similarity", F.lit(False).alias("copy"))
 

@@ -200,6 +200,21 @@ def test_passages_around_other_bodies(make_docs):
     assert sorted((min(f["start"], f["source_start"]), f["end"] - f["start"], f["similarity"]) for f in found) == [(0, 60, 1.0), (160, 60, 1.0)]
 
 
+def test_passages_whose_halves_stand_elsewhere(make_docs):
+    """Both halves of a passage, and a passage within one document, whatever the keys' order."""
+    rows = []
+    for i in range(8):
+        one, two, again = prose(900 + i, 30), prose(920 + i, 30), prose(940 + i, 60)
+        between = [prose(1000 + 10 * i + j, 90) for j in range(8)]
+        texts = [f"{between[0]} {one} {between[1]}", f"{between[2]} {two} {between[3]}", f"{between[4]} {one} {two}", f"{one} {two} {between[5]}", f"{again} {between[6]} {again} {between[7]}"]
+        rows += [(10 * i + j, t) for j, t in enumerate(texts)]
+    found = {(f["doc_id"], f["source_doc_id"]): f for f in substring_dedup.passages(make_docs(rows)).collect()}
+    for i in range(0, 80, 10):
+        assert (i + 2, i + 3) in found or (i + 3, i + 2) in found
+        own = found[(i + 4, i + 4)]
+        assert (own["start"], own["end"], own["source_start"], own["source_end"]) == (150, 210, 0, 60)
+
+
 def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
     bench = [prose(600 + i, 40) for i in range(3)]
     keep = [(i, prose(i, 90)) for i in range(12)]
