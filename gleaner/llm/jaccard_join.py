@@ -115,7 +115,7 @@ def set_id(members: np.ndarray) -> int:
 
 
 def classes(docs: DataFrame, k: int, percent: int, buckets: int, scan: float = SCAN) -> DataFrame:
-    """(doc_id, set_id, n, heavy, light) a row: the listed members in order and the
+    """(doc_id, text_key, set_id, n, heavy, light) a row: the listed members in order and the
     subset keys, given for the first copy of a set in each task only."""
     spark = docs.sparkSession
     counts = bucket_counts(docs, k, buckets)
@@ -148,13 +148,13 @@ def classes(docs: DataFrame, k: int, percent: int, buckets: int, scan: float = S
                 a, b = keys(members) if new else (np.zeros(0, U64), np.zeros(0, U64))
                 listed.append(a)
                 subsets.append(b)
-            columns = [chunk.column("doc_id"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
+            columns = [chunk.column("doc_id"), chunk.column("text_key"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())]
             for some in (listed, subsets):
                 columns.append(list_array(signed(np.concatenate(some)), np.cumsum([0, *map(len, some)])))
-            yield pa.record_batch(columns, ["doc_id", "set_id", "n", "heavy", "light"])
+            yield pa.record_batch(columns, ["doc_id", "text_key", "set_id", "n", "heavy", "light"])
 
-    schema = "doc_id long, set_id long, n long, heavy array<long>, light array<long>"
-    return cut(docs.mapInArrow(run, schema), "sets")
+    schema = "doc_id long, text_key long, set_id long, n long, heavy array<long>, light array<long>"
+    return cut(docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text").mapInArrow(run, schema), "sets")
 
 
 def entries(sets: DataFrame) -> DataFrame:
@@ -207,13 +207,15 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perce
     return cut(both.where(100 * F.col("inter") >= percent * union).select("a", "b"), "linked")
 
 
-def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
-    """(doc_id, n_shingles, set_id, component_id) a row of docs (doc_id, text)."""
+def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' sets, as classes() has them, and (set_id, root, least, row) a set: its
+    component, its least doc_id, and its row of that doc_id that is least by text_key."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = classes(docs, k, percent, buckets)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     # copies are counted together before anything is dealt by set_id
-    owners = cut(sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")), "owners")
+    owners = cut(sets.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min(row).alias("row")), "owners")
     every = entries(sets)
     first = every.groupBy("key").agg(F.min(F.struct("p", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     first = first.where("c > 1").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.p").alias("p2"))
@@ -243,7 +245,13 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
         nodes = found.select("node", "root").union(over.select("node", F.col("node").alias("root")).join(found.select("node"), "node", "left_anti"))
         found = nodes.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
-    by_set = owners.join(found.withColumnRenamed("node", "set_id"), "set_id", "left").select("set_id", "least", F.coalesce("root", "set_id").alias("root"))
+    by_set = owners.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
+    return sets, by_set.select("set_id", F.coalesce("root", "set_id").alias("root"), "least", "row")
+
+
+def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
+    """(doc_id, n_shingles, set_id, component_id) a row of docs (doc_id, text)."""
+    sets, by_set = linked_sets(docs, k, percent, buckets)
     tops = by_set.groupBy("root").agg(F.min("least").alias("component_id"))
     by_set = cut(by_set.join(tops, "root").select("set_id", "component_id"), "roots")
     out = sets.select("doc_id", F.col("n").alias("n_shingles"), "set_id").join(by_set, "set_id", "left")
@@ -251,18 +259,22 @@ def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int
 
 
 def keep_one(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
-    """docs with one document of each linked group: the row whose doc_id is the
-    component's id; of repeated rows with that doc_id the first by text. Rows whose
-    doc_id is null are kept unless linked with a row that has one."""
-    found = link_components(docs, k, percent, buckets)
-    drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_drop")).distinct()
-    kept = docs.join(drop, docs["doc_id"].eqNullSafe(drop["_drop"]), "left_anti")
-    again = kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1 and doc_id is not null")
-    again = cut(again.select(F.col("doc_id").alias("_again")), "again")
+    """docs with one row of each linked group: that with the least doc_id, a null one only
+    where no row has any; of several, one of the text with the least hash. Groups are those
+    of texts, whatever doc_ids repeat. Rows without words are all kept."""
+    _, by_set = linked_sets(docs, k, percent, buckets)
+    chosen = by_set.groupBy("root").agg(F.min("row").alias("row"))
+    chosen = cut(chosen.select(F.col("row.doc_id").alias("_keep"), F.col("row.text_key").alias("_text")), "kept")
+    worded = F.coalesce(docs["text"].rlike("[^\\x20\\x09-\\x0D]"), F.lit(False))
+    blank, some = docs.where(~worded), docs.where(worded)
+    kept = some.join(chosen, some["doc_id"].eqNullSafe(chosen["_keep"]) & (F.xxhash64(some["text"]) == chosen["_text"]), "left_semi")
+    again = kept.groupBy(F.col("doc_id").alias("_again"), F.xxhash64("text").alias("_text")).agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+    again = cut(again.select("_again", "_text"), "again")
     if not again.take(1):
-        return kept
-    single = kept.join(again, kept["doc_id"] == again["_again"], "left_anti")
-    several = kept.join(again, kept["doc_id"] == again["_again"], "left_semi")
+        return blank.unionByName(kept)
+    repeated = kept["doc_id"].eqNullSafe(again["_again"]) & (F.xxhash64(kept["text"]) == again["_text"])
+    single, several = kept.join(again, repeated, "left_anti"), kept.join(again, repeated, "left_semi")
     row = F.struct(*[several[c].alias(c) for c in docs.columns])
-    ranked = several.select(row.alias("row"), F.row_number().over(Window.partitionBy(several["doc_id"]).orderBy(several["text"])).alias("n"))
-    return single.unionByName(ranked.where("n = 1").select("row.*"))
+    place = Window.partitionBy(several["doc_id"], several["text"]).orderBy(F.xxhash64(*[several[c] for c in docs.columns]))
+    ranked = several.select(row.alias("row"), F.row_number().over(place).alias("n"))
+    return blank.unionByName(single).unionByName(ranked.where("n = 1").select("row.*"))

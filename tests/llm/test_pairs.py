@@ -87,6 +87,15 @@ def test_keep_one(make_docs):
     assert jaccard_join.keep_one(clashing).count() == 5 and jaccard_join.keep_one(clashing).columns == clashing.columns
 
 
+def test_keep_one_by_rows(make_docs):
+    """A null id linked with a row that has one, ids that repeat over texts, copies without ids."""
+    near = edited(prose(21, 100), 1, 1)
+    rows = [(None, prose(21, 100)), (8, near), (None, prose(22, 80)), (None, prose(23, 80)), (None, prose(23, 80))]
+    rows += [(5, prose(24, 90)), (6, prose(24, 90)), (5, prose(25, 90)), (3, prose(25, 90)), (9, prose(26, 50)), (9, prose(27, 50)), (9, None), (9, " ")]
+    kept = sorted(((r["doc_id"] or 0, r["text"] or "") for r in jaccard_join.keep_one(make_docs(rows)).collect()))
+    assert kept == sorted([(8, near), (0, prose(22, 80)), (0, prose(23, 80)), (5, prose(24, 90)), (3, prose(25, 90)), (9, prose(26, 50)), (9, prose(27, 50)), (9, ""), (9, " ")])
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 50)] + [(1000, 1000)]
