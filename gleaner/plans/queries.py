@@ -617,6 +617,14 @@ def leaf_candidates(spark, d):
     return found.drop("ordinal", "selector")
 
 
+@query("""SELECT user_id, ts::DATE AS day, event_type, count(*) AS iterations, count(DISTINCT event_id % 2) = 1 AS all_same,
+    CASE WHEN count(*) = 1 THEN 'SCRIPT' WHEN count(DISTINCT event_id % 2) = 1 THEN 'NEVER_READY' ELSE 'TOO_FEW_ITERATIONS' END AS cause
+    FROM events GROUP BY 1, 2, 3 HAVING bool_or(value > 10)""")
+def failing_steps_all(spark, d):
+    rows = t(spark, d, "events").withColumn("day", F.to_date("ts")).withColumn("preview", (F.col("event_id") % 2).cast("string"))
+    return W.failing_steps(rows, ["user_id", "day"], "event_type", "preview", F.col("value") > 10)
+
+
 @query("""SELECT l_orderkey, arg_max(l_linenumber, ((l_returnflag = 'A')::INT, (l_linestatus = 'O')::INT, (l_quantity::INT), -l_partkey, l_suppkey * 1000, -l_linenumber)) AS popover_id FROM lineitem
     WHERE l_tax > 0.01 AND l_suppkey >= 5 AND l_suppkey * 2000 <= 180000 AND l_partkey <= 600 AND (l_discount < 0.09 OR l_returnflag = 'A') GROUP BY l_orderkey""")
 def popover_pick(spark, d):
