@@ -108,16 +108,47 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _KEEP = np.arange(256, dtype=np.uint64)
-_powers: dict[str, np.ndarray] = {}
+#: Bytes whose sums are taken together; the tables of powers hold no more.
+WINDOW = 1 << 18
+_UP, _DOWN = (np.multiply.accumulate(np.array([1] + [x] * WINDOW, U64)) for x in (_BASE, _INV))
+
+
+def _range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of byte ranges of data that are in order and don't overlap. Sums are taken a
+    window at a time, so that memory beside the data doesn't grow with a text's length; a
+    range that goes on in the next window adds up its parts."""
+    raw = np.zeros(len(starts), U64)
+    for lo in range(0, len(data), WINDOW):
+        some = data[lo : lo + WINDOW]
+        i, j = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, lo + len(some), "left")
+        if i >= j:
+            continue
+        total = np.zeros(len(some) + 1, U64)
+        np.cumsum((code[some] + U64(1)) * _UP[: len(some)], out=total[1:])
+        s, e = np.maximum(starts[i:j] - lo, 0), np.minimum(ends[i:j] - lo, len(some))
+        part = (total[e] - total[s]) * _DOWN[s]
+        if starts[i] < lo:
+            part[:1] *= U64(pow(_BASE, lo - int(starts[i]), 1 << 64))
+        raw[i:j] += part
+    return mix(raw ^ ((ends - starts).astype(U64) * _MUL))
 
 
-def _power(base: int, n: int, key: str) -> np.ndarray:
-    if key not in _powers or len(_powers[key]) < n:
-        size = max(n, 1 << 16)
-        out = np.ones(size, U64)
-        out[1:] = U64(base)
-        _powers[key] = np.multiply.accumulate(out)
-    return _powers[key][:n]
+def _word_edges(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words start, and where they end, as flags a byte (of its last one)."""
+    solid = ~_SPACE[data]
+    starts, ends = solid.copy(), solid.copy()
+    starts[1:] &= ~solid[:-1]
+    ends[:-1] &= ~solid[1:]
+    heads = offsets[:-1][np.diff(offsets) > 0]
+    starts[heads] = solid[heads]
+    ends[heads[1:] - 1] = solid[heads[1:] - 1]
+    return starts, ends
+
+
+def word_counts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Words of each of the concatenated texts."""
+    starts = np.flatnonzero(_word_edges(offsets, data)[0]) if len(data) else np.zeros(0, np.int64)
+    return np.diff(np.searchsorted(starts, offsets))
 
 
 def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -126,23 +157,12 @@ def words(offsets: np.ndarray, data: np.ndarray, lower: bool = True) -> tuple[np
     Returns the hash of each word (A-Z lower-cased if `lower`), the bounds of each
     text in that array (one more than texts), and the words' starts and ends in data.
     """
-    n = len(data)
-    if not n:
+    if not len(data):
         empty = np.zeros(0, np.int64)
         return np.zeros(0, U64), np.zeros(len(offsets), np.int64), empty, empty
-    solid = ~_SPACE[data]
-    edge = np.zeros(n + 1, bool)
-    edge[offsets] = True
-    before = np.empty(n, bool)
-    before[0], before[1:] = True, ~solid[:-1]
-    starts = np.flatnonzero(solid & (before | edge[:-1]))
-    after = np.empty(n, bool)
-    after[-1], after[:-1] = True, ~solid[1:]
-    ends = np.flatnonzero(solid & (after | edge[1:])) + 1
-    total = np.zeros(n + 1, U64)
-    np.cumsum(((_LOWER if lower else _KEEP)[data] + U64(1)) * _power(_BASE, n, "p"), out=total[1:])
-    raw = (total[ends] - total[starts]) * _power(_INV, n, "i")[starts]
-    return mix(raw ^ ((ends - starts).astype(U64) * _MUL)), np.searchsorted(starts, offsets), starts, ends
+    starts, ends = _word_edges(offsets, data)
+    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return _range_hashes(data, starts, ends, _LOWER if lower else _KEEP), np.searchsorted(starts, offsets), starts, ends
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -219,12 +239,8 @@ def only(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of byte ranges of data."""
-    n = len(data)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((_KEEP[data] + U64(1)) * _power(_BASE, n, "p"), out=total[1:])
-    raw = (total[ends] - total[starts]) * _power(_INV, n + 1, "i")[starts]
-    return mix(raw ^ ((ends - starts).astype(U64) * _MUL))
+    """Hashes of byte ranges of data that are in order."""
+    return _range_hashes(data, starts, ends, _KEEP)
 
 
 def count_within(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -236,18 +252,18 @@ def count_within(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 SLOTS = 1 << 24
 
 
-def slot(column: str) -> Column:
-    """The place of a value in a bitmap of SLOTS bits."""
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
+def slot(column: str, slots: int = SLOTS) -> Column:
+    """The place of a value in a bitmap of so many bits."""
+    return F.pmod(F.xxhash64(column), F.lit(slots))
 
 
-def bitmap(df: DataFrame, column: str) -> np.ndarray:
-    """The slots of a column's values as bits: SLOTS / 8 bytes whatever the rows. It lets
-    a map pass over most rows that a join would drop; the join still decides."""
-    word = df.select(F.floor(slot(column) / 64).alias("w"), (slot(column) % 64).cast("int").alias("b"))
+def bitmap(df: DataFrame, place: Column, slots: int = SLOTS) -> np.ndarray:
+    """Places as bits: slots / 8 bytes whatever the rows. It lets a map pass over most rows
+    that a join would drop; the join still decides."""
+    word = df.select(place.alias("p")).select(F.floor(F.col("p") / 64).alias("w"), (F.col("p") % 64).cast("int").alias("b"))
     word = word.select("w", F.expr("shiftleft(1L, b)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-    rows = word.toArrow()  # SLOTS / 64 rows at most
-    out = np.zeros(SLOTS // 64, np.int64)
+    rows = word.toArrow()  # slots / 64 rows at most
+    out = np.zeros(slots // 64, np.int64)
     out[rows.column("w").to_numpy()] = rows.column("v").to_numpy()
     return out
 

@@ -188,7 +188,7 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perce
     pairs = cut(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
     chosen = cut(owners.join(wanted, "set_id", "left_semi").select("set_id", F.col("least").alias("want")), "wanted")
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, "want"))
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(chosen, slot("want")))
 
     def run(batches):
         some = (x.filter(pa.array(in_bitmap(bits.value, x.column("slot").to_numpy()))) for x in batches)

@@ -1,83 +1,170 @@
 """Substring dedup by collinear chaining (operator 3).
 
-Seeds are k-word shingles, kept where they are the least of `span` neighbours
-(minimizers): every run of span + k - 1 equal words in two documents gives both the same
-seed. A seed's occurrences aren't paired with each other but with its first one (the
-least text key, then place), so a seed that stands in a third of all documents makes as
-many matches as it has occurrences; those that no passage covers then meet the next one, in
-rounds, until none is left or a round finds no passage. Both may stand in one document.
-Matches of one document with one source are chained:
-ordered in both texts, with a cost for the gaps, by a Fenwick tree of prefix maxima.
-Chains are then aligned word by word between their runs of seeds and parted at stretches
-that don't align; each part is lengthened over edits on either side by a banded alignment
-with drop-off, judged by itself, and kept if it is long and similar enough.
+Seeds are K-word shingles, sampled by their own hash (one in RARE, and the least of SPAN
+neighbours where none is), so that two texts sample the same of the shingles they share. A
+seed alone joins too much: in a large corpus most shingles stand in many texts, and a place
+would meet only one of them. So seeds are joined by what stands around them, in three ways:
+
+* with the least word (by hash) of the CONTEXT words after them, and likewise before them:
+  edits leave most of those words, while texts that share the shingle alone differ in them;
+* runs of LEAST_WORDS equal words, sampled as the least of RUN_SPAN neighbours: any two
+  texts that share LEAST_WORDS + RUN_SPAN - 1 words in a row share such a run.
+
+Texts with one key aren't paired with each other but with the text of the least hash, so a
+key that stands in a third of all documents makes as many matches as it has texts; a further
+place in one text is paired with the place before it. Each pair of documents met, one document with itself included,
+has its matches chained: ordered in both texts, with a cost for the gaps, by a Fenwick tree
+of prefix maxima. Chains are then aligned word by word between their runs of seeds and
+parted at stretches that don't align; each part is lengthened over edits on either side by
+a banded alignment with drop-off, judged by itself, and kept if it is long and similar
+enough.
+
+What this guarantees: if a text shares LEAST_WORDS + RUN_SPAN - 1 or more words in a row with
+another text (or with another place of its own), whatever other texts hold, a passage of
+LEAST_WORDS or more is found there with some text, and the texts that share one run are all
+paired with one of them. Shorter and edited passages are found with a probability that
+tests measure against brute force, with and without other texts that hold bits of them.
 
 Equal texts are one text: its passages are found once, and each further copy gets one
 row that names the first copy. Null or blank texts have no passages. Equal doc_ids with
 different texts are judged by their texts; a null doc_id is carried along. Ties between
 chains go to the earlier place. Extra columns are ignored; empty tables give no rows.
+Texts of any length are taken whole; chains are made within BLOCK words at a time.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import arrow_map, chunks, cut, list_array, shingles, signed, small_batches, text_bytes, words
+from gleaner.llm.common import U64, arrow_map, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, small_batches, text_bytes, word_counts, words
 
-K, SPAN = 5, 10
+K, RARE, SPAN, CONTEXT, RUN_SPAN = 5, 8, 32, 22, 20
 LEAST_WORDS, SIMILAR = 45, 0.8
-LEAST_SEEDS, GAP, MARGIN, BAND, DRIFT = 3, 0.05, 64, 24, 16
+GAP, MARGIN, BAND, DRIFT = 0.05, 64, 24, 16
 #: Edits in a row that part a chain, and words without a seed that part it unaligned.
 STRETCH, WIDE = 16, 64
+#: Words of a text whose matches with one other text are chained together.
+BLOCK = 1 << 16
+#: Bits of the maps that let tasks pass over keys and texts that no join would keep.
+KEY_SLOTS, TEXT_SLOTS = 1 << 26, 1 << 24
+STEP = U64(0x5851F42D4C957F2D)
+AFTER, BEFORE, RUN = U64(0x8C7F0AAC97C4AA2F), U64(0xB5297A4D3F84D5A5), U64(0x1B56C4E9F0A36F21)
 FOUND = "key long, source long, a0 long, a1 long, b0 long, b1 long, similarity double"
 
 
-def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, key, at) of texts (key, text); a text met again in the same task is passed over."""
+def slid(values: np.ndarray, span: int, best=np.minimum) -> np.ndarray:
+    """The least (or by another ufunc) of each `span` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= span:
+        values, done = best(values[:-done], values[done:]), 2 * done
+    return best(values[: len(values) - (span - done)], values[span - done :]) if span > done else values
+
+
+def minimizers(values: np.ndarray, bounds: np.ndarray, span: int) -> np.ndarray:
+    """Places of values that are the least of `span` neighbours of the same text (all equal
+    ones); of a text with fewer values, its least."""
+    n, counts = len(values), np.diff(bounds)
+    if not n:
+        return np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    chosen = np.zeros(n, bool)
+    if n >= span:
+        least = np.where(owner[: n - span + 1] == owner[span - 1 :], slid(values, span), U64(0))
+        edge = np.zeros(span - 1, U64)
+        chosen = slid(np.concatenate([edge, least, edge]), span, np.maximum) == values
+    some = np.flatnonzero(counts > 0)
+    short = np.flatnonzero(counts < span)
+    least = np.zeros(len(counts), U64)
+    least[some] = np.minimum.reduceat(values, bounds[some])
+    inside = np.isin(owner, short)
+    return np.flatnonzero(chosen | inside & (values == least[owner]))
+
+
+def grams(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of n neighbours, by doubling."""
+    out, done, part, size = None, 0, hashes, 1
+    if len(hashes) < n:
+        return hashes[:0]
+    while done < n:
+        if n & size:
+            total = len(hashes) - done - size + 1
+            new = part[done : done + total]
+            out, done = new if out is None else out[:total] * STEP + new, done + size
+        if done < n:
+            part, size = part[:-size] * (STEP ^ U64(2 * size)) + part[size:], 2 * size
+    return mix(out)
+
+
+def context(hashes: np.ndarray, first: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """The least hash of the CONTEXT words from `first` on, as far as they are in lo..hi."""
+    out = np.full(len(first), U64(2**64 - 1))
+    whole = (first >= lo) & (first + CONTEXT <= hi)
+    if whole.any():
+        out[whole] = slid(hashes, CONTEXT)[first[whole]]
+    part = np.flatnonzero(~whole)
+    for j in range(CONTEXT):
+        at = first[part] + j
+        some = (at >= lo[part]) & (at < hi[part])
+        out[part[some]] = np.minimum(out[part[some]], hashes[at[some]])
+    return out
+
+
+def keys_of(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, text, place in words, the key's place before it in the same text or -1) of texts
+    of LEAST_WORDS or more."""
+    counts = np.where(np.diff(bounds) >= LEAST_WORDS, np.diff(bounds), 0)
+    hashes, bounds = hashes[np.repeat(counts > 0, np.diff(bounds))], np.concatenate([[0], np.cumsum(counts)])
+    if not len(hashes):
+        return np.zeros(0, U64), *(np.zeros(0, np.int64) for _ in range(3))
+    seeds, seed_bounds = shingles(hashes, bounds, K)
+    rare = seeds < U64(2**64 // RARE)
+    rare[minimizers(seeds, seed_bounds, SPAN)] = True
+    chosen = np.flatnonzero(rare)
+    owner = np.searchsorted(seed_bounds, chosen, "right") - 1
+    at = chosen - seed_bounds[owner]
+    lo, hi, here = bounds[owner], bounds[owner + 1], bounds[owner] + at
+    other = mix(hashes ^ AFTER)
+    after, before = context(other, here + K, lo, hi), context(other, here - CONTEXT, lo, hi)
+    runs = grams(hashes, LEAST_WORDS)
+    run_counts = np.maximum(counts - LEAST_WORDS + 1, 0)
+    run_bounds = np.concatenate([[0], np.cumsum(run_counts)])
+    runs = runs[np.repeat(bounds[:-1] - run_bounds[:-1], run_counts) + np.arange(run_bounds[-1])]
+    run_at = minimizers(runs, run_bounds, RUN_SPAN)
+    run_owner = np.searchsorted(run_bounds, run_at, "right") - 1
+    key = np.concatenate([mix(seeds[chosen] ^ after ^ AFTER), mix(seeds[chosen] ^ before ^ BEFORE), mix(runs[run_at] ^ RUN)])
+    text, place = np.concatenate([owner, owner, run_owner]), np.concatenate([at, at, run_at - run_bounds[run_owner]])
+    order = np.argsort(mix(key ^ mix(text.astype(U64))), kind="stable")
+    key, text, place = key[order], text[order], place[order]
+    again = np.concatenate([[False], (key[1:] == key[:-1]) & (text[1:] == text[:-1])])
+    return key, text, place, np.where(again, np.concatenate([[-1], place[:-1]]), -1)
+
+
+def places(docs: DataFrame, live=None) -> DataFrame:
+    """(seed, key, at, before) of texts (key, text), as keys_of has them; a text met again in
+    the same task is passed over. live: a broadcast map of the seeds wanted; without it only
+    the first place of a seed in a text is returned."""
 
     def run(batches):
         seen: set[int] = set()
         for chunk in chunks(batches):
-            got, bounds = shingles(*words(*text_bytes(chunk.column("text")))[:2], K)
-            at = minimizers(got, bounds)
-            owner = np.searchsorted(bounds, at, "right") - 1
-            keys = chunk.column("key").to_numpy(zero_copy_only=False)
-            fresh = np.zeros(len(keys), bool)
-            for i, x in enumerate(keys.tolist()):
+            own = chunk.column("key").to_numpy()
+            fresh = np.zeros(len(own), bool)
+            for i, x in enumerate(own.tolist()):
                 fresh[i] = x not in seen
                 seen.add(x)
-            at, owner = at[fresh[owner]], owner[fresh[owner]]
-            yield pa.record_batch([pa.array(signed(got[at])), pa.array(keys[owner], pa.int64()), pa.array((at - bounds[owner]).astype(np.int32))], ["seed", "key", "at"])
+            hashes, bounds, _, _ = words(*text_bytes(chunk.column("text").filter(pa.array(fresh))))
+            key, text, at, before = keys_of(hashes, bounds)
+            some = before < 0 if live is None else (before >= 0) | in_bitmap(live.value, signed(key) % KEY_SLOTS)
+            columns = [signed(key[some]), own[fresh][text[some]], at[some].astype(np.int32), before[some].astype(np.int32)]
+            yield pa.record_batch([pa.array(x) for x in columns], ["seed", "key", "at", "before"])
 
-    return docs.mapInArrow(run, "seed long, key long, at int")
+    return docs.mapInArrow(run, "seed long, key long, at int, before int")
 
 
-def minimizers(values: np.ndarray, bounds: np.ndarray, span: int = SPAN) -> np.ndarray:
-    """Places of values that are the least of `span` neighbours of the same text (the
-    first of equal ones); of a text with fewer values, its least."""
-    n = len(values)
-    if not n:
-        return np.zeros(0, np.int64)
-    out = []
-    counts = np.diff(bounds)
-    if n >= span:
-        starts = np.arange(n - span + 1)
-        owner = np.repeat(np.arange(len(counts)), counts)
-        starts = starts[owner[: n - span + 1] == owner[span - 1 :]]
-        if len(starts):
-            view = np.lib.stride_tricks.sliding_window_view(values, span)
-            out.append(np.unique(starts + view[starts].argmin(axis=1)))
-    for i in np.flatnonzero((counts > 0) & (counts < span)):
-        out.append(np.array([bounds[i] + values[bounds[i] : bounds[i + 1]].argmin()]))
-    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def chains(at: np.ndarray, source: np.ndarray, k: int = 5, gap: float = GAP, least: int = 3) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
+def chains(at: np.ndarray, source: np.ndarray, k: int = 5, gap: float = GAP, least: int = 1) -> list[tuple[int, int, int, int, list[tuple[int, int]]]]:
     """Collinear chains of `least` matches or more: (first, end, source first, source end,
     places of the matches in both).
 
@@ -280,28 +367,64 @@ def judged(x: list[np.ndarray], y: list[np.ndarray], found: list[list[tuple[int,
 def passages(docs: DataFrame) -> DataFrame:
     """(doc_id, start, end, source_doc_id, source_start, source_end, similarity, copy):
     passages in words, end exclusive; copy: the row's whole text is another document's."""
-    small_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    first = cut(keyed.select("doc_id", "key").groupBy("key").agg(F.min("doc_id").alias("first")), "first")
+    spark = docs.sparkSession
+    small_batches(spark)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").where("text is not null")
+    texts = docs.select("key", "text")
+
+    def measured(chunk: pa.RecordBatch) -> pa.RecordBatch:
+        offsets, data = text_bytes(chunk.column("text"))
+        return pa.record_batch([chunk.column("doc_id"), chunk.column("key"), pa.array(word_counts(offsets, data))], ["doc_id", "key", "n"])
+
+    rows = cut(arrow_map(docs, measured, "doc_id long, key long, n long").where(f"n >= {LEAST_WORDS}"), "rows")
+    first = cut(rows.groupBy("key").agg(F.min("doc_id").alias("first")), "first")
+
+    leads = places(texts).groupBy("seed").agg(F.min("key").alias("source"), F.min_by("at", "key").alias("source_at"), F.max("key").alias("last"))
+    leads = cut(leads.where("last > source").select("seed", "source", "source_at"), "leads")
+    live = spark.sparkContext.broadcast(bitmap(leads, F.pmod("seed", F.lit(KEY_SLOTS)), KEY_SLOTS))
+    # written first: a join of two plain exchanges is one whose hot seeds Spark can split
+    every = cut(places(texts, live), "places")
+    met = every.where("before < 0").join(leads, "seed").where("key <> source").select("key", "source", "at", "source_at")
+    met = met.union(every.where("before >= 0").select("key", F.col("key").alias("source"), "at", F.col("before").alias("source_at")))
+    met = met.select("key", "source", F.floor(F.col("at") / BLOCK).alias("block"), F.struct("at", "source_at").alias("m"))
 
     def chained(batches):
         names = ["key", "source", "a0", "a1", "b0", "b1", "runs"]
         for batch in batches:
-            rows = []
+            out = []
             offsets = batch.column("m").offsets.to_numpy()
             flat = batch.column("m").values
             at, source = (flat.field(i).to_numpy() for i in (0, 1))
             for i, (key, other) in enumerate(zip(batch.column("key").to_pylist(), batch.column("source").to_pylist(), strict=True)):
                 lo, hi = offsets[i], offsets[i + 1]
-                for *ends, places in chains(at[lo:hi], source[lo:hi], K, least=LEAST_SEEDS):
-                    rows.append((key, other, *ends, [v for run in runs(places, K) for v in run]))
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+                for *ends, matched in chains(at[lo:hi], source[lo:hi], K):
+                    out.append((key, other, *ends, [v for run in runs(matched, K) for v in run]))
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.list_(pa.int32()))], names)
 
-    def coded(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        hashes, bounds, _, _ = words(*text_bytes(chunk.column("text")))
-        return pa.record_batch([chunk.column("key"), list_array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32), bounds, pa.int32())], ["key", "words"])
+    groups = met.groupBy("key", "source", "block").agg(F.collect_set("m").alias("m")).drop("block")
+    found = cut(groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>"), "chains")
+
+    wanted = found.select("key").union(found.select("source")).select(F.pmod("key", F.lit(TEXT_SLOTS)).alias("p"))
+    bits = spark.sparkContext.broadcast(bitmap(wanted, F.col("p"), TEXT_SLOTS))
+
+    def coded(batches):
+        seen: set[int] = set()
+
+        def fresh(batch: pa.RecordBatch) -> pa.RecordBatch:
+            own = batch.column("key").to_numpy()
+            some = in_bitmap(bits.value, own % TEXT_SLOTS)
+            for i in np.flatnonzero(some):
+                some[i] = own[i] not in seen
+                seen.add(own[i])
+            return batch.filter(pa.array(some))
+
+        for chunk in chunks(fresh(x) for x in batches):
+            hashes, bounds, _, _ = words(*text_bytes(chunk.column("text")))
+            yield pa.record_batch([chunk.column("key"), list_array((hashes >> U64(32)).astype(np.uint32).view(np.int32), bounds, pa.int32())], ["key", "words"])
+
+    coded_texts = texts.mapInArrow(coded, "key long, words array<int>")
+    coded_texts = cut(coded_texts.groupBy("key").agg(F.first("words").alias("words")), "words")
 
     def part(lo: str, hi: str):
         start = F.greatest(F.col(lo) - MARGIN, F.lit(0))
@@ -314,50 +437,19 @@ def passages(docs: DataFrame) -> DataFrame:
             p, q = (np.maximum(batch.column(c).to_numpy() - MARGIN, 0).tolist() for c in ("a0", "b0"))
             chain = [[(a - p[i], b - q[i], n) for a, b, n in f.reshape(-1, 3).tolist()] for i, f in enumerate(flat)]
             keys, others = batch.column("key").to_pylist(), batch.column("source").to_pylist()
-            rows = []
+            out = []
             for i, some in enumerate(judged(x, y, chain)):
-                rows += [(keys[i], others[i], a0 + p[i], a1 + p[i], b0 + q[i], b1 + q[i], s) for a0, a1, b0, b1, s in some]
-            columns = list(zip(*rows, strict=True)) or [()] * 7
+                out += [(keys[i], others[i], a0 + p[i], a1 + p[i], b0 + q[i], b1 + q[i], s) for a0, a1, b0, b1, s in some]
+            columns = list(zip(*out, strict=True)) or [()] * 7
             yield pa.record_batch([pa.array(c, pa.int64()) for c in columns[:6]] + [pa.array(columns[6], pa.float64())], names)
 
-    every = seeds(keyed.select("key", "text")).withColumn("open", F.lit(True))
-    rounds: list[DataFrame] = []
-    while True:
-        lead = every.groupBy("seed").agg(F.min(F.struct("key", "at")).alias("lead"), F.max(F.when(F.col("open"), F.struct("key", "at"))).alias("hi"))
-        lead = lead.where("hi is not null and lead <> hi").select("seed", F.col("lead.key").alias("source"), F.col("lead.at").alias("source_at"))
-        # written first: a join of two plain exchanges is one whose hot seeds Spark can split
-        met = cut(every.join(cut(lead, "leads"), "seed").where("key <> source or at <> source_at"), "met")
-        if not met.take(1):
-            break
-        groups = met.where("open").select("key", "source", F.struct("at", "source_at").alias("m")).groupBy("key", "source")
-        groups = groups.agg(F.collect_set("m").alias("m")).where(F.size("m") >= LEAST_SEEDS)
-        found = groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>")
-        found = cut(found.where(f"a1 - a0 + {2 * MARGIN} >= {LEAST_WORDS}"), "chains")
-
-        wanted = found.select("key").union(found.select("source")).distinct().join(first, "key")
-        wanted = cut(wanted.select("first").distinct(), "wanted")
-        whole = keyed.join(wanted, keyed.doc_id.eqNullSafe(F.col("first")), "left_semi")
-
-        coded_texts = arrow_map(whole.select("key", "text"), coded, "key long, words array<int>")
-        coded_texts = cut(coded_texts.groupBy("key").agg(F.first("words").alias("words")), "words")
-
-        one = found.join(coded_texts, "key").withColumn("x", part("a0", "a1")).drop("words")
-        two = one.join(coded_texts.withColumnRenamed("key", "source"), "source").withColumn("y", part("b0", "b1")).drop("words")
-        done = two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, FOUND).distinct()
-        rounds.append(cut(done, "done"))
-        if not rounds[-1].take(1):
-            break
-        covers = rounds[-1].groupBy("key").agg(F.collect_set(F.struct("a0", "a1")).alias("covers"))
-        inside = F.exists("covers", lambda c: (F.col("at") >= c["a0"]) & (F.col("at") + K <= c["a1"]))
-        every = met.join(cut(covers, "covers"), "key", "left").select("seed", "key", "at", (F.col("open") & ~F.coalesce(inside, F.lit(False))).alias("open"))
-        every = cut(every, "rest")
-
-    done = reduce(DataFrame.union, rounds) if rounds else docs.sparkSession.createDataFrame([], FOUND)
+    one = found.join(coded_texts, "key").withColumn("x", part("a0", "a1")).drop("words")
+    two = one.join(coded_texts.withColumnRenamed("key", "source"), "source").withColumn("y", part("b0", "b1")).drop("words")
+    done = cut(two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, FOUND), "done").distinct()
     done = done.join(first.withColumnRenamed("first", "doc_id"), "key").join(first.select(F.col("key").alias("source"), F.col("first").alias("source_doc_id")), "source")
     parts = done.select("doc_id", F.col("a0").alias("start"), F.col("a1").alias("end"), "source_doc_id", F.col("b0").alias("source_start"), F.col("b1").alias("source_end"), "similarity", F.lit(False).alias("copy"))
 
-    length = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")).cast("long")
-    copies = keyed.where("text is not null").select("doc_id", "key", length.alias("n")).where(f"n >= {LEAST_WORDS}")
-    copies = copies.join(first, "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    copies = copies.select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"), F.col("first").alias("source_doc_id"), F.lit(0).cast("long").alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
+    zero = F.lit(0).cast("long")
+    copies = rows.join(first, "key").where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    copies = copies.select("doc_id", zero.alias("start"), F.col("n").alias("end"), F.col("first").alias("source_doc_id"), zero.alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copy"))
     return parts.union(copies)

@@ -185,20 +185,47 @@ def test_passages(make_docs):
 def test_minimizers_are_shared_by_equal_runs():
     import numpy as np
 
-    values = np.random.default_rng(1).integers(0, 1 << 60, 200).astype(np.uint64)
-    bounds = np.array([0, 100, 100, 103, 200])
-    at = set(substring_dedup.minimizers(values, bounds).tolist())
-    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-        for i in range(lo, hi - substring_dedup.SPAN + 1):
-            assert at & set(range(i, i + substring_dedup.SPAN))
-    assert at & {100, 101, 102}
+    values = np.random.default_rng(1).integers(1, 1 << 60, 300).astype(np.uint64)
+    bounds = np.array([0, 100, 100, 103, 150, 300])
+    for span in (5, 20, 32):
+        want = set()
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            windows = [range(i, i + span) for i in range(lo, hi - span + 1)] or ([range(lo, hi)] if hi > lo else [])
+            want |= {min(w, key=lambda i: values[i]) for w in windows}
+        assert set(substring_dedup.minimizers(values, bounds, span).tolist()) == want
+
+
+def test_grams_are_hashes_of_what_they_cover():
+    import numpy as np
+
+    values = np.random.default_rng(2).integers(1, 1 << 60, 200).astype(np.uint64)
+    for n in (1, 2, 5, 45, 64):
+        whole, part = substring_dedup.grams(values, n), substring_dedup.grams(values[7:150], n)
+        assert len(whole) == 200 - n + 1 and (whole[7 : 7 + len(part)] == part).all() and len(np.unique(whole)) == len(whole)
 
 
 def test_chains_are_collinear():
     import numpy as np
 
     at, source = np.array([0, 5, 9, 20, 24, 300, 305, 309]), np.array([100, 105, 109, 3, 124, 7, 12, 16])
-    assert sorted(c[:4] for c in substring_dedup.chains(at, source)) == [(0, 29, 100, 129), (300, 314, 7, 21)]
+    assert sorted(c[:4] for c in substring_dedup.chains(at, source, least=3)) == [(0, 29, 100, 129), (300, 314, 7, 21)]
+    r = random.Random(4)
+    for _ in range(30):
+        n = r.randint(1, 60)
+        pairs = sorted({(r.randrange(200), r.randrange(200)) for _ in range(n)})
+        found = substring_dedup.chains(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+        assert sorted(m for c in found for m in c[4]) == pairs
+        # the best score by trying every match before each, against that of a chain's matches
+        best = {}
+        for a, b in pairs:
+            best[a, b] = 5 + max([0.0, *(best[p] - substring_dedup.GAP * (a - p[0] + b - p[1]) for p in best if p[0] < a and p[1] < b)])
+        for *_, chain in found:
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(chain, chain[1:], strict=False))
+        top = max(best.values())
+        score = lambda c: sum(5 for _ in c) - substring_dedup.GAP * sum(q[0] - p[0] + q[1] - p[1] for p, q in zip(c, c[1:], strict=False))
+        spread = max(max(a - b for a, b in pairs) - min(a - b for a, b in pairs), 0)
+        if spread <= substring_dedup.DRIFT:
+            assert abs(max(score(c[4]) for c in found) - top) < 1e-6
 
 
 def test_passages_around_other_bodies(make_docs):
@@ -224,6 +251,76 @@ def test_passages_whose_halves_stand_elsewhere(make_docs):
         assert (own["start"], own["end"], own["source_start"], own["source_end"]) == (150, 210, 0, 60)
 
 
+def rewritten(words, n, r):
+    out = list(words)
+    for at in r.sample(range(1, len(words) - 1), n):
+        kind = r.random()
+        out[at] = f"e{r.randrange(10**7)}" if kind < 0.6 else "" if kind < 0.8 else f"{out[at]} i{r.randrange(10**7)}"
+    return " ".join(x for x in out if x)
+
+
+def distance(x, y):
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def test_passages_against_brute_force(make_docs):
+    """Passages shared by two texts each, word for word and edited, among texts that hold bits
+    of them: what is found is what a plain alignment of the two stretches says, exact runs of
+    LEAST_WORDS + RUN_SPAN - 1 are all found, and 9 of 10 edited ones."""
+    r, rows, exact, fuzzy = random.Random(5), [], set(), set()
+    for i in range(90):
+        p = prose(5000 + i, 64 if i < 30 else 60).split()
+        edits = 0 if i < 30 else (3, 6)[i % 2]
+        (exact if not edits else fuzzy).add((2 * i, 2 * i + 1))
+        rows.append((2 * i, f"{prose(6000 + i, r.randint(5, 60))} {' '.join(p)} {prose(6100 + i, r.randint(5, 60))}"))
+        rows.append((2 * i + 1, f"{prose(6200 + i, r.randint(5, 60))} {rewritten(p, edits, r)} {prose(6300 + i, r.randint(5, 60))}"))
+        for b in range(12):
+            size = 40 if i < 30 else 10
+            at = r.randrange(len(p) - size + 1)
+            rows.append((1000 + 20 * i + b, f"{prose(7000 + 20 * i + b, 40)} {' '.join(p[at:at + size])} {prose(9000 + 20 * i + b, 20)}"))
+    text = {i: re.findall(r"[^\x20\x09-\x0D]+", t.lower()) for i, t in rows}
+    found = substring_dedup.passages(make_docs(rows)).collect()
+    pairs = {tuple(sorted((f["doc_id"], f["source_doc_id"]))) for f in found}
+    assert exact <= pairs and pairs <= exact | fuzzy
+    assert len(fuzzy & pairs) >= 0.9 * len(fuzzy)
+    for f in found[:60]:
+        x, y = text[f["doc_id"]][f["start"] : f["end"]], text[f["source_doc_id"]][f["source_start"] : f["source_end"]]
+        assert len(x) >= substring_dedup.LEAST_WORDS and 1 - distance(x, y) / max(len(x), len(y)) >= substring_dedup.SIMILAR - 1e-9
+
+
+def test_passages_that_many_texts_hold(make_docs):
+    """800 texts that each hold a bit of a passage don't hide it, and a passage of many texts
+    gives each of them a row."""
+    shared, hot = prose(77, 100).split(), prose(78, 70)
+    rows = [(1, prose(1, 30) + " " + " ".join(shared)), (2, " ".join(shared) + " " + prose(2, 30))]
+    for i in range(800):
+        at = i % 90
+        rows.append((10 + i, f"{prose(20000 + i, 40)} {' '.join(shared[at : at + 10])} {prose(30000 + i, 10)}"))
+    rows += [(2000 + i, f"{prose(40000 + i, 20)} {hot} {prose(50000 + i, 20)}") for i in range(150)]
+    found = substring_dedup.passages(make_docs(rows)).collect()
+    pairs = {tuple(sorted((f["doc_id"], f["source_doc_id"]))) for f in found}
+    assert (1, 2) in pairs and not any(10 <= i < 1000 for p in pairs for i in p)
+    assert {i for p in pairs for i in p if i >= 2000} == set(range(2000, 2150))
+    assert len(found) < 1000
+
+
+def test_passages_of_repeating_and_long_texts(make_docs):
+    """A line repeated in one text is one stretch, not a row for each repeat; a long text's
+    passage beyond a block of words is found."""
+    line = prose(60, 12)
+    far = prose(61, 70)
+    rows = [(1, "\n".join([line] * 400)), (2, prose(62, 70000) + " " + far + " " + prose(63, 50)), (3, prose(64, 40) + " " + far)]
+    found = substring_dedup.passages(make_docs(rows)).collect()
+    own = [f for f in found if f["doc_id"] == f["source_doc_id"] == 1]
+    assert own and len(own) < 20 and min(f["start"] for f in own) <= 12 and max(f["end"] for f in own) == 4800
+    assert any({f["doc_id"], f["source_doc_id"]} == {2, 3} and max(f["end"], f["source_end"]) > 70000 for f in found)
+
+
 def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
     bench = [prose(600 + i, 40) for i in range(3)]
     keep = [(i, prose(i, 90)) for i in range(12)]
