@@ -1,18 +1,22 @@
 """Benchmark decontamination by the q-gram lemma (operator 2).
 
 Texts are lower-cased and runs of white space become one blank. Benchmark items are cut
-into overlapping windows of `window` characters (a shorter item is one window). A text
+into windows of `window` characters, one each `stride` (a shorter item is one window), so
+that any window + stride - 1 characters of an item, word for word, hold a window. A text
 region within k edits of a window of w characters shares at least w - q + 1 - k*q of its
 q-grams, all within k + 1 neighbouring diagonals. So shared q-grams are counted in bands
 of 2*(k+1) diagonals that overlap by half; bands that reach the bound are verified by
 banded alignment. No region within the budget is missed.
 
-The benchmark is the query set: it's taken in blocks of at most `block` windows, each
-broadcast (its size is fixed by `block`), and all documents are read against each. The
-documents' texts are never shuffled: candidate regions are cut out where they are found.
+The benchmark is the query set: it's taken in blocks of at most `block` windows, one after
+the other, each broadcast (its size is fixed by `block`), and all documents are read against
+each. The search shuffles no texts: candidate regions are cut out where they are found.
+`kept_documents` shuffles them once where the list of texts to drop is beyond what Spark
+broadcasts.
 
-Null or empty text and null items match nothing. Items under `least` characters can't
-tell contamination from chance and aren't searched. Repeated rows and equal doc_ids each
+Null or empty text and null items match nothing; a null item_id is one like others. Items
+under `least` characters, Q if not given, have no q-gram and aren't searched; those of less
+than 2 * Q are found where they stand word for word. Repeated rows and equal doc_ids each
 count; matches are grouped by doc_id, and `kept_documents` decides by the text, so that
 rows with null or repeated ids are judged by what they hold. Extra columns are ignored.
 Empty tables give empty results.
@@ -27,7 +31,11 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import U64, arrow_map, cut, mix
 
-Q, WINDOW, RATE, LEAST, BLOCK = 8, 64, 0.1, 24, 20_000
+Q, WINDOW, STRIDE, RATE, BLOCK = 8, 64, 16, 0.1, 20_000
+#: An item must have a q-gram to be searched by q-grams.
+LEAST = Q
+#: Hits looked at together; texts with more are halved, down to pieces of SMALLEST characters.
+HITS, SMALLEST = 1 << 21, 4096
 #: Characters of a text that are looked at together.
 PIECE = 1 << 20
 _B = 0x9E3779B97F4A7C15
@@ -51,17 +59,17 @@ def qgrams(points: np.ndarray) -> np.ndarray:
     return mix(h)
 
 
-def windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST) -> DataFrame:
+def windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, stride: int = STRIDE) -> DataFrame:
     """(win, item_id, at, pattern): win is a hash of item and place."""
 
     def run(chunk: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for item, text in zip(chunk.column("item_id").to_pylist(), chunk.column("text").to_pylist(), strict=True):
             t = normal(text)
-            if item is None or len(t) < least:
+            if len(t) < least:
                 continue
             last = max(0, len(t) - window)
-            for at in sorted({*range(0, last, window // 2), last}):
+            for at in sorted({*range(0, last, stride), last}):
                 rows.append((item, at, t[at : at + window]))
         columns = list(zip(*rows, strict=True)) or [(), (), ()]
         return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["item_id", "at", "pattern"])
@@ -87,6 +95,16 @@ class Index:
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[self.keys >> U64(42)] = True
 
+    def _halves(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
+        """regions() of half the texts at a time, or of both halves of one text, which
+        overlap by more than a region."""
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return self.regions(texts[:half]) + [(t + half, *rest) for t, *rest in self.regions(texts[half:])]
+        half = len(texts[0]) // 2
+        late = [(0, w, s + half, e + half) for _, w, s, e in self.regions([texts[0][half:]])]
+        return list(dict.fromkeys(self.regions([texts[0][: half + 4 * WINDOW]]) + late))
+
     def regions(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text, window, start, end) of the bands that reach the bound."""
         bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
@@ -100,6 +118,8 @@ class Index:
         at, owner = at[inside], owner[inside]
         lo, hi = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
         times = hi - lo
+        if times.sum() > HITS and (len(texts) > 1 or len(texts[0]) > SMALLEST):
+            return self._halves(texts)
         hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
         at, owner = np.repeat(at, times), np.repeat(owner, times)
         window = self.window[hit]
@@ -133,6 +153,7 @@ def candidates(docs: DataFrame, wins: DataFrame, block: int = BLOCK) -> DataFram
         if not rows:
             continue
         shared = spark.sparkContext.broadcast(Index([r["win"] for r in rows], [r["pattern"] for r in rows]))
+        # each block is written before the next is made, so that one index is alive at a time
 
         def run(chunk: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             whole = [normal(x) for x in chunk.column("text").to_pylist()]
@@ -150,7 +171,8 @@ def candidates(docs: DataFrame, wins: DataFrame, block: int = BLOCK) -> DataFram
                 ["doc_id", "key", "win", "start", "region"],
             )
 
-        found = found.union(arrow_map(own, run, schema))
+        found = found.union(cut(arrow_map(own, run, schema), "candidates"))
+        shared.destroy()
     return found
 
 
@@ -187,8 +209,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFr
     """(doc_id, key, item_id, at, edits, end) for each window found: `at` in the item,
     `end` in the normalised text."""
     wins = cut(windows(benchmark), "windows")
-    # written first: two Python stages in one task would keep twice the workers
-    found = cut(candidates(docs, wins, block), "candidates").join(wins, "win")
+    found = candidates(docs, wins, block).join(wins, "win")
     place = F.arrow_udf(aligned, "struct<edits:bigint,end:bigint>")("pattern", "region")
     found = found.withColumn("_a", place)
     k = F.least(F.floor(F.lit(RATE) * F.length("pattern")), F.floor((F.length("pattern") - Q) / Q))
