@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import arrow_map
+from gleaner.llm.common import arrow_map, cut
 from gleaner.llm.tokens import byte_tokens, strings
 
 TOKENIZER = "byte_bpe_50k.tiktoken"
@@ -34,8 +34,8 @@ def lengths(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
 
 def histogram(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(length, n_docs)"""
-    return lengths(docs, tokenizer).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(length, n_docs), written, so that whatever is asked of it leaves the texts alone."""
+    return cut(lengths(docs, tokenizer).groupBy("length").agg(F.count(F.lit(1)).alias("n_docs")), "histogram")
 
 
 def sums(hist: DataFrame) -> DataFrame:
@@ -60,6 +60,7 @@ def sums(hist: DataFrame) -> DataFrame:
 
 def quantiles(summed: DataFrame, shares: list[float]) -> DataFrame:
     """The least length that at least that share of documents doesn't exceed."""
+    summed = cut(summed, "sums")
     total = summed.select((F.max("docs_to")).alias("n")).scalar()
     each = [F.min(F.when(F.col("docs_to") >= F.lit(s) * total, F.col("length"))).alias(f"q{s:g}") for s in shares]
     return summed.agg(*each)
@@ -68,7 +69,7 @@ def quantiles(summed: DataFrame, shares: list[float]) -> DataFrame:
 def truncated(hist: DataFrame, limits: DataFrame) -> DataFrame:
     """(context, total_tokens, kept_tokens) for any limits (context): every limit is put
     at the greatest length below it, a join on ranges of one row each."""
-    s = sums(hist)
+    s = cut(sums(hist), "sums")
     s = s.withColumn("_b", F.floor(F.col("length") / BLOCK))
     heads = s.groupBy("_b").agg(F.min("length").alias("_head"))
     heads = heads.select("_b", F.lead("_head").over(Window.orderBy("_b")).alias("_head"))  # a row for 1024 lengths
