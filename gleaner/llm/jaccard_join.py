@@ -18,7 +18,8 @@ one corpus of n coincide with probability 2**-64 a pair). Two documents link whe
   leader (the set that comes to the shared member first); then components are formed,
   and only sets of different components within one list are compared, those outside of
   the list's largest component with all others. A pair is skipped only if both are
-  already known to be in one component, or size or position bounds exclude it.
+  already known to be in one component, or size or position bounds exclude it; those
+  bounds are part of the join's key, so that a list of sets that can't link makes no pairs.
 
 Nulls and ties: null or blank text has an empty set, n_shingles 0, and is linked with
 nothing; its component is its own doc_id. Rows with the same doc_id are judged row by
@@ -182,6 +183,25 @@ def may_link(percent: int):
     return (100 * least >= percent * most) & ((100 + percent) * left >= percent * (F.col("n") + F.col("n2")))
 
 
+def met_by_size(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of rows (key, set_id, n, at, root, main) of one key, one of them at least outside
+    of the key's largest component, whose sizes and places let them link. A set at `at` of n
+    members shares n - at of them at most, so its partner has most_size or fewer members; the
+    larger set of a pair looks for the smaller one under each step of sizes between. Rows whose
+    place leaves no partner are gone before any pair is made."""
+    step = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(1.02))).cast("int")
+    most_size = F.floor((100 + percent) * (F.col("n") - F.col("at")) / percent) - F.col("n")
+    rows = mixed.withColumn("most", most_size).withColumn("least", F.ceil(percent * F.col("n") / 100))
+    upper = F.least("n", "most")
+    larger = rows.where(upper >= F.col("least")).withColumn("step", F.explode(F.sequence(step(F.col("least")), step(upper))))
+    smaller = rows.where("most >= n").withColumn("step", step(F.col("n")))
+    smaller = smaller.select("key", "step", F.col("set_id").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"), "main")
+    left, right = larger.drop("main", "most", "least"), smaller.drop("main")
+    met = left.join(right.where(smaller["root2"] != smaller["main"]), ["key", "step"])
+    outside = larger.where("root <> main").drop("main", "most", "least")
+    return met.union(outside.join(smaller.where("root2 = main").drop("main"), ["key", "step"]))
+
+
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that link, by the intersection of their whole sets;
     owners: (set_id, least), the least doc_id that has a set."""
@@ -234,8 +254,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
     )
     main = cut(main.where("roots > 1").select("key", "main"), "mains")
     mixed = cut(placed.join(main, "key"), "mixed")
-    other = mixed.where("root <> main").select("key", F.col("set_id").alias("set2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
-    rest = mixed.join(other, "key").where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
+    rest = met_by_size(mixed, percent).where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
     late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, owners, k, percent)
     if late.take(1):
         joined = late.join(found.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
