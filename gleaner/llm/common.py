@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 U64 = np.uint64
@@ -198,14 +198,18 @@ def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def ranked(df: DataFrame, key: list[str], order: list[str], salts: int = 64, name: str = "rank") -> DataFrame:
+def salt(salts: int, *columns: str) -> Column:
+    """A salt for `ranked`, to be written with the rows: a hash of columns and of a small
+    part of the row's number, so that equal rows get several."""
+    return F.pmod(F.xxhash64(*columns, F.pmod(F.monotonically_increasing_id(), F.lit(64))), F.lit(salts))
+
+
+def ranked(df: DataFrame, key: list[str], order: list[str], salt: str, name: str = "rank") -> DataFrame:
     """Rank from 0 within a key that may hold a third of all rows: rows are numbered
-    within (key, salt) and moved by the counts of the salts before; the salt is a hash
-    of the ordering columns. Ranks are gapless; rows equal in `order` come in any order."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    within (key, salt) and moved by the counts of the salts before; the salt is a column
+    of df. Ranks are gapless; rows equal in `order` come in any order."""
+    salted = df.withColumnRenamed(salt, "_salt")
     counts = salted.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("_n"))
-    from pyspark.sql import Window
-
     before = Window.partitionBy(*key).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*key, "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_from"))
     own = Window.partitionBy(*key, "_salt").orderBy(*order)
@@ -229,6 +233,17 @@ def bounded_sample(df: DataFrame, keys: list[str], n: int) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1 << 40)), *keys).limit(n)
 
 
+def within_bytes(df: DataFrame, order: list[str], size: Column, limit: int) -> DataFrame:
+    """Rows of a bounded sample, by a hash of `order`, as long as their sizes add up to
+    `limit` at most; the sums run over the sample's sizes alone, in one task. Rows above a
+    64th of the limit are left out. df must be a written table."""
+    rank = F.pmod(F.xxhash64(*order), F.lit(1 << 40))
+    sizes = df.select(*order, rank.alias("_rank"), size.cast("long").alias("_size")).where(F.col("_size") <= limit // 64)
+    total = F.sum("_size").over(Window.orderBy("_rank", *order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = sizes.withColumn("_total", total).where(F.col("_total") <= limit).select(*order)
+    return df.join(kept, order, "left_semi")
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 

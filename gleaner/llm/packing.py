@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import arrow_map, cut, ranked
+from gleaner.llm.common import arrow_map, cut, ranked, salt
 from gleaner.llm.tokens import word_tokens
 
 TOKENIZER = "word_bpe_49k.json"
@@ -86,11 +86,12 @@ def slots(packed: list[tuple[list[int], int]]) -> list[tuple[int, int, int, int,
 
 def packed_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT) -> DataFrame:
     spark = docs.sparkSession
-    cuts = cut(pieces(docs, tokenizer, limit), "pieces")
+    made = pieces(docs, tokenizer, limit)
+    cuts = cut(made.withColumn("_deal", salt(512, "doc_id", "start", "ids_crc32")), "pieces")
     histogram = {r["length"]: r["count"] for r in cuts.groupBy("length").count().collect()}  # at most `limit` rows
     schema = "length long, lo long, hi long, sequence long, place long"
     where = spark.createDataFrame(slots(patterns(histogram, limit)), schema)
-    own = ranked(cuts, ["length"], ["doc_id", "start", "ids_crc32"], salts=512)
+    own = ranked(cuts, ["length"], ["doc_id", "start", "ids_crc32"], "_deal")
     met = own.join(where.withColumnRenamed("length", "_length"), (F.col("length") == F.col("_length")) & F.col("rank").between(F.col("lo"), F.col("hi")))
     return met.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",

@@ -8,7 +8,8 @@ trained together by stochastic gradient descent in numpy.
 
 Learning takes at most SAMPLE labelled documents, those least by a hash of doc_id, outside
 of the held-out fold; features are counted on all executors and one task, whose input is
-bounded by SAMPLE (of rows that share a labelled doc_id, the least text), makes the passes. For scoring, vectors and output are folded into one
+bounded by SAMPLE and by SAMPLE_BYTES of text in all (those first by the hash; none above a
+64th of it; of rows that share a labelled doc_id, the least text), makes the passes. For scoring, vectors and output are folded into one
 number a bucket. Scores use the text alone. Null, empty and blank texts have no features
 and score 0.5. Rows are scored each; a null doc_id is in no fold.
 """
@@ -20,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, words
+from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, within_bytes, words
 
 BITS, DIM, SAMPLE, PASSES, RATE = 17, 8, 8_000, 4, 0.5
+#: Bytes of text that the learning task's documents have together at most.
+SAMPLE_BYTES = 96 << 20
 FOLDS, FOLD, CUT = 4, 2, 0.7
 _B = U64(0x9E3779B97F4A7C15)
 
@@ -36,6 +39,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if len(h) > 1:
         same = owner[:-1] == owner[1:]
         pair = mix(mix(h[:-1]) + h[1:])
+        # a stutter says the same of a text in any word, and few of its words are in the sample
         pair[h[:-1] == h[1:]] = U64(1) << U64(63)
         buckets.append(pair[same])
         owners.append(owner[1:][same])
@@ -96,7 +100,8 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndar
     own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
     # one row an id, so that the sample bounds what the learning task gets
-    texts = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
+    texts = cut(texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")), "sample")
+    texts = within_bytes(texts, ["doc_id"], F.coalesce(F.octet_length("text"), F.lit(0)), SAMPLE_BYTES)
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:
         got, counts, bounds = counted(*features(chunk.column("text")), chunk.num_rows)

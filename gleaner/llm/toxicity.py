@@ -7,7 +7,8 @@ is a short list of (bucket, weight) that can be broadcast whatever the corpus.
 
 Learning takes at most SAMPLE labelled documents, those least by a hash of doc_id, outside
 of the held-out fold; features are made on all executors, and one task makes PASSES over
-them, since the method is sequential; its input is bounded by SAMPLE: of
+them, since the method is sequential; its input is bounded by SAMPLE documents and by
+SAMPLE_BYTES of text in all (those first by the hash; none above a 64th of it): of
 rows that share a labelled doc_id it learns from the least text. Scores use the text
 alone. Null, empty and unseen texts get the bias alone. Rows are scored each, whatever
 their doc_id; a null doc_id is in no fold. With no labels all weights are 0 and scores 0.5.
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, words
+from gleaner.llm.common import U64, arrow_map, bounded_sample, cut, held_out, list_array, mix, text_bytes, within_bytes, words
 
 BITS, SAMPLE, PASSES = 18, 20_000, 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
+#: Bytes of text that the learning task's documents have together at most.
+SAMPLE_BYTES = 96 << 20
 FOLDS, FOLD = 5, 0
 
 _BLANK = np.arange(256, dtype=np.uint8)
@@ -76,12 +79,13 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, passes: int = PASSES) -> tu
 def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """The non-zero weights as an array over buckets, and the bias."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    own = own.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"), FOLDS, FOLD))
+    own = own.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"), FOLDS, FOLD))
     own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = cut(bounded_sample(own, ["doc_id"], sample), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, "doc_id")
     # one row an id, so that the sample bounds what the learning task gets
-    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    texts = cut(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "sample")
+    texts = within_bytes(texts, ["doc_id"], F.coalesce(F.octet_length("text"), F.lit(0)), SAMPLE_BYTES)
 
     def made(chunk: pa.RecordBatch) -> pa.RecordBatch:
         got, bounds = distinct(*features(chunk.column("text")), chunk.num_rows)
