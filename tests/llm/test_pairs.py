@@ -96,6 +96,39 @@ def test_keep_one_by_rows(make_docs):
     assert kept == sorted([(8, near), (0, prose(22, 80)), (0, prose(23, 80)), (5, prose(24, 90)), (3, prose(25, 90)), (9, prose(26, 50)), (9, prose(27, 50)), (9, ""), (9, " ")])
 
 
+def test_keep_one_of_texts_that_share_ids(make_docs):
+    """Unrelated texts whose doc_ids repeat: none of them goes with another's group."""
+    x, y, p, q = (prose(30 + i, 80) for i in range(4))
+    rows = [(3, y), (7, x), (7, y), (9, x), (8, p), (8, q)]
+    kept = jaccard_join.keep_one(make_docs(rows)).collect()
+    assert sorted((k["doc_id"], k["text"]) for k in kept) == sorted([(3, y), (7, x), (8, p), (8, q)])
+
+
+def test_sizes_and_places_bound_what_meets(spark):
+    """met_by_size returns every pair that may link, one of it outside of the main component,
+    and no pair of sets whose places leave no partner."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    rows = [(r.randrange(3), i, n := r.randint(1, 120), r.randint(0, max(0, n * 15 // 100)), r.randrange(6)) for i in range(300)]
+    mains = {k: max(range(6), key=lambda c: sum(x[0] == k and x[4] == c for x in rows)) for k in range(3)}
+    rows = [(*x, mains[x[0]]) for x in rows]
+    for percent in (80, 85):
+        frame = spark.createDataFrame(rows, "key long, set_id long, n long, at int, root long, main long")
+        met = jaccard_join.met_by_size(frame, percent).where((F.col("root") != F.col("root2")) & jaccard_join.may_link(percent))
+        got = {frozenset((m["set_id"], m["set2"])) for m in met.collect()}
+        want = set()
+        for a in rows:
+            for b in rows:
+                if a[0] == b[0] and a[1] < b[1] and a[4] != b[4] and (a[4] != a[5] or b[4] != b[5]):
+                    left = min(a[2] - a[3], b[2] - b[3])
+                    if 100 * min(a[2], b[2]) >= percent * max(a[2], b[2]) and (100 + percent) * left >= percent * (a[2] + b[2]):
+                        want.add(frozenset((a[1], b[1])))
+        assert got == want and want
+    hot = spark.createDataFrame([(1, i, 100, 14, i, 0) for i in range(1, 2000)], "key long, set_id long, n long, at int, root long, main long")
+    assert jaccard_join.met_by_size(hot, 85).count() == 0
+
+
 def test_components(spark):
     path = [(i, i + 1) for i in range(200)]
     star = [(1000, 1000 + i) for i in range(1, 50)] + [(1000, 1000)]
@@ -120,17 +153,57 @@ def test_decontamination(spark, make_docs):
     rows += [(None, bench[3])]
     docs = make_docs(rows)
     found = decontaminate.contaminated(docs, items(spark, bench)).collect()
-    assert {(f["doc_id"], f["item_id"]) for f in found} == {(1, 0), (3, 2), (4, 1), (None, 3)}
+    assert {(f["doc_id"], f["item_id"]) for f in found} == {(1, 0), (3, 2), (4, 1), (None, 3), (7, 4)}
     assert {f["edits"] for f in found if f["doc_id"] == 1} == {0}
     small = decontaminate.contaminated(docs, items(spark, bench), block=10).collect()
     assert {(f["doc_id"], f["item_id"]) for f in small} == {(f["doc_id"], f["item_id"]) for f in found}
     kept = decontaminate.kept_documents(docs, items(spark, bench))
-    assert kept.columns == docs.columns and sorted(k["key"] for k in kept.collect()) == ["k1", "k4", "k5", "k6", "k7"]
-    assert decontaminate.kept_documents(docs.withColumnRenamed("n", "_bad"), items(spark, bench)).count() == 5
+    assert kept.columns == docs.columns and sorted(k["key"] for k in kept.collect()) == ["k1", "k4", "k5", "k7"]
+    assert decontaminate.kept_documents(docs.withColumnRenamed("n", "_bad"), items(spark, bench)).count() == 4
     assert decontaminate.contaminated(docs, items(spark, bench).where("false")).count() == 0
     assert decontaminate.contaminated(docs.where("false"), items(spark, bench)).count() == 0
 
 
+def test_decontamination_equals_brute_force(spark, make_docs):
+    """Every window against every text, by plain edit distance of the window to any stretch."""
+
+    def nearest(pattern, text):
+        row = [0] * (len(text) + 1)
+        for i, a in enumerate(pattern, 1):
+            last, row[0] = row[0], i
+            for j, b in enumerate(text, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+        return min(row)
+
+    r = random.Random(8)
+    bench = [(1, prose(510, 12)), (2, prose(511, 9)), (None, prose(512, 8)), (3, "short text"), (4, "-" * 70), (5, "tiny")]
+    rows = []
+    for i in range(24):
+        x = list(decontaminate.normal(bench[i % 5][1])[: r.choice([20, 70, 90])])
+        for _ in range(i % 9):
+            at = r.randrange(len(x))
+            x[at] = r.choice(["", "q", x[at] + "z"])
+        rows.append((i, f"{prose(i, 6)} {''.join(x)} {prose(50 + i, 6)}"))
+    wins = decontaminate.windows(spark.createDataFrame(bench, "item_id long, text string")).collect()
+    want = set()
+    for i, t in rows:
+        for w in wins:
+            if nearest(w["pattern"], decontaminate.normal(t)) <= decontaminate.budget(len(w["pattern"])):
+                want.add((i, w["item_id"], w["at"]))
+    got = decontaminate.matches(make_docs(rows), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(m["doc_id"], m["item_id"], m["at"]) for m in got} == want and len({i for i, *_ in want}) > 8
+
+
+def test_frequent_qgrams_go_in_parts():
+    """Texts and windows of one repeated character, beyond the hits looked at together."""
+    text = "-" * 30_000 + "x" + decontaminate.normal(prose(1, 20)) + "-" * 30_000
+    wins = ["-" * 64] * 3 + [decontaminate.normal(prose(1, 20))[:64]]
+    index = decontaminate.Index([1, 2, 3, 4], wins)
+    found = index.regions([text, "none", text])
+    assert {(t, w) for t, w, *_ in found} == {(t, w) for t in (0, 2) for w in range(4)}
+    assert any(abs(s - 30_001) < 40 for t, w, s, _ in found if w == 3 and t == 2)
+
+
 def test_decontamination_of_long_texts():
     """Passages at any place of a text that is looked at in pieces."""
     bench = prose(700, 30)
