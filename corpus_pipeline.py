@@ -19,8 +19,9 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the least doc_id."""
-    return jaccard_join.keep_one(docs)
+    """One document of each group of linked ones: that with the least doc_id. Documents link
+    at a similarity of 0.8 of their sets of five-word shingles."""
+    return jaccard_join.keep_one(docs, k=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
