@@ -54,7 +54,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` wrote, when all that was made of them is written itself."""
+    for df in tables:
+        jvm, path = df.sparkSession._jvm, getattr(df, "_table", None)
+        if path:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], limit: int = CHUNK, column: str = "text") -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import cut
+from gleaner.llm.common import cut, drop
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -31,14 +31,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         step = both.groupBy("node").agg(F.min("to").alias("to"))
         step = cut(step.select("node", F.least(F.col("to"), key("node"))["id"].alias("to")), "step")
         if found is None:
-            found = step.withColumnRenamed("to", "root")
+            found = cut(step.withColumnRenamed("to", "root"), "found")
         else:
-            found = cut(
+            last, found = found, cut(
                 found.join(step.withColumnRenamed("node", "root"), "root", "left").select(
                     "node", F.coalesce("to", "root").alias("root")
                 ),
                 "found",
             )
+            drop(last)
         moved = (
             links.join(step.select(F.col("node").alias("a"), F.col("to").alias("x")), "a")
             .join(step.select(F.col("node").alias("b"), F.col("to").alias("y")), "b")
@@ -46,7 +47,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()
         )
-        links = cut(moved, "links")
+        last, links = links, cut(moved, "links")
+        drop(last, step)
     else:
         raise RuntimeError("components did not settle")
     if found is None:

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, slot, small_batches, text_bytes, words
+from gleaner.llm.common import U64, bitmap, chunks, cut, drop, in_bitmap, list_array, mix, shingles, signed, slot, small_batches, text_bytes, words
 from gleaner.llm.graph import components
 
 SUBSET = U64(0xD6E8FEB86659FD93)
@@ -224,7 +224,9 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perce
     two = made.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(one, "a").join(two, "b").withColumn("inter", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("inter")
-    return cut(both.where(100 * F.col("inter") >= percent * union).select("a", "b"), "linked")
+    out = cut(both.where(100 * F.col("inter") >= percent * union).select("a", "b"), "linked")
+    drop(pairs, chosen, made)
+    return out
 
 
 def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -240,7 +242,8 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
     first = every.groupBy("key").agg(F.min(F.struct("p", "set_id")).alias("lead"), F.count(F.lit(1)).alias("c"))
     first = first.where("c > 1").select("key", F.col("lead.set_id").alias("set2"), F.col("lead.p").alias("p2"))
     # written first: a join of two plain exchanges is one whose hot keys Spark can split
-    shared = every.join(cut(first, "leads"), "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
+    leads = cut(first, "leads")
+    shared = every.join(leads, "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
     shared = cut(shared, "lists")
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
@@ -254,6 +257,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
     )
     main = cut(main.where("roots > 1").select("key", "main"), "mains")
     mixed = cut(placed.join(main, "key"), "mixed")
+    drop(shared, leads, placed, main)
     rest = met_by_size(mixed, percent).where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
     late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, owners, k, percent)
     if late.take(1):
@@ -264,6 +268,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
         nodes = found.select("node", "root").union(over.select("node", F.col("node").alias("root")).join(found.select("node"), "node", "left_anti"))
         found = nodes.join(over.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
 
+    drop(mixed)
     by_set = owners.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
     return sets, by_set.select("set_id", F.coalesce("root", "set_id").alias("root"), "least", "row")
 

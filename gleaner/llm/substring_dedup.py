@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import U64, arrow_map, bitmap, chunks, cut, in_bitmap, list_array, mix, shingles, signed, small_batches, text_bytes, word_counts, words
+from gleaner.llm.common import U64, arrow_map, bitmap, chunks, cut, drop, in_bitmap, list_array, mix, shingles, signed, small_batches, text_bytes, word_counts, words
 
 K, RARE, SPAN, CONTEXT, RUN_SPAN = 5, 8, 32, 22, 20
 LEAST_WORDS, SIMILAR = 45, 0.8
@@ -404,6 +404,7 @@ def passages(docs: DataFrame) -> DataFrame:
 
     groups = met.groupBy("key", "source", "block").agg(F.collect_set("m").alias("m")).drop("block")
     found = cut(groups.mapInArrow(chained, "key long, source long, a0 long, a1 long, b0 long, b1 long, runs array<int>"), "chains")
+    drop(every, leads)
 
     wanted = found.select("key").union(found.select("source")).select(F.pmod("key", F.lit(TEXT_SLOTS)).alias("p"))
     bits = spark.sparkContext.broadcast(bitmap(wanted, F.col("p"), TEXT_SLOTS))
@@ -446,6 +447,7 @@ def passages(docs: DataFrame) -> DataFrame:
     one = found.join(coded_texts, "key").withColumn("x", part("a0", "a1")).drop("words")
     two = one.join(coded_texts.withColumnRenamed("key", "source"), "source").withColumn("y", part("b0", "b1")).drop("words")
     done = cut(two.select("key", "source", "a0", "b0", "x", "y", "runs").mapInArrow(compared, FOUND), "done").distinct()
+    drop(found, coded_texts)
     done = done.join(first.withColumnRenamed("first", "doc_id"), "key").join(first.select(F.col("key").alias("source"), F.col("first").alias("source_doc_id")), "source")
     parts = done.select("doc_id", F.col("a0").alias("start"), F.col("a1").alias("end"), "source_doc_id", F.col("b0").alias("source_start"), F.col("b1").alias("source_end"), "similarity", F.lit(False).alias("copy"))
 
