@@ -9,47 +9,46 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import squeeze
+from gleaner.sources import html as H
 
-_TAG = re.compile(r"<([a-zA-Z][\w-]*)((?:\s[^<>]*?)?)(\s*/?)>")
-_PAIR = re.compile(r"""([a-zA-Z_:][\w:.-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+#: Attributes that change from one load of a page to the next, and what a
+#: generated value of a data attribute looks like.
+VOLATILE = ("data-reactid", "nonce", "integrity")
+GENERATED = r"[A-Za-z0-9_-]{20,}"
 
+_generated = re.compile(GENERATED).fullmatch
 
-def sorted_attributes(html: str | Column) -> Column:
-    """Tags with their attributes in order of name, so that order makes no difference."""
 
-    def tag(m: re.Match) -> str:
-        found = {}
-        for name, raw in _PAIR.findall(m[2]):
-            found.setdefault(name, raw.strip("\"'"))
-        attrs = "".join(f' {k}="{v}"' if v else f" {k}" for k, v in sorted(found.items()))
-        return f"<{m[1]}{attrs}{m[3]}>"
+def normal_html(html: str | Column) -> Column:
+    """A page as its tree is written: without comments and volatile attributes, attributes in
+    order of name, blanks squeezed."""
 
-    def run(pages: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else _TAG.sub(tag, x) for x in pages.to_pylist()], pa.string())
-
-    return F.arrow_udf(run, "string")(html)
+    def normal(page: str) -> str:
+        nodes = H.parse(page)
+        for e in nodes:
+            e.attrs = {k: v for k, v in sorted(e.attrs.items()) if k not in VOLATILE and not (k.startswith("data-") and _generated(v))}
+        return nodes[0].parent.inner() if nodes else page
 
+    def run(pages: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else normal(x.as_py()) for x in pages], pa.string())
 
-def normal_html(html: str) -> Column:
-    """html without comments and volatile attributes, attributes sorted, blanks squeezed."""
-    s = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    s = F.regexp_replace(s, r'(?i)\s+(?:data-reactid|nonce|integrity)="[^"]*"', "")
-    s = F.regexp_replace(s, r'(?i)\s+data-[a-z0-9-]+="[A-Za-z0-9_-]{20,}"', "")
-    return squeeze(sorted_attributes(s))
+    return squeeze(F.arrow_udf(run, "string")(html))
 
 
 def page_key(url: str, html: Column) -> Column:
     return F.sha2(F.concat(F.coalesce(F.col(url), F.lit("")), F.char(F.lit(0)), html), 256)
 
 
-def deduplicated(captures: DataFrame, job: str, seq: str) -> DataFrame:
-    """The first capture of each page (url and normalised html) of a job, numbered, with
-    id page_NNNN_xxxxxxxx and hash. Captures without html aren't pages."""
-    keyed = captures.where("html is not null and html <> ''").withColumn("hash", page_key("url", normal_html("html")))
-    first = keyed.groupBy(job, "hash").agg(F.min(seq).alias(seq))
-    kept = keyed.join(first, [job, "hash", seq])
+def deduplicated(captures: DataFrame, job: str, seq: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The first capture of each page (url and normalised html) of a job: job, seq, the columns
+    of `keep`, hash, n_captures, page_number and page_id_text (page_NNNN_xxxxxxxx). Captures
+    without html aren't pages. Each is normalised once and only its hash is shuffled; html is
+    found again by (job, seq) where it's wanted. A job's pages are numbered in one task."""
+    hashed = captures.where("html is not null and html <> ''").select(job, seq, *keep, page_key("url", normal_html("html")).alias("hash"))
+    first = hashed.groupBy(job, "hash").agg(F.min(F.struct(seq, *keep)).alias("_f"), F.count(F.lit(1)).alias("n_captures"))
     n = F.row_number().over(Window.partitionBy(job).orderBy(seq))
-    return kept.withColumn("page_number", n).withColumn("page_id_text", F.format_string("page_%04d_%s", "page_number", F.substring("hash", 1, 8)))
+    out = first.select(job, "_f.*", "hash", "n_captures").withColumn("page_number", n)
+    return out.withColumn("page_id_text", F.format_string("page_%04d_%s", "page_number", F.substring("hash", 1, 8)))
 
 
 def capped(pages: DataFrame, job: str, seq: str, cap: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleaner.functions import text as X
 
@@ -66,9 +67,33 @@ def shape(fields: list[str]) -> Column:
     return F.array_join(F.array_sort(F.filter(F.array(*[F.when(~X.unpopulated(F.col(f).cast("string")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())), ",")
 
 
-def shapes(rows: DataFrame, group: list[str], fields: list[str], order: str) -> DataFrame:
-    """The shapes of each group's records: A is the most frequent, ties by first place."""
-    found = rows.withColumn("signature", shape(fields)).groupBy(*group, "signature").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+def leaf_paths(schema: T.StructType, above: str = "") -> list[tuple[str, T.DataType]]:
+    """Dotted paths of a record's leaves, in order; an array is one leaf."""
+    out = []
+    for f in schema.fields:
+        path = f"{above}{f.name}"
+        out += leaf_paths(f.dataType, f"{path}.") if isinstance(f.dataType, T.StructType) else [(path, f.dataType)]
+    return out
+
+
+def nested_shape(record: str, schema: T.StructType) -> Column:
+    """Paths of a record's populated leaves, sorted and joined: a text that isn't empty, an
+    array with elements, any other value that isn't null (0 and false are values)."""
+
+    def populated(path: str, kind: T.DataType) -> Column:
+        value = F.col(f"{record}.{path}")
+        if isinstance(kind, T.StringType):
+            return F.coalesce(value != "", F.lit(False))
+        return F.coalesce(F.size(value) > 0, F.lit(False)) if isinstance(kind, T.ArrayType | T.MapType) else value.isNotNull()
+
+    names = [F.when(populated(path, kind), F.lit(path)) for path, kind in leaf_paths(schema)]
+    return F.array_join(F.array_sort(F.array_compact(F.array(*names))), ",")
+
+
+def shapes(rows: DataFrame, group: list[str], fields: list[str], order: str, signature: Column | None = None) -> DataFrame:
+    """The shapes of each group's records: A is the most frequent, ties by first place. A
+    record's shape is that of its fields, or the signature given (see nested_shape)."""
+    found = rows.withColumn("signature", shape(fields) if signature is None else signature).groupBy(*group, "signature").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
     w = Window.partitionBy(*group)
     found = found.withColumn("_r", F.row_number().over(w.orderBy(F.desc("n"), "first"))).withColumn("_n", F.sum("n").over(w))
     return found.where("_n >= 2").select(*group, F.char(64 + F.col("_r")).alias("shape"), "signature", "n", "first")

@@ -12,17 +12,21 @@ from gleaner.functions import text as X
 from gleaner.sources import html as H
 
 #: What is taken out of a page before it's read.
-USELESS = frozenset("script style link video audio canvas svg noscript template meta path g defs use".split())
+USELESS = ("script", "style", "link", "video", "audio", "canvas", "svg", "noscript", "template", "meta", "path", "g", "defs", "use")
 HIDDEN = '[hidden], [aria-hidden="true"], [style*="display: none"], [style*="display:none"], [style*="visibility: hidden"]'
-NOISE = ", ".join(
-    ["nav", "footer", "header", "aside"]
-    + [f'[role="{r}"]' for r in ("navigation", "banner", "contentinfo", "complementary")]
-    + [f'[class*="{c}"]' for c in ("sidebar", "side-bar", "Sidebar", "toast", "modal-backdrop", "overlay", "cookie", "banner", "popup", "tooltip", "dropdown-menu")]
-)
+NOISE = (
+    "nav", "footer", "header", "aside",
+    '[role="navigation"]', '[role="banner"]', '[role="contentinfo"]', '[role="complementary"]',
+    '[class*="sidebar"]', '[class*="side-bar"]', '[class*="Sidebar"]', '[class*="toast"]', '[class*="modal-backdrop"]', '[class*="overlay"]',
+    '[class*="cookie"]', '[class*="banner"]', '[class*="popup"]', '[class*="tooltip"]', '[class*="dropdown-menu"]',
+)
 #: Attributes of a compressed page, and tags kept as they are.
 SHOWN = ("id", "name", "placeholder", "type", "href")
-OPAQUE = frozenset("html head body table thead tbody tr td th ul ol li a button select form iframe".split())
-LONG_TEXT, LONG_VALUE, HTML_CAP, TEXT_CAP, SUMMARY_CAP = 200, 200, 80_000, 15_000, 3000
+OPAQUE = ("html", "head", "body", "table", "thead", "tbody", "tr", "td", "th", "ul", "ol", "li", "a", "button", "select", "form", "iframe")
+#: Lengths of texts and attribute values from which they are shortened.
+LONG_TEXT, LONG_VALUE = 200, 200
+#: Code points of a snapshot's parts, if `snapshot` isn't told others.
+HTML_CAP, TEXT_CAP, SUMMARY_CAP = 80_000, 15_000, 3000
 
 _framework = [re.compile(p) for p in X.FRAMEWORK_CLASSES]
 _whole = [re.compile(p) for p in X.KEPT_WHOLE]
@@ -39,7 +43,7 @@ def _shorter(text: str, limit: int, whole=_whole) -> str:
 
 def clean(nodes: list[H.Node]) -> list[H.Node]:
     """The page's elements without what nobody reads; the tree is changed in place."""
-    tests = [H.compiled(HIDDEN), H.compiled(NOISE)]
+    tests = [H.compiled(HIDDEN), H.compiled(", ".join(NOISE))]
     gone = [e for e in nodes if e.tag in USELESS or any(t(e) for t in tests)]
     for e in gone:
         e.parent.children = [c for c in e.parent.children if c is not e]
@@ -85,9 +89,10 @@ def unwrapped(nodes: list[H.Node]) -> None:
             e.parent.children = [kids[0] if c is e else c for c in e.parent.children]
 
 
-def snapshot(html: str | Column = "html") -> Column:
+def snapshot(html: str | Column = "html", html_cap: int = HTML_CAP, text_cap: int = TEXT_CAP, summary_cap: int = SUMMARY_CAP) -> Column:
     """struct(title, html, text, structure, summary): the cleaned page, its text, and the
-    compressed structure; all from one parse. Null html is an empty page."""
+    compressed structure; all from one parse. Null html is an empty page. The caps are the
+    snapshot's own limits on code points of html, text and summary."""
 
     def run(pages: pa.Array) -> pa.Array:
         rows = []
@@ -96,11 +101,11 @@ def snapshot(html: str | Column = "html") -> Column:
             top = [e for e in nodes if e.parent.tag == "#document"]
             title = next((e.text().strip() for e in nodes if e.tag == "title"), "")
             structure, body = "".join(compress(e) for e in top), next((e for e in nodes if e.tag == "body"), None)
-            summary = body.text()[:SUMMARY_CAP] if body else ""
+            summary = body.text()[:summary_cap] if body else ""
             clean(nodes)
             out = _squeezed("".join(e.outer() for e in top))
-            text = body.text().strip()[:TEXT_CAP] if body else ""
-            rows.append({"title": title, "html": out[:HTML_CAP], "text": text, "structure": structure, "summary": summary})
+            text = body.text().strip()[:text_cap] if body else ""
+            rows.append({"title": title, "html": out[:html_cap], "text": text, "structure": structure, "summary": summary})
         return pa.array(rows, pa.struct([(k, pa.string()) for k in ("title", "html", "text", "structure", "summary")]))
 
     return F.arrow_udf(run, "struct<title:string,html:string,text:string,structure:string,summary:string>")(html)

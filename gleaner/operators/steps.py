@@ -54,6 +54,30 @@ def boosted(steps: DataFrame, graph: str = "graph", least: int = 30) -> DataFram
     return out.withColumn("max_iterations", F.when(F.col("_b") & unset, least).otherwise(F.coalesce("max_iterations", F.lit(1)))).drop("_b")
 
 
+#: A step's script until it is annotated, keys by which a script says that it
+#: isn't ready yet, and the iterations of a step that says so and has none set.
+PENDING = "// PENDING_ANNOTATION"
+SIGNAL = r"\b(done|ready|complete|finished|responseReady|generating|loading)\s*:"
+POLLS = 30
+
+
+def execution_notes(steps: DataFrame, graph: str = "graph") -> DataFrame:
+    """(graph, id, note): steps without a script of their own, which keep a graph from running,
+    and steps that may run again but whose script never says that it isn't ready."""
+    script = F.coalesce(F.trim("script"), F.lit(""))
+    notes = F.array(
+        F.when(script.isin("", PENDING), F.lit("PENDING_ANNOTATION")),
+        F.when((F.coalesce("max_iterations", F.lit(1)) > 1) & ~script.isin("", PENDING) & ~script.rlike(SIGNAL), F.lit("NO_SIGNAL")),
+    )
+    return steps.select(graph, "id", F.explode(F.array_compact(notes)).alias("note"))
+
+
+def with_defaults(steps: DataFrame) -> DataFrame:
+    """steps whose iterations are unset and whose script has a signal run up to POLLS times."""
+    unset = F.col("max_iterations").isNull() & F.coalesce(F.col("script").rlike(SIGNAL), F.lit(False))
+    return steps.withColumn("max_iterations", F.when(unset, POLLS).otherwise(F.col("max_iterations")))
+
+
 def appended(steps: list[dict], new: dict) -> list[dict]:
     """A step added at the end: what ended the chain by success now leads to it."""
     out = [dict(s) for s in steps]

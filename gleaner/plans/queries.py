@@ -134,16 +134,22 @@ def page_fingerprint(spark, d):
 
 
 def captures(spark, d) -> DataFrame:
-    """Pages captured twice by jobs of 40 pages each; the second time with other blanks."""
-    p = t(spark, d, "pages").select("url", "html", "page_id", F.floor(F.col("page_id") / 40).alias("job"))
-    again = p.select("url", F.replace("html", F.lit("</p>"), F.lit("</p> ")).alias("html"), (F.col("page_id") + 1_000_000).alias("seq"), "job", "page_id")
-    return p.select("url", "html", F.col("page_id").alias("seq"), "job", "page_id").unionByName(again.withColumn("html", F.regexp_replace("html", "</p> ", "</p>")))
+    """Pages captured twice by jobs of 40 pages each: the second time with other blanks, a
+    comment, and links with a nonce and their attributes in another order."""
+    p = t(spark, d, "pages").select("url", "html", "page_id", F.floor(F.col("page_id") / 40).alias("job"), F.col("page_id").alias("seq"))
+    first = F.replace("html", F.lit("<li><a href="), F.lit('<li><a class="x" href='))
+    other = F.regexp_replace("html", '<li><a href=("[^"]*")', '<li><a  nonce="k7" href=$1\n class="x"')
+    other = F.replace(F.replace(other, F.lit(". "), F.lit(".\n  ")), F.lit("<article>"), F.lit("<!-- again --><article>"))
+    return p.withColumn("html", first).unionByName(p.withColumn("html", other).withColumn("seq", F.col("seq") + 1_000_000))
 
 
-@query("""SELECT floor(page_id / 40)::BIGINT AS job, page_id, row_number() OVER (PARTITION BY floor(page_id / 40) ORDER BY page_id) AS page_number FROM pages""")
+@query("""SELECT floor(page_id / 40)::BIGINT AS job, page_id, 2::BIGINT AS n_captures, row_number() OVER w AS page_number, printf('page_%04d_', row_number() OVER w) AS id_head, true AS id_of_hash
+    FROM pages WINDOW w AS (PARTITION BY floor(page_id / 40) ORDER BY page_id)""")
 def page_dedup_ids(spark, d):
-    """The first capture of each page and its number; ids by SHA-256 of url and page."""
-    return P.deduplicated(captures(spark, d), "job", "seq").select("job", "page_id", F.col("page_number").cast("long").alias("page_number"))
+    """The first capture of each page, its number and id; the second capture has its hash."""
+    found = P.deduplicated(captures(spark, d), "job", "seq", ("page_id",))
+    of_hash = F.right("page_id_text", F.lit(8)) == F.left("hash", F.lit(8))
+    return found.select("job", "page_id", "n_captures", F.col("page_number").cast("long").alias("page_number"), F.left("page_id_text", F.lit(10)).alias("id_head"), of_hash.alias("id_of_hash"))
 
 
 @query("""WITH r AS (SELECT floor(page_id / 40)::BIGINT AS job, page_id, row_number() OVER (PARTITION BY floor(page_id / 40) ORDER BY page_id) AS n, count(*) OVER (PARTITION BY floor(page_id / 40)) AS c FROM pages)
@@ -263,6 +269,17 @@ def shape_fields(spark, d):
     return Q.shape_fields(Q.shapes(labelled(spark, d), ["source"], FIELDS, "doc_id"), ["source"])
 
 
+@query(f"""SELECT source, chr((64 + row_number() OVER (PARTITION BY source ORDER BY n DESC, first))::INT) AS shape, signature, n, first FROM (
+    SELECT source, array_to_string(list_sort(list_filter([CASE WHEN coalesce(lang, '') <> '' THEN 'lang' END, CASE WHEN coalesce(quality, '') <> '' THEN 'marks.quality' END, CASE WHEN toxic <> '' THEN 'marks.more.toxic' END,
+    CASE WHEN size <> '' THEN 'sizes' END], lambda x: x IS NOT NULL)), ',') AS signature, count(*) AS n, min(doc_id) AS first FROM {_LABELLED} GROUP BY 1, 2)""")
+def nested_shapes(spark, d):
+    """Shapes of nested records, by dotted paths of their leaves."""
+    marks = F.struct(F.col("quality"), F.struct("toxic").alias("more"))
+    sizes = F.when(F.col("size").isNotNull(), F.array("size")).otherwise(F.array().cast("array<string>"))
+    rows = labelled(spark, d).select("source", "doc_id", F.struct("lang", marks.alias("marks"), sizes.alias("sizes")).alias("record"))
+    return Q.shapes(rows, ["source"], [], "doc_id", Q.nested_shape("record", rows.schema["record"].dataType))
+
+
 def scored(spark, d) -> DataFrame:
     """Orders as a customer's attempts, line items as their records."""
     items = t(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
@@ -524,6 +541,24 @@ def step_run(spark, d):
     return G.execute(spark, [first, second], {}).last
 
 
+def scripted(spark, d) -> DataFrame:
+    """The steps with scripts that poll, wait for their annotation, or run once."""
+    kind = F.length("id") % 3
+    script = F.when(kind == 0, "return { done: false }").when(kind == 1, " // PENDING_ANNOTATION").otherwise("run()")
+    return step_table(spark, d).withColumn("script", script)
+
+
+@query(f"SELECT graph, id, CASE WHEN max_iterations IS NULL AND length(id) % 3 = 0 THEN 30 ELSE max_iterations END AS max_iterations FROM {_STEPS}")
+def topology_defaults(spark, d):
+    return G.with_defaults(scripted(spark, d)).select("graph", "id", "max_iterations")
+
+
+@query(f"""SELECT graph, id, CASE WHEN length(id) % 3 = 1 THEN 'PENDING_ANNOTATION' ELSE 'NO_SIGNAL' END AS note FROM {_STEPS}
+    WHERE length(id) % 3 = 1 OR (length(id) % 3 = 2 AND coalesce(max_iterations, 1) > 1)""")
+def execution_notes(spark, d):
+    return G.execution_notes(scripted(spark, d))
+
+
 # --- jobs ----------------------------------------------------------------------------
 
 
@@ -735,7 +770,10 @@ def queue_status(spark, d):
     return store.queue_status(jobs(spark, d))
 
 
-@query("SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN 'r0-' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) + 3) WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) = 1 THEN 'r' || n_regionkey ELSE 'r' || n_regionkey || '-' || (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) END AS unique_slug FROM nation")
+@query("""WITH taken(name) AS (VALUES ('r0'), ('r0-3'), ('other')), wanted AS (SELECT n_nationkey, 'r' || n_regionkey AS slug, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
+tried AS (SELECT slug, i, CASE WHEN i = 0 THEN slug ELSE slug || '-' || i END AS name FROM (SELECT DISTINCT slug FROM wanted), (SELECT unnest(range(0, 100)) AS i)),
+free AS (SELECT slug, name, row_number() OVER (PARTITION BY slug ORDER BY i) AS k FROM tried WHERE name NOT IN (SELECT name FROM taken))
+SELECT n_nationkey, name AS unique_slug FROM wanted JOIN free USING (slug, k)""")
 def unique_slugs(spark, d):
     rows = t(spark, d, "nation").select("n_nationkey", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("slug"))
     taken = spark.createDataFrame([("r0",), ("r0-3",), ("other",)], "name string")

@@ -43,13 +43,30 @@ class Node:
     def elements(self) -> list[Node]:
         return [c for c in self.children if not isinstance(c, str)]
 
+    def _written(self) -> list:
+        """Children from last to first, texts as they are written."""
+        raw = self.tag in ("script", "style", "#document")
+        return [(c if raw else _escape(c)) if isinstance(c, str) else c for c in reversed(self.children)]
+
     def inner(self) -> str:
-        raw = self.tag in ("script", "style")
-        return "".join((c if raw else _escape(c)) if isinstance(c, str) else c.outer() for c in self.children)
+        """The children's html; without recursion, for pages may nest at any depth."""
+        parts, todo = [], self._written()
+        while todo:
+            x = todo.pop()
+            if isinstance(x, str):
+                parts.append(x)
+                continue
+            parts.append(x.start())
+            if x.tag not in VOID:
+                todo.append(f"</{x.tag}>")
+                todo.extend(x._written())
+        return "".join(parts)
+
+    def start(self) -> str:
+        return f"<{self.tag}" + "".join(f' {k}="{_escape(v, True)}"' for k, v in self.attrs.items()) + ">"
 
     def outer(self) -> str:
-        attrs = "".join(f' {k}="{_escape(v, True)}"' for k, v in self.attrs.items())
-        return f"<{self.tag}{attrs}>" + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
+        return self.start() + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
 
 
 def _escape(text: str, attribute: bool = False) -> str:

@@ -63,18 +63,20 @@ def job_state(events: DataFrame, key: str, order: str, state: Column) -> DataFra
 
 
 def unique_slugs(rows: DataFrame, slug: str, taken: DataFrame, key: str) -> DataFrame:
-    """Slugs with -1, -2 ... where an older row or a known name has the plain one. The
-    numbers that are free are found by joins, whatever the number of rows of one slug."""
+    """Slugs, the plain one or that with the first of -1, -2 ... that no known name and no row
+    before has. The row of rank r takes the r-th free number: r plus the used numbers that
+    have r free ones or fewer below them. Rows of one slug are ranked in one task."""
     from pyspark.sql import Window
 
     known = taken.select(F.col("name").alias("_name")).distinct()
-    suffix = F.regexp_extract("_name", r"-(\d+)$", 1)
-    base = F.when(suffix != "", F.regexp_replace("_name", r"-\d+$", "")).otherwise(F.col("_name"))
-    used = known.select(base.alias(slug), F.when(suffix != "", suffix.cast("long")).otherwise(0).alias("_u"))
-    top = used.groupBy(slug).agg(F.max("_u").alias("_top"))
+    suffix = F.regexp_extract("_name", r"-([1-9]\d*)$", 1)
+    numbered = known.where(suffix != "").select(F.regexp_replace("_name", r"-\d+$", "").alias(slug), suffix.cast("long").alias("_u"))
+    used = known.select(F.col("_name").alias(slug), F.lit(0).cast("long").alias("_u")).union(numbered).groupBy(slug).agg(F.sort_array(F.collect_set("_u")).alias("_used"))
+    below = F.transform("_used", lambda u, i: u - i)
     w = Window.partitionBy(slug).orderBy(key)
-    out = rows.join(top, slug, "left").withColumn("_n", F.row_number().over(w) + F.coalesce("_top", F.lit(-1)))
-    return out.withColumn("unique_slug", F.when(F.col("_n") == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), F.col("_n").cast("string")))).drop("_n", "_top")
+    out = rows.join(used.select(slug, below.alias("_below")), slug, "left").withColumn("_r", F.row_number().over(w) - 1)
+    n = F.col("_r") + F.coalesce(F.size(F.filter("_below", lambda b: b <= F.col("_r"))), F.lit(0))
+    return out.withColumn("unique_slug", F.when(n == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string")))).drop("_r", "_below")
 
 
 def queue_status(jobs: DataFrame, status: str = "status") -> DataFrame:

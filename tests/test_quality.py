@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import text as X
 from gleaner.operators import history, pages, quality, steps
+from gleaner.sources import store
 
 
 def one(spark, column, **values):
@@ -68,6 +69,21 @@ def test_shapes(spark):
     assert quality.shapes(rows.limit(1), ["d"], ["a"], "i").count() == 0
 
 
+def test_nested_shapes(spark):
+    rows = [(1, i, r) for i, r in enumerate([("x", (0, ""), []), ("x", (0, None), None), ("x", None, ["a"]), ("", (None, "n"), ["a", ""]), (None, None, None)])]
+    frame = spark.createDataFrame(rows, "d int, i int, r struct<t: string, u: struct<n: int, name: string>, l: array<string>>")
+    found = quality.shapes(frame, ["d"], [], "i", quality.nested_shape("r", frame.schema["r"].dataType))
+    assert [(r["shape"], r["signature"], r["n"]) for r in found.orderBy("shape").collect()] == [("A", "t,u.n", 2), ("B", "l,t", 1), ("C", "l,u.name", 1), ("D", "", 1)]
+    assert [p for p, _ in quality.leaf_paths(frame.schema["r"].dataType)] == ["t", "u.n", "u.name", "l"]
+
+
+def test_step_checks(spark):
+    rows = [("g", "a", "x()", None), ("g", "b", "return {done: false}", None), ("g", "c", "x()", 5), ("g", "d", " // PENDING_ANNOTATION ", 3), ("g", "e", None, None), ("g", "f", "loading : true", 2), ("g", "h", "undone: 1", None)]
+    frame = spark.createDataFrame(rows, "graph string, id string, script string, max_iterations int")
+    assert {(r["id"], r["note"]) for r in steps.execution_notes(frame).collect()} == {("c", "NO_SIGNAL"), ("d", "PENDING_ANNOTATION"), ("e", "PENDING_ANNOTATION")}
+    assert {r["id"]: r["max_iterations"] for r in steps.with_defaults(frame).collect()} == {"a": None, "b": 30, "c": 5, "d": 3, "e": None, "f": 2, "h": None}
+
+
 def test_attempt_score(spark):
     score = lambda c, n, f: spark.range(1).select(quality.attempt_score(F.lit(float(c)), F.lit(n), F.lit(f)).alias("s")).first()["s"]
     assert score(1, 2, 6) == 135.0 and score(0, 0, 0) == 0.0
@@ -89,6 +105,24 @@ def test_page_caps(spark, n, cap, kept):
     assert all(r["dropped"] == max(0, n - cap) for r in found)
 
 
+def test_unique_slugs_are_the_first_free(spark):
+    taken = ["r0", "r0-3", "r1-1", "r2-2", "r2-3", "r3", "r3-1", "r3-2", "r4-01", "other"]
+    rows = [(10 * i + j, f"r{i}") for i in range(5) for j in range(5)]
+    found = store.unique_slugs(spark.createDataFrame(rows, "k int, slug string"), "slug", spark.createDataFrame([(x,) for x in taken], "name string"), "k")
+    want, used = {}, set(taken)
+    for k, slug in rows:
+        want[k] = next(x for x in [slug, *(f"{slug}-{n}" for n in range(1, 99))] if x not in used)
+        used.add(want[k])
+    assert {r["k"]: r["unique_slug"] for r in found.collect()} == want
+
+
+def test_pages_nest_at_any_depth(spark):
+    deep = "<div>" * 5000 + "x" + "</div>" * 5000
+    rows = [(1, 1, "u", deep), (1, 2, "u", deep + "<!-- c -->"), (1, 3, "u", "only text"), (1, 4, "u", '<p data-k="abcdefghijklmnopqrstuvwxyz" b=\'1\' a>&amp;</p>'), (1, 5, "u", '<P a b="1">&amp;</p>')]
+    found = pages.deduplicated(spark.createDataFrame(rows, "job int, seq int, url string, html string"), "job", "seq").orderBy("seq").collect()
+    assert [(r["seq"], r["n_captures"]) for r in found] == [(1, 2), (3, 1), (4, 2)]
+
+
 def middle_out(sizes, budget):
     left = list(enumerate(sizes))
     while budget and len(left) > 2 and sum(s for _, s in left) > budget:
