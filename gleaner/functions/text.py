@@ -109,6 +109,14 @@ def head_tail(c: Column | str, cap: int, marker: str = "[CUT]", share: float = 0
     return F.when(F.length(_col(c)) <= cap, _col(c)).otherwise(cut)
 
 
+def container_html(c: Column | str, cap: int = 2000, tail: int = 1200) -> Column:
+    """A container's html on one line; if it's long, its head and tail, for counts and
+    labels stand at the end of records."""
+    t = F.regexp_replace(F.regexp_replace(_col(c), "[ \\t]+", " "), f"[{BLANKS}]*\n[{BLANKS}]*", " ")
+    note = F.concat(F.lit(" …[truncated "), F.length(t).cast("string"), F.lit(" chars, middle cut]… "))
+    return F.when(F.length(t) <= cap, t).otherwise(F.concat(F.left(t, F.lit(cap - tail - 60)), note, F.right(t, F.lit(tail))))
+
+
 def capped_html(c: Column | str, cap: int = 80_000) -> Column:
     note = F.concat(F.lit("[TRUNCATED "), F.length(_col(c)).cast("string"), F.lit(" chars] "))
     return F.when(F.length(_col(c)) > cap, F.concat(note, F.left(_col(c), F.lit(cap - 30)))).otherwise(_col(c))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.sources import html as H
@@ -191,3 +191,24 @@ def diagnostics(rows: DataFrame, group: list[str], fields: list[str]) -> DataFra
     out = total.select(*group, "containers", F.inline(each))
     flag = F.when((F.col("matches") == 0) & (F.col("containers") > 0), "OVER-CONSTRAINED").when(F.col("matches") < F.col("containers"), "PARTIAL")
     return out.withColumn("flag", F.coalesce(flag.when(F.col("texts") == 0, "EMPTY-EXTRACTIONS"), F.lit("OK")))
+
+
+def placed(found: DataFrame, group: list[str]) -> DataFrame:
+    """Diagnostics in the order to be looked at: fields without a match first, then by name."""
+    w = Window.partitionBy(*group).orderBy((F.col("matches") == 0).desc(), "field")
+    return found.withColumn("place", F.row_number().over(w).cast("long"))
+
+
+def samples(rows: DataFrame, group: list[str], fields: dict[str, str], k: int = 3, order: str = "ordinal") -> DataFrame:
+    """(field, sample_texts, sample_hrefs): the first k texts, to 80 characters, and links,
+    to 120, of the elements matched; `fields` maps a counted field to the one with its
+    href. A matched element without text is a sample, one without a link is none. The
+    rank limit is taken before the shuffle, so no group is gathered."""
+    text = lambda f: F.when(F.col(f"n_{f}") > 0, F.left(F.coalesce(f, F.lit("")), F.lit(80)))
+    link = lambda f: F.when(F.col(f) != "", F.left(f, F.lit(120)))
+    pick = lambda f, kind, v: F.struct(F.lit(f).alias("field"), F.lit(kind).alias("kind"), v.alias("value"))
+    each = [pick(f, kind, v) for f, h in fields.items() for kind, v in (("text", text(f)), ("href", link(h)))]
+    w = Window.partitionBy(*group, "field", "kind").orderBy(order)
+    top = rows.select(*group, order, F.inline(F.array(*each))).where("value is not null").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k)
+    of = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("_n", "value")))), lambda x: x["value"])
+    return top.groupBy(*group, "field").agg(of("text").alias("sample_texts"), of("href").alias("sample_hrefs"))

@@ -136,3 +136,40 @@ def scroll_root(elements: DataFrame, key: list[str]) -> DataFrame:
 def new_ids(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Responses met for the first time."""
     return rows.groupBy(key).agg(F.min(order).alias(order))
+
+
+def scroll_stalls(rows: DataFrame, key: list[str], order: str, time: str, top: str, height: str, limit: int = 3, window: int = 3000) -> DataFrame:
+    """(stalled_at, reason) where a scroll first came to nothing: `limit` samples in a row
+    with neither growth nor movement, or `window` milliseconds without growth. Growth ends
+    both waits, movement only the first. The first sample is where waiting begins; keys
+    that never stall have no row."""
+    w = Window.partitionBy(*key).orderBy(order)
+    grew = F.coalesce(F.col(height) > F.lag(height).over(w), F.lit(True))
+    moved = F.coalesce(F.col(top) != F.lag(top).over(w), F.lit(False))
+    marked = rows.withColumn("_n", F.row_number().over(w)).withColumn("_g", grew).withColumn("_m", moved)
+    idle = F.col("_n") - F.max(F.when(F.col("_g") | F.col("_m"), F.col("_n"))).over(w)
+    waited = F.col(time) - F.last(F.when(F.col("_g"), F.col(time)), ignorenulls=True).over(w)
+    hits = marked.withColumn("_idle", idle).withColumn("_late", waited >= window).where((F.col("_idle") >= limit) | F.col("_late"))
+    reason = F.when(F.col("_late"), "stall_window_elapsed").otherwise("no_progress_count_elapsed")
+    return hits.groupBy(*key).agg(F.min("_n").cast("long").alias("stalled_at"), F.min_by(reason, "_n").alias("reason"))
+
+
+def accumulated(rows: DataFrame, key: list[str], poll: str, signature: str, target: int, stalls: int) -> DataFrame:
+    """(polls, total, reason) of a feed read until `target` signatures are known or `stalls`
+    polls in a row brought none; reason is null where it ended before."""
+    first = rows.groupBy(*key, signature).agg(F.min(poll).alias(poll)).groupBy(*key, poll).agg(F.count(F.lit(1)).alias("_new"))
+    every = rows.groupBy(*key, poll).agg(F.count(F.lit(1)).alias("_c")).drop("_c").join(first, [*key, poll], "left")
+    w = Window.partitionBy(*key).orderBy(poll)
+    marked = every.withColumn("polls", F.row_number().over(w).cast("long")).withColumn("total", F.sum(F.coalesce("_new", F.lit(0))).over(w))
+    marked = marked.withColumn("_idle", F.col("polls") - F.coalesce(F.max(F.when(F.col("_new") > 0, F.col("polls"))).over(w), F.lit(0)))
+    reason = F.when(F.col("total") >= target, "target").when(F.col("_idle") >= stalls, "stalled")
+    marked = marked.withColumn("reason", reason)
+    ended = F.min_by(F.struct("polls", "total", "reason"), F.struct(F.col("reason").isNull(), F.when(F.col("reason").isNull(), -F.col("polls")).otherwise(F.col("polls"))))
+    return marked.groupBy(*key).agg(ended.alias("e")).select(*key, "e.*")
+
+
+def first_signatures(rows: DataFrame, key: list[str], signature: str, order: str, k: int = 50) -> DataFrame:
+    """The k signatures of each key met first, by place (the cap of a prompt)."""
+    met = rows.groupBy(*key, signature).agg(F.min(order).alias("_o"))
+    w = Window.partitionBy(*key).orderBy("_o", signature)
+    return met.withColumn("place", F.row_number().over(w).cast("long")).where(F.col("place") <= k).drop("_o")

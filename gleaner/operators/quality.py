@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -76,12 +78,12 @@ def leaf_paths(schema: T.StructType, above: str = "") -> list[tuple[str, T.DataT
     return out
 
 
-def nested_shape(record: str, schema: T.StructType) -> Column:
+def nested_shape(record: str | Column, schema: T.StructType) -> Column:
     """Paths of a record's populated leaves, sorted and joined: a text that isn't empty, an
     array with elements, any other value that isn't null (0 and false are values)."""
 
     def populated(path: str, kind: T.DataType) -> Column:
-        value = F.col(f"{record}.{path}")
+        value = reduce(lambda c, name: c.getField(name), path.split("."), record if isinstance(record, Column) else F.col(record))
         if isinstance(kind, T.StringType):
             return F.coalesce(value != "", F.lit(False))
         return F.coalesce(F.size(value) > 0, F.lit(False)) if isinstance(kind, T.ArrayType | T.MapType) else value.isNotNull()
@@ -106,6 +108,20 @@ def shape_fields(found: DataFrame, group: list[str]) -> DataFrame:
     return each.join(n, group).select(*group, "field", "in_shapes", "n_shapes", (F.col("in_shapes") == F.col("n_shapes")).alias("universal"))
 
 
+def first_shaped(results: DataFrame, key: list[str], arrays: list[str]) -> DataFrame:
+    """(key, array, shape, signature, n, first) of each result's first array, in the order
+    given, whose records have two shapes or more. Records become signatures in place, so
+    only those are counted; a null array or one of fewer than two records says nothing."""
+    of = {f.name: f.dataType for f in results.schema if f.name in arrays}
+    sigs = lambda name: F.transform(name, lambda r: nested_shape(r, of[name].elementType))
+    each = [F.struct(F.lit(i).alias("_at"), F.lit(name).alias("array"), sigs(name).alias("_s")) for i, name in enumerate(arrays)]
+    rows = results.select(*key, F.inline(F.array(*each))).select(*key, "_at", "array", F.posexplode("_s").alias("_pos", "_sig"))
+    found = shapes(rows, [*key, "_at", "array"], [], "_pos", F.col("_sig"))
+    w = Window.partitionBy(*key)
+    found = found.withColumn("_kinds", F.count(F.lit(1)).over(Window.partitionBy(*key, "_at"))).where("_kinds > 1")
+    return found.withColumn("_first", F.min("_at").over(w)).where("_at = _first").drop("_at", "_kinds", "_first")
+
+
 def attempt_score(coverage: Column, items: Column, filled: Column) -> Column:
     """100 for required fields present, 10 a record, 5 an average field filled."""
     return coverage * 100.0 + items * 10.0 + F.when(items > 0, filled / items * 5.0).otherwise(0.0)

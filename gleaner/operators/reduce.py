@@ -32,11 +32,11 @@ _framework = [re.compile(p) for p in X.FRAMEWORK_CLASSES]
 _whole = [re.compile(p) for p in X.KEPT_WHOLE]
 
 
-def _classes(value: str) -> str:
+def classes(value: str) -> str:
     return " ".join(t for t in value.split() if not any(p.search(t) for p in _framework))
 
 
-def _shorter(text: str, limit: int, whole=_whole) -> str:
+def shorter(text: str, limit: int, whole=_whole) -> str:
     t = text.strip()
     return t if len(t) <= limit or any(p.search(t) for p in whole) else t[:limit] + "..."
 
@@ -56,11 +56,11 @@ def clean(nodes: list[H.Node]) -> list[H.Node]:
         for k, v in e.attrs.items():
             if k == "style" or k.startswith("on"):
                 continue
-            v = _classes(v) if k == "class" else v
+            v = classes(v) if k == "class" else v
             if k != "class" or v:
                 attrs[k] = v if len(v) <= LONG_VALUE else v[:LONG_VALUE] + "..."
         e.attrs = attrs
-        e.children = [(_shorter(c, LONG_TEXT) if len(c.strip()) > LONG_TEXT else c) if isinstance(c, str) else c for c in e.children]
+        e.children = [(shorter(c, LONG_TEXT) if len(c.strip()) > LONG_TEXT else c) if isinstance(c, str) else c for c in e.children]
     return left
 
 
@@ -73,9 +73,9 @@ def compress(e: H.Node, depth: int = 0) -> str:
     if depth > 20 or e.tag in USELESS or e.tag == "img":
         return ""
     shown = "".join(f' {k}="{e.attrs[k]}"' for k in SHOWN if e.attrs.get(k))
-    classes = _classes(e.attrs.get("class", "")).split()[:2]
-    shown += f' class="{" ".join(classes)}"' if classes else ""
-    inner = "".join(_shorter(c, 60) if isinstance(c, str) else compress(c, depth + 1) for c in e.children)
+    kept = classes(e.attrs.get("class", "")).split()[:2]
+    shown += f' class="{" ".join(kept)}"' if kept else ""
+    inner = "".join(shorter(c, 60) if isinstance(c, str) else compress(c, depth + 1) for c in e.children)
     return f"<{e.tag}{shown}>{inner}</{e.tag}>"
 
 
@@ -109,34 +109,3 @@ def snapshot(html: str | Column = "html", html_cap: int = HTML_CAP, text_cap: in
         return pa.array(rows, pa.struct([(k, pa.string()) for k in ("title", "html", "text", "structure", "summary")]))
 
     return F.arrow_udf(run, "struct<title:string,html:string,text:string,structure:string,summary:string>")(html)
-
-
-def contexts(selectors: list[str], html: str | Column = "html") -> Column:
-    """The element of each selector with what is around it: its parent, cleaned."""
-
-    def run(pages: pa.Array) -> pa.Array:
-        rows = []
-        for page in pages.to_pylist():
-            nodes, found = H.parse(page or ""), []
-            for selector in selectors:
-                hit = H.select(nodes, selector, first=True)
-                if hit:
-                    around = hit[0].parent if hit[0].parent.tag not in ("#document", "html", "body") else hit[0]
-                    found.append(_squeezed(compress(around)))
-            rows.append("\n".join(found))
-        return pa.array(rows, pa.string())
-
-    return F.arrow_udf(run, "string")(html)
-
-
-def tiered(selectors: list[str] = (), budget: int = 30_000, html: str = "html") -> Column:
-    """struct(mode, html): the first of the full page, the annotated parts and the
-    compressed structure that fits the budget; else what a part has to be chosen from."""
-    page, parts = snapshot(html), contexts(list(selectors), html) if selectors else F.lit("")
-    fits = lambda c: F.length(c) <= budget
-    pick = lambda mode, c: F.struct(F.lit(mode).alias("mode"), c.alias("html"))
-    full, structure = page["html"], page["structure"]
-    return (
-        F.when(fits(full), pick("full", full)).when((parts != "") & fits(parts), pick("annotated", parts))
-        .when(fits(structure), pick("compressed", structure)).otherwise(pick("needs_subtree_selection", structure))
-    )

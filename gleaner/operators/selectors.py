@@ -62,6 +62,19 @@ def list_patterns(annotations: DataFrame, output: str = "output_field", selector
     return out.where("_n = 1").drop("_n")
 
 
+def click_templates(clicks: DataFrame, patterns: DataFrame, selector: str = "selector", order: str = "place", most: int = 8) -> DataFrame:
+    """(container, sub_selector) of clicks to repeat in every item: each click belongs to the
+    first pattern, by `order`, whose container it begins with, positions aside. Clicks meet
+    patterns by equal beginnings; a click on a container itself has no row."""
+    key = lambda s: F.array_join(F.transform(s, lambda x: strip_positional(x["seg"])), "\n")
+    known = patterns.select("container", F.col(order).alias("_o"), segments("container").alias("_c")).select("container", "_o", key("_c").alias("_key"))
+    each = clicks.select(F.col(selector).alias("_click")).distinct().withColumn("_s", segments("_click")).where(F.size("_s") > 0)
+    heads = each.select("*", F.explode(F.sequence(F.lit(1), F.least(F.size("_s"), F.lit(most)))).alias("_n")).withColumn("_key", key(F.slice("_s", 1, F.col("_n"))))
+    best = heads.join(known, "_key").groupBy("_click").agg(F.min_by(F.struct("container", F.slice("_s", F.col("_n") + 1, F.size("_s")).alias("rest")), "_o").alias("b"))
+    step = lambda a, x: F.concat(a, F.when(a == "", "").when(x["child"], " > ").otherwise(" "), strip_positional(x["seg"]))
+    return best.select("b.container", F.aggregate("b.rest", F.lit(""), step).alias("sub_selector")).where("sub_selector <> ''").distinct()
+
+
 def clusters(annotations: DataFrame, path: str = "dom_path") -> DataFrame:
     """(depth, confidence, segment, n): annotations by the segment at the first depth where
     they part into item-like elements, else the first where two groups hold two or more."""

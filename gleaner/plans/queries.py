@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import answers as A
+from gleaner.functions import nested
 from gleaner.functions import text as X
+from gleaner.operators import anchors as N
 from gleaner.operators import candidates as C
 from gleaner.operators import extract as E
 from gleaner.operators import history as W
@@ -642,7 +644,7 @@ def page_clean(spark, d):
 @query()
 def page_tiers(spark, d):
     """Which form of a page fits a budget; held against its definition in the tests."""
-    tier = R.tiered(["article h1"], 3000)
+    tier = N.tiered(["article h1"], 3000)
     return t(spark, d, "pages").select("page_id", tier.alias("x")).select("page_id", F.col("x.mode").alias("mode"), F.length("x.html").alias("size"))
 
 
@@ -783,3 +785,149 @@ def unique_slugs(spark, d):
 @query("SELECT event_type, min(event_id) AS event_id FROM events GROUP BY event_type")
 def new_ids(spark, d):
     return W.new_ids(t(spark, d, "events"), "event_type", "event_id")
+
+
+# --- elements named and shown; results made smaller ------------------------------------
+
+_N_P = "len(string_split(html, '<p>')) - 1"
+
+
+@query(f"""WITH a AS (SELECT page_id, ordinal, count(*) OVER (PARTITION BY page_id) AS n FROM ({_LINKS})), c AS (SELECT page_id, max(n) AS n FROM a GROUP BY page_id)
+SELECT page_id, ordinal::INT AS ordinal, 'a' AS tag, CASE WHEN n = 1 THEN 'a' ELSE 'nav[role="navigation"].menu a' END AS selector, 'nav[role="navigation"].menu > ul > li > a' AS path FROM a
+UNION ALL SELECT page_id, (coalesce(c.n, 0) + i - 1)::INT, 'p', CASE WHEN p.n = 1 THEN 'p' ELSE '#story-' || page_id || ' p:nth-of-type(' || i || ')' END, '#story-' || page_id || ' > p'
+FROM (SELECT page_id, {_N_P} AS n, unnest(range(1, {_N_P} + 1)) AS i FROM pages) p LEFT JOIN c USING (page_id)""")
+def stable_selectors(spark, d):
+    """Selectors and paths of links and paragraphs, in pages given an id, a role and classes."""
+    html = F.replace("html", F.lit("<article>"), F.concat(F.lit('<article id="story-'), F.col("page_id").cast("string"), F.lit('">')))
+    html = F.replace(html, F.lit("<nav>"), F.lit('<nav role="navigation" class="xa12bc menu">'))
+    return t(spark, d, "pages").select("page_id", F.inline(N.named("nav a, article p", html)))
+
+
+_CONTEXT = "(SELECT page_id, text, n FROM (SELECT page_id, {0} AS text, ordinal, count(*) OVER (PARTITION BY page_id) AS n FROM ({1})) WHERE ordinal = 0)".format(sql_text("raw"), _LINKS)
+
+
+@query(f"""SELECT page_id, '<nav><ul><li><a data-annotated>' || text || '</a></li>' || repeat('<li>+1 children</li>', least(n - 1, 2)::INT) || CASE WHEN n > 3 THEN '<!-- ' || (n - 3) || ' siblings after -->' ELSE '' END || '</ul></nav>' AS context
+    FROM {_CONTEXT}""")
+def annotated_context(spark, d):
+    """The first link opened within its list, its neighbours folded."""
+    return t(spark, d, "pages").select("page_id", N.surroundings(["nav a"])["contexts"].alias("c")).where(F.size("c") > 0).select("page_id", F.col("c")[0].alias("context"))
+
+
+@query(f"""SELECT page_id, '<nav [ANNOTATED]><ul [ANNOTATED]>' || string_agg('<li [ANNOTATED]><a [ANNOTATED]>' || {sql_text('raw')} || '</a></li>', '' ORDER BY ordinal) || '</ul></nav>' AS structure FROM ({_LINKS}) GROUP BY page_id""")
+def annotated_structure(spark, d):
+    """The part of the folded body that holds annotated links."""
+    shown = F.filter(N.surroundings(["nav a"])["structure"], lambda x: x.contains("[ANNOTATED]"))
+    return t(spark, d, "pages").select("page_id", shown.alias("s")).where(F.size("s") > 0).select("page_id", F.array_join("s", "").alias("structure"))
+
+
+@query("""SELECT DISTINCT 'div#r' || n_regionkey || ' > ul li' AS container, CASE WHEN n_nationkey % 2 = 0 THEN 'button.more' ELSE 'div > a' END AS sub_selector FROM nation""")
+def click_templates(spark, d):
+    """Clicks on items of lists, one template for each kind; a click outside of every list
+    and one on an item itself have none."""
+    n = t(spark, d, "nation").withColumn("box", F.concat(F.lit("div#r"), F.col("n_regionkey").cast("string"), F.lit(" > ul li")))
+    item = F.concat("box", F.lit(":nth-of-type("), F.col("n_nationkey").cast("string"), F.lit(")"))
+    inner = F.when(F.col("n_nationkey") % 2 == 0, " > button.more:nth-of-type(1)").otherwise(" div > a")
+    clicks = n.select(F.concat(item, inner).alias("selector")).union(n.select(item)).union(n.select(F.lit("footer > a")))
+    return S.click_templates(clicks, n.select(F.col("box").alias("container"), F.col("n_nationkey").alias("place")))
+
+
+@query(f"""SELECT page_id, 'label' AS field, array_to_string(list(left({sql_text('raw')}, 80) ORDER BY ordinal)[1:3], '|') AS texts, array_to_string(list_filter(list(left(href, 120) ORDER BY ordinal), lambda x: x <> '')[1:3], '|') AS hrefs
+    FROM ({_LINKS}) GROUP BY page_id""")
+def selector_samples(spark, d):
+    """The first texts and links that a field's selector matched."""
+    job = E.Job({"nav": E.Records("nav li", {"label": "a", "link": ("a", "href")}, counts=True)})
+    found = E.samples(E.records(t(spark, d, "pages"), job, "nav", ["page_id"]), ["page_id"], {"label": "link"})
+    return found.select("page_id", "field", F.array_join("sample_texts", "|").alias("texts"), F.array_join("sample_hrefs", "|").alias("hrefs"))
+
+
+@query(f"SELECT page_id, field, place::BIGINT AS place FROM (SELECT DISTINCT page_id FROM ({_LINKS})), (VALUES ('span', 1), ('href', 2), ('label', 3)) f(field, place)")
+def diagnostics_order(spark, d):
+    return E.placed(selector_diagnostics(spark, d), ["page_id"]).select("page_id", "field", "place")
+
+
+@query(f"""SELECT page_id, CASE WHEN length(h) <= 2000 THEN h ELSE left(h, 740) || ' …[truncated ' || length(h) || ' chars, middle cut]… ' || right(h, 1200) END AS html
+    FROM (SELECT page_id, regexp_replace(regexp_replace(html, '[ \\t]+', ' ', 'g'), '{SPACE}*\\n{SPACE}*', ' ', 'g') AS h FROM pages)""")
+def container_html(spark, d):
+    return t(spark, d, "pages").select("page_id", X.container_html("html").alias("html"))
+
+
+def results(spark, d) -> DataFrame:
+    """An order's result: its lines, tags, and what a reader doesn't need."""
+    line = F.struct("l_linenumber", "l_partkey", F.col("l_suppkey").alias("sourcePageId"))
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    tags = F.transform(F.sequence(F.lit(1), F.size("lines") * 6), lambda i: i.cast("string"))
+    note = F.repeat(F.lit("note "), F.size("lines") * 10)
+    return rows.select("l_orderkey", F.struct(F.struct("lines", F.lit("<html>").alias("snapshot"), note.alias("note")).alias("data"), tags.alias("tags"), F.array(F.lit("p")).alias("pages")).alias("result"))
+
+
+_RESULT = "(SELECT l_orderkey, count(*) AS n, list({'l_linenumber': l_linenumber, 'l_partkey': l_partkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS lines FROM lineitem GROUP BY l_orderkey)"
+_TAGS = "list_transform(range(1, n * 6 + 1), lambda i: i::VARCHAR)"
+
+
+@query(f"""SELECT l_orderkey, to_json({{'data': {{'lines': lines, 'note': CASE WHEN n > 4 THEN '[TRUNCATED ' || n * 50 || ' chars] ' || left(repeat('note ', n::INT * 10), 170) ELSE repeat('note ', n::INT * 10) END}}, 'tags': {_TAGS}}})::VARCHAR AS result FROM {_RESULT}""")
+def result_pruned(spark, d):
+    """Results without pages, their ids and snapshots, long texts cut."""
+    rows = results(spark, d)
+    small = nested.pruned(F.col("result"), rows.schema["result"].dataType, nested.PAGE_FIELDS + nested.SNAPSHOT_FIELDS, 200)
+    return rows.select("l_orderkey", F.to_json(small).alias("result"))
+
+
+@query(f"""SELECT l_orderkey, to_json({{'data': {{'lines': lines[1:3], 'lines_omitted': greatest(n - 3, 0)}}, 'tags': {_TAGS}[1:20], 'tags_omitted': greatest(n * 6 - 20, 0)}})::VARCHAR AS result FROM {_RESULT}""")
+def result_sampled(spark, d):
+    """The first records and items of a result's arrays, and how many there are beside."""
+    rows = results(spark, d)
+    small = nested.pruned(F.col("result"), rows.schema["result"].dataType, ("pages", "sourcePageId", "snapshot", "note"))
+    rows = rows.select("l_orderkey", small.alias("result"))
+    return rows.select("l_orderkey", F.to_json(nested.sampled(F.col("result"), rows.schema["result"].dataType)).alias("result"))
+
+
+@query("""WITH o AS (SELECT o_custkey, CASE WHEN o_orderpriority LIKE '1%' THEN 'o_orderkey,urgent' ELSE 'o_orderkey' END AS signature, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS pos FROM orders),
+g AS (SELECT o_custkey, signature, count(*) AS n, min(pos)::INT AS first FROM o GROUP BY 1, 2)
+SELECT o_custkey, 'mixed' AS array, chr(64 + row_number() OVER (PARTITION BY o_custkey ORDER BY n DESC, first)::INT) AS shape, signature, n, first FROM g QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1""")
+def first_shaped(spark, d):
+    """Of a result's arrays the first whose records differ in shape."""
+    same, mixed = F.struct("o_orderkey"), F.struct("o_orderkey", F.when(F.col("o_orderpriority").like("1%"), F.col("o_orderpriority")).alias("urgent"))
+    rows = t(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(same)).alias("same"), F.array_sort(F.collect_list(mixed)).alias("mixed"))
+    return Q.first_shaped(rows, ["o_custkey"], ["same", "mixed"])
+
+
+@query("""WITH e AS (SELECT user_id, event_id, row_number() OVER w * 700 AS t, row_number() OVER w = 1 OR event_type = 'purchase' AS g, event_type = 'click' AS m FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, count(*) FILTER (WHERE g OR m) OVER w AS r, count(*) FILTER (WHERE g) OVER w AS h FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+x AS (SELECT user_id, t // 700 AS n, row_number() OVER (PARTITION BY user_id, r ORDER BY event_id) - 1 AS idle, t - first_value(t) OVER (PARTITION BY user_id, h ORDER BY event_id) AS waited FROM s)
+SELECT user_id, n AS stalled_at, CASE WHEN waited >= 3000 THEN 'stall_window_elapsed' ELSE 'no_progress_count_elapsed' END AS reason FROM x WHERE idle >= 3 OR waited >= 3000 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n) = 1""")
+def scroll_stalls(spark, d):
+    """A user's events read as samples of a scroll: purchases are growth, clicks movement."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    so_far = lambda kind: F.count_if(F.col("event_type") == kind).over(w)
+    rows = t(spark, d, "events").select("user_id", "event_id", (F.row_number().over(w) * 700).cast("long").alias("t"), so_far("click").alias("top"), so_far("purchase").alias("height"))
+    return W.scroll_stalls(rows, ["user_id"], "event_id", "t", "top", "height")
+
+
+@query("""WITH e AS (SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS poll, event_type || floor(value / 20)::BIGINT AS sig FROM events),
+f AS (SELECT user_id, sig, min(poll) AS p FROM e GROUP BY 1, 2), q AS (SELECT DISTINCT user_id, poll FROM e),
+c AS (SELECT q.user_id, q.poll, count(*) AS total, max(f.p) AS brought FROM q JOIN f ON f.user_id = q.user_id AND f.p <= q.poll GROUP BY 1, 2),
+r AS (SELECT *, CASE WHEN total >= 8 THEN 'target' WHEN poll - brought >= 2 THEN 'stalled' END AS reason FROM c)
+SELECT user_id, poll + 1 AS polls, total, reason FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY reason IS NULL, CASE WHEN reason IS NULL THEN -poll ELSE poll END) = 1""")
+def feed_accumulation(spark, d):
+    """A user's events as a feed read three at a time."""
+    from pyspark.sql import Window
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    rows = t(spark, d, "events").select("user_id", F.floor(n / 3).alias("poll"), F.concat("event_type", F.floor(F.col("value") / 20).cast("string")).alias("sig"))
+    return W.accumulated(rows, ["user_id"], "poll", "sig", 8, 2)
+
+
+@query("""SELECT user_id, sig, place FROM (SELECT user_id, sig, row_number() OVER (PARTITION BY user_id ORDER BY o, sig) AS place FROM (SELECT user_id, event_type || floor(value / 20)::BIGINT AS sig, min(event_id) AS o FROM events GROUP BY 1, 2)) WHERE place <= 5""")
+def first_signatures(spark, d):
+    """A top-k report."""
+    rows = t(spark, d, "events").select("user_id", "event_id", F.concat("event_type", F.floor(F.col("value") / 20).cast("string")).alias("sig"))
+    return W.first_signatures(rows, ["user_id"], "sig", "event_id", 5)
+
+
+@query("SELECT s_name AS name, 'Shop ' || s_suppkey AS displayName, 'http://shop.example/' || s_suppkey AS targetUrl, s_acctbal > 0 AS enabled, '{}' AS inputSchema, '{}' AS outputSchema FROM supplier")
+def service_list(spark, d):
+    key = F.col("s_suppkey").cast("string")
+    table = t(spark, d, "supplier").select(key.alias("id"), F.col("s_name").alias("name"), F.concat(F.lit("Shop "), key).alias("displayName"), F.concat(F.lit("http://shop.example/"), key).alias("targetUrl"), (F.col("s_acctbal") > 0).alias("enabled"), F.lit("{}").alias("inputSchema"), F.lit("{}").alias("outputSchema"), F.lit("…").alias("scriptCode"))
+    return store.listed(table)

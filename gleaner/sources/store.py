@@ -46,6 +46,11 @@ def find(table: DataFrame, name: str) -> DataFrame:
     return table.where((F.col("name") == name) | (F.col("displayName") == name))
 
 
+def listed(table: DataFrame) -> DataFrame:
+    """What a list of services shows: no steps and no scripts."""
+    return table.select("name", "displayName", "targetUrl", "enabled", "inputSchema", "outputSchema")
+
+
 def recent_log(log: DataFrame, started: str, keep: int = 100, show: int = 20) -> DataFrame:
     """The last runs shown, newest first (a top-k report)."""
     return log.orderBy(F.desc(started)).limit(min(keep, show))

@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions import answers
-from gleaner.operators import candidates, reduce, selectors
+from gleaner.operators import anchors, candidates, reduce, selectors
 from gleaner.plans import schema
 from gleaner.sources import html as H
 from gleaner.streaming import feeds
@@ -30,7 +30,7 @@ def test_wrappers_give_way():
 
 def test_tiers(spark):
     page = PAGE.format(v="v", t="text")
-    modes = lambda budget, *s: spark.createDataFrame([(page,)], "html string").select(reduce.tiered(list(s), budget).alias("x")).first()["x"]["mode"]
+    modes = lambda budget, *s: spark.createDataFrame([(page,)], "html string").select(anchors.tiered(list(s), budget).alias("x")).first()["x"]["mode"]
     full = len(spark.createDataFrame([(page,)], "html string").select(reduce.snapshot("html")["html"]).first()[0])
     assert modes(full) == "full" and modes(60, "p") == "annotated" and modes(10, "p") == "needs_subtree_selection"
 
