@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +20,11 @@ NAVIGATION = (
 STRING = r'"(?:\\.|[^"\\])*"'
 
 
+#: Keys whose values are code, which may hold quotes that nobody escaped.
+CODE_KEYS = ("script", "functionBody", "expression", "code", "condition")
+_CODE = rf"""(?:"(?:{"|".join(CODE_KEYS)})"|(?<![\w$"'.])(?:{"|".join(CODE_KEYS)}))\s*:\s*\""""
+
+
 def navigation(script: str) -> Column:
     """The first forbidden navigation in a script, or null."""
     return F.coalesce(*[F.nullif(F.regexp_extract(script, p, 0), F.lit("")) for p in NAVIGATION])
@@ -29,12 +35,50 @@ def without_comments(text: str | Column) -> Column:
     return F.regexp_replace(text, rf"({STRING})|//[^\n]*\n?|/\*(?s:.*?)(?:\*/|$)", "$1")
 
 
+def code_escaped(text: Column) -> Column:
+    """Quotes inside of the values of CODE_KEYS are escaped. Such a value ends at the first
+    quote that a comma, a closing bracket or the end of the text follows, outside of the
+    code's own brackets if there is one; a value without an end is left alone."""
+    opening, mark, after = re.compile(_CODE), re.compile(r'\\.|["()\[\]{}]', re.S), re.compile(r"\s*(?:[,}\]]|$)")
+    bare = re.compile(r'(\\.)|"', re.S)
+
+    def end(s: str, at: int) -> int | None:
+        depth, first = 0, None
+        for m in mark.finditer(s, at):
+            c = m[0]
+            if c == '"' and after.match(s, m.end()):
+                if not depth:
+                    return m.start()
+                first = m.start() if first is None else first
+            elif c in "([{":
+                depth += 1
+            elif c in ")]}":
+                depth = max(depth - 1, 0)
+        return first
+
+    def put(s: str) -> str:
+        out, done = [], 0
+        while (m := opening.search(s, done)) is not None:
+            stop = end(s, m.end())
+            stop = m.end() if stop is None else stop
+            out += [s[done : m.end()], bare.sub(lambda q: q[1] or '\\"', s[m.end() : stop])]
+            done = stop
+        return "".join([*out, s[done:]])
+
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else put(x) for x in column.to_pylist()], pa.string())
+
+    return F.arrow_udf(run, "string")(text)
+
+
 def lenient_json(text: str | Column) -> Column:
     """Valid JSON text from a nearly valid one, or null: comments, single quotes, bare
-    keys, missing, doubled and trailing commas are put right, strings left alone."""
+    keys, missing, doubled and trailing commas and quotes within code are put right, other
+    strings left alone."""
     given = F.col(text) if isinstance(text, str) else text
+    valid = lambda c: F.try_parse_json(c).isNotNull()
     keep = lambda c, pattern, new: F.regexp_replace(c, rf"({STRING})|{pattern}", new)
-    s = without_comments(given)
+    s = without_comments(F.coalesce(code_escaped(F.when(~valid(given) & given.rlike(_CODE), given)), given))
     s = keep(s, r"'((?:[^'\"\\]|\\.)*)'", "$1<q>$2<q>")
     s = F.replace(F.replace(s, F.lit("<q><q>"), F.lit("")), F.lit("<q>"), F.lit('"'))
     s = keep(s, r"(?<=[{,\s])([A-Za-z_$][\w$]*)(?=\s*:)", "$1<q>$2<q>")
@@ -42,7 +86,6 @@ def lenient_json(text: str | Column) -> Column:
     s = keep(s, r"(,)(?:\s*,)+", "$1$2")
     s = F.regexp_replace(s, rf"({STRING}|\d|true|false|null|\}}|\])(\s*\n\s*)(?=\")", "$1,$2")
     s = keep(s, r",(\s*[}\]])", "$1$2")
-    valid = lambda c: F.try_parse_json(c).isNotNull()
     return F.when(valid(given), given).when(valid(s), s)
 
 

@@ -210,9 +210,17 @@ def time_budget(script: Column | str) -> Column:
     return F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
+#: How an answer begins that is code as it stands.
+CODE_START = r"^(?:[{\[]|//|(?:const|let|return|async|await) )"
+JSON_LIKE = r"(?s)\{.*\}|\[.*\]"
+
+
 def fenced(answer: Column | str) -> Column:
-    """The last code block that isn't blank, or else the answer without its first
-    ACK or NACK line."""
-    body = F.regexp_replace(_col(answer), r"^\s*(?://\s*)?N?ACK:[^\n]*\n?", "")
-    blocks = F.filter(F.regexp_extract_all(body, F.lit("(?s)```[A-Za-z]*\\s*\\n?(.*?)```"), F.lit(1)), lambda b: trim(b) != "")
-    return trim(F.when(F.size(blocks) > 0, F.element_at(blocks, -1)).otherwise(body))
+    """The last code block that isn't blank, closed or not. Without one: the answer without
+    its first // ACK or // NACK line, if it begins as code or holds nothing like JSON; else
+    what looks like JSON in it."""
+    body = trim(F.regexp_replace(_col(answer), r"^\s*//\s*N?ACK:[^\n]*\n?", ""))
+    pattern = "(?s)```[A-Za-z]*[ \\t]*\\r?\\n?(.*?)(?:\\r?\\n?```|\\z)"
+    blocks = F.filter(F.regexp_extract_all(body, F.lit(pattern), F.lit(1)), lambda b: trim(b) != "")
+    whole = body.rlike(CODE_START) | ~body.rlike(JSON_LIKE)
+    return F.when(F.size(blocks) > 0, trim(F.element_at(blocks, -1))).when(whole, body).otherwise(F.regexp_extract(body, JSON_LIKE, 0))

@@ -24,22 +24,6 @@ RADIUS, SIBLINGS, BELOW = 3, 2, 2
 DEPTH = 8
 
 
-def escaped(name: str) -> str:
-    """An identifier as selectors write it (CSSOM, "serialize an identifier")."""
-    out = []
-    for i, c in enumerate(name):
-        first = i == 0 or (i == 1 and name[0] == "-")
-        if c == "\0":
-            out.append("�")
-        elif c < " " or c == "\x7f" or (first and "0" <= c <= "9"):
-            out.append(f"\\{ord(c):x} ")
-        elif c >= "\x80" or c in "-_" and name != "-" or c.isalnum():
-            out.append(c)
-        else:
-            out.append("\\" + c)
-    return "".join(out)
-
-
 class Anchor(NamedTuple):
     """An element's lasting marks: its id, or else tag, attributes and three classes."""
 
@@ -67,8 +51,8 @@ class Anchor(NamedTuple):
 
     def text(self) -> str:
         if self.id:
-            return f"#{escaped(self.id)}"
-        return self.tag + "".join(f'[{k}="{escaped(v)}"]' for k, v in self.attrs) + "".join(f".{escaped(c)}" for c in self.names)
+            return f"#{H.escaped(self.id)}"
+        return self.tag + "".join(f'[{k}="{H.escaped(v)}"]' for k, v in self.attrs) + "".join(f".{H.escaped(c)}" for c in self.names)
 
 
 def above(e: H.Node) -> list[H.Node]:

@@ -144,8 +144,8 @@ def extracted(job: Job, html: str | Column = "html") -> Column:
     def run(pages: pa.Array) -> pa.Array:
         nonlocal arrow_type
         rows = []
-        for page in pages.to_pylist():
-            nodes = H.parse(page or "")
+        for page in pages:
+            nodes = H.parse(page.as_py() or "")
             rows.append({name: part.read(nodes) for name, part in job.parts.items()})
         if arrow_type is None:
             from pyspark.sql.pandas.types import to_arrow_type

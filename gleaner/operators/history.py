@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import trim
+from gleaner.operators.places import numbered
 
 
 def last_per_step(rows: DataFrame, run: list[str], step: str, order: str) -> DataFrame:
@@ -100,15 +101,9 @@ def prompt_budget(elements: DataFrame, key: list[str], order: str, size: Column,
 
 
 def queue_positions(jobs: DataFrame, created: str, status: str) -> DataFrame:
-    """First-in-first-out place of queued jobs, 0 for all others. The queue is ordered in
-    ranges: places are counted within ranges and moved by the ranges before."""
-    queued = jobs.where(F.col(status) == "queued")
-    spread = queued.withColumn("_day", F.to_date(created))
-    w = Window.partitionBy("_day").orderBy(created, "job_id")
-    days = spread.groupBy("_day").agg(F.count(F.lit(1)).alias("_c"))
-    before = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)  # a row a day
-    days = days.select("_day", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
-    placed = spread.withColumn("_n", F.row_number().over(w)).join(days, "_day").select("job_id", (F.col("_n") + F.col("_b")).alias("position"))
+    """First-in-first-out place of queued jobs, 0 for all others."""
+    queued = jobs.where(F.col(status) == "queued").select("job_id", created)
+    placed = numbered(queued, [], [created, "job_id"], "position").select("job_id", "position")
     return jobs.join(placed, "job_id", "left").withColumn("position", F.coalesce("position", F.lit(0)).cast("long"))
 
 

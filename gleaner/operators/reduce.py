@@ -41,8 +41,20 @@ def shorter(text: str, limit: int, whole=_whole) -> str:
     return t if len(t) <= limit or any(p.search(t) for p in whole) else t[:limit] + "..."
 
 
+def frame_prefix(e: H.Node) -> str:
+    """What a selector begins with to reach into a frame: by id, name or place."""
+    if e.attrs.get("id"):
+        return f"iframe#{H.escaped(e.attrs['id'])}::"
+    if e.attrs.get("name"):
+        quoted = e.attrs["name"].replace("\\", "\\\\").replace('"', '\\"')
+        return f'iframe[name="{quoted}"]::'
+    place = 1 + next(i for i, x in enumerate(x for x in e.parent.elements() if x.tag == "iframe") if x is e)
+    return f"iframe:nth-of-type({place})::"
+
+
 def clean(nodes: list[H.Node]) -> list[H.Node]:
-    """The page's elements without what nobody reads; the tree is changed in place."""
+    """The page's elements without what nobody reads, frames with content marked; the tree is
+    changed in place."""
     tests = [H.compiled(HIDDEN), H.compiled(", ".join(NOISE))]
     gone = [e for e in nodes if e.tag in USELESS or any(t(e) for t in tests)]
     for e in gone:
@@ -60,6 +72,8 @@ def clean(nodes: list[H.Node]) -> list[H.Node]:
             if k != "class" or v:
                 attrs[k] = v if len(v) <= LONG_VALUE else v[:LONG_VALUE] + "..."
         e.attrs = attrs
+        if e.tag == "iframe" and e.children:
+            e.attrs["data-iframe-prefix"] = frame_prefix(e)
         e.children = [(shorter(c, LONG_TEXT) if len(c.strip()) > LONG_TEXT else c) if isinstance(c, str) else c for c in e.children]
     return left
 
@@ -96,8 +110,8 @@ def snapshot(html: str | Column = "html", html_cap: int = HTML_CAP, text_cap: in
 
     def run(pages: pa.Array) -> pa.Array:
         rows = []
-        for page in pages.to_pylist():
-            nodes = H.parse(page or "")
+        for page in pages:
+            nodes = H.parse(page.as_py() or "")
             top = [e for e in nodes if e.parent.tag == "#document"]
             title = next((e.text().strip() for e in nodes if e.tag == "title"), "")
             structure, body = "".join(compress(e) for e in top), next((e for e in nodes if e.tag == "body"), None)

@@ -95,6 +95,35 @@ def removed(steps: list[dict], step_id: str) -> list[dict]:
     return [{**s, "on_success": moved(s.get("on_success")), "on_failure": moved(s.get("on_failure"))} for s in steps if s["id"] != step_id]
 
 
+def added(steps: DataFrame, new: DataFrame, graph: str = "graph") -> DataFrame:
+    """Tables of steps with one more step at the end of each graph that `new` names (a row
+    each); what ended a graph by success leads to it. Unset values get defaults, an unset
+    id is step-N, N the first free number after the number of steps. Graphs that aren't
+    there get nothing. `new` has the columns of `steps` but for ordinal."""
+    known = steps.groupBy(graph).agg(F.count(F.lit(1)).alias("_n"), F.max("ordinal").alias("_last"), F.collect_set("id").alias("_ids"))
+    own = new.join(known, graph)
+    free = F.filter(F.transform(F.sequence(F.col("_n") + 1, 2 * F.col("_n") + 1), lambda i: F.concat(F.lit("step-"), i.cast("string"))), lambda x: ~F.array_contains("_ids", x))
+    or_else = lambda c, value: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(value))
+    own = own.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), free[0])).withColumn("script", F.coalesce("script", F.lit("")))
+    own = own.withColumn("on_success", or_else("on_success", TERMINATE)).withColumn("on_failure", or_else("on_failure", TERMINATE))
+    own = own.withColumn("max_iterations", F.coalesce(F.nullif("max_iterations", F.lit(0)), F.lit(1))).withColumn("ordinal", F.col("_last") + 1)
+    ends = own.select(graph, F.col("_last").alias("ordinal"), F.col("id").alias("_next"))
+    linked = F.col("_next").isNotNull() & (F.coalesce("on_success", F.lit(TERMINATE)) == TERMINATE)
+    old = steps.join(ends, [graph, "ordinal"], "left").withColumn("on_success", F.when(linked, F.col("_next")).otherwise(F.col("on_success")))
+    return old.select(steps.columns).union(own.select(steps.columns))
+
+
+def deleted(steps: DataFrame, gone: DataFrame, graph: str = "graph") -> DataFrame:
+    """Tables of steps without those that `gone` (graph, id; one a graph) names; pointers to
+    one lead where it led by success. Steps that aren't there change nothing. Changed
+    steps are `answers.restored`, given a table of new values."""
+    ends = F.when(F.col("on_success") == F.col("id"), F.lit(TERMINATE)).otherwise(F.coalesce("on_success", F.lit(TERMINATE)))
+    out = steps.join(gone.select(graph, "id"), [graph, "id"], "left_semi").select(graph, F.col("id").alias("_gone"), ends.alias("_after"))
+    moved = lambda c: F.when(F.col(c) == F.col("_gone"), F.col("_after")).otherwise(F.col(c))
+    left = steps.join(out, graph, "left").where("_gone is null or id <> _gone")
+    return left.withColumn("on_success", moved("on_success")).withColumn("on_failure", moved("on_failure")).select(steps.columns)
+
+
 @dataclass
 class Step:
     """A step's work is a function of (spark, context) that gives a DataFrame, or a dict

@@ -561,6 +561,20 @@ def execution_notes(spark, d):
     return G.execution_notes(scripted(spark, d))
 
 
+@query(f"""WITH s AS (SELECT * FROM {_STEPS}), gone AS (SELECT graph, id AS gid, coalesce(nullif(on_success, id), 'TERMINATE') AS after FROM s WHERE ordinal = 1),
+left_over AS (SELECT graph, id, ordinal, CASE WHEN on_success = gid THEN after ELSE on_success END AS on_success, CASE WHEN on_failure = gid THEN after ELSE on_failure END AS on_failure FROM s JOIN gone USING (graph) WHERE id <> gid),
+ends AS (SELECT graph, max(ordinal) AS last, 'step-' || (count(*) + 1) AS added FROM left_over GROUP BY graph)
+SELECT graph, id, ordinal::BIGINT AS ordinal, CASE WHEN ordinal = last AND on_success = 'TERMINATE' THEN added ELSE on_success END AS on_success, on_failure FROM left_over JOIN ends USING (graph)
+UNION ALL SELECT graph, added, last + 1, 'TERMINATE', 'TERMINATE' FROM ends""")
+def edited_steps(spark, d):
+    """Each graph's second step deleted and one added at its end."""
+    steps = step_table(spark, d)
+    steps = G.deleted(steps, steps.where("ordinal = 1"))
+    new = [F.lit(None).cast(f.dataType).alias(f.name) for f in steps.schema if f.name not in ("graph", "ordinal")]
+    out = G.added(steps, steps.select("graph").distinct().select("graph", *new))
+    return out.select("graph", "id", F.col("ordinal").cast("long").alias("ordinal"), "on_success", "on_failure")
+
+
 # --- jobs ----------------------------------------------------------------------------
 
 
@@ -692,6 +706,14 @@ def json_repair(spark, d):
     return text.select("c_custkey", value.alias("v")).select("c_custkey", "v.*")
 
 
+@query("""SELECT c_custkey, '$count(''div[title="' || c_name || '"], p'')' AS script, c_nationkey::BIGINT AS n FROM customer""")
+def answer_json(spark, d):
+    """JSON in the middle of an answer, with code whose quotes aren't escaped."""
+    text = F.concat(F.lit("// ACK: yes\nHere it is: {script: \"$count('div[title=\""), "c_name", F.lit("\"], p')\", 'n': "), F.col("c_nationkey").cast("string"), F.lit(",} as asked"))
+    value = F.from_json(A.lenient_json(X.fenced(text)), "script string, n bigint")
+    return t(spark, d, "customer").select("c_custkey", value.alias("v")).select("c_custkey", "v.*")
+
+
 @query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'same' WHEN 1 THEN 'stage' WHEN 2 THEN 'other' ELSE 'stage' END AS kind, CASE WHEN c_custkey % 4 = 2 THEN NULL ELSE 'http://x/' || c_custkey END AS link FROM customer""")
 def result_stages(spark, d):
     """Step results against the final one, and the first link in them."""

@@ -69,6 +69,22 @@ class Node:
         return self.start() + ("" if self.tag in VOID else f"{self.inner()}</{self.tag}>")
 
 
+def escaped(name: str) -> str:
+    """An identifier as selectors write it (CSSOM, "serialize an identifier")."""
+    out = []
+    for i, c in enumerate(name):
+        first = i == 0 or (i == 1 and name[0] == "-")
+        if c == "\0":
+            out.append("�")
+        elif c < " " or c == "\x7f" or (first and "0" <= c <= "9"):
+            out.append(f"\\{ord(c):x} ")
+        elif c >= "\x80" or c in "-_" and name != "-" or c.isalnum():
+            out.append(c)
+        else:
+            out.append("\\" + c)
+    return "".join(out)
+
+
 def _escape(text: str, attribute: bool = False) -> str:
     text = text.replace("&", "&amp;").replace("\u00a0", "&nbsp;")
     return text.replace('"', "&quot;") if attribute else text.replace("<", "&lt;").replace(">", "&gt;")

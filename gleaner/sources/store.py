@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.operators.places import numbered
+
 STEP = "struct<id:string,name:string,script:string,condition:string,onSuccess:string,onFailure:string,maxIterations:int,entryUrl:string>"
 SERVICE = f"id string, name string, displayName string, targetUrl string, enabled boolean, steps array<{STEP}>, scriptCode string, inputSchema string, outputSchema string"
 
@@ -42,6 +44,11 @@ def upserted(table: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame
     return table.join(changes.select(key), key, "left_anti").unionByName(changes, allowMissingColumns=True)
 
 
+def deleted(table: DataFrame, gone: DataFrame, key: str = "name") -> DataFrame:
+    """The table without the rows that `gone` names; names that aren't there change nothing."""
+    return table.join(gone.select(key).distinct(), key, "left_anti")
+
+
 def find(table: DataFrame, name: str) -> DataFrame:
     return table.where((F.col("name") == name) | (F.col("displayName") == name))
 
@@ -70,16 +77,14 @@ def job_state(events: DataFrame, key: str, order: str, state: Column) -> DataFra
 def unique_slugs(rows: DataFrame, slug: str, taken: DataFrame, key: str) -> DataFrame:
     """Slugs, the plain one or that with the first of -1, -2 ... that no known name and no row
     before has. The row of rank r takes the r-th free number: r plus the used numbers that
-    have r free ones or fewer below them. Rows of one slug are ranked in one task."""
-    from pyspark.sql import Window
-
+    have r free ones or fewer below them."""
     known = taken.select(F.col("name").alias("_name")).distinct()
     suffix = F.regexp_extract("_name", r"-([1-9]\d*)$", 1)
-    numbered = known.where(suffix != "").select(F.regexp_replace("_name", r"-\d+$", "").alias(slug), suffix.cast("long").alias("_u"))
-    used = known.select(F.col("_name").alias(slug), F.lit(0).cast("long").alias("_u")).union(numbered).groupBy(slug).agg(F.sort_array(F.collect_set("_u")).alias("_used"))
+    suffixed = known.where(suffix != "").select(F.regexp_replace("_name", r"-\d+$", "").alias(slug), suffix.cast("long").alias("_u"))
+    used = known.select(F.col("_name").alias(slug), F.lit(0).cast("long").alias("_u")).union(suffixed).groupBy(slug).agg(F.sort_array(F.collect_set("_u")).alias("_used"))
     below = F.transform("_used", lambda u, i: u - i)
-    w = Window.partitionBy(slug).orderBy(key)
-    out = rows.join(used.select(slug, below.alias("_below")), slug, "left").withColumn("_r", F.row_number().over(w) - 1)
+    ranked = numbered(rows, [slug], [key], "_r").withColumn("_r", F.col("_r") - 1)
+    out = ranked.join(used.select(slug, below.alias("_below")), slug, "left")
     n = F.col("_r") + F.coalesce(F.size(F.filter("_below", lambda b: b <= F.col("_r"))), F.lit(0))
     return out.withColumn("unique_slug", F.when(n == 0, F.col(slug)).otherwise(F.concat(slug, F.lit("-"), n.cast("string")))).drop("_r", "_below")
 
