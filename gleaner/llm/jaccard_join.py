@@ -245,6 +245,9 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
     leads = cut(first, "leads")
     shared = every.join(leads, "key").select("key", "set_id", size("p").alias("n"), place("p").alias("at"), "set2", size("p2").alias("n2"), place("p2").alias("at2"))
     shared = cut(shared, "lists")
+    # lists and subsets are met: what follows needs the rows' sets alone
+    narrow = cut(sets.select("doc_id", "text_key", "set_id", "n"), "rows")
+    drop(leads, sets)
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
     near = verified(shared.where((F.col("set_id") != F.col("set2")) & may_link(percent)).select(*pair).distinct(), docs, owners, k, percent)
@@ -252,12 +255,13 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
 
     placed = shared.select("key", "set_id", "n", "at").distinct().join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = cut(placed.select("key", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")), "placed")
+    drop(shared)
     main = placed.groupBy("key", "root").count().groupBy("key").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     )
     main = cut(main.where("roots > 1").select("key", "main"), "mains")
     mixed = cut(placed.join(main, "key"), "mixed")
-    drop(shared, leads, placed, main)
+    drop(placed, main)
     rest = met_by_size(mixed, percent).where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
     late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, owners, k, percent)
     if late.take(1):
@@ -270,7 +274,7 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
 
     drop(mixed)
     by_set = owners.join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
-    return sets, by_set.select("set_id", F.coalesce("root", "set_id").alias("root"), "least", "row")
+    return narrow, by_set.select("set_id", F.coalesce("root", "set_id").alias("root"), "least", "row")
 
 
 def link_components(docs: DataFrame, k: int = 4, percent: int = 85, buckets: int = 1 << 20) -> DataFrame:
