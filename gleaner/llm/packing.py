@@ -4,7 +4,8 @@ A document's ids (with the end id 1 appended) are cut into pieces of at most `li
 ids: full pieces and a rest. The pieces' length histogram, at most `limit` rows whatever
 the corpus, is packed on the driver: lengths are placed longest first, each into the
 packs with the most room that have enough (shortest pack first), whole counts at a time,
-so that the work depends on the histogram and not on the documents. A pattern is thus a
+so that the work depends on the histogram and not on the documents. When no pack has room,
+new ones are opened and filled with that length one after the other. A pattern is thus a
 list of lengths and a number of packs. Pieces get their rank among those of their length
 and find pattern, pack and offset by a join on the range of ranks.
 
@@ -57,8 +58,11 @@ def patterns(histogram: dict[int, int], limit: int = LIMIT) -> list[tuple[list[i
         left = histogram[length]
         while left:
             most = max((r for r, packs in room.items() if packs and r >= length), default=None)
-            if most is None:
-                room[limit - length].append(([length], left))
+            if most is None:  # new packs, each filled with this length before the next is opened
+                fit = limit // length
+                for pieces, n in ((fit, left // fit), (left % fit, 1)):
+                    if pieces and n:
+                        room[limit - pieces * length].append(([length] * pieces, n))
                 break
             lengths, n = room[most].pop()
             used = min(n, left)

@@ -414,6 +414,20 @@ def test_pipeline_equals_brute_force(spark, make_docs, tmp_path):
     assert left == [ids | {50, 51, 52, 53}, ids | {52, 53}, ids | {53}, ids | {53}]
     assert docs.where("doc_id = 53").first()["text"] == prose(53, 70) + " [SECRET] end"
     want = packing.pieces(docs).collect()
-    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()
-    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    got = corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset").collect()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(map(tuple, want))
+    room, sequences = [], {}
+    for length in sorted((r["length"] for r in want), reverse=True):  # piece by piece into the emptiest with room
+        fits = [i for i, left in enumerate(room) if left >= length]
+        if fits:
+            room[max(fits, key=lambda i: room[i])] -= length
+        else:
+            room.append(packing.LIMIT - length)
+    for r in got:
+        sequences.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sorted(sequences) == list(range(len(room)))
+    for pieces in sequences.values():
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:i]) for i in range(len(pieces))]
+    assert sorted(packing.LIMIT - sum(n for _, n in p) for p in sequences.values()) == sorted(room)
     assert secrets.MARK in docs.where("doc_id = 53").first()["text"]

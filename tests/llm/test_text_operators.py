@@ -166,6 +166,21 @@ def test_patterns_use_every_piece_once():
     assert used == histogram
 
 
+def test_repeated_lengths_fill_packs(make_docs):
+    """Pieces of one length share packs, whatever their number; so do many short documents."""
+    for histogram, least in (({10: 1000}, 5), ({300: 500}, 84), ({1024: 10}, 5), ({5: 400}, 1), ({1500: 3, 500: 7}, 4)):
+        packed = packing.patterns(dict(histogram))
+        assert sum(n for _, n in packed) == least
+        for length, n in histogram.items():
+            assert sum(lengths.count(length) * k for lengths, k in packed) == n
+    rows = packing.packed_pieces(make_docs([(i, "a b c d") for i in range(400)])).collect()
+    assert {r["sequence_id"] for r in rows} == {0} and sorted(r["offset"] for r in rows) == list(range(0, 5 * 400, 5))
+    docs = make_docs([(i, prose(i, 1 + i % 60)) for i in range(600)])
+    rows = packing.packed_pieces(docs).collect()
+    n = len({r["sequence_id"] for r in rows})
+    assert n * packing.LIMIT < 1.02 * sum(r["length"] for r in rows) + packing.LIMIT
+
+
 def test_token_histogram(odd, spark):
     counts = [len(byte_tokens(token_counts.TOKENIZER).encode_ordinary(r["text"] or "")) for r in odd.collect()]
     rows = token_counts.sums(token_counts.histogram(odd)).collect()
