@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    decontaminate, jaccard_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filters,
+    decontaminate, fill_in_middle, jaccard_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filters,
 )
 
 
@@ -60,11 +60,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_benchmark_decontamination, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join,
         op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_url_filters, op10_packing,
+        op11_fill_in_middle,
     )
 }
 
@@ -109,4 +114,16 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.r, d.doc_id)
 LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(r) AS r FROM c GROUP BY a) m USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_ngram_jaccard_join": _OP5, "op6_quality_rules": _OP6, "op9_url_filters": _OP9}
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS us, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+c AS (SELECT *, len(us)::BIGINT AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(us[1:a], ''), '') AS pre, coalesce(array_to_string(us[a + 1:b], ''), '') AS mid, coalesce(array_to_string(us[b + 1:n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM p
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_fill_in_middle": _OP11, "op5_ngram_jaccard_join": _OP5, "op6_quality_rules": _OP6, "op9_url_filters": _OP9}
