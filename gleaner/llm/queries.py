@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import (
-    decontaminate, fill_in_middle, jaccard_join, packing, quality_classifier, quality_rules, secrets, substring_dedup, token_counts, toxicity, url_filters,
+    decontaminate, fill_in_middle, jaccard_join, packing, prefix_trie, quality_classifier, quality_rules, secrets, substring_dedup, suffix_dedup, token_counts,
+    toxicity, url_filters,
 )
 
 
@@ -64,12 +65,21 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(table(spark, sf_dir, "documents")))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_secret_scans, op2_benchmark_decontamination, op3_substring_dedup, op4_token_counts, op5_ngram_jaccard_join,
         op6_quality_rules, op7_toxicity, op8_quality_classifier, op9_url_filters, op10_packing,
-        op11_fill_in_middle,
+        op11_fill_in_middle, op12_conversation_trie, op13_suffix_dedup,
     )
 }
 
