@@ -18,8 +18,9 @@ anchors. Around an anchor stands its frame, all bytes of windows that hold it.
   collision has the block sorted by its bytes instead. Two windows at offset j are equal if
   no neighbours between them share fewer than LENGTH - j bytes forwards or j backwards.
 * Anchors with more than HOT different frames (a common passage in ever other surroundings)
-  don't come together: each of their windows is counted by a 128-bit digest, so that no task
-  has to hold them. Both ways are exact; which one an anchor takes doesn't change the result.
+  don't come together: their windows are counted by 128-bit digests, STRETCH at a time and
+  then one by one where a stretch is neither repeated nor alone, so that no task has to hold
+  them. Both ways are exact; which one an anchor takes doesn't change the result.
 
 Equal texts are told by 128 bits of SHA-256: all of them are covered from end to end. Runs of
 starts are joined to their texts (only those that lose something are shuffled), merged there
@@ -45,8 +46,11 @@ from gleaner.llm.substring_dedup import minimizers
 
 LENGTH, K = 200, 100
 SEGMENT = 1 << 18
-#: Different frames of an anchor that come together, and frames sorted at a time.
-HOT, BLOCK = 2048, 4096
+#: Different frames of an anchor that may come together (10 MB of text), and frames that are
+#: sorted at a time at least.
+HOT, BLOCK = 1 << 15, 4096
+#: Windows of a frame that are counted by one digest before they are looked at one by one.
+STRETCH = 13
 #: Bits of the maps of anchors, frames, anchors with many frames, and texts.
 ANCHORS, FRAMES, HOTS, TEXTS = 1 << 26, 1 << 26, 1 << 22, 1 << 24
 PLACES = "a long, f long, r long, t binary, at long, before int, after int"
@@ -318,26 +322,66 @@ def sorted_starts(some: DataFrame, size: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(run, "t binary, lo long, hi long")
 
 
-def counted_starts(some: DataFrame) -> DataFrame:
-    """The same of frames whose anchors have too many: windows by digests."""
+def _digest(raw: bytes, *told: int) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16, key=b",".join(b"%d" % x for x in told)).digest()
+
+
+def _valid(before: int, frame: bytes) -> range:
+    """Offsets before the anchor at which a whole window of the frame starts."""
+    return range(max(LENGTH - len(frame) + before, 0), before + 1)
+
+
+def stretches(some: DataFrame) -> DataFrame:
+    """(r, k, t, lo, hi, core, whole): windows of a frame, STRETCH offsets at a time (k). Digests
+    of all their bytes, and of those that each of them holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, r, t, at, before, frame in zip(*(batch.column(c).to_pylist() for c in ("a", "r", "t", "at", "before", "frame")), strict=True):
+                valid = _valid(before, frame)
+                for k in range(valid.start // STRETCH, (valid.stop - 1) // STRETCH + 1):
+                    j0, j1 = max(k * STRETCH, valid.start), min((k + 1) * STRETCH, valid.stop) - 1
+                    core = frame[before - k * STRETCH : before + LENGTH - (k + 1) * STRETCH + 1]
+                    whole = frame[before - j1 : before - j0 + LENGTH]
+                    rows.append((r, k, t, at - j1, at - j0, _digest(core, a, k), _digest(whole, a, j0, j1)))
+            if rows:
+                kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["r", "k", "t", "lo", "hi", "core", "whole"])
+
+    return some.mapInArrow(run, "r long, k int, t binary, lo long, hi long, core binary, whole binary")
+
+
+def single_windows(some: DataFrame) -> DataFrame:
+    """(t, lo, w): windows of frames in the stretches `ks`, with digests."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                owner, starts, digests = [], [], []
-                for i, (a, at, before, frame) in enumerate(zip(*(part.column(c).to_pylist() for c in ("a", "at", "before", "frame")), strict=True)):
-                    after = len(frame) - before
-                    for j in range(max(LENGTH - after, 0), before + 1):
-                        window = frame[before - j : before - j + LENGTH]
+            owner, starts, digests = [], [], []
+            for i, (a, at, before, frame, ks) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "at", "before", "frame", "ks")), strict=True)):
+                for j in _valid(before, frame):
+                    if j // STRETCH in ks:
                         owner.append(i)
                         starts.append(at - j)
-                        digests.append(hashlib.blake2b(window, digest_size=16, salt=b"%d" % j, person=(a % 2**64).to_bytes(8, "big")).digest())
-                yield pa.record_batch([part.column("t").take(pa.array(owner, pa.int64())), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())], ["t", "lo", "w"])
+                        digests.append(_digest(frame[before - j : before - j + LENGTH], a, j))
+            yield pa.record_batch([batch.column("t").take(pa.array(owner, pa.int64())), pa.array(starts, pa.int64()), pa.array(digests, pa.binary())], ["t", "lo", "w"])
+
+    return some.mapInArrow(run, "t binary, lo long, w binary")
 
-    windows = cut(some.select("a", "t", "at", "before", "frame").mapInArrow(run, "t binary, lo long, w binary"), "windows")
-    again = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    return windows.join(again, "w", "left_semi").select("t", "lo", F.col("lo").alias("hi"))
+
+def counted_starts(some: DataFrame) -> DataFrame:
+    """The same of frames whose anchors have too many: by digests that are counted. Stretches
+    equal as a whole are repeated, and one of each kind goes on; those whose common bytes
+    stand nowhere else aren't. What is between has its windows counted one by one."""
+    twice = lambda rows, c: rows.groupBy(c).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(c)
+    rows = cut(stretches(some), "stretches")
+    again = rows.groupBy("whole").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("first")).where("n > 1")
+    told = cut(rows.join(again, "whole", "left"), "told")
+    open_ = told.where("n is null or r = first").join(twice(rows, "core"), "core", "left_semi")
+    left = some.join(open_.groupBy("r").agg(F.collect_set("k").alias("ks")), "r")
+    windows = cut(single_windows(left), "windows")
+    found = windows.join(twice(windows, "w"), "w", "left_semi").select("t", "lo", F.col("lo").alias("hi"))
+    return told.where("n > 1").select("t", "lo", "hi").unionByName(found)
 
 
 def starts(docs: DataFrame, hot: int = HOT, block: int = BLOCK, segment: int = SEGMENT) -> DataFrame:
@@ -352,13 +396,17 @@ def starts(docs: DataFrame, hot: int = HOT, block: int = BLOCK, segment: int = S
     several = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     wanted = cut(kinds.join(several, "a").select("a", "r", "kinds"), "wanted")
     marked = shared(bitmap(wanted, F.pmod("r", F.lit(FRAMES)), FRAMES))
-    many = shared(bitmap(wanted.where(F.col("kinds") > hot), F.pmod("a", F.lit(HOTS)), HOTS))
+    common = wanted.where(F.col("kinds") > hot)
+    many = shared(bitmap(common, F.pmod("a", F.lit(HOTS)), HOTS))
+    any_common = bool(common.take(1))
     drop(wanted)
     kept = cut(frames(docs, live, marked, many, segment), "frames")
     whole = where.join(kinds.where("n > 1").select("a", "f"), ["a", "f"]).select(
         "t", (F.col("at") - F.col("before")).alias("lo"), (F.col("at") + F.col("after") - LENGTH).alias("hi")
     )
-    found = whole.where("lo <= hi").unionByName(sorted_starts(kept.where("not hot"), block)).unionByName(counted_starts(kept.where("hot")))
+    found = whole.where("lo <= hi").unionByName(sorted_starts(kept.where("not hot"), block))
+    if any_common:
+        found = found.unionByName(counted_starts(kept.where("hot")))
     out = cut(found, "starts")
     drop(where, kinds, kept)
     return out
