@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import answers as A
@@ -20,12 +19,11 @@ from gleaner.operators import quality as Q
 from gleaner.operators import reduce as R
 from gleaner.operators import selectors as S
 from gleaner.operators import steps as G
+from gleaner.plans import stored  # noqa: F401  registers its queries
+from gleaner.plans.register import ORACLE_SQL, QUERIES, query, t  # noqa: F401
 from gleaner.sources import store
 from gleaner.streaming import feeds
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 NAV = E.Records("nav li", {"label": "a", "href": ("a", "href")})
 #: The same white space class for DuckDB's regular expressions.
 SPACE = r"[\t\n\x{000B}\f\r\x{0020}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -43,20 +41,6 @@ def sql_text(x: str) -> str:
     return sql_trim(out)
 
 
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # --- extraction ----------------------------------------------------------------------
 
 _LINKS = f"""SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1)) AS href,
