@@ -14,6 +14,7 @@ from gleaner.operators import anchors as N
 from gleaner.operators import candidates as C
 from gleaner.operators import extract as E
 from gleaner.operators import history as W
+from gleaner.operators import nodes
 from gleaner.operators import pages as P
 from gleaner.operators import quality as Q
 from gleaner.operators import reduce as R
@@ -642,8 +643,7 @@ def page_clean(spark, d):
 @query()
 def page_tiers(spark, d):
     """Which form of a page fits a budget; held against its definition in the tests."""
-    tier = N.tiered(["article h1"], 3000)
-    return t(spark, d, "pages").select("page_id", tier.alias("x")).select("page_id", F.col("x.mode").alias("mode"), F.length("x.html").alias("size"))
+    return N.tiered(t(spark, d, "pages"), ["page_id"], ["article h1"], 3000).select("page_id", "mode", F.length("html").alias("size"))
 
 
 @query(f"""SELECT page_id, 'link' AS field, 'url-like' AS kind, (ordinal + 1)::INT AS place, 3 AS strength, left({sql_text('raw')}, 40) AS text FROM ({_LINKS}) WHERE ordinal < 5""")
@@ -806,7 +806,7 @@ def stable_selectors(spark, d):
     """Selectors and paths of links and paragraphs, in pages given an id, a role and classes."""
     html = F.replace("html", F.lit("<article>"), F.concat(F.lit('<article id="story-'), F.col("page_id").cast("string"), F.lit('">')))
     html = F.replace(html, F.lit("<nav>"), F.lit('<nav role="navigation" class="xa12bc menu">'))
-    return t(spark, d, "pages").select("page_id", F.inline(N.named("nav a, article p", html)))
+    return N.named(nodes.parsed(t(spark, d, "pages"), ["page_id"], html), "nav a, article p")
 
 
 _CONTEXT = "(SELECT page_id, text, n FROM (SELECT page_id, {0} AS text, ordinal, count(*) OVER (PARTITION BY page_id) AS n FROM ({1})) WHERE ordinal = 0)".format(sql_text("raw"), _LINKS)
@@ -816,14 +816,52 @@ _CONTEXT = "(SELECT page_id, text, n FROM (SELECT page_id, {0} AS text, ordinal,
     FROM {_CONTEXT}""")
 def annotated_context(spark, d):
     """The first link opened within its list, its neighbours folded."""
-    return t(spark, d, "pages").select("page_id", N.surroundings(["nav a"])["contexts"].alias("c")).where(F.size("c") > 0).select("page_id", F.col("c")[0].alias("context"))
+    table = nodes.parsed(t(spark, d, "pages"), ["page_id"])
+    return table.told(N.contexts(table, ["nav a"]).withColumnRenamed("html", "context"), "context")
 
 
 @query(f"""SELECT page_id, '<nav [ANNOTATED]><ul [ANNOTATED]>' || string_agg('<li [ANNOTATED]><a [ANNOTATED]>' || {sql_text('raw')} || '</a></li>', '' ORDER BY ordinal) || '</ul></nav>' AS structure FROM ({_LINKS}) GROUP BY page_id""")
 def annotated_structure(spark, d):
     """The part of the folded body that holds annotated links."""
-    shown = F.filter(N.surroundings(["nav a"])["structure"], lambda x: x.contains("[ANNOTATED]"))
-    return t(spark, d, "pages").select("page_id", shown.alias("s")).where(F.size("s") > 0).select("page_id", F.array_join("s", "").alias("structure"))
+    table = nodes.parsed(t(spark, d, "pages"), ["page_id"])
+    shown = N.structures(table, ["nav a"]).where(F.col("html").contains("[ANNOTATED]"))
+    parts = shown.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "html"))), lambda x: x["html"]), "").alias("structure"))
+    return table.told(parts, "structure")
+
+
+@query(f"""SELECT page_id, n_links > 0 AND page_id % 2 = 1 AS link, contains(html, '<p>') AND page_id % 3 > 0 AS paragraph, n_links > 0 AND page_id % 2 = 1 AS list, contains(html, '<title>') AS title
+    FROM (SELECT page_id, html, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n_links FROM pages)""")
+def visible_elements(spark, d):
+    """Elements that are there and in nothing hidden: every other page hides its menu, every
+    third its article by a style around it."""
+    html = F.when(F.col("page_id") % 2 == 0, F.replace("html", F.lit("<nav>"), F.lit("<nav hidden>"))).otherwise(F.col("html"))
+    html = F.when(F.col("page_id") % 3 == 0, F.replace(html, F.lit("<article>"), F.lit('<article style="color: red; DISPLAY: none">'))).otherwise(html)
+    table = nodes.parsed(t(spark, d, "pages"), ["page_id"], html)
+    return nodes.existing(table, {"link": "nav a", "paragraph": "article > p", "list": "ul", "title": "title"})
+
+
+@query("""WITH p AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS h, contains(html, '<h1>') AS has, contains(html, '<nav>') AS nav, html FROM pages)
+SELECT page_id, 'article h1' AS selector, has AS found, NULL AS error, CASE WHEN has THEN '<h1>' || replace(replace(replace(h, '&quot;', '"'), '&middot;', '·'), '&copy;', '©') || '</h1>' END AS outer_html, CASE WHEN has THEN '' END AS attributes FROM p
+UNION ALL SELECT page_id, 'nav', nav, NULL, NULL, CASE WHEN nav THEN 'role=navigation;title="a" & b' END FROM p
+UNION ALL SELECT page_id, 'table td', false, NULL, NULL, NULL FROM p
+UNION ALL SELECT page_id, 'p[', false, 'INVALID_SELECTOR', NULL, NULL FROM p""")
+def element_html(spark, d):
+    """The first elements of selectors as they are, with their attributes; one matches nothing,
+    and one isn't a selector."""
+    html = F.replace("html", F.lit("<nav>"), F.lit('<nav role="navigation" title="&quot;a&quot; &amp; b">'))
+    rows = nodes.full_html(nodes.parsed(t(spark, d, "pages"), ["page_id"], html), ["article h1", "nav", "table td", "p["])
+    listed = F.array_join(F.transform("attributes", lambda a: F.concat(a["name"], F.lit("="), a["value"])), ";")
+    outer = F.when(F.col("selector") == "article h1", F.col("outer_html"))
+    return rows.select("page_id", "selector", "found", F.substring_index("error", ":", 1).alias("error"), outer.alias("outer_html"), listed.alias("attributes"))
+
+
+@query(f"""WITH p AS (SELECT page_id, len(regexp_extract_all(html, '<li><a href="[^"]*">')) AS n, {_N_P} AS m FROM pages)
+SELECT page_id, i::INT AS ordinal, 0::INT AS holder FROM (SELECT page_id, unnest(range(1, n + 1)) AS i FROM p)
+UNION ALL SELECT page_id, (n + 1 + i)::INT, (n + 1)::INT FROM (SELECT page_id, n, unnest(range(1, m + 1)) AS i FROM p)""")
+def contained_nodes(spark, d):
+    """Elements of a selector that stand in others of it, by their intervals."""
+    table = nodes.parsed(t(spark, d, "pages"), ["page_id"])
+    return table.told(nodes.contained(nodes.matching(table, "nav, li, article, p")), "ordinal", "holder")
 
 
 @query("""SELECT DISTINCT 'div#r' || n_regionkey || ' > ul li' AS container, CASE WHEN n_nationkey % 2 = 0 THEN 'button.more' ELSE 'div > a' END AS sub_selector FROM nation""")

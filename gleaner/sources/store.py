@@ -28,6 +28,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back, so that what follows starts from files."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_services(spark: SparkSession, path: str) -> DataFrame:
     """Exported services (a JSON array); rows without id, name or any steps are left out."""
     rows = spark.read.schema(SERVICE).option("multiLine", True).json(path)

@@ -30,7 +30,7 @@ def test_wrappers_give_way():
 
 def test_tiers(spark):
     page = PAGE.format(v="v", t="text")
-    modes = lambda budget, *s: spark.createDataFrame([(page,)], "html string").select(anchors.tiered(list(s), budget).alias("x")).first()["x"]["mode"]
+    modes = lambda budget, *s: anchors.tiered(spark.createDataFrame([(page,)], "html string"), [], list(s), budget).first()["mode"]
     full = len(spark.createDataFrame([(page,)], "html string").select(reduce.snapshot("html")["html"]).first()[0])
     assert modes(full) == "full" and modes(60, "p") == "annotated" and modes(10, "p") == "needs_subtree_selection"
 
