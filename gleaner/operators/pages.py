@@ -63,25 +63,20 @@ def capped(pages: DataFrame, job: str, seq: str, cap: int) -> DataFrame:
 
 def within_budget(pages: DataFrame, job: str, seq: str, size: str, budget: int) -> DataFrame:
     """A job's pages after taking out the middle one again and again while they are more
-    than two and over the budget; 0 is no budget. Pages are already capped in number, so
-    a job's sizes are a short array."""
-    lists = pages.groupBy(job).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(size).cast("long").alias("size")))).alias("a"))
-    total = F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["size"])
-    start = F.struct(F.col("a").alias("a"), total.alias("bytes"))
-
-    def drop(s, _):
-        n = F.size(s["a"])
-        mid = F.floor(n / 2).cast("int")
-        less = F.struct(
-            F.concat(F.slice(s["a"], F.lit(1), mid), F.slice(s["a"], mid + 2, n)).alias("a"),
-            (s["bytes"] - F.element_at(s["a"], mid + 1)["size"]).alias("bytes"),
-        )
-        return F.when((n > 2) & (s["bytes"] > budget) & (F.lit(budget) > 0), less).otherwise(s)
-
-    left = F.aggregate(F.sequence(F.lit(1), F.size("a")), start, drop)
-    return lists.withColumn("_l", left).select(
-        job, (F.size("a") - F.size("_l.a")).cast("long").alias("dropped"), F.inline(F.col("_l.a"))
-    ).select(job, F.col("seq").alias(seq), F.col("size").alias(size), "dropped")
+    than two and over the budget; 0 is no budget. Which page goes when depends on the places
+    alone: from the middle outwards, one on either side in turn, beginning behind it if the
+    number is odd and before it if it is even. So a running sum in that order tells what was
+    left before each turn, and a page goes if that was over the budget."""
+    whole = Window.partitionBy(job)
+    n, at = F.count(F.lit(1)).over(whole), F.row_number().over(whole.orderBy(seq)) - 1
+    rows = pages.withColumn("_n", n).withColumn("_d", at - F.floor(n / 2))
+    near = F.when(F.col("_n") % 2 == 1, F.col("_d") > 0).otherwise(F.col("_d") < 0)
+    rows = rows.withColumn("_turn", 2 * F.abs("_d") - near.cast("int"))
+    bytes_ = F.coalesce(F.col(size).cast("long"), F.lit(0))
+    gone = F.coalesce(F.sum(bytes_).over(whole.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.withColumn("_goes", (F.lit(budget) > 0) & (F.col("_turn") < F.col("_n") - 2) & (F.sum(bytes_).over(whole) - gone > budget))
+    rows = rows.withColumn("dropped", F.count_if("_goes").over(whole).cast("long"))
+    return rows.where(~F.col("_goes")).select(job, F.col(seq), F.col(size).cast("long").alias(size), "dropped")
 
 
 def stamped(records: DataFrame, page: str, name: str = "source_page_id") -> DataFrame:

@@ -8,12 +8,29 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner.functions.text import time_budget
+from gleaner.sources import store
+
 TERMINATE = "TERMINATE"
 
 
-def reachable(steps: DataFrame, graph: str = "graph") -> DataFrame:
-    """(graph, id) of steps that can be reached from each graph's first step (ordinal 0).
-    A graph's steps are one short array; it's walked once for each of its steps at most."""
+#: Steps of a graph up to which it is walked as an array; larger ones are joined.
+SHORT = 64
+
+
+def reachable(steps: DataFrame, graph: str = "graph", short: int = SHORT) -> DataFrame:
+    """(graph, id) of what can be reached from each graph's first step (least ordinal), pointers
+    to nowhere included. Graphs of up to `short` steps are walked in place; others by joins."""
+    sizes = steps.groupBy(graph).agg(F.count(F.lit(1)).alias("_n"))
+    large = sizes.where(F.col("_n") > short)
+    most = large.agg(F.max("_n")).first()[0]
+    if most is None:
+        return _walked(steps, graph)
+    small = steps.join(large, graph, "left_anti")
+    return _walked(small, graph).unionByName(_joined(steps.join(large.select(graph), graph, "left_semi"), graph, most))
+
+
+def _walked(steps: DataFrame, graph: str) -> DataFrame:
     edges = F.collect_list(F.struct("id", F.array("on_success", "on_failure").alias("to")))
     one = steps.groupBy(graph).agg(edges.alias("_e"), F.min_by("id", "ordinal").alias("_first"))
 
@@ -25,6 +42,36 @@ def reachable(steps: DataFrame, graph: str = "graph") -> DataFrame:
     return one.select(graph, F.explode(found).alias("id"))
 
 
+def _joined(steps: DataFrame, graph: str, most: int) -> DataFrame:
+    """Each kind of pointer leads a step to one other, so who is 1, 2, 4 ... such pointers away
+    is found by joining the table with itself, and all that follow some steps are found by a
+    join with each of these. Both kinds take turns until nothing is new: the rounds are as
+    many as the way changes its kind, however long it is. A hop of a chain is no round."""
+    levels = max(int(most).bit_length(), 1)
+    hops = {}
+    for kind in ("on_success", "on_failure"):
+        hop = store.kept(steps.where(F.col(kind).isNotNull() & (F.col(kind) != TERMINATE)).select(graph, "id", F.col(kind).alias("to")).distinct(), "hop")
+        hops[kind] = []
+        for level in range(levels):
+            hops[kind].append(hop)
+            if level + 1 < levels:
+                hop = store.kept(hop.join(hop.select(graph, F.col("id").alias("to"), F.col("to").alias("_to")), [graph, "to"]).select(graph, "id", F.col("_to").alias("to")).distinct(), "hop")
+                if not hop.take(1):
+                    break
+    first = steps.groupBy(graph).agg(F.min_by("id", "ordinal").alias("id"))
+    found, count, quiet, turn = store.kept(first, "reached"), 0, 0, 0
+    while quiet < 2:
+        kind = ("on_success", "on_failure")[turn % 2]
+        more = found
+        for hop in hops[kind]:  # each used once, so the plan is a line
+            near = more.join(hop, [graph, "id"], "left")
+            more = near.select(graph, F.explode(F.array_compact(F.array("id", "to"))).alias("id")).distinct()
+        found, before = store.kept(more, "reached"), count
+        count = found.count()
+        quiet, turn = (quiet + 1 if turn and count == before else 0), turn + 1
+    return found
+
+
 def problems(steps: DataFrame, graph: str = "graph") -> DataFrame:
     """(graph, id, problem) rows: repeated ids, no script, bad iteration counts, pointers
     to nowhere or to SELF, and steps that can't be reached."""
@@ -72,6 +119,43 @@ def execution_notes(steps: DataFrame, graph: str = "graph") -> DataFrame:
     return steps.select(graph, "id", F.explode(F.array_compact(notes)).alias("note"))
 
 
+#: Fixed value: milliseconds that a step may wait before its time is out.
+STEP_TIMEOUT = 30_000
+
+
+def verdicts(steps: DataFrame, graph: str = "graph") -> DataFrame:
+    """(graph, valid, step, error, warnings): one row for each graph. The error told is the first:
+    steps in their order, each by its id, script, repetition and iterations; then steps
+    that wait for their annotation; then pointers, step by step; then steps that nothing
+    leads to. Only graphs that may run have warnings: waits longer than a step has time for,
+    and polls whose script never says that they aren't ready."""
+    script = F.coalesce(F.trim("script"), F.lit(""))
+    own = steps.select(graph, "id", "ordinal", "script", "max_iterations", "on_success", "on_failure").withColumn("_s", script)
+    own = own.withColumn("_again", F.row_number().over(Window.partitionBy(graph, "id").orderBy("ordinal")) > 1)
+    known = steps.select(graph, F.col("id").alias("_to"), F.lit(True).alias("_there")).distinct()
+
+    def lost(c: str) -> DataFrame:
+        to = own.where(F.col(c).isNotNull() & ~F.col(c).isin("", TERMINATE, "SELF")).withColumn("_to", F.col(c))
+        return to.join(known, [graph, "_to"], "left_anti").select(graph, "id", "ordinal", F.lit(2).alias("phase"), F.lit(1 if c == "on_success" else 3).alias("check"), F.lit("DANGLING_POINTER").alias("error"))
+
+    tell = lambda phase, check, what, code: F.when(what, F.struct(F.lit(phase).alias("phase"), F.lit(check).alias("check"), F.lit(code).alias("error")))
+    local = [
+        tell(0, 0, F.coalesce(F.col("id"), F.lit("")) == "", "NO_ID"), tell(0, 1, F.col("_s") == "", "NO_SCRIPT"), tell(0, 2, F.col("_again"), "DUPLICATE_ID"),
+        tell(0, 3, F.col("max_iterations") < 1, "BAD_ITERATIONS"), tell(1, 0, F.col("_s") == PENDING, "PENDING_ANNOTATION"),
+        tell(2, 0, F.col("on_success") == "SELF", "SELF_POINTER"), tell(2, 2, F.col("on_failure") == "SELF", "SELF_POINTER"),
+    ]
+    errors = own.select(graph, "id", "ordinal", F.inline(F.array_compact(F.array(*local)))).unionByName(lost("on_success")).unionByName(lost("on_failure"))
+    apart = own.select(graph, "id", "ordinal").join(reachable(steps, graph), [graph, "id"], "left_anti")
+    errors = errors.unionByName(apart.select(graph, "id", "ordinal", F.lit(3).alias("phase"), F.lit(0).alias("check"), F.lit("UNREACHABLE").alias("error")))
+    first = errors.groupBy(graph).agg(F.min_by(F.struct(F.col("id").alias("step"), "error"), F.struct("phase", "ordinal", "check")).alias("_e"))
+    late = F.when(time_budget("script") > STEP_TIMEOUT, F.concat(F.lit("LONG_DELAY:"), "id"))
+    silent = F.when((F.coalesce("max_iterations", F.lit(1)) > 1) & ~F.col("script").rlike(SIGNAL), F.concat(F.lit("NO_SIGNAL:"), "id"))
+    told = own.select(graph, F.inline(F.array(F.struct(F.lit(0).alias("_k"), "ordinal", late.alias("_w")), F.struct(F.lit(1).alias("_k"), "ordinal", silent.alias("_w")))))
+    listed = told.groupBy(graph).agg(F.transform(F.array_sort(F.collect_list(F.when(F.col("_w").isNotNull(), F.struct("_k", "ordinal", "_w")))), lambda x: x["_w"]).alias("_w"))
+    out = listed.join(first, graph, "left").withColumn("valid", F.col("_e").isNull())
+    return out.select(graph, "valid", "_e.step", "_e.error", F.when(F.col("valid"), F.col("_w")).otherwise(F.array().cast("array<string>")).alias("warnings"))
+
+
 def with_defaults(steps: DataFrame) -> DataFrame:
     """steps whose iterations are unset and whose script has a signal run up to POLLS times."""
     unset = F.col("max_iterations").isNull() & F.coalesce(F.col("script").rlike(SIGNAL), F.lit(False))

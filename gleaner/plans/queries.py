@@ -146,9 +146,13 @@ def page_caps(spark, d):
     return P.capped(rows, "job", "page_id", 15)
 
 
-@query()
+@query("""WITH RECURSIVE j AS (SELECT floor(page_id / 40)::BIGINT AS job, list({'page_id': page_id, 'size': length(html)} ORDER BY page_id) AS l FROM pages GROUP BY 1),
+s AS (SELECT job, l, list_sum(list_transform(l, lambda x: x.size)) AS bytes, 0::BIGINT AS dropped FROM j
+    UNION ALL SELECT job, l[1:len(l) // 2] || l[len(l) // 2 + 2:], bytes - l[len(l) // 2 + 1].size, dropped + 1 FROM s WHERE len(l) > 2 AND bytes > 60000),
+e AS (SELECT job, arg_max(l, dropped) AS l, max(dropped) AS dropped FROM s GROUP BY job)
+SELECT job, x.page_id AS page_id, x.size AS size, dropped FROM (SELECT job, unnest(l) AS x, dropped FROM e)""")
 def page_byte_budget(spark, d):
-    """Middle-out dropping; held against a loop in the tests."""
+    """Middle-out dropping in a running sum, against the loop that takes out one by one."""
     rows = t(spark, d, "pages").select(F.floor(F.col("page_id") / 40).alias("job"), "page_id", F.length("html").alias("size"))
     return P.within_budget(rows, "job", "page_id", "size", 60_000)
 
@@ -520,6 +524,35 @@ def backedge_boost(spark, d):
     return G.boosted(step_table(spark, d)).select("graph", "id", "max_iterations")
 
 
+def order_graphs(spark, d) -> DataFrame:
+    """A graph for each order, a step for each of its items; some are broken in one way or another."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    rows = t(spark, d, "lineitem").withColumn("ordinal", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("l_orderkey")))
+    step = lambda i: F.concat(F.lit("s"), i.cast("string"))
+    script = F.when(F.col("l_partkey") % 29 == 0, " ").when(F.col("l_suppkey") % 19 == 0, "// PENDING_ANNOTATION").when(F.col("l_tax") > 0.075, "await $wait(30001)").when(F.col("l_quantity") < 4, "return { ready: 1 }").otherwise("run()")
+    success = F.when((F.col("l_partkey") % 17 == 0) | (F.col("ordinal") == F.col("n")), "TERMINATE").otherwise(step(F.col("ordinal") + 1))
+    failure = F.when(F.col("l_suppkey") % 23 == 0, "nowhere").when((F.col("l_discount") > 0.095) & (F.col("ordinal") + 2 <= F.col("n")), step(F.col("ordinal") + 2)).otherwise("TERMINATE")
+    more = F.when(F.col("l_quantity") < 6, 3).when(F.col("l_quantity") >= 50, 0)
+    return rows.select(F.col("l_orderkey").alias("graph"), step(F.col("ordinal")).alias("id"), "ordinal", script.alias("script"), success.alias("on_success"), failure.alias("on_failure"), more.alias("max_iterations"))
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_orderkey AS graph, o AS ordinal, n, CASE WHEN l_partkey % 29 = 0 THEN '' WHEN l_suppkey % 19 = 0 THEN 'P' WHEN l_tax > 0.075 THEN 'W' WHEN l_quantity < 4 THEN 'R' ELSE 'X' END AS script,
+    CASE WHEN l_partkey % 17 = 0 OR o = n THEN NULL ELSE o + 1 END AS ok, CASE WHEN l_suppkey % 23 = 0 THEN -1 WHEN l_discount > 0.095 AND o + 2 <= n THEN o + 2 END AS ko, CASE WHEN l_quantity < 6 THEN 3 WHEN l_quantity >= 50 THEN 0 END AS m FROM (
+    SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS o, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)),
+r AS (SELECT graph, 1 AS at FROM s WHERE ordinal = 1 UNION SELECT r.graph, e.x FROM r JOIN s ON s.graph = r.graph AND s.ordinal = r.at, LATERAL (SELECT unnest([ok, ko]) AS x) e WHERE e.x > 0),
+e AS (SELECT graph, ordinal, 0 AS phase, CASE WHEN script = '' THEN 'NO_SCRIPT' ELSE 'BAD_ITERATIONS' END AS error FROM s WHERE script = '' OR m < 1
+    UNION ALL SELECT graph, ordinal, 1, 'PENDING_ANNOTATION' FROM s WHERE script = 'P' UNION ALL SELECT graph, ordinal, 2, 'DANGLING_POINTER' FROM s WHERE ko = -1
+    UNION ALL SELECT graph, ordinal, 3, 'UNREACHABLE' FROM s ANTI JOIN r ON r.graph = s.graph AND r.at = s.ordinal),
+f AS (SELECT graph, arg_min({'step': 's' || ordinal, 'error': error}, (phase, ordinal)) AS e FROM e GROUP BY graph),
+w AS (SELECT graph, coalesce(string_agg('LONG_DELAY:s' || ordinal, ',' ORDER BY ordinal) FILTER (WHERE script = 'W'), '') AS late, coalesce(string_agg('NO_SIGNAL:s' || ordinal, ',' ORDER BY ordinal) FILTER (WHERE m > 1 AND script <> 'R'), '') AS silent FROM s GROUP BY graph)
+SELECT graph, e IS NULL AS valid, e.step AS step, e.error AS error, CASE WHEN e IS NOT NULL THEN '' ELSE concat_ws(',', nullif(late, ''), nullif(silent, '')) END AS warnings FROM w LEFT JOIN f USING (graph)""")
+def graph_verdicts(spark, d):
+    """Whether each graph may run, the first reason why not, and what to be warned of."""
+    return G.verdicts(order_graphs(spark, d)).withColumn("warnings", F.array_join("warnings", ","))
+
+
 @query("SELECT user_id, count(*) AS n FROM events WHERE coalesce(value > 10 AND event_type = 'view', false) GROUP BY user_id")
 def step_run(spark, d):
     """Two steps run by the driver: a filter, and a count of what it left."""

@@ -165,3 +165,67 @@ def test_execute_polls_and_fails(spark):
     assert skipped.last == 1
     with pytest.raises(RuntimeError, match="MAX_ITERATIONS"):
         steps.execute(spark, [steps.Step("a", lambda *_: 1, "a")], {})
+
+
+def graphs_of(spark, rows):
+    return spark.createDataFrame(rows, "graph int, id string, ordinal int, script string, on_success string, on_failure string, max_iterations int")
+
+
+def walk(rows):
+    by, out = {}, set()
+    for g, i, o, _, s, f, _ in rows:
+        by.setdefault(g, []).append((o, i, s, f))
+    for g, xs in by.items():
+        xs.sort()
+        to, seen, todo = {}, set(), [xs[0][1]]
+        for _, i, s, f in xs:
+            to.setdefault(i, []).extend([s, f])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += [y for y in to.get(x, []) if y and y != "TERMINATE"]
+        out |= {(g, x) for x in seen}
+    return out
+
+
+def test_reachable_by_joins(spark):
+    """Random graphs of both sizes at once, against a walk."""
+    import random
+
+    r = random.Random(8)
+    rows = []
+    for g in range(12):
+        n = r.choice([3, 9, 30])
+        for i in range(n):
+            point = lambda i=i, n=n: r.choice(["TERMINATE", None, f"s{i + 1}", f"s{r.randrange(n)}", "nowhere"])
+            rows.append((g, f"s{i}", i, "run()", point(), point(), 1))
+    got = {tuple(x) for x in steps.reachable(graphs_of(spark, rows), short=5).collect()}
+    assert got == walk(rows) == {tuple(x) for x in steps.reachable(graphs_of(spark, rows)).collect()}
+
+
+def test_reachable_in_a_long_chain(spark):
+    """100,000 steps one after the other, a way back, and a part that nothing leads to."""
+    n = 100_000
+    ids = spark.range(n).selectExpr("cast(1 as int) as graph", "concat('s', id) as id", "cast(id as int) as ordinal", "'run()' as script",
+        f"case when id = {n // 2} or id = {n - 1} then 'TERMINATE' else concat('s', id + 1) end as on_success", "case when id = 900 then 's70000' when id = 90000 then 's10' else 'TERMINATE' end as on_failure", "1 as max_iterations")
+    found = steps.reachable(ids).selectExpr("cast(substr(id, 2) as int) as i").agg({"i": "count", "*": "count"}).first()
+    assert found[0] == n // 2 + 1 + 30_000
+
+
+def test_verdicts(spark):
+    ok, pend = "return { done: false }", "// PENDING_ANNOTATION"
+    graphs = {
+        1: [("a", ok, "b", None, 5), ("b", "run()", None, None, 1)], 2: [("a", "", "b", None, 1), ("b", "x", None, None, 0)], 3: [("a", pend, "b", None, 1), ("b", "", None, None, 1)],
+        4: [("a", "x", "b", None, 1), ("b", pend, "nowhere", None, 1)], 5: [("a", "x", "nowhere", "SELF", 1)], 6: [("a", "x", None, None, 1), ("b", "x", None, None, 1)],
+        7: [("a", "x", "a", None, 1), ("a", "x", None, None, 1)], 8: [("a", "await $wait(20000); await $wait(10001)", "b", None, 1), ("b", "x", None, None, 3), ("c", "$wait(40000)", None, "zz", None)],
+        9: [("a", "await $wait(20000); await $wait(10001)", "b", None, 1), ("b", "$wait(99999)", "", None, 3)], 10: [("a", "x", "SELF", "nowhere", 1)], 11: [("a", "x", "", "nowhere", 1), (None, "x", None, None, 1)],
+        12: [("a", "x", "b", None, 1), ("b", "x", None, None, 0), ("b", "x", None, None, 1)],
+    }
+    rows = [(g, i, n, s, a, b, m) for g, xs in graphs.items() for n, (i, s, a, b, m) in enumerate(xs)]
+    got = {r["graph"]: (r["valid"], r["step"], r["error"], r["warnings"]) for r in steps.verdicts(graphs_of(spark, rows)).collect()}
+    assert got == {
+        1: (True, None, None, []), 2: (False, "a", "NO_SCRIPT", []), 3: (False, "b", "NO_SCRIPT", []), 4: (False, "b", "PENDING_ANNOTATION", []), 5: (False, "a", "DANGLING_POINTER", []),
+        6: (False, "b", "UNREACHABLE", []), 7: (False, "a", "DUPLICATE_ID", []), 8: (False, "c", "DANGLING_POINTER", []), 9: (True, None, None, ["LONG_DELAY:a", "LONG_DELAY:b", "NO_SIGNAL:b"]),
+        10: (False, "a", "SELF_POINTER", []), 11: (False, None, "NO_ID", []), 12: (False, "b", "BAD_ITERATIONS", []),
+    }
