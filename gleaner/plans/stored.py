@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators import dependent
+from gleaner.operators import extract as E
 from gleaner.plans.register import query, t
 from gleaner.sources import store
+from gleaner.sources.export import export
 from gleaner.sources.registry import Refused, Registry
 from gleaner.streaming import feeds, states
 from gleaner.streaming.sink import EventLog
@@ -151,3 +154,35 @@ def streaming_first_seen(spark, d):
     rows = t(spark, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     stream = feeds.first_seen(arrivals(spark, rows, "event_id"), ["user_id", "event_type"], "ts", "60 days")
     return kept(stream.select("user_id", "event_type"), spark, store.scratch(spark, "seen-notes"))
+
+
+@query("SELECT c_custkey::VARCHAR AS id, c_name AS name, 3::BIGINT AS n_steps, true AS documented FROM customer")
+def service_export(spark, d):
+    """Services written to one JSON file and one Markdown file by many tasks, and read again."""
+    services = customer_services(spark, d, F.lit(False)).withColumn("displayName", F.lit(None).cast("string"))
+    services = services.withColumn("outputSchema", F.lit('{"type":"object","required":["a"],"properties":{"a":{"type":"string","description":"x"}}}')).drop("config")
+    folder = store.scratch(spark, "export")
+    dealt = services.repartitionByRange(5, "name")
+    export(dealt, f"{folder}/services.json")
+    export(dealt, f"{folder}/services.md", "markdown")
+    again = store.read_services(spark, f"{folder}/services.json")
+    titles = spark.read.text(f"{folder}/services.md").where("value like '# %'").select(F.substring("value", 3, 1000).alias("name"), F.lit(True).alias("documented"))
+    return again.join(titles, "name", "left").select("id", "name", F.size("steps").cast("long").alias("n_steps"), F.coalesce("documented", F.lit(False)).alias("documented"))
+
+
+@query("""WITH p AS (SELECT url, min(page_id) AS page_id, min(CASE WHEN page_id % 5 = 0 THEN replace(html, '<nav>', '<menu>') ELSE html END) AS html FROM pages GROUP BY url),
+e AS (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 7 = 0 THEN 'http://gone.example/' || event_id % 77 ELSE url END AS target FROM events JOIN pages ON page_id = (event_id * event_id) % (SELECT max(page_id) FROM pages))
+SELECT event_id, CASE WHEN target IS NULL THEN NULL WHEN p.url IS NULL THEN 'PAGE_NOT_FOUND' WHEN n = 0 THEN 'SCRIPT_ERROR' END AS code,
+    CASE WHEN n > 0 THEN n END AS n_links, CASE WHEN n > 0 THEN length(html) - length(replace(html, '<p>', '12')) END AS n_paragraphs
+FROM e LEFT JOIN (SELECT *, CASE WHEN contains(html, '<nav>') THEN len(regexp_extract_all(html, '<li><a href="[^"]*">')) ELSE 0 END AS n FROM p) p ON p.url = e.target""")
+def dependent_pages(spark, d):
+    """Events lead to pages, some to none and some to pages whose menu isn't there, which the
+    job doesn't bear."""
+    pages = t(spark, d, "pages").withColumn("html", F.when(F.col("page_id") % 5 == 0, F.replace("html", F.lit("<nav>"), F.lit("<menu>"))).otherwise(F.col("html")))
+    last = pages.agg(F.max("page_id").alias("last"))
+    events = t(spark, d, "events").select("event_id").join(F.broadcast(last))  # one row
+    rows = events.withColumn("page_id", (F.col("event_id") * F.col("event_id")) % F.col("last")).join(pages.select("page_id", "url"), "page_id")
+    target = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 7 == 0, F.concat(F.lit("http://gone.example/"), (F.col("event_id") % 77).cast("string"))).otherwise(F.col("url"))
+    job = E.Job({"links": E.Records("nav li", {"href": ("a", "href")}, strict=True), "n_paragraphs": E.Read("p", "count")})
+    found = dependent.opened(rows.select("event_id", target.alias("target")), "target", pages, job)
+    return found.select("event_id", F.col("error.code").alias("code"), F.size("value.links").cast("long").alias("n_links"), F.col("value.n_paragraphs").alias("n_paragraphs"))

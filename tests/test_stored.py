@@ -6,6 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.operators import dependent
+from gleaner.operators import extract as E
+from gleaner.sources.export import export
 from gleaner.sources.registry import Refused, Registry
 from gleaner.sources.versions import Conflict, Pointer
 from gleaner.streaming import states
@@ -159,3 +162,41 @@ def test_feed_over_batches(spark, tmp_path):
     assert rows[0] == {"t": (3, 2, 2, None, False), "s": (3, 2, 1, None, False), "o": (2, 1, 2, None, False)}
     assert rows[1]["t"] == (6, 3, 5, "target", True) and rows[1]["s"] == (6, 3, 1, "stalled", True)
     assert not rows.get(2, {}).get("t") and not rows.get(2, {}).get("s")
+
+
+def test_export_of_many_tasks(spark, tmp_path):
+    import json
+
+    rows = [(str(i), f"näme {i:03d}", None if i % 2 else "Shown", [step("a", 'b"')] if i % 3 else []) for i in range(50)]
+    table = services(spark, rows)
+    path = str(tmp_path / "all.json")
+    export(table.repartitionByRange(7, "name").sortWithinPartitions("name"), path)
+    got = json.loads((tmp_path / "all.json").read_text())
+    assert [x["name"] for x in got] == [r[1] for r in rows] and "displayName" not in got[1] and got[1]["steps"][0]["onSuccess"] == 'b"'
+    assert [p.name for p in tmp_path.iterdir()] == ["all.json"]
+    export(table.where("false"), path)
+    assert json.loads((tmp_path / "all.json").read_text()) == []
+    export(table.where("id < 2").withColumn("inputSchema", F.lit('{"properties": {"q": {"type": "string"}}}')), f"file://{tmp_path}/all.md", "markdown")
+    text = (tmp_path / "all.md").read_text()
+    assert text.count("\n# ") + text.startswith("# ") == text.count("| q | string | no |") and "# Shown" in text
+
+
+def test_a_failed_export_leaves_nothing(spark, tmp_path):
+    path = tmp_path / "all.json"
+    path.write_text("as it was")
+    bad = spark.range(40).repartition(4).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") == 33, F.raise_error(F.lit("gone"))).otherwise("x").alias("name"))
+    with pytest.raises(Exception, match="gone"):
+        export(bad, str(path))
+    assert path.read_text() == "as it was" and [p.name for p in tmp_path.iterdir()] == ["all.json"]
+    with pytest.raises(Exception, match="form is one of"):
+        export(bad, str(path), "xml")
+
+
+def test_pages_are_opened_once(spark):
+    pages = spark.createDataFrame([("u1", "<title>t</title><ul><li>1</li></ul>"), ("u2", "<title>none</title>"), ("u2", None), ("u3", None)], "url string, html string")
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(["u1", "u1", "u2", "u3", "u4", None, "u1"])], "n int, target string")
+    job = E.Job({"title": E.Read("title"), "items": E.Records("li", {"text": ""}, strict=True)})
+    got = {r["n"]: (r["value"] and (r["value"]["title"], len(r["value"]["items"])), r["error"] and r["error"]["code"]) for r in dependent.opened(rows, "target", pages, job).collect()}
+    fails = (None, "SCRIPT_ERROR")
+    assert got == {0: (("t", 1), None), 1: (("t", 1), None), 6: (("t", 1), None), 2: fails, 3: fails, 4: (None, "PAGE_NOT_FOUND"), 5: (None, None)}
+    assert dependent.opened(rows.where("false"), "target", pages, job).count() == 0
