@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 import re
 from functools import reduce
 
@@ -89,20 +90,41 @@ def lenient_json(text: str | Column) -> Column:
     return F.when(valid(given), given).when(valid(s), s)
 
 
+def _parts(text: str) -> dict[tuple, tuple]:
+    """A JSON value as a table: path -> (kind, size or value), outer ones first. Numbers are
+    one kind, truth values another."""
+    out, todo = {}, [((), json.loads(text))]
+    while todo:
+        path, x = todo.pop()
+        if isinstance(x, dict | list):
+            inner = x.items() if isinstance(x, dict) else enumerate(x)
+            out[path] = (type(x).__name__, len(x))
+            todo += [((*path, k), v) for k, v in inner]
+        else:
+            out[path] = ("number" if isinstance(x, int | float) and not isinstance(x, bool) else type(x).__name__, x)
+    return out
+
+
 def predecessor(a: str, b: str) -> Column:
     """Whether JSON value a is an earlier stage of b: objects with a's members, arrays of
-    one length with four of five such items, or equal values."""
-
-    def before(x, y) -> bool:
-        if isinstance(x, list):
-            return isinstance(y, list) and len(x) == len(y) and (not x or sum(map(before, x, y)) / len(x) >= 0.8)
-        if isinstance(x, dict):
-            return isinstance(y, dict) and all(k in y and before(v, y[k]) for k, v in x.items())
-        return type(x) is type(y) and x == y
+    one length with four of five such items, or equal values. Both become tables of their
+    paths; from the inmost outwards, each part of a that b has counts for what holds it."""
+
+    def earlier(x: dict[tuple, tuple], y: dict[tuple, tuple]) -> bool:
+        met: Counter = Counter()
+        for path in sorted(x, key=len, reverse=True):
+            (kind, size), (other, same) = x[path], y.get(path, (None, None))
+            fits = kind == other
+            if kind == "dict":  # the other may have more members
+                fits = fits and met[path] == size
+            else:
+                fits = fits and size == same and (kind != "list" or 5 * met[path] >= 4 * size)
+            met[path[:-1] if path else None] += fits
+        return met[None] == 1
 
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
         pairs = zip(x.to_pylist(), y.to_pylist(), strict=True)
-        return pa.array([None if p is None or q is None else before(json.loads(p), json.loads(q)) for p, q in pairs], pa.bool_())
+        return pa.array([None if p is None or q is None else earlier(_parts(p), _parts(q)) for p, q in pairs], pa.bool_())
 
     return F.arrow_udf(run, "boolean")(a, b)
 
@@ -168,8 +190,44 @@ def producer(steps: DataFrame, run: list[str], pattern: str, before: Column) ->
     return steps.where(F.col("script").rlike(pattern) & (F.col("ordinal") < before)).groupBy(*run).agg(F.max_by("id", "ordinal").alias("producer"))
 
 
+#: What a frame's selector begins with, and what stands between.
+FRAME, BETWEEN = "iframe", "::"
+
+
 def frames(selector: str) -> Column:
-    """struct(frames, inner) of selectors such as iframe#a::iframe[name="b"]::p."""
-    parts = F.split(selector, "::")
-    n = F.size(parts)
-    return F.struct(F.slice(parts, F.lit(1), n - 1).alias("frames"), F.element_at(parts, n).alias("inner"))
+    """struct(frames, inner) of selectors such as iframe#a::iframe[name="b"]::td::before: what
+    leads through frames, and the rest as it is."""
+    parts = F.split(selector, BETWEEN)
+    inside = F.transform(parts, lambda p: p.startswith(FRAME) & (F.length(p) > len(FRAME)))
+    end = F.array_position(inside, False)
+    n = F.when(end > 0, end - 1).otherwise(F.size(parts)).cast("int")
+    return F.struct(F.slice(parts, F.lit(1), n).alias("frames"), F.array_join(F.slice(parts, n + 1, F.size(parts)), BETWEEN).alias("inner"))
+
+
+def framed(chain: Column, inner: Column) -> Column:
+    """The selector that `frames` takes apart; a missing part has no separator."""
+    return F.array_join(F.filter(F.concat(chain, F.array(inner)), lambda p: F.coalesce(p, F.lit("")) != ""), BETWEEN)
+
+
+#: Calls of a script that read lists of records, and those that read anything.
+EXTRACTING = r"\$(extractList|extractListMulti|extractWithHover|list)\s*\("
+PRODUCING = r"\$(hover|extract|extractList|extractListMulti|list)\s*\("
+
+
+def upstream(steps: DataFrame, run: list[str], fallback: DataFrame, pattern: str = EXTRACTING) -> DataFrame:
+    """(run, step): for each run of `fallback` (run, id) its last step whose script makes such a
+    call, else the step given there."""
+    found = steps.where(F.col("script").rlike(pattern)).groupBy(*run).agg(F.max_by("id", "ordinal").alias("_found"))
+    return fallback.join(found, run, "left").select(*run, F.coalesce("_found", "id").alias("step"))
+
+
+def no_op_fixes(patches: DataFrame, steps: DataFrame, fix: list[str], run: list[str]) -> DataFrame:
+    """(fix, no_op): whether none of a fix's patches changes its step's script (white space at
+    its ends aside), pointers or iterations. A patch for a step that isn't there is no
+    no-op, and takes its fix with it."""
+    columns = ("script", "on_success", "on_failure", "max_iterations")
+    now = steps.select(*run, F.col("id").alias("step_id"), *[F.col(c).alias(f"_{c}") for c in columns], F.lit(True).alias("_there"))
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    often = lambda c: F.coalesce(F.nullif(F.col(c), F.lit(0)), F.lit(1))
+    same = (trim(text("script")) == trim(text("_script"))) & (text("on_success") == text("_on_success")) & (text("on_failure") == text("_on_failure")) & (often("max_iterations") == often("_max_iterations"))
+    return patches.join(now, [*run, "step_id"], "left").groupBy(*fix).agg(F.bool_and(F.coalesce(F.col("_there") & same, F.lit(False))).alias("no_op"))

@@ -138,6 +138,7 @@ FRAMEWORK_CLASSES = (
     r"(?i)^(css-|sc-|styled-|StyledComponent__)",
     r"(?i)^_?(?=[a-z0-9]{6,}$)(?=.*\d)(?=.*[a-z])[a-z0-9]+$",
 )
+#: Generated classes and positions in selectors.
 AUTO_CLASS = r"(?i)\.(?=x[0-9a-z]{4,}|_[a-z0-9]+|html-)[a-zA-Z0-9_-]+"
 NTH = r":nth-(?:of-type|child)\(\d+\)"
 #: Name endings of field types, in the order they are tried.
@@ -192,6 +193,7 @@ def brittleness(selector: Column | str) -> Column:
     """Points for what makes a selector break: positions 35 each, a chain of more than 12
     (25) or 8 (15) segments, generated classes 20, no anchor 10, bare segments 5 each."""
     s = _col(selector)
+    # fixed values: patterns and points
     nth = F.regexp_count(s, F.lit(r":nth-of-type\(\d+\)"))
     segments = F.size(F.filter(F.split(s, ">"), lambda x: trim(x) != ""))
     length = F.when(segments > 12, 25).when(segments > 8, 15).otherwise(0)
@@ -201,6 +203,14 @@ def brittleness(selector: Column | str) -> Column:
     return F.when(s.isNull() | (s == ""), F.lit(0)).otherwise(nth * 35 + length + generated + loose + bare * 5).cast("long")
 
 
+def chain_brittleness(selectors: Column | str) -> Column:
+    """struct(score, selector) of the worst of a list of selectors, the first of equal ones; a
+    chain without points has no selector."""
+    each = F.transform(_col(selectors), lambda s: F.struct(F.coalesce(brittleness(s), F.lit(0).cast("long")).alias("score"), s.alias("selector")))
+    none = F.struct(F.lit(0).cast("long").alias("score"), F.lit(None).cast("string").alias("selector"))
+    return F.aggregate(each, none, lambda a, x: F.when(x["score"] > a["score"], x).otherwise(a))
+
+
 # --- scripts and answers -------------------------------------------------------------
 
 

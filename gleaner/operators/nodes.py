@@ -221,6 +221,42 @@ def texts(table: Pages, found: DataFrame) -> DataFrame:
     return met.groupBy("page", "start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "text"))), lambda x: x["text"]), "").alias("text"))
 
 
+# --- frames --------------------------------------------------------------------------
+
+
+def framing(table: Pages) -> DataFrame:
+    """rows with `frame`: the start of the nearest frame that a node stands in, -1 for none."""
+    frames = table.elements().where("tag = 'iframe'").select(F.col("page").alias("_page"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    within = (F.col("page") == F.col("_page")) & (F.col("_start") < F.col("start")) & (F.col("start") < F.col("_end"))
+    near = table.rows.select("page", "start").join(frames, within).groupBy("page", "start").agg(F.max("_start").alias("frame"))
+    return table.rows.join(near, ["page", "start"], "left").withColumn("frame", F.coalesce("frame", F.lit(-1)))
+
+
+def resolved(table: Pages, selector: str) -> DataFrame:
+    """(page, start, end, tag, frame): the first element of a selector that may lead through
+    frames (iframe#a::iframe.b::p): each frame is the first that fits in the one before, and
+    what is asked for is looked for in the last alone. Without frames: the page itself,
+    else the first frame right in it that has such an element. Raises Invalid."""
+    parts = selector.split("::")
+    n = next((i for i, p in enumerate(parts) if not p.startswith("iframe") or p == "iframe"), len(parts))
+    chain, inner = parts[:n], "::".join(parts[n:])
+    for one in (*chain, inner):
+        H.compiled(one)
+    rows = store.kept(framing(table), "framed")
+    scope = table.pages.select("page", F.lit(-1).alias("frame"))
+    of = lambda scope, css: _matching(siblings(rows.join(scope, ["page", "frame"], "left_semi")), css)
+    for css in chain:
+        scope = first(of(scope, css)).select("page", F.col("start").alias("frame"))
+    found = of(scope, inner)
+    if not chain:
+        outer = rows.where("tag = 'iframe' and frame = -1").select("page", F.col("start").alias("frame"))
+        found = found.unionByName(of(outer, inner))
+        # the page's own elements come first, then those of frames in their order
+        best = found.groupBy("page").agg(F.min(F.struct("frame", "start")).alias("b")).select("page", "b.frame", "b.start")
+        return found.join(best, ["page", "frame", "start"], "left_semi").select("page", "start", "end", "tag", "frame")
+    return first(found).select("page", "start", "end", "tag", "frame")
+
+
 # --- writing nodes out ---------------------------------------------------------------
 
 

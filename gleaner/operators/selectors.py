@@ -48,18 +48,29 @@ def common_prefix(rows: DataFrame, group: list[str], selector: str, most: int =
     return run.groupBy(*group).agg(joined.alias("_l")).select(*group, text.alias("container"), F.size("_l").cast("long").alias("depth"))
 
 
-def list_patterns(annotations: DataFrame, output: str = "output_field", selector: str = "selector") -> DataFrame:
-    """(array, container, field, sub_selector) from annotations of the same field on several
-    items. A field whose items differ in more than positions and generated classes is a
-    conflict and has no row."""
+def _suffixes(annotations: DataFrame, output: str, selector: str) -> DataFrame:
+    """(array, container, field, sub_selector, n_forms): what leads from an array's container to
+    a field, and in how many forms."""
     a = annotations.withColumn("array", F.element_at(F.split(output, r"\."), 1)).withColumn("field", F.regexp_replace(output, r"^[^.]*\.?", "")).where("field <> ''")
     found = common_prefix(a, ["array"], selector)
     rest = a.join(found, "array").withColumn("_s", segments(selector))
     suffix = F.slice("_s", F.col("depth").cast("int") + 1, F.greatest(F.size("_s") - F.col("depth").cast("int"), F.lit(0)))
     text = lambda f: F.array_join(F.transform(suffix, lambda x: f(x["seg"])), " ")
     parts = rest.select("array", "container", "field", text(strip_positional).alias("sub_selector"), text(stable_signature).alias("_sig"))
-    out = parts.groupBy("array", "container", "field").agg(F.min("sub_selector").alias("sub_selector"), F.count_distinct("_sig").alias("_n"))
-    return out.where("_n = 1").drop("_n")
+    return parts.groupBy("array", "container", "field").agg(F.min("sub_selector").alias("sub_selector"), F.count_distinct("_sig").alias("n_forms"))
+
+
+def list_patterns(annotations: DataFrame, output: str = "output_field", selector: str = "selector") -> DataFrame:
+    """(array, container, field, sub_selector) from annotations of the same field on several
+    items. A field whose items differ in more than positions and generated classes is a
+    conflict and has no row (see `list_conflicts`)."""
+    return _suffixes(annotations, output, selector).where("n_forms = 1").drop("n_forms")
+
+
+def list_conflicts(annotations: DataFrame, output: str = "output_field", selector: str = "selector") -> DataFrame:
+    """(array, container, field, n_forms): the fields that `list_patterns` leaves out, however
+    many annotations agree on one form."""
+    return _suffixes(annotations, output, selector).where("n_forms > 1").drop("sub_selector")
 
 
 def click_templates(clicks: DataFrame, patterns: DataFrame, selector: str = "selector", order: str = "place", most: int = 8) -> DataFrame:

@@ -20,7 +20,7 @@ from gleaner.operators import quality as Q
 from gleaner.operators import reduce as R
 from gleaner.operators import selectors as S
 from gleaner.operators import steps as G
-from gleaner.plans import declared, stored  # noqa: F401  register their queries
+from gleaner.plans import declared, more, stored  # noqa: F401  register their queries
 from gleaner.plans.register import ORACLE_SQL, QUERIES, query, t  # noqa: F401
 from gleaner.sources import store
 from gleaner.streaming import feeds

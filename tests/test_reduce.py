@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from gleaner.functions import answers
-from gleaner.operators import anchors, candidates, reduce, selectors
+from gleaner.operators import anchors, candidates, nodes, reduce, selectors
 from gleaner.plans import schema
 from gleaner.sources import html as H
 from gleaner.streaming import feeds
@@ -57,6 +57,54 @@ def test_predecessors(spark):
     assert all(r["g"] is r["w"] for r in got)
 
 
+def test_predecessors_of_nested_values(spark):
+    """Random values against the rule as a recursion; numbers are one kind, truth values another."""
+    import random
+
+    r = random.Random(6)
+
+    def value(depth):
+        kind = r.randrange(7 if depth else 5)
+        if kind == 5:
+            return [value(depth - 1) for _ in range(r.randrange(7))]
+        if kind == 6:
+            return {r.choice("abc"): value(depth - 1) for _ in range(r.randrange(3))}
+        return r.choice([1, 1.0, 2, True, False, None, "1", "x", 0, ""])
+
+    def changed(x):
+        if r.random() < 0.05:
+            return value(1)
+        if isinstance(x, list):
+            return [changed(v) for v in x]
+        if isinstance(x, dict):
+            return {k: changed(v) for k, v in x.items()} | ({"z": 1} if r.random() < 0.3 else {})
+        return float(x) if type(x) is int else x
+
+    def before(x, y):
+        if isinstance(x, list):
+            return isinstance(y, list) and len(x) == len(y) and (not x or 5 * sum(before(a, b) for a, b in zip(x, y, strict=True)) >= 4 * len(x))
+        if isinstance(x, dict):
+            return isinstance(y, dict) and all(k in y and before(v, y[k]) for k, v in x.items())
+        return isinstance(x, bool) == isinstance(y, bool) and not isinstance(y, list | dict) and (x is None) == (y is None) and x == y
+
+    values = [value(3) for _ in range(300)]
+    pairs = [(json.dumps(x), json.dumps(y), before(x, y)) for x in values for y in (changed(x), value(2))] + [("1", "1.0", True), ("[1, 0]", "[1.0, false]", False), ("1", "true", False)]
+    got = spark.createDataFrame(pairs, "a string, b string, w boolean").select("a", "b", answers.predecessor("a", "b").alias("g"), "w").collect()
+    assert all(x["g"] is x["w"] for x in got) and 100 < sum(x["w"] for x in got) < 500
+
+
+def test_leaf_selectors(spark):
+    """By id, class or data attribute; else by up to three places below the body."""
+    page = '<html><head><title>t</title></head><body><p>a</p><ul><li><a id="1 b">x</a></li><li><b class="  k l">y</b><i data-z="" data-a>z</i><u class=" ">w</u></li></ul><p>b</p></body></html>'
+    rows = spark.createDataFrame([(1, page), (2, "<p>x</p>"), (3, None)], "page_id int, html string")
+    table = nodes.parsed(rows, ["page_id"])
+    got = {}
+    for r in table.told(candidates.leaves(table), "ordinal", "text", "selector").orderBy("page_id", "ordinal").collect():
+        got.setdefault(r["page_id"], []).append((r["text"], r["selector"]))
+    assert got[1] == [("t", "html > head:nth-of-type(1) > title:nth-of-type(1)"), ("a", "html > body:nth-of-type(1) > p:nth-of-type(1)"[len("html > body:nth-of-type(1) > "):]), ("x", "#\\31 \\ b"), ("y", "ul:nth-of-type(1) > li:nth-of-type(2) > b:nth-of-type(1)"), ("z", "i[data-z]"), ("w", "ul:nth-of-type(1) > li:nth-of-type(2) > u:nth-of-type(1)"), ("b", "p:nth-of-type(2)")]
+    assert got[2] == [("x", "p:nth-of-type(1)")] and 3 not in got
+
+
 def test_schema():
     s = {"type": "object", "required": ["posts"], "properties": {"posts": {"type": "array", "items": {"type": "object", "properties": {"a": {"type": "string"}, "b": {"type": ["object", "null"], "properties": {"c": {"type": "number"}}}}}}, "n": {"type": "integer", "examples": [3]}}}
     assert schema.leaf_paths(s) == ["posts.a", "posts.b.c", "n"] and schema.collections(s) == ["posts"]
