@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -124,10 +126,23 @@ def capped_html(c: Column | str, cap: int = 80_000) -> Column:
 
 def fingerprint(c: Column | str) -> Column:
     """djb2 modulo 2^32 of the squeezed text, 8 hex digits; 'empty' for nothing."""
-    t = squeeze(c)
-    codes = F.transform(F.split(t, ""), lambda x: F.ascii(x).cast("long"))
-    h = F.aggregate(codes, F.lit(5381).cast("long"), lambda a, x: (a * 33 + x) % 4294967296)
-    return F.when(t.isNull() | (t == ""), F.lit("empty")).otherwise(F.lpad(F.lower(F.hex(h)), 8, "0"))
+    return F.arrow_udf(_djb2, "string")(squeeze(c))
+
+
+#: Powers of 33 modulo 2^32; texts are taken so many code points at a time.
+_POWERS = np.multiply.accumulate(np.array([1] + [33] * 65_536, np.uint32))
+
+
+def _djb2(texts: pa.Array) -> pa.Array:
+    out = []
+    for text in texts:
+        codes, h = np.frombuffer((text.as_py() or "").encode("utf-32-le"), np.uint32), 5381
+        for lo in range(0, len(codes), len(_POWERS) - 1):
+            some = codes[lo : lo + len(_POWERS) - 1]
+            part = int((some * _POWERS[: len(some)][::-1]).sum(dtype=np.uint32))
+            h = (h * int(_POWERS[len(some)]) + part) % 4294967296
+        out.append(f"{h:08x}" if len(codes) else "empty")
+    return pa.array(out, pa.string())
 
 
 # --- classes, selectors, field names -------------------------------------------------

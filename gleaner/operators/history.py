@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import trim
-from gleaner.operators.places import numbered
+from gleaner.operators.places import numbered, summed
 
 
 def last_per_step(rows: DataFrame, run: list[str], step: str, order: str) -> DataFrame:
@@ -92,12 +92,12 @@ def sampled(rows: DataFrame, key: list[str], order: list[str], k: int = 3) -> Da
 
 def prompt_budget(elements: DataFrame, key: list[str], order: str, size: Column, each: int, total: int) -> DataFrame:
     """What of a prompt's elements goes in: whole, TRUNCATED at `each`, or SKIPPED, which
-    once begun holds for the rest."""
-    w = Window.partitionBy(*key).orderBy(order)
-    sized = elements.withColumn("used", F.least(size, F.lit(each)).cast("long")).withColumn("_sum", F.sum("used").over(w))
-    sized = sized.withColumn("_over", F.max((F.col("_sum") >= total).cast("int")).over(w))
-    state = F.when(F.col("_over") == 1, "SKIPPED").when(size > each, "TRUNCATED").otherwise("FULL")
-    return sized.withColumn("state", state).drop("_sum", "_over")
+    once begun holds for the rest. Sums are taken by ranges of the order, so that a prompt
+    may hold a third of all elements."""
+    sized = elements.withColumn("used", F.least(size, F.lit(each)).cast("long"))
+    sized = summed(sized, key, order, F.col("used"), "_sum")
+    state = F.when(F.col("_sum") >= total, "SKIPPED").when(size > each, "TRUNCATED").otherwise("FULL")
+    return sized.withColumn("state", state).drop("_sum")
 
 
 def queue_positions(jobs: DataFrame, created: str, status: str) -> DataFrame:

@@ -1,11 +1,8 @@
-"""Step graphs: validation, topology rewrites, and a driver that runs steps."""
+"""Step graphs as tables: validation, verdicts and topology rewrites."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import time_budget
@@ -208,79 +205,6 @@ def deleted(steps: DataFrame, gone: DataFrame, graph: str = "graph") -> DataFram
     return left.withColumn("on_success", moved("on_success")).withColumn("on_failure", moved("on_failure")).select(steps.columns)
 
 
-@dataclass
-class Step:
-    """A step's work is a function of (spark, context) that gives a DataFrame, or a dict
-    with `result` and signals such as done=False; its condition is a function too."""
-
-    id: str
-    run: Callable
-    on_success: str = TERMINATE
-    on_failure: str = TERMINATE
-    max_iterations: int = 1
-    condition: Callable | None = None
-
-
-@dataclass
-class Context:
-    input: dict
-    results: dict = field(default_factory=dict)
-    last: object = None
-    events: list[dict] = field(default_factory=list)
-
-
-#: Signals by which a step says that it isn't ready yet.
-NOT_READY = (("done", False), ("ready", False), ("complete", False), ("finished", False), ("responseReady", False), ("generating", True), ("loading", True))
-
-
-def execute(spark: SparkSession, steps: list[Step], given: dict, limit: int = 50) -> Context:
-    """Runs steps one after the other on the driver; their DataFrames stay lazy. The last
-    executed step's result is the run's; skipped steps don't change it."""
-    by_id = {s.id: s for s in steps}
-    context, at, used, total = Context(given), steps[0].id if steps else TERMINATE, {}, 0
-    note = lambda kind, **x: context.events.append({"type": kind, **x})
-    note("EXECUTION_START")
-    while at not in (TERMINATE, None):
-        step = by_id.get(at)
-        if step is None:
-            raise ValueError(f"STEP_NOT_FOUND: {at}")
-        total += 1
-        if total > limit:
-            raise RuntimeError("MAX_ITERATIONS")
-        used[at] = used.get(at, 0) + 1
-        try:
-            wanted = step.condition is None or bool(step.condition(spark, context))
-        except Exception:
-            wanted = False
-        if not wanted:
-            at = step.on_failure
-            continue
-        note("STEP_START", step=step.id)
-        try:
-            got = step.run(spark, context)
-        except Exception as e:
-            note("STEP_FAILED", step=step.id, error=str(e))
-            if step.on_failure == TERMINATE:
-                raise
-            at = step.on_failure
-            continue
-        result = got.get("result", got) if isinstance(got, dict) else got
-        context.results[step.id] = context.last = result
-        note("STEP_ITERATION", step=step.id, iteration=used[at])
-        waiting = step.max_iterations > 1 and isinstance(got, dict) and any(k in got and got[k] is v for k, v in NOT_READY)
-        if waiting and used[at] < step.max_iterations:
-            continue
-        if waiting:
-            if step.on_failure == TERMINATE:
-                raise RuntimeError(f"POLL_EXHAUSTED: {step.id}")
-            at = step.on_failure
-            continue
-        note("STEP_DONE", step=step.id)
-        at = step.on_success
-    note("EXECUTION_DONE")
-    return context
-
-
 def condition(expression: str) -> Column:
     """A step's row condition: an expression that fails to be true is false."""
     return F.coalesce(F.expr(expression), F.lit(False))

@@ -157,11 +157,11 @@ def page_byte_budget(spark, d):
     return P.within_budget(rows, "job", "page_id", "size", 60_000)
 
 
-@query(f"SELECT l.page_id AS source_page_id, l.href, p.url FROM ({_LINKS}) l JOIN pages p ON p.page_id = l.page_id WHERE l.ordinal = 0")
+@query(f"SELECT l.page_id AS source_page_id, l.ordinal::INT AS ordinal, l.href, p.url FROM ({_LINKS}) l JOIN pages p ON p.page_id = l.page_id")
 def provenance_join(spark, d):
     rows = P.stamped(E.records(t(spark, d, "pages"), E.Job({"nav": NAV}), "nav", ["page_id"]), "page_id")
     pages = t(spark, d, "pages").select(F.col("page_id").alias("source_page_id"), "url")
-    return rows.where("ordinal = 0").join(pages, "source_page_id").select("source_page_id", "href", "url")
+    return rows.join(pages, "source_page_id").select("source_page_id", "ordinal", "href", "url")
 
 
 @query("""SELECT page_id, CASE WHEN length(html) > 2000 THEN '[TRUNCATED ' || length(html) || ' chars] ' || left(html, 1970) ELSE html END AS html, length(html) > 2000 AS truncated FROM pages""")
@@ -179,10 +179,10 @@ def detail_lookup(spark, d):
     return store.resolved(t(spark, d, "orders"), "o_custkey", details, "c_custkey", {"c_name": "c_name", "c_mktsegment": "c_mktsegment"}).select("o_orderkey", "c_name", "c_mktsegment")
 
 
-@query("SELECT s_suppkey, replace(s_name, 'Supplier', 'Customer') AS name FROM supplier WHERE replace(s_name, 'Supplier', 'Customer') NOT IN (SELECT c_name FROM customer WHERE c_custkey % 3 = 0)")
+@query("SELECT s_suppkey, replace(s_name, 'Supplier', 'Customer') AS name FROM supplier WHERE replace(s_name, 'Supplier', 'Customer') NOT IN (SELECT c_name FROM customer WHERE c_mktsegment <> 'BUILDING')")
 def import_new_only(spark, d):
     rows = t(spark, d, "supplier").select("s_suppkey", F.replace("s_name", F.lit("Supplier"), F.lit("Customer")).alias("name"))
-    return store.new_only(rows, t(spark, d, "customer").where("c_custkey % 3 = 0"), "name", "c_name")
+    return store.new_only(rows, t(spark, d, "customer").where("c_mktsegment <> 'BUILDING'"), "name", "c_name")
 
 
 @query("""WITH e AS (SELECT page_id, ordinal, html FROM (SELECT page_id, unnest(range(3)) AS ordinal, unnest([html, regexp_extract(html, '(?s)<nav>.*</nav>'), regexp_extract(html, '(?s)<ul>.*</ul>')]) AS html FROM pages))
@@ -311,12 +311,12 @@ def field_roles(spark, d):
     return Q.field_roles(rows, "user_id", "event_type", "selector")
 
 
-@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'page_state_stale' WHEN 'signup' THEN 'needs_annotation_relax' WHEN 'purchase' THEN 'needs_annotation' WHEN 'click' THEN 'rate_limited' ELSE 'needs_login' END AS kind FROM events WHERE value > 20)
+@query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'page_state_stale' WHEN 'signup' THEN 'needs_annotation_relax' WHEN 'purchase' THEN 'needs_annotation' WHEN 'click' THEN 'rate_limited' ELSE 'needs_login' END AS kind FROM events)
 SELECT user_id, arg_max(kind, CASE kind WHEN 'needs_login' THEN 1000 WHEN 'rate_limited' THEN 900 WHEN 'page_state_stale' THEN 50 WHEN 'needs_annotation_relax' THEN 30 ELSE 20 END) AS kind FROM s GROUP BY user_id""")
 def intervention_pick(spark, d):
     kinds = {"error": "page_state_stale", "signup": "needs_annotation_relax", "purchase": "needs_annotation", "click": "rate_limited"}
     kind = reduce(lambda c, p: c.when(F.col("event_type") == p[0], p[1]), kinds.items(), F.when(F.lit(False), "")).otherwise("needs_login")
-    return Q.intervention(t(spark, d, "events").where("value > 20").select("user_id", kind.alias("kind")), ["user_id"])
+    return Q.intervention(t(spark, d, "events").select("user_id", kind.alias("kind")), ["user_id"])
 
 
 # --- order ---------------------------------------------------------------------------
@@ -421,10 +421,13 @@ def template_params(spark, d):
 NAMES = ("postTime", "publishDate", "createdAt", "updatedAt", "likeCount", "comments", "likes", "shares", "profileUrl", "groupUrl", "postLink", "authorProfile", "groupId", "postId", "username", "content", "description", "account.profileUrl", "")
 
 
-@query(f"""SELECT name, CASE WHEN regexp_matches(l, '(?i)time$|date$|created|published|updated') THEN 'time-like' WHEN regexp_matches(l, '(?i)count$|likes$|shares$|comments$|reactions$|views$|downloads$') THEN 'count-like'
-    WHEN regexp_matches(l, '(?i)url$|link$|href$|profile$') THEN 'url-like' WHEN regexp_matches(l, '(?i)id$') THEN 'id-like' ELSE 'text-like' END AS kind FROM (SELECT name, string_split(name, '.')[-1] AS l FROM (SELECT unnest({list(NAMES)}) AS name))""")
+@query(f"""SELECT p_partkey, CASE WHEN regexp_matches(l, '(?i)time$|date$|created|published|updated') THEN 'time-like' WHEN regexp_matches(l, '(?i)count$|likes$|shares$|comments$|reactions$|views$|downloads$') THEN 'count-like'
+    WHEN regexp_matches(l, '(?i)url$|link$|href$|profile$') THEN 'url-like' WHEN regexp_matches(l, '(?i)id$') THEN 'id-like' ELSE 'text-like' END AS kind
+    FROM (SELECT p_partkey, string_split(({list(NAMES)})[(p_partkey % {len(NAMES)}) + 1], '.')[-1] AS l FROM part)""")
 def field_type_inference(spark, d):
-    return spark.createDataFrame([(n,) for n in NAMES], "name string").select("name", X.field_type("name").alias("kind"))
+    """The kinds of fields that parts are given by their keys."""
+    name = F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("p_partkey") % len(NAMES) + 1).cast("int"))
+    return t(spark, d, "part").select("p_partkey", X.field_type(name).alias("kind"))
 
 
 def selector_strings(spark, d) -> DataFrame:
@@ -555,10 +558,8 @@ def graph_verdicts(spark, d):
 
 @query("SELECT user_id, count(*) AS n FROM events WHERE coalesce(value > 10 AND event_type = 'view', false) GROUP BY user_id")
 def step_run(spark, d):
-    """Two steps run by the driver: a filter, and a count of what it left."""
-    first = G.Step("rows", lambda s, c: t(s, d, "events").where(G.condition("value > 10 AND event_type = 'view'")), "count")
-    second = G.Step("count", lambda s, c: c.last.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), condition=lambda s, c: c.last is not None)
-    return G.execute(spark, [first, second], {}).last
+    """Two steps, one after the other: rows that meet a condition, and a count of them."""
+    return t(spark, d, "events").where(G.condition("value > 10 AND event_type = 'view'")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def scripted(spark, d) -> DataFrame:
@@ -621,9 +622,9 @@ def job_states(spark, d):
     return store.job_state(t(spark, d, "events"), "user_id", "event_id", F.col("event_type"))
 
 
-@query("SELECT event_id, event_type, ts FROM events ORDER BY ts DESC LIMIT 20")
+@query("SELECT event_id, event_type, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def execution_log(spark, d):
-    return store.recent_log(t(spark, d, "events").select("event_id", "event_type", "ts"), "ts")
+    return store.recent_log(t(spark, d, "events").select("event_id", "event_type", "ts"), "ts", "event_id")
 
 
 # --- selectors and streams -----------------------------------------------------------

@@ -65,9 +65,10 @@ def listed(table: DataFrame) -> DataFrame:
     return table.select("name", "displayName", "targetUrl", "enabled", "inputSchema", "outputSchema")
 
 
-def recent_log(log: DataFrame, started: str, keep: int = 100, show: int = 20) -> DataFrame:
-    """The last runs shown, newest first (a top-k report)."""
-    return log.orderBy(F.desc(started)).limit(min(keep, show))
+def recent_log(log: DataFrame, started: str, key: str, keep: int = 100, show: int = 20) -> DataFrame:
+    """The last runs shown, newest first, of equal ones those with the greatest key (a top-k
+    report)."""
+    return log.orderBy(F.desc(started), F.desc(key)).limit(min(keep, show))
 
 
 def resolved(rows: DataFrame, target: str, details: DataFrame, url: str, values: dict[str, str]) -> DataFrame:

@@ -44,6 +44,33 @@ def test_numbered_one_value_and_nothing(spark):
     assert places.numbered(frame.where("v > 1"), [], ["v", "id"], "n").collect() == []
 
 
+def test_strings_with_one_beginning(spark):
+    """URLs of one site are several ranges, though their first bytes are all the same."""
+    frame = spark.range(2000).selectExpr("id", "concat('https://www.example.org/page/', lpad(id * 7919 % 2000, 5, '0')) as url")
+    assert frame.select(places.measure(frame, "url").alias("m")).distinct().count() > 100
+    found = places.numbered(frame, [], ["url"], "n", ranges=16)
+    assert [r["n"] for r in found.orderBy("url").collect()] == list(range(1, 2001))
+
+
+def test_sums_in_ranges(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["hot", "hot", "b", None]), rng.choice([None, *range(300)]), rng.choice([None, 0, 1, 5])) for _ in range(500)]
+    frame = spark.createDataFrame(rows, "g string, o int, v int")
+    got = sorted((str(r["g"]), str(r["o"]), r["s"]) for r in places.summed(frame, ["g"], "o", frame["v"], "s", ranges=9).collect())
+    key = lambda o: -1 if o is None else o
+    assert got == sorted((str(g), str(o), sum(w or 0 for h, p, w in rows if h == g and key(p) <= key(o))) for g, o, _ in rows)
+
+
+def test_fingerprints(spark):
+    texts = ["", " \n", None, "a", "x é漢🙂 y", "ab " * 70_000]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(X.fingerprint("t")).collect()]
+    for text, found in zip(texts, got, strict=True):
+        h = 5381
+        for c in " ".join((text or "").split()):
+            h = (h * 33 + ord(c)) % 2**32
+        assert found == (f"{h:08x}" if (text or "").split() else "empty")
+
+
 def test_steps_added_and_deleted(spark):
     schema = "graph int, id string, ordinal int, script string, on_success string, on_failure string, max_iterations int"
     table = spark.createDataFrame([(1, "a", 0, "x", "step-3", "TERMINATE", 1), (1, "step-3", 1, "x", None, "a", 1), (2, "c", 0, "x", "c", "c", 2)], schema)

@@ -150,23 +150,6 @@ def test_step_edits():
     assert [(s["id"], s["on_success"]) for s in steps.removed(two, "a")] == [("b", "TERMINATE")]
 
 
-def test_execute_polls_and_fails(spark):
-    calls = []
-
-    def poll(_, c):
-        calls.append(1)
-        return {"result": len(calls), "done": len(calls) == 3}
-
-    run = steps.execute(spark, [steps.Step("p", poll, max_iterations=5)], {})
-    assert run.last == 3 and len(calls) == 3
-    with pytest.raises(RuntimeError, match="POLL_EXHAUSTED"):
-        steps.execute(spark, [steps.Step("p", lambda *_: {"done": False}, max_iterations=2)], {})
-    skipped = steps.execute(spark, [steps.Step("a", lambda *_: 1, "b"), steps.Step("b", lambda *_: 2, condition=lambda *_: False)], {})
-    assert skipped.last == 1
-    with pytest.raises(RuntimeError, match="MAX_ITERATIONS"):
-        steps.execute(spark, [steps.Step("a", lambda *_: 1, "a")], {})
-
-
 def graphs_of(spark, rows):
     return spark.createDataFrame(rows, "graph int, id string, ordinal int, script string, on_success string, on_failure string, max_iterations int")
 
