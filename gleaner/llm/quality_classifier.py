@@ -16,6 +16,8 @@ and score 0.5. Rows are scored each; a null doc_id is in no fold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,41 +29,60 @@ BITS, DIM, SAMPLE, PASSES, RATE = 17, 8, 8_000, 4, 0.5
 #: Bytes of text that the learning task's documents have together at most.
 SAMPLE_BYTES = 96 << 20
 FOLDS, FOLD, CUT = 4, 2, 0.7
+#: Bytes of text whose characters are looked at together.
+CHARS = 1 << 18
 _B = U64(0x9E3779B97F4A7C15)
 
 
-def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text and bucket of every feature, repeats included."""
+def parts(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Text and bucket of every feature, repeats included: those of words, then those of
+    characters by windows of bytes, so that a text of any length needs little beside itself."""
     offsets, data = text_bytes(column)
     h, bounds, _, _ = words(offsets, data, lower=False)
+    place = lambda x: (x >> U64(64 - BITS)).astype(np.int64)
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    buckets, owners = [h], [owner]
+    yield owner, place(h)
     if len(h) > 1:
         same = owner[:-1] == owner[1:]
         pair = mix(mix(h[:-1]) + h[1:])
         # a stutter says the same of a text in any word, and few of its words are in the sample
         pair[h[:-1] == h[1:]] = U64(1) << U64(63)
-        buckets.append(pair[same])
-        owners.append(owner[1:][same])
-    points = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), "<u4")
-    heads = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[offsets]
-    texts = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
-    blank = (points == 32) | ((points >= 9) & (points <= 13))
-    code = np.where(blank, 32, points).astype(U64)
-    for n in (3, 4):
-        if len(code) < n:
-            break
-        total = len(code) - n + 1
-        gram = np.full(total, U64(n))
-        whole = texts[:total] == texts[n - 1 :]
-        for j in range(n):
-            gram = gram * _B + code[j : j + total]
-            if 0 < j < n - 1:
-                whole &= ~blank[j : j + total]
-        whole &= ~(blank[:total] & blank[n - 1 :])
-        buckets.append(mix(gram[whole]))
-        owners.append(texts[:total][whole])
-    return np.concatenate(owners), (np.concatenate(buckets) >> U64(64 - BITS)).astype(np.int64)
+        yield owner[1:][same], place(pair[same])
+    lo = 0
+    while lo < len(data):
+        hi = _edge(data, lo + CHARS)
+        some = data[lo : _edge(data, hi + 9)]  # and three characters more, for n-grams that begin before hi
+        at = lo + np.flatnonzero((some & 0xC0) != 0x80)
+        points = np.frombuffer(some.tobytes().decode().encode("utf-32-le"), "<u4")
+        texts, own = np.searchsorted(offsets, at, "right") - 1, int(np.searchsorted(at, hi))
+        blank = (points == 32) | ((points >= 9) & (points <= 13))
+        code = np.where(blank, 32, points).astype(U64)
+        for n in (3, 4):
+            total = min(len(code) - n + 1, own)
+            if total <= 0:
+                continue
+            gram = np.full(total, U64(n))
+            whole = texts[:total] == texts[n - 1 : n - 1 + total]
+            for k in range(n):
+                gram = gram * _B + code[k : k + total]
+                if 0 < k < n - 1:
+                    whole &= ~blank[k : k + total]
+            whole &= ~(blank[:total] & blank[n - 1 : n - 1 + total])
+            yield texts[:total][whole], place(mix(gram[whole]))
+        lo = hi
+
+
+def _edge(data: np.ndarray, at: int) -> int:
+    """The first character that begins at or after a byte."""
+    while at < len(data) and data[at] & 0xC0 == 0x80:
+        at += 1
+    return min(at, len(data))
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of every feature of texts of bounded length, at once."""
+    owners, buckets = zip(*parts(column), strict=True)
+    return np.concatenate(owners), np.concatenate(buckets)
 
 
 def counted(owner: np.ndarray, bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,9 +145,11 @@ def scored(docs: DataFrame, value: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(value)
 
     def run(chunk: pa.RecordBatch) -> pa.RecordBatch:
-        owner, bucket = features(chunk.column("text"))
-        total = np.bincount(owner, shared.value[bucket], chunk.num_rows)
-        logit = total / np.maximum(np.bincount(owner, minlength=chunk.num_rows), 1)
+        total, n = np.zeros(chunk.num_rows), np.zeros(chunk.num_rows, np.int64)
+        for owner, bucket in parts(chunk.column("text")):
+            total += np.bincount(owner, shared.value[bucket], chunk.num_rows)
+            n += np.bincount(owner, minlength=chunk.num_rows)
+        logit = total / np.maximum(n, 1)
         return pa.record_batch([chunk.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(logit, -35, 35))))], ["doc_id", "score"])
 
     return arrow_map(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double")
