@@ -60,7 +60,8 @@ def qgrams(points: np.ndarray) -> np.ndarray:
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, stride: int = STRIDE) -> DataFrame:
-    """(win, item_id, at, pattern): win is a hash of item and place."""
+    """(win, item_id, at, pattern): win is a hash of the pattern; windows of one pattern are
+    looked for once."""
 
     def run(chunk: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -75,7 +76,7 @@ def windows(benchmark: DataFrame, window: int = WINDOW, least: int = LEAST, stri
         return pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string())], ["item_id", "at", "pattern"])
 
     cuts = arrow_map(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), run, "item_id long, at long, pattern string")
-    return cuts.distinct().select(F.xxhash64("item_id", "at", "pattern").alias("win"), "item_id", "at", "pattern")
+    return cuts.distinct().select(F.xxhash64("pattern").alias("win"), "item_id", "at", "pattern")
 
 
 class Index:
@@ -118,10 +119,39 @@ class Index:
         at, owner = at[inside], owner[inside]
         lo, hi = np.searchsorted(self.keys, keys[at], "left"), np.searchsorted(self.keys, keys[at], "right")
         times = hi - lo
-        if times.sum() > HITS and (len(texts) > 1 or len(texts[0]) > SMALLEST):
+        if times.sum() <= HITS:
+            hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
+            return self._full(bounds, np.repeat(at, times), np.repeat(owner, times), hit)
+        if len(texts) > 1 or len(texts[0]) > SMALLEST:
             return self._halves(texts)
-        hit = np.repeat(lo - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-        at, owner = np.repeat(at, times), np.repeat(owner, times)
+        return self._by_windows(bounds, at, owner, lo, hi)
+
+    def _by_windows(self, bounds: np.ndarray, at: np.ndarray, owner: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """The same of one short text that has too many hits, for some windows at a time: a
+        window alone has no more than its q-grams times the text's."""
+        first, which = np.unique(lo, return_inverse=True)
+        spans = dict(zip(lo.tolist(), hi.tolist(), strict=True))
+        entries = np.concatenate([np.arange(x, spans[x]) for x in first.tolist()])
+        of = np.repeat(np.arange(len(first)), [spans[x] - x for x in first.tolist()])
+        met = np.argsort(which, kind="stable")  # the text's places by their q-gram
+        begin = np.searchsorted(which[met], np.arange(len(first) + 1))
+        times = np.diff(begin)[of]
+        order = np.argsort(self.window[entries], kind="stable")
+        entries, of, times = entries[order], of[order], times[order]
+        window, total = self.window[entries], np.cumsum(times)
+        out, start = [], 0
+        while start < len(entries):
+            end = int(np.searchsorted(total, (total[start - 1] if start else 0) + HITS, "right"))
+            end = int(np.searchsorted(window, window[min(max(end, start), len(window) - 1)], "left"))  # whole windows
+            end = end if end > start else int(np.searchsorted(window, window[start], "right"))
+            own, n = of[start:end], times[start:end]
+            place = met[np.repeat(begin[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            out += self._full(bounds, at[place], owner[place], np.repeat(entries[start:end], n))
+            start = end
+        return out
+
+    def _full(self, bounds: np.ndarray, at: np.ndarray, owner: np.ndarray, hit: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Regions of the bands that enough hits are in: places of texts and entries of the index."""
         window = self.window[hit]
         wide = self.budget[window] + 1
         band = (at - self.place[hit] + WINDOW * 4) // wide
@@ -143,7 +173,7 @@ def candidates(docs: DataFrame, wins: DataFrame, block: int = BLOCK) -> DataFram
     if block >= 1 << 16:
         raise ValueError("a block's windows are numbered in 16 bits")
     spark = docs.sparkSession
-    wins = cut(wins, "windows")
+    wins = cut(wins.select("win", "pattern").distinct(), "patterns")
     blocks = max(1, -(-2 * wins.count() // block))
     schema = "doc_id long, key long, win long, start long, region string"
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text")
@@ -209,11 +239,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFr
     """(doc_id, key, item_id, at, edits, end) for each window found: `at` in the item,
     `end` in the normalised text."""
     wins = cut(windows(benchmark), "windows")
-    found = candidates(docs, wins, block).join(wins, "win")
+    found = candidates(docs, wins, block).join(wins.select("win", "pattern").distinct(), "win")
     place = F.arrow_udf(aligned, "struct<edits:bigint,end:bigint>")("pattern", "region")
     found = found.withColumn("_a", place)
     k = F.least(F.floor(F.lit(RATE) * F.length("pattern")), F.floor((F.length("pattern") - Q) / Q))
-    return found.where(F.col("_a.edits") <= k).select("doc_id", "key", "item_id", "at", "_a.edits", (F.col("start") + F.col("_a.end")).alias("end"))
+    good = found.where(F.col("_a.edits") <= k).select("doc_id", "key", "pattern", "_a.edits", (F.col("start") + F.col("_a.end")).alias("end"))
+    return good.join(wins.select("pattern", "item_id", "at"), "pattern").select("doc_id", "key", "item_id", "at", "edits", "end")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block: int = BLOCK) -> DataFrame:
