@@ -65,7 +65,7 @@ def _nodes(html: str | None) -> list[tuple]:
         if isinstance(x, str):
             rows.append([at, at + 1, parent, depth, None, None, x])
             continue
-        rows.append([at, 0, parent, depth, x.tag, list(reversed(x.attrs.items())), None])
+        rows.append([at, 0, parent, depth, x.tag, list(x.attrs.items()), None])
         todo.append((at, 0, 0))
         todo.extend((c, at, depth + 1) for c in reversed(x.children))
     return rows
@@ -152,6 +152,22 @@ def _compound(elements: DataFrame, text: str) -> DataFrame:
     return out
 
 
+def says(selector: str) -> Column:
+    """A selector of what an element has itself (tag, id, classes, attributes) as a condition on
+    its row; a comma list is any of them."""
+    ways = []
+    for one in H._commas(selector):
+        text, tests, at = one.strip(), [], 0
+        while at < len(text):
+            m = H._SIMPLE.match(text, at)
+            if m is None or m["nth"] or m["has"]:
+                raise H.Invalid(text)
+            tests.append(F.coalesce(_test(m.groupdict()), F.lit(False)))
+            at = m.end()
+        ways.append(reduce(lambda a, b: a & b, tests))
+    return reduce(lambda a, b: a | b, ways)
+
+
 _BEFORE = {
     " ": lambda: (F.col("_start") < F.col("start")) & (F.col("start") < F.col("_end")),
     ">": lambda: F.col("_start") == F.col("parent"),
@@ -282,20 +298,31 @@ def _escaped(c: Column, attribute: bool = False) -> Column:
     return F.replace(c, F.lit('"'), F.lit("&quot;")) if attribute else F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def outer_html(table: Pages, found: DataFrame) -> DataFrame:
-    """(page, start, html) of elements, written with all that is below them."""
-    raw = table.elements().where(F.col("tag").isin("script", "style")).select("page", F.col("start").alias("parent"), F.lit(True).alias("_raw"))
-    rows = table.rows.join(raw, ["page", "parent"], "left")
+def tags(rows: DataFrame) -> DataFrame:
+    """(page, start, at, piece): what each node of a table writes of itself, with its place."""
+    raw = rows.where(F.col("tag").isin("script", "style")).select("page", F.col("start").alias("parent"), F.lit(True).alias("_raw"))
+    rows = rows.join(raw, ["page", "parent"], "left")
     shown_attrs = F.array_join(F.transform(F.map_entries("attrs"), lambda a: F.concat(F.lit(" "), a["key"], F.lit('="'), _escaped(a["value"], True), F.lit('"'))), "")
     own = F.when(F.col("tag").isNotNull(), F.concat(F.lit("<"), "tag", shown_attrs, F.lit(">"))).when(F.col("_raw"), F.col("text")).otherwise(_escaped(F.col("text")))
     begin = F.struct(opening().alias("at"), own.alias("piece"))
     end = F.struct(closing().alias("at"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("piece"))
     closed = F.col("tag").isNotNull() & ~F.col("tag").isin(*H.VOID)
-    pieces = rows.select(F.col("page").alias("_page"), F.col("start").alias("_start"), F.inline(F.when(closed, F.array(begin, end)).otherwise(F.array(begin))))
+    return rows.select("page", "start", F.inline(F.when(closed, F.array(begin, end)).otherwise(F.array(begin))))
+
+
+def outer_html(table: Pages, found: DataFrame) -> DataFrame:
+    """(page, start, html) of elements, written with all that is below them."""
+    pieces = tags(table.rows).select(F.col("page").alias("_page"), F.col("start").alias("_start"), "at", "piece")
     met = found.select("page", "start", "end").join(pieces, (F.col("page") == F.col("_page")) & (F.col("_start") >= F.col("start")) & (F.col("_start") < F.col("end")))
     return written(met.select("page", "start", "at", "piece"), ["page", "start"])
 
 
+def without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """rows but for elements that are gone and all below them."""
+    cut = gone.select(F.col("page").alias("_page"), F.col("start").alias("_start"), F.col("end").alias("_end"))
+    return rows.join(cut, (F.col("page") == F.col("_page")) & (F.col("_start") <= F.col("start")) & (F.col("start") < F.col("_end")), "left_anti")
+
+
 def full_html(table: Pages, selectors: list[str]) -> DataFrame:
     """(kept columns, selector, found, error, outer_html, inner_text, attributes) for each page
     and selector: its first element as it is, or why there is none."""

@@ -1,15 +1,15 @@
-"""Shortened pages: cleaned, compressed, and cut to a budget; one parse of each page."""
+"""Shortened pages: cleaned, compressed, and cut to a budget, over the table of nodes
+(`gleaner.operators.nodes`). What is taken out is an anti-join with the intervals of the
+elements that go; what is left writes itself out once."""
 
 from __future__ import annotations
 
-import re
-
-import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.functions import text as X
-from gleaner.sources import html as H
+from gleaner.functions.text import filter_classes, trim, truncate_text
+from gleaner.operators import nodes as N
+from gleaner.operators.nodes import Pages
 
 #: What is taken out of a page before it's read.
 USELESS = ("script", "style", "link", "video", "audio", "canvas", "svg", "noscript", "template", "meta", "path", "g", "defs", "use")
@@ -23,103 +23,100 @@ NOISE = (
 #: Attributes of a compressed page, and tags kept as they are.
 SHOWN = ("id", "name", "placeholder", "type", "href")
 OPAQUE = ("html", "head", "body", "table", "thead", "tbody", "tr", "td", "th", "ul", "ol", "li", "a", "button", "select", "form", "iframe")
-#: Lengths of texts and attribute values from which they are shortened.
-LONG_TEXT, LONG_VALUE = 200, 200
-#: Code points of a snapshot's parts, if `snapshot` isn't told others.
+#: Lengths of texts and attribute values from which they are shortened, and the
+#: depth to which a page is compressed.
+LONG_TEXT, LONG_VALUE, DEEP = 200, 200, 20
+#: Code points of a snapshot's parts, if `snapshots` isn't told others.
 HTML_CAP, TEXT_CAP, SUMMARY_CAP = 80_000, 15_000, 3000
 
-_framework = [re.compile(p) for p in X.FRAMEWORK_CLASSES]
-_whole = [re.compile(p) for p in X.KEPT_WHOLE]
-
-
-def classes(value: str) -> str:
-    return " ".join(t for t in value.split() if not any(p.search(t) for p in _framework))
-
 
-def shorter(text: str, limit: int, whole=_whole) -> str:
-    t = text.strip()
-    return t if len(t) <= limit or any(p.search(t) for p in whole) else t[:limit] + "..."
+def noise(table: Pages) -> DataFrame:
+    """(page, start, end) of elements that nobody reads: one pass over their own attributes."""
+    return table.elements().where(F.col("tag").isin(*USELESS) | N.says(", ".join(NOISE)) | N.says(HIDDEN)).select("page", "start", "end")
 
 
-def frame_prefix(e: H.Node) -> str:
+def frame_prefix(place: Column) -> Column:
     """What a selector begins with to reach into a frame: by id, name or place."""
-    if e.attrs.get("id"):
-        return f"iframe#{H.escaped(e.attrs['id'])}::"
-    if e.attrs.get("name"):
-        quoted = e.attrs["name"].replace("\\", "\\\\").replace('"', '\\"')
-        return f'iframe[name="{quoted}"]::'
-    place = 1 + next(i for i, x in enumerate(x for x in e.parent.elements() if x.tag == "iframe") if x is e)
-    return f"iframe:nth-of-type({place})::"
-
-
-def clean(nodes: list[H.Node]) -> list[H.Node]:
-    """The page's elements without what nobody reads, frames with content marked; the tree is
-    changed in place."""
-    tests = [H.compiled(HIDDEN), H.compiled(", ".join(NOISE))]
-    gone = [e for e in nodes if e.tag in USELESS or any(t(e) for t in tests)]
-    for e in gone:
-        e.parent.children = [c for c in e.parent.children if c is not e]
-    dead = set()
-    for e in gone:
-        dead.update(range(e.index, e.end))
-    left = [e for e in nodes if e.index not in dead]
-    for e in left:
-        attrs = {}
-        for k, v in e.attrs.items():
-            if k == "style" or k.startswith("on"):
-                continue
-            v = classes(v) if k == "class" else v
-            if k != "class" or v:
-                attrs[k] = v if len(v) <= LONG_VALUE else v[:LONG_VALUE] + "..."
-        e.attrs = attrs
-        if e.tag == "iframe" and e.children:
-            e.attrs["data-iframe-prefix"] = frame_prefix(e)
-        e.children = [(shorter(c, LONG_TEXT) if len(c.strip()) > LONG_TEXT else c) if isinstance(c, str) else c for c in e.children]
-    return left
-
-
-def _squeezed(html: str) -> str:
-    return re.sub(r">\s+<", "><", re.sub(r"\n\s*\n", "\n", html))
-
-
-def compress(e: H.Node, depth: int = 0) -> str:
-    """Tags with a few attributes and short texts, down to depth 20."""
-    if depth > 20 or e.tag in USELESS or e.tag == "img":
-        return ""
-    shown = "".join(f' {k}="{e.attrs[k]}"' for k in SHOWN if e.attrs.get(k))
-    kept = classes(e.attrs.get("class", "")).split()[:2]
-    shown += f' class="{" ".join(kept)}"' if kept else ""
-    inner = "".join(shorter(c, 60) if isinstance(c, str) else compress(c, depth + 1) for c in e.children)
-    return f"<{e.tag}{shown}>{inner}</{e.tag}>"
-
-
-def unwrapped(nodes: list[H.Node]) -> None:
-    """Wrappers without attributes around one element give way to it, innermost first."""
-    for e in reversed(nodes):
-        kids = e.elements()
-        useful = any(k != "style" for k in e.attrs)
-        if e.tag not in OPAQUE and len(kids) == 1 and not useful and kids[0].tag not in OPAQUE and e.parent is not None:
-            kids[0].parent = e.parent
-            e.parent.children = [kids[0] if c is e else c for c in e.parent.children]
-
-
-def snapshot(html: str | Column = "html", html_cap: int = HTML_CAP, text_cap: int = TEXT_CAP, summary_cap: int = SUMMARY_CAP) -> Column:
-    """struct(title, html, text, structure, summary): the cleaned page, its text, and the
-    compressed structure; all from one parse. Null html is an empty page. The caps are the
-    snapshot's own limits on code points of html, text and summary."""
-
-    def run(pages: pa.Array) -> pa.Array:
-        rows = []
-        for page in pages:
-            nodes = H.parse(page.as_py() or "")
-            top = [e for e in nodes if e.parent.tag == "#document"]
-            title = next((e.text().strip() for e in nodes if e.tag == "title"), "")
-            structure, body = "".join(compress(e) for e in top), next((e for e in nodes if e.tag == "body"), None)
-            summary = body.text()[:summary_cap] if body else ""
-            clean(nodes)
-            out = _squeezed("".join(e.outer() for e in top))
-            text = body.text().strip()[:text_cap] if body else ""
-            rows.append({"title": title, "html": out[:html_cap], "text": text, "structure": structure, "summary": summary})
-        return pa.array(rows, pa.struct([(k, pa.string()) for k in ("title", "html", "text", "structure", "summary")]))
-
-    return F.arrow_udf(run, "struct<title:string,html:string,text:string,structure:string,summary:string>")(html)
+    from gleaner.operators.anchors import identifier
+
+    a = F.col("attrs")
+    quoted = F.replace(F.replace(a["name"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    by_place = F.concat(F.lit("iframe:nth-of-type("), place.cast("string"), F.lit(")::"))
+    return F.when(a["id"] != "", F.concat(F.lit("iframe#"), identifier(a["id"]), F.lit("::"))).when(a["name"] != "", F.concat(F.lit('iframe[name="'), quoted, F.lit('"]::'))).otherwise(by_place)
+
+
+def cleaned(table: Pages) -> DataFrame:
+    """The nodes that are read, with their columns: without noise, styles and handlers, classes
+    that frameworks make, and long ends of texts and values; frames that hold something say
+    how they are reached (`data-iframe-prefix`)."""
+    rows = N.without(table.rows, noise(table))
+    kept = F.map_filter("attrs", lambda k, v: (k != "style") & ~k.startswith("on"))
+    kept = F.transform_values(kept, lambda k, v: F.when(k == "class", filter_classes(v)).otherwise(v))
+    kept = F.map_filter(kept, lambda k, v: (k != "class") | (v != ""))
+    kept = F.transform_values(kept, lambda k, v: F.when(F.length(v) > LONG_VALUE, F.concat(F.left(v, F.lit(LONG_VALUE)), F.lit("..."))).otherwise(v))
+    inner = rows.select("page", F.col("parent").alias("start"), F.lit(True).alias("_inner")).distinct()
+    w = Window.partitionBy("page", "parent").orderBy("start")
+    frames = rows.where("tag = 'iframe'").withColumn("_place", F.row_number().over(w)).join(inner, ["page", "start"], "left_semi").select("page", "start", "_place")
+    out = rows.withColumn("attrs", kept).join(frames, ["page", "start"], "left")
+    marked = F.map_concat("attrs", F.create_map(F.lit("data-iframe-prefix"), frame_prefix(F.col("_place"))))
+    told = F.when(F.col("_place").isNotNull(), F.when(F.map_contains_key("attrs", "data-iframe-prefix"), F.col("attrs")).otherwise(marked)).otherwise(F.col("attrs"))
+    short = F.when(F.length(trim("text")) > LONG_TEXT, truncate_text("text", LONG_TEXT)).otherwise(F.col("text"))
+    return out.withColumn("attrs", told).withColumn("text", F.when(F.col("text").isNotNull(), short)).drop("_place")
+
+
+def unwrapped(rows: DataFrame) -> DataFrame:
+    """rows without wrappers: elements without attributes (a style aside) around one element,
+    whatever is written beside it. Which tags are wrappers doesn't depend on the order in
+    which they go, since one that gives way to another is no kept tag itself."""
+    elements = rows.where("tag is not null")
+    kids = elements.groupBy("page", F.col("parent").alias("start")).agg(F.count(F.lit(1)).alias("_n"), F.min("tag").alias("_kid"))
+    bare = F.size(F.filter(F.map_keys("attrs"), lambda k: k != "style")) == 0
+    gone = elements.join(kids, ["page", "start"]).where((F.col("_n") == 1) & bare & ~F.col("tag").isin(*OPAQUE) & ~F.col("_kid").isin(*OPAQUE))
+    keys = gone.select("page", F.col("start").alias("_gone"))
+    beside = rows.where("tag is null").join(keys.withColumnRenamed("_gone", "parent"), ["page", "parent"], "left_anti").select(*rows.columns)
+    return elements.join(keys.withColumnRenamed("_gone", "start"), ["page", "start"], "left_anti").select(*rows.columns).unionByName(beside)
+
+
+def html(rows: DataFrame) -> DataFrame:
+    """(page, html) of nodes, written without blank lines and blanks between tags."""
+    out = N.written(N.tags(rows).select("page", "at", "piece"), ["page"])
+    return out.withColumn("html", F.regexp_replace(F.regexp_replace("html", r"(?U)\n\s*\n", "\n"), r"(?U)>\s+<", "><"))
+
+
+def compressed(table: Pages) -> DataFrame:
+    """(page, structure): tags with a few attributes and short texts, down to depth DEEP."""
+    gone = table.elements().where(F.col("tag").isin(*USELESS, "img") | (F.col("depth") > DEEP))
+    rows = N.without(table.rows, gone)
+    a = F.col("attrs")
+    some = [F.when(a[k] != "", F.concat(F.lit(f' {k}="'), a[k], F.lit('"'))).otherwise("") for k in SHOWN]
+    classes = F.array_join(F.slice(F.split(filter_classes(a["class"]), " "), 1, 2), " ")
+    begin = F.concat(F.lit("<"), "tag", *some, F.when(classes != "", F.concat(F.lit(' class="'), classes, F.lit('"'))).otherwise(""), F.lit(">"))
+    element = F.array(F.struct(N.opening().alias("at"), begin.alias("piece")), F.struct(N.closing().alias("at"), F.concat(F.lit("</"), "tag", F.lit(">")).alias("piece")))
+    text = F.array(F.struct(N.opening().alias("at"), truncate_text("text", 60).alias("piece")))
+    top = rows.where(F.col("tag").isNotNull() | (F.col("parent") >= 0))
+    pieces = top.select("page", F.inline(F.when(F.col("tag").isNotNull(), element).otherwise(text)))
+    return N.written(pieces, ["page"]).withColumnRenamed("html", "structure")
+
+
+def _text(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(page, name) of the first of the elements found on each page."""
+    table = Pages(rows.select("page").distinct(), rows, ())
+    return N.texts(table, N.first(found)).select("page", F.col("text").alias(name))
+
+
+def snapshots(table: Pages, html_cap: int = HTML_CAP, text_cap: int = TEXT_CAP, summary_cap: int = SUMMARY_CAP) -> DataFrame:
+    """(page, title, html, text, structure, summary) of every page: the cleaned page and its
+    text, and of the page as it is the structure and the beginning of its text. The caps are
+    the snapshot's own limits on code points; a page without nodes has empty parts."""
+    rows = N.store.kept(cleaned(table), "cleaned")
+    tops = rows.where(F.col("tag").isNotNull() | (F.col("parent") >= 0))
+    body, title = (table.elements().where(F.col("tag") == t) for t in ("body", "title"))
+    out = table.pages.select("page")
+    for part in (_text(table.rows, title, "title"), html(tops), _text(rows, rows.where("tag = 'body'"), "text"), compressed(table), _text(table.rows, body, "summary")):
+        out = out.join(part, "page", "left")
+    cap = lambda c, n: F.left(F.coalesce(c, F.lit("")), F.lit(n))
+    text = F.col("text")
+    return out.select(
+        "page", F.coalesce(trim("title"), F.lit("")).alias("title"), cap(F.col("html"), html_cap).alias("html"), cap(trim(text), text_cap).alias("text"),
+        F.coalesce("structure", F.lit("")).alias("structure"), cap(F.col("summary"), summary_cap).alias("summary"),
+    )

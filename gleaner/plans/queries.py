@@ -666,10 +666,10 @@ def streaming_seen_signatures(spark, d):
     length(regexp_extract(html, '(?s)<article>(.*)</article>', 1)) > 0 AS has_article, len(string_split(html, '<p>')) - 1 AS n_p FROM pages""")
 def page_clean(spark, d):
     """Cleaned pages: noise gone, the article's paragraphs still there."""
-    page = t(spark, d, "pages").select("page_id", R.snapshot("html").alias("s"))
-    html = F.col("s.html")
+    table = nodes.parsed(t(spark, d, "pages"), ["page_id"])
+    page, html = table.told(R.snapshots(table), "title", "html"), F.col("html")
     return page.select(
-        "page_id", F.col("s.title").alias("title"), html.contains("<nav").alias("has_nav"), html.contains("<script").alias("has_script"), html.contains("<!--").alias("has_comment"),
+        "page_id", "title", html.contains("<nav").alias("has_nav"), html.contains("<script").alias("has_script"), html.contains("<!--").alias("has_comment"),
         html.contains("<article>").alias("has_article"), (F.size(F.split(html, "<p>")) - 1).cast("long").alias("n_p"),
     )
 

@@ -109,7 +109,10 @@ class _Tree(HTMLParser):
             self._close(ENDS[tag], STOP - set(ENDS[tag]))
         if tag in BLOCK:
             self._close(("p",))
-        node = Node(tag, {k: ("" if v is None else v) for k, v in reversed(attrs)}, self.at)
+        own: dict[str, str] = {}
+        for k, v in attrs:  # in their order; of two with one name the first counts
+            own.setdefault(k, "" if v is None else v)
+        node = Node(tag, own, self.at)
         node.index = len(self.order)
         self.order.append(node)
         self.at.children.append(node)

@@ -6,7 +6,9 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from gleaner.operators.reduce import USELESS, classes, shorter
+from plain_reduce import classes, shorter
+
+from gleaner.operators.reduce import USELESS
 from gleaner.sources import html as H
 
 #: Attributes that stay the same from load to load.

@@ -5,11 +5,12 @@ import json
 import random
 import time
 
+import plain_reduce
 import pytest
 
 from gleaner.functions import answers
 from gleaner.functions import text as X
-from gleaner.operators import places, reduce, steps
+from gleaner.operators import nodes, places, reduce, steps
 from gleaner.sources import html as H
 from gleaner.streaming import feeds
 
@@ -102,10 +103,13 @@ def test_fenced(spark):
     assert [r[0] for r in frame.select(X.fenced("a")).collect()] == [b for _, b in cases]
 
 
-def test_frames_are_marked():
+def test_frames_are_marked(spark):
     page = '<body><iframe id="a b">x</iframe><iframe name=\'n"\'>y</iframe><iframe>z</iframe><iframe src="s"></iframe></body>'
-    found = [e.attrs.get("data-iframe-prefix") for e in reduce.clean(H.parse(page)) if e.tag == "iframe"]
+    found = [e.attrs.get("data-iframe-prefix") for e in plain_reduce.clean(H.parse(page)) if e.tag == "iframe"]
     assert found == ["iframe#a\\ b::", 'iframe[name="n\\""]::', "iframe:nth-of-type(3)::", None]
+    table = nodes.parsed(spark.createDataFrame([(page,)], "html string"), [])
+    rows = reduce.cleaned(table).where("tag = 'iframe'").orderBy("start").collect()
+    assert [r["attrs"].get("data-iframe-prefix") for r in rows] == found
 
 
 def _samples(spark, path, rows):

@@ -1,5 +1,6 @@
 import json
 
+import plain_reduce
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -14,7 +15,8 @@ PAGE = '<html><head><title>T</title><script>x</script></head><body><nav>n</nav><
 
 def test_snapshot(spark):
     page = PAGE.format(v="v" * 300, t="word " * 100)
-    s = spark.createDataFrame([(page,), (None,)], "html string").select(reduce.snapshot("html").alias("s")).select("s.*").collect()
+    table = nodes.parsed(spark.createDataFrame([(0, page), (1, None)], "i int, html string"), ["i"])
+    s = table.told(reduce.snapshots(table), "title", "html", "structure").orderBy("i").collect()
     assert s[0]["title"] == "T" and s[1]["html"] == ""
     for gone in ("<script", "<nav", "hidden", "<!--", "style", "onclick", "css-1x", "a1b2c3d4", "v" * 201):
         assert gone not in s[0]["html"]
@@ -23,15 +25,45 @@ def test_snapshot(spark):
 
 
 def test_wrappers_give_way():
-    nodes = H.parse('<body><div><div><p class="a">x</p></div></div><div id="k"><b>y</b></div></body>')
-    reduce.unwrapped(nodes)
-    assert nodes[0].inner() == '<p class="a">x</p><div id="k"><b>y</b></div>'
+    tree = H.parse('<body><div><div><p class="a">x</p></div></div><div id="k"><b>y</b></div></body>')
+    plain_reduce.unwrapped(tree)
+    assert tree[0].inner() == '<p class="a">x</p><div id="k"><b>y</b></div>'
+
+
+def test_snapshots_give_what_trees_give(spark):
+    """Every part of random pages, and wrappers, against the trees."""
+    import random
+
+    r = random.Random(21)
+
+    def tree(depth):
+        if r.random() < 0.25:
+            return r.choice(["text ", " a\n \n b ", "&amp;\u00a0<i>x</i>", "w" * 230, " 2024-01-02 " + "y" * 300, "> <"])
+        tag = r.choice("div div div span p ul li a nav svg img section form iframe".split())
+        mark = r.choice(["", "", "", f' id="n{r.randrange(9)}" name="q"', ' class="css-9 card sidebar-x" style="a"', ' class="k css-1a l m" onclick="x" href="h"', ' hidden', ' style="display:none"', f' title="{"v" * 210}"', ' name="a&quot;b"', ' class="css-1"'])
+        return f"<{tag}{mark}>{''.join(tree(depth - 1) for _ in range(r.randrange(1, 4))) if depth else 'x'}</{tag}>"
+
+    deep = "<div>" * 30 + "x" + "</div>" * 30
+    pages = [f"<html><head><title> t {i} </title><style>a<b</style></head><body>{tree(5)} {tree(5)}<!-- c -->\n\n{tree(4)}</body></html>" for i in range(25)] + ["", f"<body>{deep}</body>", "<div>a</div>t<p>b</p>", "plain"]
+    table = nodes.parsed(spark.createDataFrame(list(enumerate(pages)), "i int, html string"), ["i"])
+    got = {x["i"]: x.asDict() for x in table.told(reduce.snapshots(table, 900, 300, 200), "title", "html", "text", "structure", "summary").collect()}
+    for i, page in enumerate(pages):
+        want = plain_reduce.snapshot(page, 900, 300, 200)
+        for part in want:
+            assert got[i][part] == want[part], (i, part, page)
+    bare = {x["i"]: x["html"] for x in table.told(reduce.html(reduce.unwrapped(table.rows.where("tag is not null or parent >= 0"))), "html").collect()}
+    for i, page in enumerate(pages[:25]):
+        tree_ = H.parse(page)
+        root = tree_[0].parent
+        plain_reduce.unwrapped(tree_)
+        assert bare[i] == plain_reduce._squeezed("".join(c.outer() for c in root.children if not isinstance(c, str))), page
 
 
 def test_tiers(spark):
     page = PAGE.format(v="v", t="text")
     modes = lambda budget, *s: anchors.tiered(spark.createDataFrame([(page,)], "html string"), [], list(s), budget).first()["mode"]
-    full = len(spark.createDataFrame([(page,)], "html string").select(reduce.snapshot("html")["html"]).first()[0])
+    table = nodes.parsed(spark.createDataFrame([(page,)], "html string"), [])
+    full = len(reduce.snapshots(table).first()["html"])
     assert modes(full) == "full" and modes(60, "p") == "annotated" and modes(10, "p") == "needs_subtree_selection"
 
 
