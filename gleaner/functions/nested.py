@@ -51,3 +51,36 @@ def sampled(value: Column, kind: T.DataType, records: int = RECORDS, items: int
         else:
             kept.append(sampled(v, f.dataType, records, items).alias(f.name))
     return F.when(value.isNotNull(), F.struct(*kept))
+
+
+#: Fixed value: where a record says which page it comes from.
+SOURCE = "sourcePageId"
+
+
+def _with_source(value: Column, kind: T.StructType, page: Column) -> Column:
+    own = value.getField(SOURCE) if SOURCE in kind.fieldNames() else F.lit(None).cast("string")
+    return F.struct(*[value.getField(f.name).alias(f.name) for f in kind if f.name != SOURCE], F.coalesce(own, page.cast("string")).alias(SOURCE))
+
+
+def stamped(value: Column, kind: T.StructType, page: Column) -> Column:
+    """A result whose records say which page they come from: those of every array right in it,
+    or, where none of its arrays is there, the result itself. What is said already stays;
+    arrays of other things are left as they are."""
+    lists = [f for f in kind if isinstance(f.dataType, T.ArrayType)]
+    flat = F.lit(True)
+    for f in lists:
+        flat = flat & value.getField(f.name).isNull()
+
+    def field(f: T.StructField) -> Column:
+        v = value.getField(f.name)
+        if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
+            return _records(v, f.dataType.elementType, page).alias(f.name)
+        return v.alias(f.name)
+
+    own = value.getField(SOURCE) if SOURCE in kind.fieldNames() else F.lit(None).cast("string")
+    said = F.when(flat, F.coalesce(own, page.cast("string"))).otherwise(own)
+    return F.when(value.isNotNull(), F.struct(*[field(f) for f in kind if f.name != SOURCE], said.alias(SOURCE)))
+
+
+def _records(v: Column, kind: T.StructType, page: Column) -> Column:
+    return F.transform(v, lambda x: F.when(x.isNotNull(), _with_source(x, kind, page)))

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import answers as A
+from gleaner.functions import nested
 from gleaner.functions import text as X
 from gleaner.operators import candidates as C
 from gleaner.operators import nodes
 from gleaner.operators import selectors as S
+from gleaner.plans.declared import results
 from gleaner.plans.register import query, t
 
 _LINKS = """SELECT page_id, unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">[^<]*</a>', 1)))) AS i FROM pages"""
@@ -111,3 +113,19 @@ def list_conflicts(spark, d):
     selector = F.concat(F.lit("div#b"), "b", F.lit(" > li:nth-of-type("), F.col("p_partkey").cast("string"), F.lit(") > "), tail)
     rows = p.select(F.concat(F.lit("a"), "b", F.lit(".f"), F.col("k").cast("string")).alias("output_field"), selector.alias("selector"))
     return S.list_conflicts(rows)
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 THEN 'p' || o_custkey END AS own,
+    CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 11 <> 0 THEN (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) END AS n_posts,
+    CASE WHEN o_orderkey % 3 > 0 AND o_orderkey % 11 <> 0 THEN (SELECT count(*) FILTER (WHERE l_orderkey % 5 <> 0) FROM lineitem WHERE l_orderkey = o_orderkey) END AS n_told FROM orders""")
+def result_provenance(spark, d):
+    """Records of results that say their page, where they don't say another; results without
+    lists say their own."""
+    rows = results(spark, d)
+    posts = F.transform("result.posts", lambda r: F.struct(r["author"].alias("author"), F.when(r["author"].isNull(), "else").alias(nested.SOURCE)))
+    some = F.struct(F.col("result.customer").alias("customer"), F.col("result.tags").alias("tags"), F.when(F.col("o_orderkey") % 3 > 0, posts).alias("posts"))
+    rows = rows.select("o_orderkey", F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("page"), F.when(F.col("result").isNotNull(), some).alias("result"))
+    out = rows.withColumn("r", nested.stamped(F.col("result"), rows.schema["result"].dataType, F.col("page")))
+    told = F.filter("r.posts", lambda p: p[nested.SOURCE] == F.col("page"))
+    count = lambda c: F.when(F.col("r.posts").isNotNull(), F.size(c)).cast("long")
+    return out.select("o_orderkey", F.col(f"r.{nested.SOURCE}").alias("own"), count(F.col("r.posts")).alias("n_posts"), count(told).alias("n_told"))
