@@ -15,13 +15,19 @@ SERVICE = f"id string, name string, displayName string, targetUrl string, enable
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local session without one gets its own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the checkpoint
+    directory that the context has; a session of one process without either gets its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
-    if spark.sparkContext.master.startswith("local["):
-        return tempfile.mkdtemp(prefix="gleaner-")
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    context = spark.sparkContext
+    known = context._jsc.sc().getCheckpointDir()
+    if not known.isDefined():
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="gleaner-"))
+        known = context._jsc.sc().getCheckpointDir()
+    return known.get()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
