@@ -80,11 +80,12 @@ def page_values(spark, d):
     return E.values(t(spark, d, "pages"), job, ["page_id"])
 
 
-@query(f"""SELECT page_id, ordinal::INT AS ordinal, NULL::VARCHAR AS target, 1::INT AS n_target, NULL::VARCHAR AS span, 0::INT AS n_span FROM ({_LINKS})""")
+@query(f"""SELECT page_id, ordinal::INT AS ordinal, CASE WHEN starts_with(href, '/t') THEN '_b' END AS target, 1::INT AS n_target, CASE WHEN starts_with(href, '/a') THEN 's' END AS span, starts_with(href, '/a')::INT AS n_span FROM ({_LINKS})""")
 def missing_vs_null(spark, d):
     """A match without the attribute against no match: both null, told apart by the count."""
     job = E.Job({"nav": E.Records("nav li", {"target": ("a", "target"), "span": "span"}, counts=True)})
-    return E.records(t(spark, d, "pages"), job, "nav", ["page_id"])
+    html = F.replace(F.replace("html", F.lit('<a href="/t'), F.lit('<a target="_b" href="/t')), F.lit('<a href="/a'), F.lit('<span>s</span><a href="/a'))
+    return E.records(t(spark, d, "pages").withColumn("html", html), job, "nav", ["page_id"])
 
 
 @query(f"""SELECT page_id, n AS containers, f.field, CASE WHEN f.field = 'span' THEN 0 ELSE n END AS matches,
@@ -480,9 +481,10 @@ def answer_code(spark, d):
     return t(spark, d, "customer").select("c_custkey", X.fenced(answer).alias("code"), X.time_budget(script).alias("budget"))
 
 
-@query("SELECT c_custkey, 'btn-primary c' AS classes FROM customer")
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'btn-primary c card' WHEN 1 THEN 'btn-primary c x1' WHEN 2 THEN '' ELSE 'btn-primary c' END AS classes FROM customer")
 def class_filter(spark, d):
     c = F.concat(F.lit("btn-primary  css-1x _ngcontent-abc sc-"), F.col("c_custkey").cast("string"), F.lit(" a1b2c3d4 c"))
+    c = F.when(F.col("c_custkey") % 4 == 0, F.concat(c, F.lit(" card"))).when(F.col("c_custkey") % 4 == 1, F.concat(c, F.lit("\t_nghost-1 x1"))).when(F.col("c_custkey") % 4 == 2, " css-2 abcdef1 ").otherwise(c)
     return t(spark, d, "customer").select("c_custkey", X.filter_classes(c).alias("classes"))
 
 
@@ -787,9 +789,11 @@ def container_range(spark, d):
     return E.ranged(rows, span=(1, 3)).select("page_id", "ordinal", "href")
 
 
-@query(f"SELECT page_id, count(*) FILTER (WHERE false) AS clicked, count(*) AS missing FROM ({_LINKS}) GROUP BY page_id")
+@query(f"SELECT page_id, count(*) FILTER (WHERE starts_with(href, '/t') AND page_id % 3 > 0) AS clicked, count(*) FILTER (WHERE NOT (starts_with(href, '/t') AND page_id % 3 > 0)) AS missing FROM ({_LINKS}) GROUP BY page_id")
 def click_report(spark, d):
-    found = E.values(t(spark, d, "pages"), E.Job({"c": E.Clicks("nav li", "button")}), ["page_id"])
+    """Items whose button would have been clicked, and those without one."""
+    html = F.when(F.col("page_id") % 3 > 0, F.replace("html", F.lit('<li><a href="/t'), F.lit('<li><button>b</button><a href="/t'))).otherwise(F.col("html"))
+    found = E.values(t(spark, d, "pages").withColumn("html", html), E.Job({"c": E.Clicks("nav li", "button")}), ["page_id"])
     return found.select("page_id", F.col("c.clicked").cast("long").alias("clicked"), F.size("c.missing").cast("long").alias("missing"))
 
 
