@@ -29,6 +29,7 @@ Extra columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import gc
 from itertools import combinations
 from math import comb
 
@@ -202,6 +203,15 @@ def met_by_size(mixed: DataFrame, percent: int) -> DataFrame:
     return met.union(outside.join(smaller.where("root2 = main").drop("main"), ["key", "step"]))
 
 
+def settled(*tables: DataFrame) -> None:
+    """Deletes tables that are done with, and has the driver look for what it no longer needs:
+    Spark deletes the shuffle files of a finished job only once its driver has collected the
+    plan that made them, which on a driver with free memory may be never."""
+    drop(*tables)
+    gc.collect()
+    tables[0].sparkSession._jvm.System.gc()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of set ids that link, by the intersection of their whole sets;
     owners: (set_id, least), the least doc_id that has a set."""
@@ -219,13 +229,14 @@ def verified(pairs: DataFrame, docs: DataFrame, owners: DataFrame, k: int, perce
 
     made = docs.select("doc_id", slot("doc_id").alias("slot"), "text").mapInArrow(run, "set_id long, members array<long>")
     made = made.join(chosen.select("set_id"), "set_id", "left_semi")
-    made = cut(made.groupBy("set_id").agg(F.first("members").alias("members")), "members")
+    members = made = cut(made.groupBy("set_id").agg(F.first("members").alias("members")), "members")
     one = made.select(F.col("set_id").alias("a"), F.col("members").alias("x"))
     two = made.select(F.col("set_id").alias("b"), F.col("members").alias("y"))
     both = pairs.join(one, "a").join(two, "b").withColumn("inter", F.size(F.array_intersect("x", "y")))
     union = F.size("x") + F.size("y") - F.col("inter")
     out = cut(both.where(100 * F.col("inter") >= percent * union).select("a", "b"), "linked")
-    drop(pairs, chosen, made)
+    del made, one, two, both
+    settled(pairs, chosen, members)
     return out
 
 
@@ -247,7 +258,8 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
     shared = cut(shared, "lists")
     # lists and subsets are met: what follows needs the rows' sets alone
     narrow = cut(sets.select("doc_id", "text_key", "set_id", "n"), "rows")
-    drop(leads, sets)
+    del every, first
+    settled(leads, sets)
 
     pair = [F.least("set_id", "set2").alias("a"), F.greatest("set_id", "set2").alias("b")]
     near = verified(shared.where((F.col("set_id") != F.col("set2")) & may_link(percent)).select(*pair).distinct(), docs, owners, k, percent)
@@ -255,13 +267,13 @@ def linked_sets(docs: DataFrame, k: int, percent: int, buckets: int) -> tuple[Da
 
     placed = shared.select("key", "set_id", "n", "at").distinct().join(found.withColumnRenamed("node", "set_id"), "set_id", "left")
     placed = cut(placed.select("key", "set_id", "n", "at", F.coalesce("root", "set_id").alias("root")), "placed")
-    drop(shared)
+    settled(shared)
     main = placed.groupBy("key", "root").count().groupBy("key").agg(
         F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
     )
     main = cut(main.where("roots > 1").select("key", "main"), "mains")
     mixed = cut(placed.join(main, "key"), "mixed")
-    drop(placed, main)
+    settled(placed, main)
     rest = met_by_size(mixed, percent).where((F.col("root") != F.col("root2")) & may_link(percent)).select(*pair).distinct()
     late = verified(rest.join(near, ["a", "b"], "left_anti"), docs, owners, k, percent)
     if late.take(1):
