@@ -239,6 +239,7 @@ def score(declared: Declared) -> Column:
 
 def best_attempts(rows: DataFrame, group: list[str], attempt: str, name: str, schema: dict) -> DataFrame:
     """The earliest attempt with the highest score of each group; attempts that are no data
-    aren't considered."""
+    aren't considered. Scores are equal that don't differ in six decimals: shares that are
+    added up in another order differ in their last bits."""
     scored = rows.select(*group, attempt, score(Declared.column(rows, name, schema)).alias("_s")).where("_s.is_data")
-    return Q.best_attempt(scored.select(*group, attempt, F.col("_s.score").alias("score")), group, "score", attempt)
+    return Q.best_attempt(scored.select(*group, attempt, F.round("_s.score", 6).alias("score")), group, "score", attempt)

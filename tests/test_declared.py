@@ -109,3 +109,15 @@ def test_best_attempt(spark):
     schema = {"type": "object", "required": ["title"], "properties": {"title": TEXT}}
     rows = frame(spark, [{"title": ""}, {"title": "b"}, {"title": "c"}, None], schema).withColumn("job", F.lit(1))
     assert [tuple(r) for r in D.best_attempts(rows, ["job"], "id", "result", schema).collect()] == [(1, 1, 100.0)]
+
+
+def test_best_attempt_of_equal_scores(spark):
+    """98 is added up to 97.99999999999999 for the first attempt, and to 98 for the second."""
+    record = lambda n: {c: "x" for c in "abcde"[:n]}
+    items = {"type": "object", "properties": {c: TEXT for c in "abcde"}}
+    schema = {"type": "object", "required": ["t", "u", "posts"], "properties": {"t": TEXT, "u": TEXT, "posts": {"type": "array", "items": items}}}
+    results = [{"t": "x", "posts": [record(n) for n in (1, 1, 2)]}, {"posts": [record(n) for n in (5, 5, 4, 5, 4, 5)]}]
+    rows = frame(spark, results, schema).withColumn("job", F.lit(1))
+    scores = [x["score"] for x in told(rows, D.score(D.Declared.column(rows, "result", schema)))]
+    assert scores[0] < scores[1] and round(scores[0], 6) == round(scores[1], 6)
+    assert [tuple(r) for r in D.best_attempts(rows, ["job"], "id", "result", schema).collect()] == [(1, 0, 98.0)]
