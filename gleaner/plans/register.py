@@ -22,3 +22,9 @@ def query(sql: str | None = None):
 
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt out to all cores. A table of narrow rows is few splits, however many rows
+    it has; what takes long for each row would otherwise run in as few tasks."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

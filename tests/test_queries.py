@@ -35,3 +35,9 @@ def test_query_equals_sql(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["answer_json"])
+def test_one_file_is_dealt_out(spark, name):
+    """A table of one split is worked on by all cores."""
+    assert QUERIES[name](spark, DATA).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
