@@ -162,7 +162,7 @@ def service_export(spark, d):
     services = customer_services(spark, d, F.lit(False)).withColumn("displayName", F.lit(None).cast("string"))
     services = services.withColumn("outputSchema", F.lit('{"type":"object","required":["a"],"properties":{"a":{"type":"string","description":"x"}}}')).drop("config")
     folder = store.scratch(spark, "export")
-    dealt = services.repartitionByRange(5, "name")
+    dealt = services.repartitionByRange(max(5, parallel(spark)), "name")
     export(dealt, f"{folder}/services.json")
     export(dealt, f"{folder}/services.md", "markdown")
     again = store.read_services(spark, f"{folder}/services.json")

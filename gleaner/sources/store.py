@@ -42,8 +42,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def read_services(spark: SparkSession, path: str) -> DataFrame:
-    """Exported services (a JSON array); rows without id, name or any steps are left out."""
-    rows = spark.read.schema(SERVICE).option("multiLine", True).json(path)
+    """Exported services (a JSON array); rows without id, name or any steps are left out. A file
+    with each service on a line of its own, as `export` writes it, is read in parts by many
+    tasks; any other array is read by one."""
+    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("s")).where("s not in ('', '[', ']')")
+    whole = F.col("s").startswith("{") & F.try_parse_json("s").isNotNull()
+    if lines.where(~whole).isEmpty():
+        rows = lines.select(F.from_json("s", SERVICE).alias("s")).select("s.*")
+    else:
+        rows = spark.read.schema(SERVICE).option("multiLine", True).json(path)
     return rows.where("id is not null and name is not null and (size(steps) > 0 or scriptCode is not null)")
 
 

@@ -94,8 +94,9 @@ def feeds(stream: DataFrame, key: str, order: str, signature: str, size: int, ta
 
 class Once(StatefulProcessor):
     """Ids that come for the first time. The last ones are known, `most` at most: when one
-    more has come, the `evicted` oldest are forgotten. A key without rows for `idle`
-    milliseconds is forgotten by a timer, if given."""
+    more has come, the `evicted` oldest are forgotten. They are one value, read and written
+    once for a key and batch, as each call of the store takes longer than all the work on a
+    row. A key without rows for `idle` milliseconds is forgotten by a timer, if given."""
 
     def __init__(self, key: str, order: str, name: str, kind: str, most: int, evicted: int, idle: int | None):
         self.key, self.order, self.name, self.kind = key, order, name, kind
@@ -103,35 +104,31 @@ class Once(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.known = handle.getMapState("known", f"id {self.kind}", "place long")
-        self.line = handle.getListState("line", f"id {self.kind}")
-        self.size = handle.getValueState("size", "n long, place long")
+        self.line = handle.getValueState("line", f"ids array<{self.kind}>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        n, place = self.size.get() if self.size.exists() else (0, 0)
+        before = self.line.get()
+        line = list(before[0]) if before else []
+        known, changed = set(line), False
         for row in sorted(rows, key=lambda r: r[self.order]):
             value = row[self.name]
-            if not self.known.containsKey((value,)):
+            if value not in known:
                 yield Row(**{self.key: key[0], self.order: row[self.order], self.name: value})
-                self.known.updateValue((value,), (place,))
-                self.line.appendValue((value,))
-                n, place = n + 1, place + 1
-                if n > self.most:
-                    line = [x[0] for x in self.line.get()]
-                    for old in line[: self.evicted]:
-                        self.known.removeKey((old,))
-                    self.line.put([(x,) for x in line[self.evicted :]])
-                    n -= self.evicted
-        self.size.update((n, place))
+                known.add(value)
+                line.append(value)
+                changed = True
+                if len(line) > self.most:
+                    known.difference_update(line[: self.evicted])
+                    del line[: self.evicted]
+        if changed:
+            self.line.update((line,))
         if self.idle is not None:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.known.clear()
         self.line.clear()
-        self.size.clear()
         yield from ()
 
     def close(self) -> None:

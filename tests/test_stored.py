@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import dependent
 from gleaner.operators import extract as E
+from gleaner.sources import store
 from gleaner.sources.export import export
 from gleaner.sources.registry import Refused, Registry
 from gleaner.sources.versions import Conflict, Pointer
@@ -192,6 +193,22 @@ def test_a_failed_export_leaves_nothing(spark, tmp_path):
         export(bad, str(path), "xml")
 
 
+def test_export_is_read_by_many_tasks(spark, tmp_path):
+    import json
+
+    table = services(spark, [(str(i), f"näme\n {i:03d},", None, [step("a", 'b"\n]')]) for i in range(50)])
+    path = str(tmp_path / "all.json")
+    export(table.repartitionByRange(3, "name"), path)
+    given = json.loads((tmp_path / "all.json").read_text())
+    (tmp_path / "other.json").write_text(json.dumps(given, indent=1, ensure_ascii=False))
+    with states.settings(spark, {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}):
+        again = store.read_services(spark, path)
+        assert again.rdd.getNumPartitions() > 3
+        rows = sorted(again.collect())
+    other = sorted(store.read_services(spark, str(tmp_path / "other.json")).collect())
+    assert len(rows) == 50 and rows == other
+
+
 def test_pages_are_opened_once(spark):
     pages = spark.createDataFrame([("u1", "<title>t</title><ul><li>1</li></ul>"), ("u2", "<title>none</title>"), ("u2", None), ("u3", None)], "url string, html string")
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(["u1", "u1", "u2", "u3", "u4", None, "u1"])], "n int, target string")
