@@ -15,17 +15,23 @@ from gleaner.streaming import feeds, states
 from gleaner.streaming.sink import EventLog
 
 ARRIVALS = 4
+#: Rows of an arrival from which many tasks write it.
+MANY = 100_000
 
 
-def arrivals(spark, rows: DataFrame, order: str, files: int = ARRIVALS) -> DataFrame:
-    """A stream that brings the rows of a table in so many batches, in their order: files
-    that are written one after the other, read one at a time."""
+def arrivals(spark, rows: DataFrame, order: str, files: int = ARRIVALS, many: int = MANY) -> DataFrame:
+    """A stream that brings the rows of a table in so many batches, in their order: written one
+    after the other, read one at a time. Each is as many files as there are cores, so
+    that a batch is one arrival; or each is one file, if some have few rows."""
     path = store.scratch(spark, "arrivals")
     low, high = rows.agg(F.min(order), F.max(order)).first()
     share = F.least(F.floor((F.col(order) - F.lit(low)) * files / F.lit((high or 0) - (low or 0) + 1)), F.lit(files - 1))
+    least = rows.agg(*[F.count_if(share == i).alias(str(i)) for i in range(files)]).first()
+    parts = parallel(spark) if min(least) >= many else 1
     for i in range(files):
-        rows.where(share == i).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part = rows.where(share == i)
+        (part.repartition(parts) if parts > 1 else part.coalesce(1)).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", parts).parquet(path)
 
 
 def parallel(spark) -> int:

@@ -6,6 +6,7 @@ import contextlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 #: Keyed state needs a store that holds several kinds of it.
@@ -92,52 +93,69 @@ def feeds(stream: DataFrame, key: str, order: str, signature: str, size: int, ta
     return made.transformWithState(Feed(key, order, signature, size, target, stalls, ttl), schema, "Append", "None" if ttl is None else "ProcessingTime")
 
 
-class Once(StatefulProcessor):
-    """Ids that come for the first time. The last ones are known, `most` at most: when one
-    more has come, the `evicted` oldest are forgotten. They are one value, read and written
-    once for a key and batch, as each call of the store takes longer than all the work on a
-    row. A key without rows for `idle` milliseconds is forgotten by a timer, if given."""
+#: Groups of keys that `once` keeps its state by; a checkpoint stays with the number it began with.
+BUCKETS = 512
+
 
-    def __init__(self, key: str, order: str, name: str, kind: str, most: int, evicted: int, idle: int | None):
-        self.key, self.order, self.name, self.kind = key, order, name, kind
+class Once(StatefulProcessor):
+    """Ids that come for the first time. The last ones of each key are known, `most` at most: when
+    one more has come, the `evicted` oldest are forgotten. The keys of a bucket are one value,
+    read and written once a batch, as a call of the store takes longer than all the work on
+    the rows of a key. A key without rows for `idle` milliseconds is forgotten by its
+    bucket's timer, if given."""
+
+    def __init__(self, key: str, order: str, name: str, kinds: dict[str, str], most: int, evicted: int, idle: int | None):
+        self.key, self.order, self.name, self.kinds = key, order, name, kinds
         self.most, self.evicted, self.idle = most, evicted, idle
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.line = handle.getValueState("line", f"ids array<{self.kind}>")
+        self.lines = handle.getValueState("lines", f"lines array<struct<key:{self.kinds[self.key]},ids:array<{self.kinds[self.name]}>,at:bigint>>")
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        before = self.line.get()
-        line = list(before[0]) if before else []
-        known, changed = set(line), False
-        for row in sorted(rows, key=lambda r: r[self.order]):
-            value = row[self.name]
-            if value not in known:
-                yield Row(**{self.key: key[0], self.order: row[self.order], self.name: value})
-                known.add(value)
+        before = self.lines.get()
+        lines = {k: (list(ids), at) for k, ids, at in before[0]} if before else {}
+        now = timerValues.getCurrentProcessingTimeInMs() if self.idle is not None else 0
+        made, known, changed = Row(self.key, self.order, self.name), {}, self.idle is not None
+        for _, own, order, value in sorted(rows, key=lambda r: r[2]):
+            if own not in known:
+                line, _ = lines.get(own, ([], 0))
+                lines[own], known[own] = (line, now), set(line)
+            if value not in known[own]:
+                yield made(own, order, value)
+                line, _ = lines[own]
+                known[own].add(value)
                 line.append(value)
                 changed = True
                 if len(line) > self.most:
-                    known.difference_update(line[: self.evicted])
+                    known[own].difference_update(line[: self.evicted])
                     del line[: self.evicted]
         if changed:
-            self.line.update((line,))
-        if self.idle is not None:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle)
+            self._keep(lines)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        self.line.clear()
+        before, now = self.lines.get(), timerValues.getCurrentProcessingTimeInMs()
+        self._keep({k: (ids, at) for k, ids, at in before[0] if at + self.idle > now} if before else {})
         yield from ()
 
+    def _keep(self, lines: dict) -> None:
+        if lines:
+            self.lines.update(([(k, list(ids), at) for k, (ids, at) in lines.items()],))
+        else:
+            self.lines.clear()
+        if self.idle is not None:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if lines:
+                self.handle.registerTimer(min(at for _, at in lines.values()) + self.idle)
+
     def close(self) -> None:
         pass
 
 
-def once(stream: DataFrame, key: str, order: str, name: str, most: int = 2000, evicted: int = 1000, idle: int | None = None) -> DataFrame:
+def once(stream: DataFrame, key: str, order: str, name: str, most: int = 2000, evicted: int = 1000, idle: int | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Rows (key, order, name) whose id in `name` isn't among the last ones of their key."""
     kinds = {c: stream.schema[c].dataType.simpleString() for c in (key, order, name)}
     schema = ", ".join(f"{c} {k}" for c, k in kinds.items())
-    made = stream.select(key, order, name).groupBy(key)
-    return made.transformWithState(Once(key, order, name, kinds[name], most, evicted, idle), schema, "Append", "None" if idle is None else "ProcessingTime")
+    made = stream.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("_bucket"), key, order, name).groupBy("_bucket")
+    return made.transformWithState(Once(key, order, name, kinds, most, evicted, idle), schema, "Append", "None" if idle is None else "ProcessingTime")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.operators import dependent
 from gleaner.operators import extract as E
+from gleaner.plans import stored
 from gleaner.sources import store
 from gleaner.sources.export import export
 from gleaner.sources.registry import Refused, Registry
@@ -152,6 +153,51 @@ def test_ids_are_known_up_to_a_bound(spark, tmp_path):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+def test_ids_sent_once_of_keys_in_one_bucket(spark, tmp_path):
+    """Keys of a bucket don't meet, a null key is one, and one call of the store serves them all."""
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "b", "c"]), n, r.choice([None, 1, 2, 3, 4, 5])) for n in range(120)]
+    cuts, lines, want = [rows[:50], rows[50:55], rows[55:]], {}, []
+    for k, n, x in rows:
+        line = lines.setdefault(k, [])
+        if x not in line:
+            want.append((k, n, x))
+            line.append(x)
+            if len(line) > 3:
+                del line[:2]
+    stream = states.once(stream_of(spark, str(tmp_path / "in"), cuts, "k string, n long, x long"), "k", "n", "x", 3, 2, buckets=1)
+    got = [row for _, rows in told(spark, stream, tmp_path, "notes") for row in rows]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_ids_are_forgotten_with_their_key():
+    """A bucket's timer forgets the keys whose time is out, and waits for the next."""
+    from types import SimpleNamespace as Of
+
+    from pyspark.sql import Row
+
+    value, timers = [], set()
+    state = Of(get=lambda: value[0] if value else None, update=lambda x: value.__setitem__(slice(None), [x]), clear=value.clear)
+    once = states.Once("k", "n", "x", {"k": "string", "x": "bigint"}, 6, 3, 100)
+    once.init(Of(getValueState=lambda *_: state, listTimers=lambda: iter(timers), deleteTimer=timers.discard, registerTimer=timers.add))
+    at = lambda now: Of(getCurrentProcessingTimeInMs=lambda: now)
+    rows = lambda *xs: [Row("b", "k", "n", "x")(0, *x) for x in xs]
+    assert len(list(once.handleInputRows((0,), rows(("a", 0, 1), ("b", 1, 1)), at(1000)))) == 2 and timers == {1100}
+    assert not list(once.handleInputRows((0,), rows(("b", 2, 1)), at(1050))) and timers == {1100}
+    assert not list(once.handleExpiredTimer((0,), at(1100), None)) and timers == {1150}
+    assert [tuple(x) for x in once.handleInputRows((0,), rows(("a", 3, 1), ("b", 4, 1)), at(1120))] == [("a", 3, 1)] and timers == {1220}
+    assert not list(once.handleExpiredTimer((0,), at(1220), None)) and not timers and not value
+
+
+def test_an_arrival_is_written_by_many_tasks(spark):
+    """One batch each, in their order, of as many files as there are cores."""
+    rows = spark.range(40_000).select("id", (F.col("id") % 7).alias("x"))
+    stream, seen = stored.arrivals(spark, rows, "id", 4, many=1000), []
+    states.run(stream, lambda batch, n: seen.append((n, *batch.agg(F.min("id"), F.max("id"), F.count(F.lit(1)), F.count_distinct(F.input_file_name())).first())), store.scratch(spark, "notes"))
+    files = spark.sparkContext.defaultParallelism
+    assert seen == [(i, i * 10_000, i * 10_000 + 9_999, 10_000, files) for i in range(4)]
+
+
 def test_feed_over_batches(spark, tmp_path):
     """A poll that a batch cuts in two is judged when it is whole, and an ended feed is quiet."""
     polls = {"t": ["a", "b", "a", "c", "d", "e", "f"], "s": ["a", "a", "a", "a", "a", "a", "b", "b"], "o": ["a", "b"]}
