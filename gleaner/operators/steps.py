@@ -15,28 +15,43 @@ TERMINATE = "TERMINATE"
 SHORT = 64
 
 
+def _parted(steps: DataFrame, graph: str, short: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """The steps of graphs of up to `short` steps, those of larger ones (None if there are none),
+    and the most steps of one. Sizes are counts; only the graphs that are too large are joined."""
+    large = steps.groupBy(graph).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > short)
+    most = large.agg(F.max("_n")).first()[0]
+    if most is None:
+        return steps, None, 0
+    large = store.kept(large.select(graph), "large")
+    return steps.join(large, graph, "left_anti"), steps.join(large, graph, "left_semi"), most
+
+
 def reachable(steps: DataFrame, graph: str = "graph", short: int = SHORT) -> DataFrame:
     """(graph, id) of what can be reached from each graph's first step (least ordinal), pointers
     to nowhere included. Graphs of up to `short` steps are walked in place; others by joins."""
-    sizes = steps.groupBy(graph).agg(F.count(F.lit(1)).alias("_n"))
-    large = sizes.where(F.col("_n") > short)
-    most = large.agg(F.max("_n")).first()[0]
-    if most is None:
-        return _walked(steps, graph)
-    small = steps.join(large, graph, "left_anti")
-    return _walked(small, graph).unionByName(_joined(steps.join(large.select(graph), graph, "left_semi"), graph, most))
+    small, large, most = _parted(steps, graph, short)
+    found = small.groupBy(graph).agg(_ordered("id", "on_success", "on_failure")).select(graph, F.explode(_reached()).alias("id"))
+    return found if large is None else found.unionByName(_joined(large, graph, most))
+
+
+def _ordered(*columns: Column | str) -> Column:
+    """`_e`: a graph's steps in their order, one array."""
+    return F.array_sort(F.collect_list(F.struct("ordinal", *columns))).alias("_e")
 
 
-def _walked(steps: DataFrame, graph: str) -> DataFrame:
-    edges = F.collect_list(F.struct("id", F.array("on_success", "on_failure").alias("to")))
-    one = steps.groupBy(graph).agg(edges.alias("_e"), F.min_by("id", "ordinal").alias("_first"))
+def _reached() -> Column:
+    """Ids that can be reached in the graph `_e`. Pointers ahead are followed by going through
+    the steps once; if that isn't all, as some lead back, as often as there are steps."""
+    to = lambda e: F.filter(F.array(e["on_success"], e["on_failure"]), lambda x: x.isNotNull() & (x != TERMINATE))
+    known = lambda seen, e: F.coalesce(F.array_contains(seen, e["id"]), F.lit(False))
+    through = lambda seen: F.aggregate("_e", seen, lambda seen, e: F.when(known(seen, e), F.array_union(seen, to(e))).otherwise(seen))
+    once = through(F.slice(F.transform("_e", lambda e: e["id"]), 1, 1))
 
-    def walk(seen, _):
-        ahead = F.flatten(F.transform(F.filter("_e", lambda e: F.array_contains(seen, e["id"])), lambda e: e["to"]))
-        return F.array_distinct(F.concat(seen, F.filter(ahead, lambda x: x.isNotNull() & (x != TERMINATE))))
+    def all_of(seen: Column) -> Column:
+        closed = F.forall("_e", lambda e: ~known(seen, e) | (F.size(F.array_except(to(e), seen)) == 0))
+        return F.when(closed, seen).otherwise(F.aggregate(F.sequence(F.lit(1), F.size("_e")), seen, lambda seen, _: through(seen)))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.size("_e")), F.array("_first"), walk)
-    return one.select(graph, F.explode(found).alias("id"))
+    return F.transform(F.array(once), all_of)[0]
 
 
 def _joined(steps: DataFrame, graph: str, most: int) -> DataFrame:
@@ -69,9 +84,29 @@ def _joined(steps: DataFrame, graph: str, most: int) -> DataFrame:
     return found
 
 
-def problems(steps: DataFrame, graph: str = "graph") -> DataFrame:
+def problems(steps: DataFrame, graph: str = "graph", short: int = SHORT) -> DataFrame:
     """(graph, id, problem) rows: repeated ids, no script, bad iteration counts, pointers
-    to nowhere or to SELF, and steps that can't be reached."""
+    to nowhere or to SELF, and steps that can't be reached. Graphs of up to `short` steps
+    are gathered once and judged as arrays; others by joins."""
+    small, large, most = _parted(steps, graph, short)
+    blank, bad = F.coalesce(F.trim("script"), F.lit("")) == "", F.coalesce(F.col("max_iterations") < 1, F.lit(False))
+    one = small.groupBy(graph).agg(_ordered("id", "on_success", "on_failure", blank.alias("blank"), bad.alias("bad")))
+    one = one.select(graph, "_e", F.transform("_e", lambda e: e["id"]).alias("_ids"), _reached().alias("_seen"))
+
+    def told(e: Column) -> Column:
+        pointer = lambda c: e[c].isNotNull() & ~e[c].isin(TERMINATE, "SELF") & ~F.coalesce(F.array_contains("_ids", e[c]), F.lit(False))
+        return F.array_compact(F.array(
+            F.when(F.size(F.filter("_ids", lambda x: x.eqNullSafe(e["id"]))) > 1, "DUPLICATE_ID"), F.when(e["blank"], "NO_SCRIPT"), F.when(e["bad"], "BAD_ITERATIONS"),
+            F.when((e["on_success"] == "SELF") | (e["on_failure"] == "SELF"), "SELF_POINTER"), F.when(pointer("on_success") | pointer("on_failure"), "DANGLING_POINTER"),
+            F.when(~F.coalesce(F.array_contains("_seen", e["id"]), F.lit(False)), "UNREACHABLE"),
+        ))
+
+    each = F.flatten(F.transform("_e", lambda e: F.transform(told(e), lambda p: F.struct(e["id"].alias("id"), p.alias("problem")))))
+    found = one.select(graph, F.inline(F.array_distinct(each)))
+    return found if large is None else found.unionByName(_problems_joined(large, graph, most))
+
+
+def _problems_joined(steps: DataFrame, graph: str, most: int) -> DataFrame:
     w = Window.partitionBy(graph, "id")
     own = steps.select(graph, "id", "script", "max_iterations", "on_success", "on_failure", F.count(F.lit(1)).over(w).alias("_n"))
     flags = F.array(
@@ -83,7 +118,7 @@ def problems(steps: DataFrame, graph: str = "graph") -> DataFrame:
     local = own.select(graph, "id", F.explode(F.filter(flags, lambda x: x.isNotNull())).alias("problem"))
     edges = steps.select(graph, "id", F.explode(F.array("on_success", "on_failure")).alias("dst")).where(f"dst is not null and dst not in ('{TERMINATE}', 'SELF')")
     lost = edges.join(steps.select(graph, F.col("id").alias("dst")), [graph, "dst"], "left_anti").select(graph, "id", F.lit("DANGLING_POINTER").alias("problem"))
-    apart = steps.select(graph, "id").join(reachable(steps, graph), [graph, "id"], "left_anti").select(graph, "id", F.lit("UNREACHABLE").alias("problem"))
+    apart = steps.select(graph, "id").join(_joined(steps, graph, most), [graph, "id"], "left_anti").select(graph, "id", F.lit("UNREACHABLE").alias("problem"))
     return local.union(lost).union(apart).distinct()
 
 

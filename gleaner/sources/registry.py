@@ -73,7 +73,7 @@ class Registry:
         changes = changes.withColumn("updatedAt", F.lit(now).cast("long"))
         twice = changes.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null")
         twice = twice.select(F.col("id").alias("graph"), F.lit(None).cast("string").alias("id"), F.when(F.col("graph").isNull(), "NO_ID").otherwise("REPEATED_SERVICE").alias("problem"))
-        found = problems(service_steps(changes)).unionByName(twice)
+        found = store.kept(problems(service_steps(changes)).unionByName(twice), "refused")
         if found.take(1):
             raise Refused(found)
         return self._write(lambda rows: store.upserted(rows, changes))

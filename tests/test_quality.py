@@ -196,6 +196,35 @@ def test_reachable_in_a_long_chain(spark):
     assert found[0] == n // 2 + 1 + 30_000
 
 
+def test_short_graphs_are_judged_as_by_joins(spark):
+    """Random graphs with every fault, gathered as arrays, by joins, and some of both."""
+    import random
+
+    r = random.Random(12)
+    rows = []
+    for g in range(60):
+        n = r.choice([1, 2, 4, 7])
+        ids = [r.choice([f"s{i}"] * 12 + ["s0", "", None]) for i in range(n)]
+        for i in range(n):
+            point = lambda i=i, n=n: r.choice(["TERMINATE", None, *[f"s{i + 1}"] * 5, f"s{r.randrange(n)}", "s0", "nowhere", "", "SELF"] if r.random() < 0.3 else ["TERMINATE", f"s{(i + 1) % n}"])
+            script = r.choice([None, "", "// PENDING_ANNOTATION"] if r.random() < 0.1 else ["run()", "await $wait(40000)", "return { done: false }"])
+            rows.append((g, ids[i], i, script, point(), point(), r.choice([None, 0, 1, 1, 3, 3])))
+    table = graphs_of(spark, rows)
+    told = lambda frame: sorted((tuple(x) for x in frame.collect()), key=str)
+    for of in (steps.problems,):
+        assert told(of(table)) == told(of(table, short=0)) == told(of(table, short=3)), of
+
+
+def test_short_graphs_meet_in_one_shuffle(spark, tmp_path):
+    """No join and one exchange of the steps."""
+    path = str(tmp_path / "steps")
+    graphs_of(spark, [(1, "a", 0, "run()", None, None, 1)]).write.parquet(path)
+    table = spark.read.parquet(path)
+    for of in (steps.problems,):
+        plan = of(table)._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and plan.count("FileScan") == 1
+
+
 def test_verdicts(spark):
     ok, pend = "return { done: false }", "// PENDING_ANNOTATION"
     graphs = {
