@@ -211,7 +211,7 @@ def test_short_graphs_are_judged_as_by_joins(spark):
             rows.append((g, ids[i], i, script, point(), point(), r.choice([None, 0, 1, 1, 3, 3])))
     table = graphs_of(spark, rows)
     told = lambda frame: sorted((tuple(x) for x in frame.collect()), key=str)
-    for of in (steps.problems,):
+    for of in (steps.verdicts, steps.problems):
         assert told(of(table)) == told(of(table, short=0)) == told(of(table, short=3)), of
 
 
@@ -220,7 +220,7 @@ def test_short_graphs_meet_in_one_shuffle(spark, tmp_path):
     path = str(tmp_path / "steps")
     graphs_of(spark, [(1, "a", 0, "run()", None, None, 1)]).write.parquet(path)
     table = spark.read.parquet(path)
-    for of in (steps.problems,):
+    for of in (steps.verdicts, steps.problems):
         plan = of(table)._jdf.queryExecution().sparkPlan().toString()
         assert "Join" not in plan and plan.count("FileScan") == 1
 
