@@ -88,8 +88,7 @@ def named(table: Pages, selector: str) -> DataFrame:
     the chains that match several elements get one anchor more: an element stays matched if
     one that fits stands above where the chain was matched so far, the nearest of them."""
     elements = anchored(table.elements())
-    found = N.matching(table, selector)
-    own = anchored(found)
+    found = own = store.kept(anchored(N.matching(table, selector)), "found")
     ups = store.kept(above(table, found, elements).select("page", "target", "rank", "start", "tag", "own_id", "marks", "names", "anchor", "bare"), "ups")
     marked = ups.where("not bare").withColumn("step", F.row_number().over(Window.partitionBy("page", "target").orderBy("rank")))
     fits = store.kept(fitting(elements, own.select("page", "anchor", "own_id", "tag", "marks", "names").unionByName(marked.select("page", "anchor", "own_id", "tag", "marks", "names"))), "fits")
@@ -115,7 +114,7 @@ def named(table: Pages, selector: str) -> DataFrame:
     position = F.when((F.col("n") > 1) & (F.col("n_of_type") > 1), place).otherwise("")
     paths = ups.select("page", "target", "rank", "anchor").unionByName(own.select("page", F.col("start").alias("target"), F.lit(0).alias("rank"), "anchor"))
     paths = paths.groupBy("page", "target").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("rank")).alias("r"), "anchor"))), lambda x: x["anchor"]), " > ").alias("path"))
-    out = found.withColumn("ordinal", F.row_number().over(Window.partitionBy("page").orderBy("start")) - 1).withColumnRenamed("start", "target")
+    out = found.select("page", "start", "tag", "of_type", "n_of_type").withColumn("ordinal", F.row_number().over(Window.partitionBy("page").orderBy("start")) - 1).withColumnRenamed("start", "target")
     out = out.join(state, ["page", "target"]).join(paths, ["page", "target"])
     return table.told(out.select("page", "ordinal", "tag", F.concat("chain", position).alias("selector"), "path"), "ordinal", "tag", "selector", "path")
 

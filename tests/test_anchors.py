@@ -163,3 +163,11 @@ def test_nested_results(spark):
     r = got[0]["r"]
     assert got[1]["r"] is None and len(r.steps) == 5 and len(r.steps[0].out) == 20 and r.steps[0].out_omitted == 10
     assert len(r["items"]) == 3 and r.items_omitted == 1 and r["none"] is None
+
+
+def test_elements_are_matched_once(spark, monkeypatch):
+    """What all rounds start from is written once."""
+    names, kept = [], joined.store.kept
+    monkeypatch.setattr(joined.store, "kept", lambda df, name: names.append(name) or kept(df, name))
+    table = N.parsed(spark.createDataFrame([(1, PAGE)], "i int, html string"), ["i"])
+    assert joined.named(table, "button").count() == 4 and "found" in names
