@@ -17,8 +17,13 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+#: The characters of that class.
+WHITE = "\t\n\v\f\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
 def trim(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), f"^[{BLANKS}]+|[{BLANKS}]+$", "")
+    """Without white space at the ends, which alone are looked at."""
+    return F.btrim(_col(c), F.lit(WHITE))
 
 
 def squeeze(c: Column | str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.text import filter_classes, trim, truncate_text
 from gleaner.operators import nodes as N
 from gleaner.operators.nodes import Pages
-from gleaner.operators.reduce import USELESS, snapshots
+from gleaner.operators.reduce import USELESS, whole
 from gleaner.sources import store
 
 #: Attributes that stay the same from load to load.
@@ -264,7 +264,7 @@ def tiered(pages: DataFrame, keep: list[str], selectors: list[str] = (), budget:
     """(kept columns, mode, html): the first of the full page, the annotated parts and the folded
     structure that fits the budget; else what a part has to be chosen from."""
     table = N.parsed(pages, keep, html)
-    parts = surroundings(table, list(selectors)).join(snapshots(table).select("page", F.col("html").alias("_full")), "page")
+    parts = surroundings(table, list(selectors)).join(whole(table).withColumnRenamed("html", "_full"), "page")
     texts = {"full": F.col("_full"), "annotated": F.array_join("contexts", "\n"), "compressed": F.array_join("structure", "\n")}
     pick = lambda mode, c: F.struct(F.lit(mode).alias("mode"), c.alias("html"))
     fits = [F.when((F.length(c) <= budget) & ((c != "") | (mode == "full")), pick(mode, c)) for mode, c in texts.items()]

@@ -60,7 +60,8 @@ def cleaned(table: Pages) -> DataFrame:
     out = rows.withColumn("attrs", kept).join(frames, ["page", "start"], "left")
     marked = F.map_concat("attrs", F.create_map(F.lit("data-iframe-prefix"), frame_prefix(F.col("_place"))))
     told = F.when(F.col("_place").isNotNull(), F.when(F.map_contains_key("attrs", "data-iframe-prefix"), F.col("attrs")).otherwise(marked)).otherwise(F.col("attrs"))
-    short = F.when(F.length(trim("text")) > LONG_TEXT, truncate_text("text", LONG_TEXT)).otherwise(F.col("text"))
+    long = (F.length("text") > LONG_TEXT) & (F.length(trim("text")) > LONG_TEXT)
+    short = F.when(long, truncate_text("text", LONG_TEXT)).otherwise(F.col("text"))
     return out.withColumn("attrs", told).withColumn("text", F.when(F.col("text").isNotNull(), short)).drop("_place")
 
 
@@ -104,12 +105,23 @@ def _text(rows: DataFrame, found: DataFrame, name: str) -> DataFrame:
     return N.texts(table, N.first(found)).select("page", F.col("text").alias(name))
 
 
+def _cleaned(table: Pages) -> tuple[DataFrame, DataFrame]:
+    """The nodes that are read, written once, and those of them that a page is written of."""
+    rows = N.store.kept(cleaned(table), "cleaned")
+    return rows, rows.where(F.col("tag").isNotNull() | (F.col("parent") >= 0))
+
+
+def whole(table: Pages, html_cap: int = HTML_CAP) -> DataFrame:
+    """(page, html) of every page: the cleaned page alone, as `snapshots` has it."""
+    out = table.pages.select("page").join(html(_cleaned(table)[1]), "page", "left")
+    return out.select("page", F.left(F.coalesce("html", F.lit("")), F.lit(html_cap)).alias("html"))
+
+
 def snapshots(table: Pages, html_cap: int = HTML_CAP, text_cap: int = TEXT_CAP, summary_cap: int = SUMMARY_CAP) -> DataFrame:
     """(page, title, html, text, structure, summary) of every page: the cleaned page and its
     text, and of the page as it is the structure and the beginning of its text. The caps are
     the snapshot's own limits on code points; a page without nodes has empty parts."""
-    rows = N.store.kept(cleaned(table), "cleaned")
-    tops = rows.where(F.col("tag").isNotNull() | (F.col("parent") >= 0))
+    rows, tops = _cleaned(table)
     body, title = (table.elements().where(F.col("tag") == t) for t in ("body", "title"))
     out = table.pages.select("page")
     for part in (_text(table.rows, title, "title"), html(tops), _text(rows, rows.where("tag = 'body'"), "text"), compressed(table), _text(table.rows, body, "summary")):

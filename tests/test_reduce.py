@@ -174,3 +174,23 @@ def test_segments_keep_brackets(spark):
     got = spark.createDataFrame([("div[a='x > y'] > li:has(> b) a",)], "s string").select(selectors.segments("s")).first()[0]
     assert [(r["seg"], r["child"]) for r in got] == [("div[a='x > y']", False), ("li:has(> b)", True), ("a", False)]
     assert pa is not None and F is not None
+
+
+def test_trim_looks_at_the_ends(spark):
+    """Every white space of browsers, nothing else, and nothing within; not by a pattern over the whole text."""
+    from gleaner.functions import text as X
+
+    odd = ["", " ", "a", " a b ", "\u00a0\ufeffa\u3000b\u2028\n", "a \x85", "\x00 a", "\u200b a", "\U0001f600 ", "\t\n\v\f\r\u1680\u2000\u200a\u202f\u205fé", None]
+    frame = spark.createDataFrame([(i, x) for i, x in enumerate(odd)], "i int, x string").select("i", X.trim("x").alias("t"))
+    white = "\t\n\v\f\r \xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+    assert dict(map(tuple, frame.collect())) == {i: x and x.strip(white) for i, x in enumerate(odd)}
+    assert "regexp" not in frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_the_whole_page_alone(spark):
+    from gleaner.operators import nodes, reduce
+
+    pages = spark.createDataFrame([(1, "<body><nav>n</nav><p class='a'>x</p></body>"), (2, None), (3, "t"), (4, "<body>" + "<p>é</p>" * 30 + "</body>")], "i int, html string")
+    table = nodes.parsed(pages, ["i"])
+    for cap in (50, 80_000):
+        assert sorted(reduce.whole(table, cap).collect()) == sorted(reduce.snapshots(table, cap).select("page", "html").collect())
