@@ -172,7 +172,7 @@ def service_export(spark, d):
     export(dealt, f"{folder}/services.json")
     export(dealt, f"{folder}/services.md", "markdown")
     again = store.read_services(spark, f"{folder}/services.json")
-    titles = spark.read.text(f"{folder}/services.md").where("value like '# %'").select(F.substring("value", 3, 1000).alias("name"), F.lit(True).alias("documented"))
+    titles = spark.read.text(f"{folder}/services.md").where("value like '# %'").select(F.expr("substring(value, 3)").alias("name"), F.lit(True).alias("documented")).distinct()  # names may repeat
     return again.join(titles, "name", "left").select("id", "name", F.size("steps").cast("long").alias("n_steps"), F.coalesce("documented", F.lit(False)).alias("documented"))
 
 

@@ -256,6 +256,18 @@ def test_export_is_read_by_many_tasks(spark, tmp_path):
     assert len(rows) == 50 and rows == other
 
 
+def test_exported_names_may_repeat_and_be_long(spark, tmp_path):
+    import duckdb
+
+    from gleaner.plans.queries import ORACLE_SQL
+
+    names = ["same", "same", "same", "n" * 1500, "other"]
+    spark.createDataFrame([(i, n, 1, "M") for i, n in enumerate(names)], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view customer as select * from '{tmp_path}/customer.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in stored.service_export(spark, str(tmp_path)).collect()) == sorted(db.execute(ORACLE_SQL["service_export"]).fetchall())
+
+
 def test_pages_are_opened_once(spark):
     pages = spark.createDataFrame([("u1", "<title>t</title><ul><li>1</li></ul>"), ("u2", "<title>none</title>"), ("u2", None), ("u3", None)], "url string, html string")
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(["u1", "u1", "u2", "u3", "u4", None, "u1"])], "n int, target string")
