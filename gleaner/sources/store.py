@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.operators.places import numbered
@@ -41,14 +41,64 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an indented list from which many tasks read it; one task is faster below.
+ONE_TASK = 256 << 20
+
+
+def _whole(lines: DataFrame) -> bool:
+    """Each s is one JSON object and nothing else."""
+    return lines.where(~(F.col("s").startswith("{") & F.try_parse_json("s").isNotNull())).isEmpty()
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame | None:
+    """The elements (s) of a JSON array of objects over many lines, each of which begins and
+    ends on lines of its own, as indented JSON has it; None for an array written otherwise. No
+    line ends within a string, so a line's brackets count for themselves: sums within each
+    split of a file and over the splits before tell how deep it is and what element it is of."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("s")).where("s <> ''")
+    bare = F.regexp_replace(F.regexp_replace("s", r"\\.", ""), r'"[^"]*"', "")
+    brackets = F.when(F.col("s").rlike(r"[\[\]{}]"), F.regexp_replace(bare, r"[^\[\]{}]", "")).otherwise("")
+    deeper = lambda c: F.when(c.isin("[", "{"), 1).otherwise(-1)
+    inner = F.filter(F.split(F.expr("left(brackets, length(brackets) - 1)"), ""), lambda c: c != "")
+    low = F.aggregate(inner, F.struct(F.lit(0).alias("now"), F.lit(1 << 30).alias("low")), lambda a, c: F.struct((a["now"] + deeper(c)).alias("now"), F.least(a["low"], a["now"] + deeper(c)).alias("low")), lambda a: a["low"])
+    step = F.length(F.regexp_replace("brackets", r"[\]}]", "")) * 2 - F.length("brackets")
+    lines = lines.withColumn("brackets", brackets).select("file", "part", "at", "s", step.cast("long").alias("step"), F.when(F.length("brackets") > 1, low).otherwise(1 << 30).cast("long").alias("low"))
+    lines = _running(kept(lines, "lines"), "step", "after").withColumn("before", F.col("after") - F.col("step"))
+    begins = (F.col("before") == 1) & F.col("s").startswith("{")
+    lines = kept(_running(lines.withColumn("begins", begins.cast("long")), "begins", "element"), "lines")
+    inside = (F.col("before") + F.col("low") >= 2) & ((F.col("after") >= 2) | ((F.col("after") == 1) & F.col("s").rlike(r"\}\s*,?$")))
+    outside = (F.col("before") == 0) & (F.col("s") == "[") | (F.col("before") == 1) & (F.col("s") == "]")
+    plain = outside | inside & ((F.col("before") >= 2) | (F.col("begins") == 1))
+    last = (F.col("before") > 0) & (F.col("after") == 1) & ~F.col("s").endswith(",")
+    told = lines.groupBy("file").agg(F.every(plain).alias("plain"), *[F.count_if(c).alias(n) for n, c in (("opened", F.col("before") == 0), ("closed", F.col("after") == 0), ("last", last), ("n", F.col("begins") == 1))])
+    if not told.where("not plain or opened <> 1 or closed <> 1 or last <> least(n, 1)").isEmpty():
+        return None
+    whole = lines.where(~outside).groupBy("file", "element").agg(F.array_sort(F.collect_list(F.struct("part", "at", "s"))).alias("l"))
+    return whole.select(F.regexp_replace(F.array_join(F.transform("l", lambda x: x["s"]), "\n"), r"\s*,$", "").alias("s"))
+
+
+def _running(lines: DataFrame, value: str, name: str) -> DataFrame:
+    """Lines with the sum of a value over their file up to them. Within a split by its lines,
+    and over splits, of which a file has one for each 128 MB or so."""
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lines.groupBy("file", "part").agg(F.sum(value).alias("_c")).select("file", "part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_b"))
+    own = F.sum(value).over(Window.partitionBy("file", "part").orderBy("at"))
+    return lines.withColumn(name, own).join(sums, ["file", "part"]).withColumn(name, F.col(name) + F.col("_b")).drop("_b")
+
+
 def read_services(spark: SparkSession, path: str) -> DataFrame:
     """Exported services (a JSON array); rows without id, name or any steps are left out. A file
     with each service on a line of its own, as `export` writes it, is read in parts by many
-    tasks; any other array is read by one."""
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("s")).where("s not in ('', '[', ']')")
-    whole = F.col("s").startswith("{") & F.try_parse_json("s").isNotNull()
-    if lines.where(~whole).isEmpty():
-        rows = lines.select(F.from_json("s", SERVICE).alias("s")).select("s.*")
+    tasks; so is one of more than ONE_TASK bytes with each on lines of its own, as indented JSON
+    has it. Any other array is read by one."""
+    found = spark.read.text(path).select(F.regexp_replace(F.trim("value"), r",\s*$", "").alias("s")).where("s not in ('', '[', ']')")
+    if not _whole(found):
+        longest = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0]
+        found = _elements(spark, path) if longest > ONE_TASK else None
+        if found is not None and not _whole(found):
+            found = None
+    if found is not None:
+        rows = found.select(F.from_json("s", SERVICE).alias("s")).select("s.*")
     else:
         rows = spark.read.schema(SERVICE).option("multiLine", True).json(path)
     return rows.where("id is not null and name is not null and (size(steps) > 0 or scriptCode is not null)")

@@ -256,6 +256,39 @@ def test_export_is_read_by_many_tasks(spark, tmp_path):
     assert len(rows) == 50 and rows == other
 
 
+LISTS = {
+    "indented": lambda rows, dump: dump(rows, indent=2),
+    "crlf": lambda rows, dump: dump(rows, indent="\t").replace("\n", "\r\n"),
+    "blank": lambda rows, dump: dump(rows, indent=2).replace("\n", "\n\n"),
+    "mixed": lambda rows, dump: "[\n" + ",\n".join(dump(r, indent=1 if i % 2 else None) for i, r in enumerate(rows)) + "\n]",
+}
+OTHERS = {
+    "one line": lambda rows, dump: dump(rows),
+    "closing and opening": lambda rows, dump: dump(rows, indent=2).replace("},\n  {", "}, {"),
+    "brackets aside": lambda rows, dump: "[" + ",\n".join(dump(r, indent=1) for r in rows) + "]",
+}
+
+
+@pytest.mark.parametrize("form", [*LISTS, *OTHERS])
+def test_other_lists_of_services(spark, tmp_path, monkeypatch, form):
+    """Indented ones are read by many tasks, too; all with what a reader of the whole file finds."""
+    import json
+
+    odd = ['{"[', "}]\\", 'a\\" }, {', "\n},\n{", "ä\t]"]
+    rows = [{"id": str(i), "name": odd[i % 5] + str(i), "enabled": True, "steps": [{"id": "s", "script": odd[(i + 1) % 5]}] * (i % 3 + 1), "inputSchema": json.dumps({"x": odd})} for i in range(40)]
+    rows += [{"id": "none", "name": "no steps", "steps": []}, {}, {"id": "code", "name": "c", "scriptCode": odd[3], "else": [[1, {"a": []}], "]"]}]
+    path = str(tmp_path / "list.json")
+    monkeypatch.setattr(store, "ONE_TASK", 0)
+    with open(path, "w", newline="") as out:
+        out.write((LISTS | OTHERS)[form](rows, lambda x, **k: json.dumps(x, ensure_ascii=False, **k)))
+    with states.settings(spark, {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "0"}):
+        again = store.read_services(spark, path)
+        assert ("Scan json" in again._jdf.queryExecution().toString()) == (form in OTHERS)
+        got = sorted(again.collect(), key=str)
+    want = spark.read.schema(store.SERVICE).option("multiLine", True).json(path).where("id is not null and name is not null and (size(steps) > 0 or scriptCode is not null)")
+    assert len(got) == 41 and got == sorted(want.collect(), key=str)
+
+
 def test_exported_names_may_repeat_and_be_long(spark, tmp_path):
     import duckdb
 
